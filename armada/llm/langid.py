@@ -1,6 +1,6 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-Method: texts are cut into segments of SEGMENT bytes.  A gated recurrent unit reads each segment forwards, another backwards,
+Method: texts are cut into segments of SEGMENT bytes.  A light gated recurrent unit (update gate, no reset gate) reads each segment forwards, another backwards,
 both states together give language probabilities at every byte, and a document's are the mean over all its bytes.  The
 network is trained in numpy by backpropagation through time.
 """
@@ -19,47 +19,51 @@ from pyspark.sql import functions as F
 from armada.llm.common import table
 from armada.llm.toxicity import held_out
 
-SEGMENT, WIDTH, BLOCK = 64, 8, 2048
+SEGMENT, WIDTH, BLOCK = 64, 8, 1024
 LETTER = re.compile(r"[^\W\d_]")
 
 
-def gate(x: np.ndarray) -> np.ndarray:
-    """The piecewise linear sigmoid."""
-    return np.clip(0.25 * x + 0.5, 0, 1)
+#: Bounds of a unit's two halves: its gate lies in [0, 1], its candidate in [-1, 1] (piecewise linear activations).
+LOW = np.array([0.0] * WIDTH + [-1.0] * WIDTH, np.float32)
+HIGH = np.ones(2 * WIDTH, np.float32)
 
 
 def read(x: np.ndarray, table_: np.ndarray, u: np.ndarray, keep: bool = False):
-    """States (steps, segments, width) of one direction over bytes x (steps, segments), first to last; with keep, also
-    what backpropagation needs."""
-    h, width = np.zeros((x.shape[1], u.shape[0]), np.float32), u.shape[0]
-    states, kept = np.empty((len(x), x.shape[1], width), np.float32), []
+    """States (steps, segments, width) of one direction over bytes x (steps, segments), first to last.
+
+    Gate and candidate come from the byte's row of the table plus the state times u; the gate decides how far the state
+    moves to the candidate.  With keep, also what backpropagation needs.
+    """
+    h, kept = np.zeros((x.shape[1], WIDTH), np.float32), []
+    states, s, move = np.empty((len(x), x.shape[1], WIDTH), np.float32), np.empty((x.shape[1], 2 * WIDTH), np.float32), np.empty_like(h)
     for t in range(len(x)):
-        a, inputs = h @ u, table_[x[t]]
-        g = gate(inputs[:, : 2 * width] + a[:, : 2 * width])
-        n = np.tanh(inputs[:, 2 * width :] + g[:, width:] * a[:, 2 * width :])
+        np.take(table_, x[t], axis=0, out=s, mode="clip")
+        s += h @ u
+        if keep:
+            open_ = (s > LOW) & (s < HIGH)
+        np.maximum(s, LOW, out=s)
+        np.minimum(s, HIGH, out=s)
         if keep:
-            kept.append((h, g, n, a[:, 2 * width :]))
-        h = n + g[:, :width] * (h - n)
-        states[t] = h
+            kept.append((h, s.copy(), open_))
+        np.subtract(s[:, WIDTH:], h, out=move)
+        move *= s[:, :WIDTH]
+        h = np.add(h, move, out=states[t])
     return states, kept
 
 
 def unread(x: np.ndarray, u: np.ndarray, kept: list, d_states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Gradients of the input table and of u, by backpropagation through time."""
-    width = u.shape[0]
-    d_table, d_u, d_h = np.zeros((256, 3 * width), np.float32), np.zeros_like(u), np.zeros((x.shape[1], width), np.float32)
+    d_u, d_h, d_all = np.zeros_like(u), np.zeros((x.shape[1], WIDTH), np.float32), np.empty((*x.shape, 2 * WIDTH), np.float32)
     for t in range(len(x) - 1, -1, -1):
-        h, g, n, a_n = kept[t]
-        z, r = g[:, :width], g[:, width:]
+        h, s, open_ = kept[t]
+        z, n = s[:, :WIDTH], s[:, WIDTH:]
         d = d_h + d_states[t]
-        d_n = d * (1 - z) * (1 - n**2)
-        d_g = np.concatenate([d * (h - n), d_n * a_n], axis=1) * (0.25 * ((g > 0) & (g < 1)))
-        d_in = np.concatenate([d_g, d_n], axis=1)
-        d_a = np.concatenate([d_g, d_n * r], axis=1)
-        d_u += h.T @ d_a
-        d_h = d * z + d_a @ u.T
-        np.add.at(d_table, x[t], d_in)
-    return d_table, d_u
+        d_s = np.concatenate([d * (n - h), d * z], axis=1) * open_
+        d_u += h.T @ d_s
+        d_h = d * (1 - z) + d_s @ u.T
+        d_all[t] = d_s
+    flat, at = d_all.reshape(-1, 2 * WIDTH), x.reshape(-1)
+    return np.stack([np.bincount(at, flat[:, j], 256) for j in range(2 * WIDTH)], axis=1).astype(np.float32), d_u
 
 
 @dataclass
@@ -74,7 +78,12 @@ class Network:
         tf, uf, tb, ub, out, bias = self.params
         forth, _ = read(x, tf, uf)
         back, _ = read(x[::-1], tb, ub)
-        return softmax(forth @ out[:WIDTH] + back[::-1] @ out[WIDTH:] + bias)
+        p = forth @ out[:WIDTH]
+        p += (back @ out[WIDTH:])[::-1]
+        p += bias
+        np.exp(p, out=p)  # states are in [-1, 1], so nothing overflows
+        p /= p @ np.ones((p.shape[-1], 1), np.float32)
+        return p
 
     def documents(self, texts: list[str]) -> np.ndarray:
         """Mean probabilities over all bytes of each text, none left out; NaN for an empty text."""
@@ -89,7 +98,8 @@ class Network:
         total, of, lengths = np.zeros((len(texts), len(self.languages))), np.array(of, np.int64), np.array(lengths, np.int64)
         for s in range(0, len(x), BLOCK):
             p = self.labels(np.ascontiguousarray(x[s : s + BLOCK].T))
-            p *= (np.arange(SEGMENT)[:, None] < lengths[s : s + BLOCK])[:, :, None]
+            if (lengths[s : s + BLOCK] < SEGMENT).any():
+                p *= (np.arange(SEGMENT)[:, None] < lengths[s : s + BLOCK])[:, :, None]
             np.add.at(total, of[s : s + BLOCK], p.sum(axis=0))
         with np.errstate(invalid="ignore", divide="ignore"):
             return total / np.array([len(b) for b in raw], float)[:, None]
@@ -103,8 +113,10 @@ def softmax(x: np.ndarray) -> np.ndarray:
 def fit(segments: np.ndarray, labels: np.ndarray, languages: list[str], steps: int = 260, batch: int = 192, rate: float = 0.02, seed: int = 3) -> Network:
     """Train on byte segments (n, SEGMENT) with a language number each; every position carries the segment's label."""
     rng, k = np.random.default_rng(seed), len(languages)
-    shapes = [(256, 3 * WIDTH), (WIDTH, 3 * WIDTH)] * 2 + [(2 * WIDTH, k), (k,)]
+    shapes = [(256, 2 * WIDTH), (WIDTH, 2 * WIDTH)] * 2 + [(2 * WIDTH, k), (k,)]
     params = [rng.normal(0, 0.3 if len(s) > 1 else 0, s).astype(np.float32) for s in shapes]
+    for i in (0, 2):
+        params[i][:, :WIDTH] = 0.25 * params[i][:, :WIDTH] + 0.4
     net = Network(languages, params)
     if not len(segments) or k < 2:
         return net

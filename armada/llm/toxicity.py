@@ -47,7 +47,7 @@ class FactorizationMachine:
         return float(1 / (1 + np.exp(-(self.w0 + self.w[at].sum() + 0.5 * ((s**2).sum() - (self.v[at] ** 2).sum())))))
 
 
-def fit(samples: list[list[int]], labels: np.ndarray, weights: np.ndarray, factors: int = 6, most_terms: int = 512, least_docs: int = 4, least_z: float = 4.5, steps: int = 150, decay: float = 2e-3, seed: int = 7) -> FactorizationMachine:
+def fit(samples: list[list[int]], labels: np.ndarray, weights: np.ndarray, factors: int = 6, most_terms: int = 512, least_docs: int = 4, least_z: float = 4.5, steps: int = 250, decay: float = 5e-5, seed: int = 7) -> FactorizationMachine:
     """Train on lists of hashed terms.  Terms whose share differs between the labels by least_z standard errors take part
     (at most most_terms); full-batch Adam on the weighted log loss.  Without samples: a machine that scores all near 0."""
     counts: dict[int, list[int]] = {}
