@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -115,6 +116,26 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 2500) -> Factoriz
     return fit([r["features"] for r in rows], y, weights)
 
 
+class Scorer:
+    """Scores of whole texts by a machine; remembers which words are terms of it (for a bounded number of words)."""
+
+    def __init__(self, machine: FactorizationMachine):
+        self.machine, self.known = machine, {}
+
+    def score(self, text: str | None) -> float:
+        found, known = set(), self.known
+        for word in set((text or "").lower().split()):
+            hit = known.get(word)
+            if hit is None:
+                if len(known) > 500_000:
+                    known.clear()
+                f = hashed(t) if (t := word.strip(EDGES)) else -1
+                hit = known[word] = f if f in self.machine.index else -1
+            if hit >= 0:
+                found.add(hit)
+        return self.machine.score(sorted(found))
+
+
 def score_documents(docs: DataFrame, machine: FactorizationMachine) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted, from its whole text alone.
 
@@ -123,26 +144,26 @@ def score_documents(docs: DataFrame, machine: FactorizationMachine) -> DataFrame
     """
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, bool] = {}
+        scorer = Scorer(machine)
         for pdf in batches:
-            scores = []
-            for text in pdf["text"]:
-                found = []
-                for word in set((text or "").lower().split()):
-                    hit = known.get(word)
-                    if hit is None:
-                        if len(known) > 500_000:
-                            known.clear()
-                        f = hashed(t) if (t := word.strip(EDGES)) else -1
-                        hit = known[word] = f if f in machine.index else -1
-                    if hit >= 0:
-                        found.append(hit)
-                scores.append(machine.score(sorted(set(found))))
+            scores = [scorer.score(x) for x in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "held_out": pdf["held_out"], "score": scores, "predicted": [int(s >= 0.5) for s in scores]})
 
     return docs.select("doc_id", "text", held_out(5, 0).alias("held_out")).mapInPandas(scored, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def keep_clean(docs: DataFrame, machine: FactorizationMachine) -> DataFrame:
+    """The rows of docs, all columns, whose text scores under 0.5."""
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(machine)
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text"))
+            yield batch.filter(pa.array([scorer.score(x.as_py()) < 0.5 for x in texts], pa.bool_()))
+
+    return docs.mapInArrow(clean, docs.schema)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
