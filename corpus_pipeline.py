@@ -35,7 +35,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     their first words.  Rows that share a doc_id are taken alike."""
     taken = mix_sources(docs).groupBy("doc_id").agg(F.max("size").alias("_size"), F.max("taken").alias("_taken")).where("_taken > 0").withColumnRenamed("doc_id", "_id")
     rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
-    rows = rows.withColumn("_rest", F.col("_taken") - F.explode(F.sequence(F.lit(0).cast("long"), F.col("_taken") - 1, "_size")))
+    rows = rows.withColumn("_rest", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("_taken") - 1, "_size"), lambda before: F.col("_taken") - before)))
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("_rest").cast("int")), " ")
     text = F.when(F.col("_rest") < F.col("_size"), cut).otherwise(F.col("text"))
     out = rows.withColumn("text", text)
