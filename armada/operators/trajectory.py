@@ -1,0 +1,151 @@
+"""Quality of trajectories and of sensor series: frames are (episode, frame, vec) or (episode, frame, v)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from armada.functions.exprs import finite, l2, mad_thresholds
+
+
+def by_episode() -> Window:
+    return Window.partitionBy("episode").orderBy("frame")
+
+
+def steps(frames: DataFrame) -> DataFrame:
+    """frames with step: the distance of each frame's vector to the one before it in its episode (null for the first).
+
+    Components that aren't finite are left out, so those after them move up.  One shuffle by episode, which the operators
+    built on it reuse.
+    """
+    vec = finite(F.col("vec").cast("array<double>"))
+    return frames.where("frame is not null").withColumn("step", l2(F.lag(vec).over(by_episode()), vec))
+
+
+def jumps(frames: DataFrame, k: float = 14.0, floor: float = 0.35, least: int = 5) -> DataFrame:
+    """First frame of each episode whose step exceeds the episode's threshold: episode, frame, step, threshold."""
+    moved = steps(frames).where("step is not null")
+    limits = mad_thresholds(moved, "step", ["episode"], k, floor, least).select("episode", "threshold")
+    hits = moved.join(limits, "episode").where("step > threshold")
+    return hits.groupBy("episode").agg(F.min_by(F.struct("frame", "step", "threshold"), "frame").alias("x")).select("episode", "x.*")
+
+
+def islands(rows: DataFrame, calm: Column, order: str = "frame") -> DataFrame:
+    """Rows for which calm holds, with island: the same number for a run of them without a break.  Null breaks a run."""
+    line = Window.partitionBy("episode").orderBy(order)
+    calm = F.coalesce(calm, F.lit(False))
+    return rows.withColumn("_calm", calm).withColumn("island", F.sum(F.when(F.col("_calm"), 0).otherwise(1)).over(line)).where("_calm").drop("_calm")
+
+
+def idle_periods(frames: DataFrame, epsilon: float = 0.004, seconds: float = 5.0, fps: float = 30.0) -> DataFrame:
+    """Longest run of steps under epsilon of each episode (the first on ties), where it lasts over seconds."""
+    moved = steps(frames).withColumn("before", F.lag("frame").over(by_episode())).where("before is not null")
+    runs = islands(moved, F.col("step") < epsilon).groupBy("episode", "island").agg(F.min("before").alias("start"), F.max("frame").alias("end"))
+    longest = Window.partitionBy("episode").orderBy((F.col("end") - F.col("start")).desc(), "start")
+    runs = runs.withColumn("place", F.row_number().over(longest)).where("place = 1").withColumn("seconds", (F.col("end") - F.col("start")) / fps)
+    return runs.where(F.col("seconds") > seconds).select("episode", "start", "end", "seconds")
+
+
+def length_outliers(frames: DataFrame, factor: float = 2.5, least: int = 5, fps: float = 30.0) -> DataFrame:
+    """Episodes whose duration lies outside the quartiles by factor times their distance; quartiles are lower-index picks."""
+    each = frames.groupBy("episode").agg(((F.max("frame") - F.min("frame") + 1) / fps).alias("duration"))
+    # two order statistics of the whole column, exact: percentile_disc-like picks from one sorted aggregate would gather all
+    n = each.count()
+    if n < least:
+        return each.select("episode", "duration", F.lit(0.0).alias("low"), F.lit(0.0).alias("high")).limit(0)
+    picks = each.agg(*[F.percentile("duration", F.lit(int(q * (n - 1)) / max(1, n - 1))).alias(a) for q, a in ((0.25, "q1"), (0.75, "q3"))])
+    spread = F.greatest(F.col("q3") - F.col("q1"), F.lit(1e-9))
+    fence = picks.select((F.col("q1") - factor * spread).alias("low"), (F.col("q3") + factor * spread).alias("high"))
+    return each.crossJoin(F.broadcast(fence)).where("duration < low or duration > high")
+
+
+def tracker_jumps(frames: DataFrame, axis_limits: dict[str, float], norm_limit: float) -> DataFrame:
+    """Steps between consecutive frame numbers where an axis moves by its limit or all axes together by norm_limit.
+
+    frames: episode, frame, hand and one column an axis.  Returns episode, frame, hand, hits (axes), xyz_step, xyz_hit.
+    """
+    line = Window.partitionBy("episode", "hand").orderBy("frame")
+    moved = frames.withColumn("_near", F.lag("frame").over(line) == F.col("frame") - 1)
+    for axis in axis_limits:
+        moved = moved.withColumn(f"d_{axis}", F.abs(F.col(axis) - F.lag(axis).over(line)))
+    moved = moved.where("_near")
+    hits = F.array_compact(F.array(*[F.when(F.col(f"d_{a}") >= limit, F.lit(a)) for a, limit in axis_limits.items()]))
+    total = sum((F.col(f"d_{a}") * F.col(f"d_{a}") for a in axis_limits), F.lit(0.0))
+    out = moved.select("episode", "frame", "hand", hits.alias("hits"), F.sqrt(total).alias("xyz_step"))
+    return out.withColumn("xyz_hit", F.col("xyz_step") >= norm_limit).where((F.size("hits") > 0) | F.col("xyz_hit"))
+
+
+def boundary_outliers(frames: DataFrame, window: int = 10, k: float = 6.0, floor: float = 0.2, least: int = 3, group: str = "dataset", end: bool = False) -> DataFrame:
+    """Episodes whose mean vector over their first (last) frames lies far from the component-wise median of their group."""
+    line = Window.partitionBy(group, "episode").orderBy(F.col("frame").desc() if end else F.col("frame"))
+    head = frames.withColumn("_n", F.row_number().over(line)).where(F.col("_n") <= window)
+    parts = head.select(group, "episode", F.posexplode(finite(F.col("vec").cast("array<double>"))).alias("pos", "x"))
+    means = parts.groupBy(group, "episode", "pos").agg(F.avg("x").alias("x"))
+    centre = means.groupBy(group, "pos").agg(F.percentile("x", F.lit(0.5)).alias("c"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    far = means.join(centre, [group, "pos"]).groupBy(group, "episode").agg(F.sqrt(F.sum((F.col("x") - F.col("c")) * (F.col("x") - F.col("c")))).alias("distance"))
+    limits = mad_thresholds(far, "distance", [group], k, floor, least).select(group, "threshold")
+    return far.join(limits, group).where("distance > threshold")
+
+
+def flicker(luma: DataFrame, limit: float = 45.0) -> DataFrame:
+    """First sample of each series (episode, frame, v) between a step over limit and one over 0.45 times it."""
+    line = by_episode()
+    moved = luma.withColumn("d", F.abs(F.col("v") - F.lag("v").over(line))).withColumn("before", F.lag("d").over(line)).withColumn("at", F.lag("frame").over(line))
+    return moved.where((F.col("before") > limit) & (F.col("d") > limit * 0.45)).groupBy("episode").agg(F.min("at").alias("frame"))
+
+
+def first_long_run(rows: DataFrame, calm: Column, need: int, order: str = "frame") -> DataFrame:
+    """Start of the first run of at least need samples for which calm holds: episode, start, samples."""
+    runs = islands(rows, calm, order).groupBy("episode", "island").agg(F.min("frame").alias("start"), F.count(F.lit(1)).alias("samples"))
+    return runs.where(F.col("samples") >= need).groupBy("episode").agg(F.min_by(F.struct("start", "samples"), "start").alias("x")).select("episode", "x.*")
+
+
+def exposure_runs(luma: DataFrame, low: float = 25.0, high: float = 230.0, need: int = 3) -> DataFrame:
+    return first_long_run(luma, (F.col("v") < low) | (F.col("v") > high), need)
+
+
+def freeze_runs(luma: DataFrame, limit: float = 0.4, need: int = 30) -> DataFrame:
+    return first_long_run(luma.withColumn("d", F.abs(F.col("v") - F.lag("v").over(by_episode()))), F.col("d") < limit, need)
+
+
+def blur_runs(metrics: DataFrame, low: float = 25.0, high: float = 230.0, floor: float = 45.0, share: float = 0.12, need: int = 3) -> DataFrame:
+    """Runs of low sharpness among the well exposed samples of (episode, frame, v, sharp); badly exposed ones don't break it."""
+    seen = metrics.where(f"v >= {low} and v <= {high}").withColumn("ordinal", F.row_number().over(by_episode()))
+    limits = seen.groupBy("episode").agg(F.greatest(F.lit(floor), share * F.percentile("sharp", F.lit(0.5))).alias("limit"))
+    return first_long_run(seen.join(limits, "episode"), F.col("sharp") < F.col("limit"), need, "ordinal")
+
+
+def length_histogram(lengths: DataFrame) -> DataFrame:
+    """Histogram of length_seconds of episodes: lo, hi, n, with outliers in the edge bins and empty bins kept."""
+    n = lengths.where("length_seconds is not null").count()
+    if not n:
+        return lengths.sparkSession.createDataFrame([], "lo double, hi double, n long")
+    low, high = max(0, int(0.01 * n)), max(0, -(-99 * n // 100) - 1)
+    picks = lengths.agg(F.percentile("length_seconds", F.lit(low / max(1, n - 1))).alias("p1"), F.percentile("length_seconds", F.lit(high / max(1, n - 1))).alias("p99"))
+    raw = F.greatest(F.col("p99") - F.col("p1"), F.lit(1e-9)) / F.least(F.lit(50.0), F.greatest(F.lit(10.0), F.ceil(F.log2(F.lit(float(n))) + 1).cast("double")))
+    unit = F.pow(F.lit(10.0), F.floor(F.log10(raw)))
+    ratio = raw / unit
+    nice = F.when(ratio <= 1, 1.0).when(ratio <= 2, 2.0).when(ratio <= 2.5, 2.5).when(ratio <= 5, 5.0).otherwise(10.0)
+    scale = picks.select("p1", "p99", (nice * unit).alias("width")).select("width", F.floor(F.col("p1") / F.col("width")).alias("first"), F.floor(F.col("p99") / F.col("width")).alias("last"))
+    bins = scale.select("width", F.explode(F.sequence("first", "last")).alias("bin"))
+    placed = lengths.where("length_seconds is not null").crossJoin(F.broadcast(scale)).select(F.least("last", F.greatest("first", F.floor(F.col("length_seconds") / F.col("width")))).alias("bin"))
+    return bins.join(placed.groupBy("bin").agg(F.count(F.lit(1)).alias("n")), "bin", "left").select((F.col("bin") * F.col("width")).alias("lo"), ((F.col("bin") + 1) * F.col("width")).alias("hi"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def autocorrelation_lag(frames: DataFrame, limit: float = 0.5, most: int = 32) -> DataFrame:
+    """Suggested chunk length of each episode of (episode, frame, v): the first lag with autocorrelation under limit."""
+    lags = frames.sparkSession.range(1, most + 1).select(F.col("id").alias("lag"))  # most rows
+    left = frames.crossJoin(F.broadcast(lags)).select("episode", "lag", "v", (F.col("frame") + F.col("lag")).alias("frame"))
+    pairs = left.join(frames.withColumnRenamed("v", "w"), ["episode", "frame"])
+    return pairs.groupBy("episode", "lag").agg(F.corr("v", "w").alias("r")).where(F.col("r") < limit).groupBy("episode").agg(F.min("lag").alias("lag"))
+
+
+def speed_variation(frames: DataFrame) -> DataFrame:
+    """Coefficient of variation of the steps of each episode."""
+    return steps(frames).where("step is not null").groupBy("episode").agg(F.try_divide(F.stddev_pop("step"), F.avg("step")).alias("cv"))
+
+
+def windows_on_frames(issues: DataFrame, frames: DataFrame) -> DataFrame:
+    """Frames inside each issue's window: a range join within the episode."""
+    on = (F.col("i.episode") == F.col("f.episode")) & F.col("f.frame").between(F.col("i.f_lo"), F.col("i.f_hi"))
+    return issues.alias("i").join(frames.alias("f"), on).select("i.issue", "f.episode", "f.frame", "f.v")
