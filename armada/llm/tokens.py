@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,14 +27,17 @@ RANK_BITS = 512
 SEGMENT_TOKENS = 1 << 18
 #: A space between two white-space characters: only there can a piece of the pre-tokenizer reach over a cut at spaces.
 UNSAFE = re.compile(r"\s \s")
+#: What the byte-level pre-tokenizer takes as one piece (fixed value).
+PIECE = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 
 
 class Encoder:
     """Ids of whole texts, as tokenizers' encode(text, add_special_tokens=False) gives them.
 
     The pre-tokenizer never joins a character before a single space to one after it, so the ids of a text are those of
-    its words, each with its leading space, one after the other.  Words are encoded by the library once and remembered
-    (up to LIMIT of them); texts where a cut at spaces isn't safe, or with a special token, go to the library whole.
+    its words, each with its leading space, one after the other.  Words are remembered (up to LIMIT of them); a new word is
+    cut into the pre-tokenizer's pieces, and pieces not met before are encoded by the library.  Texts where a cut at spaces
+    isn't safe, or with a special token, go to the library whole.
     """
 
     LIMIT = 500_000
@@ -44,12 +48,17 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def learn(self, words: list[str]) -> None:
-        for start in range(0, len(words), 20_000):
-            part = words[start : start + 20_000]
-            for word, enc in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(enc.ids, self.dtype).tobytes()
+        cut = [PIECE.findall(w) for w in words]
+        new = list({p: None for pieces in cut for p in pieces if p not in self.pieces})
+        for start in range(0, len(new), 20_000):
+            part = new[start : start + 20_000]
+            for piece, enc in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.pieces[piece] = np.array(enc.ids, self.dtype).tobytes()
+        get = self.pieces.__getitem__
+        self.known.update({w: b"".join(map(get, pieces)) for w, pieces in zip(words, cut, strict=True)})
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -58,6 +67,8 @@ class Encoder:
         """One array of ids a text; null counts as empty."""
         if len(self.known) > self.LIMIT:
             self.known = {}
+        if len(self.pieces) > self.LIMIT:
+            self.pieces = {}
         split, unknown = [], {}
         for text in texts:
             if not text or SPECIAL in text or UNSAFE.search(text):
@@ -94,16 +105,16 @@ def crc(ids: np.ndarray) -> int:
 
 def dac_encode(ids: np.ndarray) -> tuple[list[bytes], list[bytes], list[bytes]]:
     """Levels of chunks, continuation bitmaps and rank directories of an array of ids.  No ids: one empty level."""
-    levels, bitmaps, ranks, rest = [], [], [], ids.astype(np.uint32)
+    levels, bitmaps, ranks, rest = [], [], [], ids
     while True:
         levels.append(rest.astype(np.uint8).tobytes())
         more = rest > 0xFF
         bitmaps.append(np.packbits(more, bitorder="little").tobytes())
-        ones = np.add.reduceat(more, np.arange(0, len(more), RANK_BITS)) if len(more) else np.zeros(0, np.int64)
+        ones = np.add.reduceat(more.view(np.uint8), np.arange(0, len(more), RANK_BITS), dtype=np.int64) if len(more) else np.zeros(0, np.int64)
         ranks.append(np.concatenate([[0], np.cumsum(ones)]).astype("<u4").tobytes())
         if not more.any():
             return levels, bitmaps, ranks
-        rest = rest[more] >> np.uint32(8)
+        rest = rest[more] >> rest.dtype.type(8)
 
 
 def dac_decode(levels: list[bytes], bitmaps: list[bytes]) -> np.ndarray:
@@ -145,7 +156,8 @@ def write_token_file(docs: DataFrame, path: str, end_id: int = 2, vocabulary: st
     spark = docs.sparkSession
 
     def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, end = encoder(vocabulary), np.array([end_id], np.uint32)
+        enc = encoder(vocabulary)
+        end = np.array([end_id], enc.dtype)
         ids, held, size, number, before, shard = [], [], 0, 0, 0, 0
 
         def close() -> pd.DataFrame:
@@ -157,7 +169,7 @@ def write_token_file(docs: DataFrame, path: str, end_id: int = 2, vocabulary: st
                 part = pdf.iloc[start : start + 256]
                 shard = int(part["shard"].iloc[0])
                 for doc, own in zip(part["doc_id"], enc.encode(list(part["text"])), strict=True):
-                    ids += [own.astype(np.uint32), end]
+                    ids += [own, end]
                     held.append((None if pd.isna(doc) else int(doc), len(own) + 1))
                     size += len(own) + 1
                     if size >= SEGMENT_TOKENS:

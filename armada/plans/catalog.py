@@ -2,5 +2,645 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from armada.functions import exprs as X
+from armada.operators import changelog as L
+from armada.operators import checks as C
+from armada.operators import edit as E
+from armada.operators import fleet as A
+from armada.operators import trajectory as T
+from armada.plans import analog as V
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None, *ctes: str):
+    """Register a query under its function's name, with the SQL of its oracle after the named views."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = ("WITH " + ", ".join(V.CTE[c] for c in ctes) + "\n" if ctes else "") + sql
+        return f
+
+    return add
+
+
+def r6(c: str):
+    return F.round(c, 6).alias(c)
+
+
+ISSUES_SQL = "issues AS (SELECT event_id AS position, 'i' || CAST(event_id AS VARCHAR) AS issue_id, user_id AS episode, event_type AS rule, CASE WHEN value > 50 THEN 'high' END AS field FROM events)"
+V.CTE["issues"] = ISSUES_SQL
+
+
+def issues(spark: SparkSession, d: str) -> DataFrame:
+    return V.t(spark, d, "events").select(F.col("event_id").alias("position"), F.concat(F.lit("i"), F.col("event_id").cast("string")).alias("issue_id"), F.col("user_id").alias("episode"), F.col("event_type").alias("rule"), F.when(F.col("value") > 50, "high").alias("field"))
+
+
+# --- scans ---------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT episode, frame, v FROM frames", "frames")
+def scan_frames(spark, d):
+    return V.frames(spark, d).select("episode", "frame", "v")
+
+
+@query("SELECT user_id AS episode, CAST(count(*) AS BIGINT) AS length, count(*) / 30.0::DOUBLE AS length_seconds FROM events GROUP BY 1")
+def scan_episode_meta(spark, d):
+    return V.t(spark, d, "events").groupBy(F.col("user_id").alias("episode")).agg(F.count(F.lit(1)).alias("length")).withColumn("length_seconds", F.col("length") / 30.0)
+
+
+@query("SELECT doc_id, CAST(i AS BIGINT) AS line_no, l[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents) WHERE regexp_matches(l[i], '(?i)th.*tion')")
+def scan_log_lines(spark, d):
+    lines = V.t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return lines.where(F.col("line").rlike("(?i)th.*tion")).select("doc_id", (F.col("pos") + 1).cast("long").alias("line_no"), "line")
+
+
+# --- fleet ---------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS datasets, CAST(sum(episodes) AS BIGINT) AS episodes, CAST(sum(frames) AS BIGINT) AS frames, CAST(sum(hours) AS DECIMAL(18,2)) AS hours FROM datasets", "orders2", "datasets")
+def fleet_totals(spark, d):
+    return A.totals(V.datasets(spark, d))
+
+
+ROLLUP = "SELECT {k} AS \"group\", CAST(count(*) AS BIGINT) AS datasets, CAST(sum(episodes) AS BIGINT) AS episodes, CAST(sum(hours) AS DECIMAL(18,2)) AS hours, round(100 * CAST(sum(hours) AS DOUBLE) / CAST((SELECT sum(hours) FROM datasets) AS DOUBLE), 4) AS pct FROM datasets GROUP BY 1"
+
+
+@query(ROLLUP.format(k="uploader"), "orders2", "datasets")
+def rollup_uploader(spark, d):
+    return A.rollup(V.datasets(spark, d), F.col("uploader"))
+
+
+@query(ROLLUP.format(k="regexp_replace(dataset, '\\d{7}$', '')"), "orders2", "datasets")
+def rollup_task(spark, d):
+    return A.rollup(V.datasets(spark, d), F.regexp_replace("dataset", r"\d{7}$", ""))
+
+
+DAY_GROUPS = "day_groups AS (SELECT substr(last_modified, 3, 2) || substr(last_modified, 6, 2) || substr(last_modified, 9, 2) AS date, segment AS \"group\", CAST(sum(hours) AS DECIMAL(18,2)) AS hours, CAST(sum(episodes) AS BIGINT) AS episodes, CAST(count(*) AS BIGINT) AS datasets FROM datasets GROUP BY 1, 2)"
+V.CTE["day_groups"] = DAY_GROUPS
+DAYS = ("orders2", "datasets", "day_groups")
+
+
+@query("SELECT * FROM day_groups", *DAYS)
+def update_day_groups(spark, d):
+    return A.update_day_groups(V.datasets(spark, d), F.col("segment"))
+
+
+@query("SELECT * FROM day_groups WHERE date = (SELECT max(date) FROM day_groups)", *DAYS)
+def update_day_group_totals(spark, d):
+    return A.on_latest_day(update_day_groups(spark, d))
+
+
+@query("SELECT date, CAST(sum(hours) AS DECIMAL(18,2)) AS hours, CAST(sum(episodes) AS BIGINT) AS episodes, CAST(sum(datasets) AS BIGINT) AS datasets FROM day_groups WHERE date = (SELECT max(date) FROM day_groups) GROUP BY 1", *DAYS)
+def update_day_totals(spark, d):
+    return A.on_latest_day(update_day_groups(spark, d)).groupBy("date").agg(F.sum("hours").cast(A.HOURS).alias("hours"), F.sum("episodes").alias("episodes"), F.sum("datasets").alias("datasets"))
+
+
+@query("SELECT \"group\", CAST(sum(hours) AS DECIMAL(18,2)) AS hours, CAST(sum(episodes) AS BIGINT) AS episodes, CAST(sum(datasets) AS BIGINT) AS datasets FROM day_groups WHERE date BETWEEN '010101' AND '010601' GROUP BY 1", *DAYS)
+def range_group_totals(spark, d):
+    return A.range_group_totals(update_day_groups(spark, d), "010601", "010101")
+
+
+@query("SELECT min(date) AS lo, max(date) AS hi FROM day_groups", *DAYS)
+def date_bounds(spark, d):
+    return update_day_groups(spark, d).agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
+
+
+@query("SELECT \"group\", hours FROM (SELECT \"group\", sum(hours)::DECIMAL(18,2) AS hours FROM day_groups GROUP BY 1) WHERE hours > 0 ORDER BY hours DESC, \"group\" LIMIT 1", *DAYS)
+def mvp_top1(spark, d):
+    sums = update_day_groups(spark, d).groupBy("group").agg(F.sum("hours").cast(A.HOURS).alias("hours"))
+    return sums.where("hours > 0").orderBy(F.col("hours").desc(), "group").limit(1)
+
+
+@query("SELECT uploader AS \"group\", CAST(sum(hours) AS DECIMAL(18,2)) AS hours, round(100 * CAST(sum(hours) AS DOUBLE) / CAST((SELECT sum(hours) FROM datasets) AS DOUBLE), 1) AS pct FROM datasets GROUP BY 1 ORDER BY hours DESC, \"group\" LIMIT 20", "orders2", "datasets")
+def top20_groups(spark, d):
+    rows = A.rollup(V.datasets(spark, d), F.col("uploader")).withColumn("pct", F.round("pct", 1))
+    return rows.orderBy(F.col("hours").desc(), "group").limit(20).select("group", "hours", "pct")
+
+
+SNAPS = ("orders2", "snapshots")
+
+
+@query("SELECT org, date, episodes, hours, CAST(hours - coalesce(lag(hours) OVER (PARTITION BY org ORDER BY date), 0) AS DECIMAL(18,2)) AS new_hours, episodes - coalesce(lag(episodes) OVER (PARTITION BY org ORDER BY date), 0) AS new_episodes FROM snaps", *SNAPS)
+def daily_series(spark, d):
+    return A.daily_series(V.snapshots(spark, d))
+
+
+@query("SELECT c.org, c.date, arg_max(h.pulled_at, h.ord) AS base_pulled_at, arg_max(h.date, h.ord) AS base_date, arg_max(h.episodes, h.ord) AS base_episodes FROM snaps c LEFT JOIN snaps h ON h.date < c.date AND h.org = c.org GROUP BY 1, 2", *SNAPS)
+def baseline_pick(spark, d):
+    s = V.snapshots(spark, d)
+    return A.baseline(s, s.select("org", "date"))
+
+
+@query("SELECT org, max(date) AS date, CAST(max(hours) - max(hours) FILTER (WHERE date < '2001-01') AS DECIMAL(18,2)) AS d_hours, CAST(max(episodes) - max(episodes) FILTER (WHERE date < '2001-01') AS BIGINT) AS d_episodes FROM snaps GROUP BY 1", *SNAPS)
+def aggregate_deltas(spark, d):
+    s = V.snapshots(spark, d)
+    now, then = A.latest_per(s, ["org"], "ord"), A.latest_per(s.where("date < '2001-01'"), ["org"], "ord").select("org", F.col("hours").alias("_h"), F.col("episodes").alias("_e"))
+    return now.join(then, "org", "left").select("org", "date", (F.col("hours") - F.col("_h")).cast(A.HOURS).alias("d_hours"), (F.col("episodes") - F.col("_e")).alias("d_episodes"))
+
+
+SPLIT = "2001-01-01"
+STATE = f"cur AS (SELECT dataset, max(episodes) AS episodes, max(hours) AS hours FROM changes GROUP BY 1), prev AS (SELECT dataset, max(episodes) AS episodes, max(hours) AS hours FROM changes WHERE changed_at < '{SPLIT}' GROUP BY 1), deltas AS (SELECT c.dataset, c.episodes - coalesce(p.episodes, 0) AS d_episodes, CAST(c.hours - coalesce(p.hours, 0) AS DECIMAL(18,2)) AS d_hours, p.dataset IS NULL AS is_new FROM cur c LEFT JOIN prev p ON c.dataset = p.dataset)"
+V.CTE["state"] = STATE
+CHANGES = ("orders2", "changes")
+
+
+def state(spark, d, before: str | None = None) -> DataFrame:
+    rows = V.changes(spark, d)
+    return (rows.where(F.col("changed_at") < before) if before else rows).groupBy("dataset").agg(F.max("episodes").alias("episodes"), F.max("hours").alias("hours"))
+
+
+@query("SELECT * FROM deltas", *CHANGES, "state")
+def dataset_deltas(spark, d):
+    return A.dataset_deltas(state(spark, d), state(spark, d, SPLIT))
+
+
+@query("SELECT dataset, CAST(0 AS BIGINT) AS d_episodes, CAST(0 AS DECIMAL(18,2)) AS d_hours, false AS is_new FROM cur", *CHANGES, "state")
+def dataset_deltas_without_details(spark, d):
+    return A.dataset_deltas(state(spark, d), state(spark, d, SPLIT).limit(0), has_details=False)
+
+
+WITH_CACHE = "cached AS (SELECT dataset, changed_at, h FROM changes WHERE commit_id % 3 = 0), resolved AS (SELECT s.dataset, substr(s.last_modified, 3, 2) || substr(s.last_modified, 6, 2) || substr(s.last_modified, 9, 2) AS date, s.segment AS \"group\", coalesce(k.n, greatest(0, d.d_episodes)) AS episodes, CAST(coalesce(k.h, greatest(0, d.d_hours)) AS DECIMAL(18,2)) AS hours, k.n IS NOT NULL AS cached FROM datasets s LEFT JOIN deltas d ON s.dataset = d.dataset LEFT JOIN (SELECT dataset, changed_at, CAST(count(*) AS BIGINT) AS n, sum(h) AS h FROM cached GROUP BY 1, 2) k ON k.dataset = s.dataset AND k.changed_at = s.last_modified)"
+V.CTE["resolved"] = WITH_CACHE
+RESOLVED = ("orders2", "datasets", "changes", "state", "resolved")
+
+
+def resolved(spark, d) -> DataFrame:
+    cache = V.changes(spark, d).where("commit_id % 3 = 0").select("dataset", F.col("changed_at").alias("last_modified"), X.yymmdd(F.col("changed_at")).alias("date"), F.lit(1).cast("long").alias("episodes"), F.col("h").alias("hours"))
+    return A.deltas_with_cache(V.datasets(spark, d).withColumn("group", F.col("segment")).drop("episodes", "hours"), dataset_deltas(spark, d), cache)
+
+
+@query("SELECT * FROM resolved", *RESOLVED)
+def delta_with_cache_fallback(spark, d):
+    return resolved(spark, d)
+
+
+GROWN = "SELECT date, \"group\", CAST(sum(hours) AS DECIMAL(18,2)) AS hours, CAST(sum(episodes) AS BIGINT) AS episodes, CAST(count(*) AS BIGINT) AS datasets FROM resolved GROUP BY 1, 2 HAVING sum(hours) > 0 OR sum(episodes) > 0"
+
+
+@query(GROWN, *RESOLVED)
+def authority_series(spark, d):
+    return A.group_growth(resolved(spark, d))
+
+
+@query(f"SELECT CAST(sum(hours) AS DECIMAL(18,2)) AS hours, CAST(sum(episodes) AS BIGINT) AS episodes, CAST(sum(datasets) AS BIGINT) AS datasets FROM ({GROWN})", *RESOLVED)
+def authority_totals(spark, d):
+    return A.group_growth(resolved(spark, d)).agg(F.sum("hours").cast(A.HOURS).alias("hours"), F.sum("episodes").alias("episodes"), F.sum("datasets").alias("datasets"))
+
+
+@query("SELECT substr(s.last_modified, 1, 7) AS date, s.segment AS \"group\", CAST(sum(d.d_hours) AS DECIMAL(18,2)) AS hours, CAST(sum(d.d_episodes) AS BIGINT) AS episodes, CAST(count(*) AS BIGINT) AS datasets FROM datasets s JOIN deltas d ON s.dataset = d.dataset GROUP BY 1, 2 HAVING sum(d.d_hours) > 0 OR sum(d.d_episodes) > 0", "orders2", "datasets", "changes", "state")
+def delta_groups(spark, d):
+    rows = V.datasets(spark, d).select("dataset", F.substring("last_modified", 1, 7).alias("date"), F.col("segment").alias("group")).join(dataset_deltas(spark, d), "dataset")
+    return A.group_growth(rows.select("dataset", "date", "group", F.col("d_hours").alias("hours"), F.col("d_episodes").alias("episodes")))
+
+
+DETAILS = "details AS (SELECT dataset, substr(changed_at, 1, 4) AS date, segment AS \"group\", max(episodes) AS episodes, max(hours) AS hours FROM changes GROUP BY 1, 2, 3)"
+V.CTE["details"] = DETAILS
+
+
+def details(spark, d) -> DataFrame:
+    return V.changes(spark, d).groupBy("dataset", F.substring("changed_at", 1, 4).alias("date"), F.col("segment").alias("group")).agg(F.max("episodes").alias("episodes"), F.max("hours").alias("hours"))
+
+
+@query("SELECT a.date, a.\"group\", CAST(sum(greatest(0, a.hours - coalesce(b.hours, 0))) AS DECIMAL(18,2)) AS hours, CAST(sum(greatest(0, a.episodes - coalesce(b.episodes, 0))) AS BIGINT) AS episodes, CAST(count(*) AS BIGINT) AS datasets FROM details a LEFT JOIN details b ON a.dataset = b.dataset AND CAST(b.date AS INT) = CAST(a.date AS INT) - 1 GROUP BY 1, 2 HAVING sum(greatest(0, a.hours - coalesce(b.hours, 0))) > 0 OR sum(greatest(0, a.episodes - coalesce(b.episodes, 0))) > 0", *CHANGES, "details")
+def daily_group_growth(spark, d):
+    return A.daily_group_growth(details(spark, d))
+
+
+@query("SELECT dataset, commit_id, changed_at, h AS hours FROM changes", *CHANGES)
+def change_rows(spark, d):
+    return V.changes(spark, d).select("dataset", "commit_id", "changed_at", F.col("h").alias("hours"))
+
+
+@query("SELECT substr(changed_at, 1, 7) AS date, segment AS \"group\", CAST(sum(h) AS DECIMAL(18,2)) AS hours, CAST(count(*) AS BIGINT) AS episodes, CAST(count(DISTINCT dataset) AS BIGINT) AS datasets FROM changes GROUP BY 1, 2", *CHANGES)
+def change_group_distinct(spark, d):
+    rows = V.changes(spark, d).select("dataset", "commit_id", "segment", F.substring("changed_at", 1, 7).alias("date"), F.col("h").alias("hours"), F.lit(1).cast("long").alias("episodes"))
+    return A.change_groups(rows, F.col("segment"))
+
+
+@query("SELECT CAST(sum(h) AS DECIMAL(18,2)) AS hours, CAST(count(*) AS BIGINT) AS episodes, CAST(count(DISTINCT dataset) AS BIGINT) AS datasets FROM changes WHERE changed_at = (SELECT max(changed_at) FROM changes)", *CHANGES)
+def change_totals(spark, d):
+    rows = V.changes(spark, d)
+    last = rows.agg(F.max("changed_at").alias("last"))
+    return rows.join(F.broadcast(last), F.col("changed_at") == F.col("last")).agg(F.sum("h").cast(A.HOURS).alias("hours"), F.count(F.lit(1)).alias("episodes"), F.countDistinct("dataset").alias("datasets"))
+
+
+@query("SELECT t.dataset, t.at, c.episodes, c.changed_at FROM (SELECT c_name AS dataset, y AS at FROM customer, (SELECT unnest(['1997-06-30', '1999-12-31', '2001-03-01']) AS y)) t ASOF LEFT JOIN (SELECT dataset, changed_at, max(episodes) AS episodes FROM changes GROUP BY 1, 2) c ON t.dataset = c.dataset AND t.at >= c.changed_at", *CHANGES)
+def asof_state(spark, d):
+    targets = V.t(spark, d, "customer").select(F.col("c_name").alias("dataset"), F.explode(F.array(*[F.lit(x) for x in ("1997-06-30", "1999-12-31", "2001-03-01")])).alias("at"))
+    return A.as_of(V.changes(spark, d).groupBy("dataset", "changed_at").agg(F.max("episodes").alias("episodes")), targets)
+
+
+@query("SELECT CAST(day AS DATE) AS day, hours, CAST(sum(hours) OVER (ORDER BY day) AS DECIMAL(28,2)) AS total FROM (SELECT CAST(s.g AS DATE) AS day, CAST(coalesce(o.h, 0) AS DECIMAL(18,2)) AS hours FROM (SELECT unnest(generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '1996-12-31', INTERVAL 1 DAY)) AS g) s LEFT JOIN (SELECT day, sum(hours) AS h FROM orders2 GROUP BY 1) o ON strftime(s.g, '%Y-%m-%d') = o.day)", "orders2")
+def trend_spine(spark, d):
+    return A.trend_spine(V.orders2(spark, d).select(F.to_date("day").alias("day"), "hours"), "1995-01-01", "1996-12-31")
+
+
+@query("SELECT CAST(date_diff('day', (SELECT min(CAST(day AS DATE)) FROM orders2), CAST(day AS DATE)) AS BIGINT) AS offset_days, CAST(count(*) AS BIGINT) AS n FROM orders2 GROUP BY 1", "orders2")
+def trend_offsets(spark, d):
+    rows = V.orders2(spark, d).select(F.to_date("day").alias("day"))
+    first = rows.agg(F.min("day").alias("first"))
+    return rows.crossJoin(F.broadcast(first)).groupBy(F.datediff("day", "first").cast("long").alias("offset_days")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT dataset, last_modified, CAST(row_number() OVER (ORDER BY last_modified DESC NULLS LAST, dataset) AS BIGINT) AS place FROM datasets ORDER BY 2 DESC, 1 LIMIT 50", "orders2", "datasets")
+def table_order(spark, d):
+    top = V.datasets(spark, d).orderBy(F.col("last_modified").desc_nulls_last(), "dataset").limit(50).select("dataset", "last_modified")
+    return top.withColumn("place", F.row_number().over(Window.orderBy(F.col("last_modified").desc_nulls_last(), "dataset")).cast("long"))
+
+
+@query("SELECT r_name AS name, CAST(coalesce(n, -1) AS BIGINT) AS sort_key FROM region LEFT JOIN (SELECT n_regionkey, count(*) AS n FROM nation WHERE n_nationkey % 5 > 1 GROUP BY 1) ON r_regionkey = n_regionkey")
+def numeric_sort_key(spark, d):
+    n = V.t(spark, d, "nation").where("n_nationkey % 5 > 1").groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("n"))
+    return V.t(spark, d, "region").join(n, F.col("r_regionkey") == F.col("n_regionkey"), "left").select(F.col("r_name").alias("name"), F.coalesce("n", F.lit(-1)).cast("long").alias("sort_key"))
+
+
+@query("SELECT s_name AS name, coalesce(n_name, '未知') AS uploader FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey AND n_nationkey % 4 > 0")
+def dim_uploader(spark, d):
+    names = V.t(spark, d, "nation").where("n_nationkey % 4 > 0").select("n_nationkey", "n_name")  # 25 rows at most
+    return V.t(spark, d, "supplier").join(F.broadcast(names), F.col("s_nationkey") == F.col("n_nationkey"), "left").select(F.col("s_name").alias("name"), F.coalesce("n_name", F.lit("未知")).alias("uploader"))
+
+
+# --- change log ----------------------------------------------------------------------------------------------------
+
+CHG = "CAST({x} - coalesce(lag({x}) OVER (PARTITION BY dataset ORDER BY date), 0) AS {t})"
+DELTAS = f"SELECT dataset, date, episodes, hours, d_episodes, d_hours FROM (SELECT dataset, date, episodes, hours, {CHG.format(x='episodes', t='BIGINT')} AS d_episodes, {CHG.format(x='hours', t='DECIMAL(18,2)')} AS d_hours, row_number() OVER (PARTITION BY dataset ORDER BY date) AS rn FROM kept) WHERE rn = 1 OR d_episodes <> 0 OR d_hours <> 0"
+V.CTE["by_month"] = "kept AS (SELECT dataset, substr(changed_at, 1, 7) AS date, max(episodes) AS episodes, max(hours) AS hours FROM changes GROUP BY 1, 2)"
+
+
+@query(DELTAS, *CHANGES, "by_month")
+def compact_log(spark, d):
+    rows = V.changes(spark, d).select("dataset", F.substring("changed_at", 1, 7).alias("date"), F.col("changed_at").alias("pulled_at"), F.col("commit_id").alias("ord"), "episodes", "hours")
+    return L.compact(rows)
+
+
+@query("SELECT org, date, pulled_at, episodes FROM snaps QUALIFY row_number() OVER (PARTITION BY org, substr(date, 1, 4) ORDER BY pulled_at DESC) = 1", *SNAPS)
+def latest_per_day(spark, d):
+    s = V.snapshots(spark, d).withColumn("year", F.substring("date", 1, 4))
+    return A.latest_per(s.select("org", "year", "date", "pulled_at", "episodes"), ["org", "year"], "pulled_at").drop("year")
+
+
+@query("SELECT pulled_at, org, episodes, src FROM (SELECT *, row_number() OVER (PARTITION BY pulled_at, org ORDER BY src) AS rn FROM (SELECT pulled_at, org, episodes, 'a' AS src FROM snaps WHERE ord % 2 = 0 UNION ALL SELECT pulled_at, org, episodes + 1, 'b' FROM snaps)) WHERE rn = 1", *SNAPS)
+def history_union_dedupe(spark, d):
+    s = V.snapshots(spark, d)
+    log = s.where("ord % 2 = 0").select("pulled_at", "org", "episodes", F.lit("a").alias("src"))
+    return L.union_history([log, s.select("pulled_at", "org", (F.col("episodes") + 1).alias("episodes"), F.lit("b").alias("src"))])
+
+
+@query("SELECT dataset, commit_id, changed_at AS created_at, CAST(1 AS BIGINT) AS d_episodes, h AS d_hours FROM changes", *CHANGES)
+def commit_growth(spark, d):
+    return L.commit_growth(V.changes(spark, d).withColumnRenamed("changed_at", "created_at"))
+
+
+ARRIVALS = "arrivals AS (SELECT org, substr(date, 1, 4) AS date, pulled_at, ord AS seq, ord % 7 = 0 AS manual, episodes FROM snaps), ranked AS (SELECT *, sum(CASE WHEN manual <> prev THEN 1 ELSE 0 END) OVER (PARTITION BY org, date ORDER BY seq) AS island FROM (SELECT *, coalesce(lag(manual) OVER (PARTITION BY org, date ORDER BY seq), manual) AS prev FROM arrivals)), stands AS (SELECT org, date, pulled_at, seq, manual, episodes FROM (SELECT *, row_number() OVER (PARTITION BY org, date ORDER BY island DESC, pulled_at DESC, seq DESC) AS rn FROM ranked) WHERE rn = 1)"
+V.CTE["arrivals"] = ARRIVALS
+
+
+def arrivals(spark, d) -> DataFrame:
+    return V.snapshots(spark, d).select("org", F.substring("date", 1, 4).alias("date"), "pulled_at", F.col("ord").alias("seq"), (F.col("ord") % 7 == 0).alias("manual"), "episodes")
+
+
+@query("SELECT * FROM stands", *SNAPS, "arrivals")
+def manual_upsert(spark, d):
+    return L.effective(arrivals(spark, d)).select("org", "date", "pulled_at", "seq", "manual", "episodes")
+
+
+V.CTE["folded"] = "kept AS (SELECT s.org AS dataset, s.date, s.episodes, n.hours FROM stands s JOIN snaps n ON n.ord = s.seq WHERE NOT s.manual)"
+
+
+@query(DELTAS, *SNAPS, "arrivals", "folded")
+def snapshot_fold(spark, d):
+    rows = V.snapshots(spark, d).select("org", F.substring("date", 1, 4).alias("date"), F.col("ord").alias("seq"), F.col("org").alias("dataset"), "episodes", "hours")
+    return L.fold(arrivals(spark, d), rows)
+
+
+@query("SELECT org, date, detailed, pulled_at, seq FROM (SELECT *, row_number() OVER (PARTITION BY org, date ORDER BY detailed DESC, pulled_at DESC, seq DESC) AS rn FROM (SELECT org, substr(date, 1, 4) AS date, ord % 3 = 0 AS detailed, pulled_at, ord AS seq FROM snaps UNION ALL SELECT org, substr(date, 1, 4), ord % 5 = 0, pulled_at, ord + 100000 FROM snaps WHERE ord % 2 = 0)) WHERE rn = 1", *SNAPS)
+def migrate_history(spark, d):
+    s = V.snapshots(spark, d)
+    part = lambda rows, k, add: rows.select("org", F.substring("date", 1, 4).alias("date"), (F.col("ord") % k == 0).alias("detailed"), "pulled_at", (F.col("ord") + add).alias("seq"))
+    return L.migrate(part(s, 3, 0), part(s.where("ord % 2 = 0"), 5, 100000)).select("org", "date", "detailed", "pulled_at", "seq")
+
+
+@query("SELECT dataset, last_modified, CASE WHEN episodes % 2 = 0 THEN 'kept' ELSE 'fetched' END AS origin FROM datasets", "orders2", "datasets")
+def incremental_refresh(spark, d):
+    now = V.datasets(spark, d).select("dataset", "last_modified", "episodes")
+    cached = now.select("dataset", F.when(F.col("episodes") % 2 == 0, F.col("last_modified")).otherwise("1990-01-01").alias("last_modified"), F.lit("kept").alias("origin"))
+    return L.refresh(cached, now.select("dataset", "last_modified"), now.select("dataset", "last_modified", F.lit("fetched").alias("origin")))
+
+
+@query("SELECT org AS pulled_at, CAST(pos AS BIGINT) AS pos, n_name AS dataset FROM (SELECT r_name AS org, unnest([r_regionkey, r_regionkey + 7, r_regionkey + 22, r_regionkey + 40]) AS pos FROM region) JOIN nation ON n_nationkey = pos")
+def decode_present(spark, d):
+    snaps = V.t(spark, d, "region").select(F.col("r_name").alias("pulled_at"), F.array(*[(F.col("r_regionkey") + x).cast("long") for x in (0, 7, 22, 40)]).alias("present"))
+    return L.decode_present(snaps, V.t(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("pos"), F.col("n_name").alias("dataset")))
+
+
+NEW = "SELECT c_name AS name FROM customer WHERE c_custkey {a} IN (SELECT o_custkey FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01') AND c_custkey {b} IN (SELECT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '2001-06-01')"
+
+
+def active(spark, d, cond: str) -> DataFrame:
+    return V.t(spark, d, "customer").join(V.t(spark, d, "orders").where(cond), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select(F.col("c_name").alias("name"))
+
+
+@query(NEW.format(a="NOT", b=""))
+def names_new(spark, d):
+    return active(spark, d, "o_orderdate >= '2001-06-01'").join(active(spark, d, "o_orderdate < '1996-01-01'"), "name", "left_anti")
+
+
+@query(NEW.format(a="", b="NOT"))
+def names_removed(spark, d):
+    return active(spark, d, "o_orderdate < '1996-01-01'").join(active(spark, d, "o_orderdate >= '2001-06-01'"), "name", "left_anti")
+
+
+@query("SELECT c_name AS name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '2001-06-01')")
+def local_semi(spark, d):
+    return active(spark, d, "o_orderdate >= '2001-06-01'")
+
+
+@query("SELECT n_name AS name, count(o_custkey) = 0 AS covered FROM nation JOIN customer ON n_nationkey = c_nationkey LEFT JOIN (SELECT DISTINCT c_custkey AS k FROM customer ANTI JOIN orders ON c_custkey = o_custkey) x ON x.k = c_custkey LEFT JOIN (SELECT 1 AS o_custkey, k AS kk FROM (SELECT DISTINCT c_custkey AS k FROM customer ANTI JOIN orders ON c_custkey = o_custkey)) y ON y.kk = c_custkey GROUP BY 1")
+def coverage(spark, d):
+    lacking = V.t(spark, d, "customer").join(V.t(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_nationkey").distinct().withColumn("lacks", F.lit(True))
+    has = V.t(spark, d, "customer").select("c_nationkey").distinct()
+    return has.join(lacking, "c_nationkey", "left").join(V.t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("name"), F.col("lacks").isNull().alias("covered"))
+
+
+@query("SELECT event_type AS name, CAST(min(event_id) AS BIGINT) AS ord FROM events GROUP BY 1")
+def ordered_distinct(spark, d):
+    return A.first_seen_order(V.t(spark, d, "events").select(F.col("event_type").alias("name"), "event_id"), "name", "event_id")
+
+
+# --- trajectories --------------------------------------------------------------------------------------------------
+
+V.CTE["limits"] = "moved AS (SELECT * FROM steps WHERE step IS NOT NULL), med AS (SELECT episode, quantile_cont(step, 0.5) AS med, count(*) AS n FROM moved GROUP BY 1 HAVING count(*) >= 5), mads AS (SELECT m.episode, any_value(med.med) AS med, quantile_cont(abs(m.step - med.med), 0.5) AS mad FROM moved m JOIN med ON m.episode = med.episode GROUP BY 1), limits AS (SELECT episode, med, mad, greatest(0.35, CASE WHEN mad = 0 THEN 3 * med ELSE med + 1.5 * mad END) AS threshold FROM mads)"
+FR = ("frames", "steps", "limits")
+
+
+@query("SELECT episode, round(med, 6) AS med, round(mad, 6) AS mad, round(threshold, 6) AS threshold FROM limits", *FR)
+def mad_threshold(spark, d):
+    return X.mad_thresholds(T.steps(V.vectors(spark, d)), "step", ["episode"], 1.5, 0.35, 5).select("episode", r6("med"), r6("mad"), r6("threshold"))
+
+
+@query("SELECT m.episode, min(m.frame) AS frame, round(arg_min(m.step, m.frame), 6) AS step, round(any_value(l.threshold), 6) AS threshold FROM moved m JOIN limits l ON m.episode = l.episode WHERE m.step > l.threshold GROUP BY 1", *FR)
+def trajectory_jumps(spark, d):
+    return T.jumps(V.vectors(spark, d), 1.5).select("episode", "frame", r6("step"), r6("threshold"))
+
+
+@query("SELECT episode, start, \"end\", (\"end\" - start) / 30.0::DOUBLE AS seconds FROM (SELECT episode, min(prev) AS start, max(frame) AS \"end\", row_number() OVER (PARTITION BY episode ORDER BY max(frame) - min(prev) DESC, min(prev)) AS rn FROM (SELECT *, frame - 1 AS prev, sum(CASE WHEN step < 40 THEN 0 ELSE 1 END) OVER (PARTITION BY episode ORDER BY frame) AS island FROM steps WHERE step IS NOT NULL) WHERE step < 40 GROUP BY episode, island) WHERE rn = 1 AND (\"end\" - start) / 30.0 > 0.2", "frames", "steps")
+def idle_periods(spark, d):
+    return T.idle_periods(V.vectors(spark, d), 40.0, 0.2)
+
+
+@query("SELECT episode, duration, low, high FROM (SELECT episode, duration, q1 - 1.0 * greatest(q3 - q1, 1e-9) AS low, q3 + 1.0 * greatest(q3 - q1, 1e-9) AS high FROM (SELECT episode, (max(frame) - min(frame) + 1) / 30.0::DOUBLE AS duration FROM frames GROUP BY 1), (SELECT max(duration) FILTER (WHERE rn = floor(0.25 * (n - 1)) + 1) AS q1, max(duration) FILTER (WHERE rn = floor(0.75 * (n - 1)) + 1) AS q3 FROM (SELECT duration, row_number() OVER (ORDER BY duration) AS rn, count(*) OVER () AS n FROM (SELECT (max(frame) - min(frame) + 1) / 30.0::DOUBLE AS duration FROM frames GROUP BY episode)))) WHERE duration < low OR duration > high", "frames")
+def episode_length_outliers(spark, d):
+    return T.length_outliers(V.vectors(spark, d), factor=1.0)
+
+
+V.CTE["tracked"] = "tracked AS (SELECT user_id AS episode, CAST(event_id // 200 AS BIGINT) AS frame, event_type AS hand, avg(value) AS x, min(value) AS y FROM events GROUP BY 1, 2, 3), diffs AS (SELECT episode, frame, hand, abs(x - lag(x) OVER w) AS dx, abs(y - lag(y) OVER w) AS dy, lag(frame) OVER w = frame - 1 AS near FROM tracked WINDOW w AS (PARTITION BY episode, hand ORDER BY frame)), events2 AS (SELECT episode, frame, hand, list_filter([CASE WHEN dx >= 30 THEN 'x' END, CASE WHEN dy >= 30 THEN 'y' END], lambda a: a IS NOT NULL) AS hits, round(sqrt(dx * dx + dy * dy), 6) AS xyz_step, sqrt(dx * dx + dy * dy) >= 40 AS xyz_hit FROM diffs WHERE near AND (dx >= 30 OR dy >= 30 OR sqrt(dx * dx + dy * dy) >= 40))"
+
+
+def tracked(spark, d) -> DataFrame:
+    rows = V.t(spark, d, "events").groupBy(F.col("user_id").alias("episode"), F.floor(F.col("event_id") / 200).alias("frame"), F.col("event_type").alias("hand")).agg(F.avg("value").alias("x"), F.min("value").alias("y"))
+    return T.tracker_jumps(rows, {"x": 30.0, "y": 30.0}, 40.0)
+
+
+@query("SELECT episode, frame, hand, array_to_string(hits, ',') AS hits, xyz_step, xyz_hit FROM events2", "tracked")
+def tracker_jumps(spark, d):
+    return tracked(spark, d).select("episode", "frame", "hand", F.array_join("hits", ",").alias("hits"), r6("xyz_step"), "xyz_hit")
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS events, CAST(count(DISTINCT episode) AS BIGINT) AS episodes, count(*) > 1000 AS truncated FROM events2", "tracked")
+def tracker_summary(spark, d):
+    return tracked(spark, d).agg(F.count(F.lit(1)).alias("events"), F.countDistinct("episode").alias("episodes"), (F.count(F.lit(1)) > 1000).alias("truncated"))
+
+
+V.CTE["embedded"] = "parts AS (SELECT label, vec_id, i AS pos, CAST(embedding[i] AS DOUBLE) AS x FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)), centre AS (SELECT label, pos, quantile_cont(x, 0.5) AS c FROM parts GROUP BY 1, 2 HAVING count(*) >= 3), far AS (SELECT p.label, p.vec_id, sqrt(sum((p.x - c.c) * (p.x - c.c))) AS distance FROM parts p JOIN centre c ON p.label = c.label AND p.pos = c.pos GROUP BY 1, 2), fm AS (SELECT label, quantile_cont(distance, 0.5) AS med FROM far GROUP BY 1), fl AS (SELECT f.label, greatest(0.2, any_value(fm.med) + 2 * quantile_cont(abs(f.distance - fm.med), 0.5)) AS threshold FROM far f JOIN fm ON f.label = fm.label GROUP BY 1)"
+
+
+@query("SELECT far.label AS dataset, vec_id AS episode, round(distance, 6) AS distance FROM far JOIN fl ON far.label = fl.label WHERE distance > threshold", "embedded")
+def boundary_outliers(spark, d):
+    rows = V.t(spark, d, "embeddings").select(F.col("label").alias("dataset"), F.col("vec_id").alias("episode"), F.lit(0).alias("frame"), F.col("embedding").alias("vec"))
+    return T.boundary_outliers(rows, 1, 2.0, 0.2).select("dataset", "episode", r6("distance"))
+
+
+@query("SELECT episode, min(prior) AS frame FROM (SELECT episode, frame - 1 AS prior, step, lag(step) OVER (PARTITION BY episode ORDER BY frame) AS before FROM steps) WHERE before > 45 AND step > 45 * 0.45 GROUP BY 1", "frames", "steps")
+def flicker(spark, d):
+    return T.flicker(V.frames(spark, d))
+
+
+RUN = "SELECT episode, min(start) AS start, CAST(arg_min(samples, start) AS BIGINT) AS samples FROM (SELECT episode, island, min(frame) AS start, count(*) AS samples FROM (SELECT *, sum(CASE WHEN {c} THEN 0 ELSE 1 END) OVER (PARTITION BY episode ORDER BY {o}) AS island FROM {f}) WHERE {c} GROUP BY 1, 2 HAVING count(*) >= {n}) GROUP BY 1"
+
+
+@query(RUN.format(c="(v < 25 OR v > 80)", o="frame", f="frames", n=3), "frames")
+def exposure_runs(spark, d):
+    return T.exposure_runs(V.frames(spark, d), 25.0, 80.0, 3)
+
+
+@query(RUN.format(c="coalesce(step < 20, false)", o="frame", f="steps", n=3), "frames", "steps")
+def freeze_runs(spark, d):
+    return T.freeze_runs(V.frames(spark, d), 20.0, 3)
+
+
+V.CTE["sharp"] = "sharp AS (SELECT *, (event_id * 37 % 101) * 1.0::DOUBLE AS sharp FROM frames WHERE v BETWEEN 10 AND 90), sl AS (SELECT episode, greatest(25, 0.12 * quantile_cont(sharp, 0.5)) AS lim FROM sharp GROUP BY 1), seen AS (SELECT s.*, sl.lim, row_number() OVER (PARTITION BY s.episode ORDER BY frame) AS ordinal FROM sharp s JOIN sl ON s.episode = sl.episode)"
+
+
+@query(RUN.format(c="(sharp < lim)", o="ordinal", f="seen", n=2), "frames", "sharp")
+def blur_runs(spark, d):
+    rows = V.frames(spark, d).withColumn("sharp", ((F.col("event_id") * 37) % 101).cast("double"))
+    return T.blur_runs(rows, 10.0, 90.0, 25.0, 0.12, 2)
+
+
+HIST = "len AS (SELECT count(*) / 30.0::DOUBLE AS s FROM events GROUP BY user_id), ranks AS (SELECT s, row_number() OVER (ORDER BY s) - 1 AS i, count(*) OVER () AS n FROM len), p AS (SELECT max(s) FILTER (WHERE i = floor(0.01 * n)) AS p1, max(s) FILTER (WHERE i = ceil(0.99 * n) - 1) AS p99, max(n) AS n FROM ranks), w AS (SELECT *, greatest(p99 - p1, 1e-9) / least(50, greatest(10, ceil(log2(n) + 1))) AS raw FROM p), u AS (SELECT *, pow(10, floor(log10(raw))) AS unit FROM w), wd AS (SELECT p1, p99, unit * CASE WHEN raw / unit <= 1 THEN 1 WHEN raw / unit <= 2 THEN 2 WHEN raw / unit <= 2.5 THEN 2.5 WHEN raw / unit <= 5 THEN 5 ELSE 10 END AS width FROM u), sc AS (SELECT width, CAST(floor(p1 / width) AS BIGINT) AS first, CAST(floor(p99 / width) AS BIGINT) AS last FROM wd), bins AS (SELECT width, unnest(range(first, last + 1)) AS bin FROM sc), pl AS (SELECT least(last, greatest(first, CAST(floor(s / width) AS BIGINT))) AS bin FROM len, sc)"
+V.CTE["hist"] = HIST
+
+
+@query("SELECT round(b.bin * width, 6) AS lo, round((b.bin + 1) * width, 6) AS hi, CAST(count(pl.bin) AS BIGINT) AS n FROM bins b LEFT JOIN pl ON pl.bin = b.bin GROUP BY 1, 2", "hist")
+def length_histogram(spark, d):
+    return T.length_histogram(scan_episode_meta(spark, d)).select(r6("lo"), r6("hi"), "n")
+
+
+@query("SELECT min(s) AS lo, max(s) AS hi, round(avg(s), 6) AS mean, quantile_cont(s, 0.5) AS median, round(stddev_pop(s), 6) AS std FROM (SELECT count(*) / 30.0::DOUBLE AS s FROM events GROUP BY user_id)")
+def length_stats(spark, d):
+    return scan_episode_meta(spark, d).agg(F.min("length_seconds").alias("lo"), F.max("length_seconds").alias("hi"), F.round(F.avg("length_seconds"), 6).alias("mean"), F.percentile("length_seconds", F.lit(0.5)).alias("median"), F.round(F.stddev_pop("length_seconds"), 6).alias("std"))
+
+
+@query("SELECT 'i' || CAST(l_orderkey AS VARCHAR) AS issue, f.episode, f.frame, f.v FROM (SELECT l_orderkey, l_orderkey % 150 AS ep, l_linenumber AS n FROM lineitem WHERE l_linenumber = 3) i JOIN frames f ON f.episode = i.ep AND f.frame BETWEEN i.n - 2 AND i.n + 2", "frames")
+def range_join_window(spark, d):
+    rows = V.t(spark, d, "lineitem").where("l_linenumber = 3").select(F.concat(F.lit("i"), F.col("l_orderkey").cast("string")).alias("issue"), (F.col("l_orderkey") % 150).alias("episode"), (F.col("l_linenumber") - 2).alias("f_lo"), (F.col("l_linenumber") + 2).alias("f_hi"))
+    return T.windows_on_frames(rows, V.frames(spark, d))
+
+
+@query("SELECT episode, CAST(min(lag) AS BIGINT) AS lag FROM (SELECT a.episode, b.frame - a.frame AS lag, corr(a.v, b.v) AS r FROM frames a JOIN frames b ON a.episode = b.episode AND b.frame - a.frame BETWEEN 1 AND 8 GROUP BY 1, 2) WHERE r < 0.1 GROUP BY 1", "frames")
+def chunk_length(spark, d):
+    return T.autocorrelation_lag(V.frames(spark, d).drop("event_id"), 0.1, 8)
+
+
+@query("SELECT episode, round(stddev_pop(step) / avg(step), 6) AS cv FROM steps WHERE step IS NOT NULL GROUP BY 1", "frames", "steps")
+def speed_variation(spark, d):
+    return T.speed_variation(V.vectors(spark, d)).select("episode", r6("cv"))
+
+
+# --- checks, issues, annotations -----------------------------------------------------------------------------------
+
+WORDS = "len(list_filter(regexp_split_to_array(trim(prompt), '\\s+'), lambda w: w <> ''))"
+V.CTE["checked"] = f"facts AS (SELECT doc_id, prompt, {WORDS} AS n, regexp_matches(prompt, '[@#$%^&*_=<>{{}}\\[\\]|\\\\~]') AS bad, NOT regexp_matches(ltrim(prompt), '^\\p{{L}}') AS odd FROM prompts), verdicts AS (SELECT doc_id, CASE WHEN bad THEN 'fail' WHEN n < 10 OR n > 50 OR odd OR n < 3 THEN 'warn' ELSE 'ok' END AS status, array_to_string(list_filter([CASE WHEN n < 10 THEN 'too few words' END, CASE WHEN n > 50 THEN 'too many words' END, CASE WHEN bad THEN 'illegal characters' END, CASE WHEN odd OR n < 3 THEN 'not a sentence' END], lambda x: x IS NOT NULL), '; ') AS message FROM facts)"
+
+
+@query("SELECT * FROM verdicts", "prompts", "checked")
+def check_prompt(spark, d):
+    return V.prompts(spark, d).select("doc_id", C.check_prompt({}).alias("x")).select("doc_id", "x.*")
+
+
+@query("SELECT doc_id, CASE WHEN regexp_matches(name, '^src1?[0-9]/(en|de)-[0-9]{4}$') THEN 'ok' ELSE 'fail' END AS status FROM prompts", "prompts")
+def check_name(spark, d):
+    return V.prompts(spark, d).select("doc_id", C.check_name({"name_pattern": "^src1?[0-9]/(en|de)-[0-9]{4}$"})["status"].alias("status"))
+
+
+@query("SELECT dataset, CASE WHEN hours / episodes BETWEEN 100000 AND 200000 THEN 'ok' ELSE 'fail' END AS status FROM datasets", "orders2", "datasets")
+def check_duration(spark, d):
+    rows = V.datasets(spark, d).withColumn("avg_seconds", F.col("hours").cast("double") / F.col("episodes"))
+    return rows.select("dataset", C.check_duration({"min_seconds": 100000.0, "max_seconds": 200000.0})["status"].alias("status"))
+
+
+NAMES = "CASE WHEN regexp_matches(name, '^[A-Za-z0-9_.#-]+$') THEN 'ok' ELSE 'fail' END"
+V.CTE["results"] = f"results AS (SELECT doc_id, 'name' AS id, {NAMES} AS status FROM prompts UNION ALL SELECT doc_id, 'duration', 'skip' FROM prompts UNION ALL SELECT doc_id, 'prompt', status FROM verdicts)"
+
+
+def results(spark, d) -> DataFrame:
+    return C.run_checks(V.prompts(spark, d).withColumn("avg_seconds", F.lit(None).cast("double")), "doc_id")
+
+
+@query("SELECT * FROM results", "prompts", "checked", "results")
+def run_checks(spark, d):
+    return results(spark, d).select("doc_id", "id", "status")
+
+
+@query("SELECT doc_id, CAST(count(*) FILTER (WHERE status = 'fail') AS BIGINT) AS n_fail, CAST(count(*) FILTER (WHERE status = 'warn') AS BIGINT) AS n_warn, CASE WHEN bool_or(status = 'fail') THEN 'fail' WHEN bool_or(status = 'warn') THEN 'warn' ELSE 'ok' END AS worst, CAST(CASE WHEN bool_or(status = 'fail') THEN 200 + count(*) FILTER (WHERE status = 'fail') WHEN bool_or(status = 'warn') THEN 100 + count(*) FILTER (WHERE status = 'warn') ELSE 0 END AS BIGINT) AS sort_key FROM results GROUP BY 1", "prompts", "checked", "results")
+def check_aggregate(spark, d):
+    return C.aggregate_checks(results(spark, d), "doc_id")
+
+
+@query("SELECT 'rule' AS kind, coalesce(rule, 'unknown') AS value, CAST(count(*) AS BIGINT) AS n FROM issues GROUP BY 2 UNION ALL SELECT 'field', coalesce(field, 'unknown'), CAST(count(*) AS BIGINT) FROM issues GROUP BY 2 UNION ALL SELECT 'episode', coalesce(CAST(episode AS VARCHAR), 'unknown'), CAST(count(*) AS BIGINT) FROM issues GROUP BY 2", "issues")
+def issue_summary(spark, d):
+    return C.issue_summary(issues(spark, d))
+
+
+@query("SELECT position, episode, rule FROM issues ORDER BY episode, position LIMIT 80", "issues")
+def issue_cap(spark, d):
+    return issues(spark, d).orderBy("episode", "position").limit(80).select("position", "episode", "rule")
+
+
+@query("SELECT issue_id, CASE WHEN position % 5 = 0 THEN 'confirmed' WHEN position % 3 = 0 THEN 'dismissed' ELSE '未确认' END AS review_status FROM issues", "issues")
+def review_overlay(spark, d):
+    rows = issues(spark, d)
+    reviews = rows.where("position % 5 = 0").select(F.col("issue_id").alias("key"), F.lit("confirmed").alias("status")).unionByName(rows.where("position % 3 = 0").select(F.col("position").cast("string").alias("key"), F.lit("dismissed").alias("status")))
+    return C.review_overlay(rows, reviews).select("issue_id", "review_status")
+
+
+@query("SELECT position, episode FROM issues WHERE rule IN ('click', 'error')", "issues")
+def actionable(spark, d):
+    return issues(spark, d).where(F.col("rule").isin("click", "error")).select("position", "episode")
+
+
+@query("SELECT dataset, uploader FROM datasets WHERE contains(lower(concat_ws(' ', dataset, uploader, segment)), 'n_1')", "orders2", "datasets")
+def text_filter(spark, d):
+    return C.text_filter(V.datasets(spark, d), ["dataset", "uploader", "segment"], "N_1").select("dataset", "uploader")
+
+
+@query("SELECT role AS style, CAST(count(*) AS BIGINT) AS atoms, CAST(count(DISTINCT conv_id) AS BIGINT) AS episodes, CAST(coalesce(list_position(['system', 'user', 'assistant'], role), 99) AS BIGINT) AS place FROM conversations GROUP BY 1")
+def annotation_groups(spark, d):
+    order = F.array(*[F.lit(x) for x in ("system", "user", "assistant")])
+    place = F.coalesce(F.nullif(F.array_position(order, F.col("style")), F.lit(0)), F.lit(99)).cast("long")
+    return V.t(spark, d, "conversations").groupBy(F.col("role").alias("style")).agg(F.count(F.lit(1)).alias("atoms"), F.countDistinct("conv_id").alias("episodes")).withColumn("place", place)
+
+
+@query("SELECT CAST(count(*) FILTER (WHERE n > 0) AS BIGINT) AS with_atoms, CAST(count(*) AS BIGINT) AS episodes FROM (SELECT conv_id, count(*) FILTER (WHERE role = 'assistant' AND turn > 2) AS n FROM conversations GROUP BY 1)")
+def annotation_coverage(spark, d):
+    each = V.t(spark, d, "conversations").groupBy("conv_id").agg(F.count_if((F.col("role") == "assistant") & (F.col("turn") > 2)).alias("n"))
+    return each.agg(F.count_if(F.col("n") > 0).alias("with_atoms"), F.count(F.lit(1)).alias("episodes"))
+
+
+@query("SELECT stream, CAST(page_id AS BIGINT) AS page_id, episode FROM (SELECT page_id, TRY_CAST(nullif(regexp_extract(url, '(\\d+)', 1), '') AS DOUBLE) AS episode, CASE WHEN contains(html, 'table') THEN 'table' WHEN contains(html, 'nav') THEN 'nav' END AS stream, row_number() OVER (PARTITION BY regexp_extract(url, '//([^/]+)/', 1), CASE WHEN contains(html, 'table') THEN 'table' WHEN contains(html, 'nav') THEN 'nav' END ORDER BY page_id) AS rn FROM pages) WHERE rn = 1")
+def log_extract(spark, d):
+    stream = F.when(F.contains("html", F.lit("table")), "table").when(F.contains("html", F.lit("nav")), "nav")
+    rows = V.t(spark, d, "pages").select("page_id", X.first_number(F.col("url"), [r"(\d+)"]).alias("episode"), F.regexp_extract("url", "//([^/]+)/", 1).alias("file"), stream.alias("stream"))
+    first = F.row_number().over(Window.partitionBy("file", "stream").orderBy("page_id"))
+    return rows.withColumn("rn", first).where("rn = 1").select("stream", "page_id", "episode")
+
+
+# --- scalars -------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, concat(lang, '-', source) AS prefix, TRY_CAST(regexp_extract(source, '(\\d+)', 1) AS BIGINT) AS number, replace(replace(replace(trim(to_base64(encode(name)), '='), '+', '-'), '/', '_'), chr(10), '') AS url64, replace(replace(replace(left(prompt, 40), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped, coalesce(nullif(trim(regexp_replace(left(prompt, 40), '[^A-Za-z0-9_.-]+', '_', 'g'), '_'), ''), 'unknown') AS safe FROM (SELECT p.*, d.lang, d.source FROM prompts p JOIN documents d ON p.doc_id = d.doc_id) WHERE NOT contains(left(prompt, 40), '\"') AND NOT contains(left(prompt, 40), '''')", "prompts")
+def scalar_strings(spark, d):
+    rows = V.prompts(spark, d).join(V.t(spark, d, "documents").select("doc_id", "lang", "source"), "doc_id").withColumn("p", F.left("prompt", F.lit(40)))
+    rows = rows.where(~F.col("p").contains('"') & ~F.col("p").contains("'"))
+    name = F.concat(F.lit("owner/"), "lang", F.lit("-"), "source", F.lit("-0123"))
+    return rows.select("doc_id", X.task_prefix(name).alias("prefix"), X.last_number(F.col("source")).alias("number"), X.url_base64(F.col("name")).alias("url64"), X.html_escape(F.col("p")).alias("escaped"), X.safe_name(F.col("p")).alias("safe"))
+
+
+@query("SELECT p_partkey, floor(p_retailprice / 7 * 10.0 + 0.5) / 10.0 AS js, p_retailprice * 3600 / nullif(p_size, 0) AS avg_seconds, greatest(0.0, p_size - 2.0::DOUBLE) AS clip_start FROM part")
+def scalar_numbers(spark, d):
+    start, _ = X.clip_window(F.col("p_size").cast("double"), F.col("p_size").cast("double") + 1, 2.0, 10.0)
+    return V.t(spark, d, "part").select("p_partkey", X.floor_round(F.col("p_retailprice") / 7, 1).alias("js"), X.average_seconds(F.col("p_retailprice"), F.col("p_size")).alias("avg_seconds"), start.alias("clip_start"))
+
+
+@query("SELECT vec_id, round(sqrt(list_sum(list_transform(range(1, 17), lambda i: pow(CAST(embedding[i] AS DOUBLE) - CAST(embedding[i + 16] AS DOUBLE), 2)))), 6) AS distance, CAST(len(list_filter(embedding, lambda x: x > 0)) AS BIGINT) AS positive FROM embeddings")
+def scalar_vectors(spark, d):
+    e = F.col("embedding").cast("array<double>")
+    return V.t(spark, d, "embeddings").select("vec_id", F.round(X.l2(X.finite(F.slice(e, 1, 16)), X.finite(F.slice(e, 17, 40))), 6).alias("distance"), F.size(F.filter(e, lambda x: x > 0)).cast("long").alias("positive"))
+
+
+# --- editing -------------------------------------------------------------------------------------------------------
+
+V.CTE["ops"] = "ops AS (SELECT l_orderkey AS episode, l_linenumber AS frame, CAST(l_quantity AS BIGINT) AS task_index, l_suppkey FROM lineitem), eps AS (SELECT episode, CAST(row_number() OVER (ORDER BY episode) - 1 AS BIGINT) AS place, count(*) OVER () AS n FROM (SELECT DISTINCT episode FROM ops))"
+
+
+def ops(spark, d) -> DataFrame:
+    return V.t(spark, d, "lineitem").select(F.col("l_orderkey").alias("episode"), F.col("l_linenumber").alias("frame"), F.col("l_quantity").cast("long").alias("task_index"), "l_suppkey")
+
+
+@query("SELECT n_nationkey AS task_index, CASE n_name WHEN 'NATION_3' THEN 'three' WHEN 'FRANCE' THEN 'la France' ELSE n_name END AS task, n_name IN ('NATION_3', 'FRANCE') AS changed FROM nation")
+def edit_prompt(spark, d):
+    tasks = V.t(spark, d, "nation").select(F.col("n_nationkey").alias("task_index"), F.col("n_name").alias("task"))
+    return E.rewrite_prompts(tasks, {"NATION_3": "three", "FRANCE": "la France", "x": ""})
+
+
+@query("SELECT CAST(dense_rank() OVER (ORDER BY episode) - 1 AS BIGINT) AS episode, frame, task_index, l_suppkey FROM ops WHERE episode % 7 <> 0", "ops")
+def delete_episodes(spark, d):
+    gone = ops(spark, d).where("episode % 7 = 0").select("episode").distinct()
+    return E.delete_episodes(ops(spark, d), gone)
+
+
+@query("SELECT CASE WHEN place < floor(n * 0.8 + 1e-9) THEN 'train' ELSE 'val' END AS split, CASE WHEN place < floor(n * 0.8 + 1e-9) THEN place ELSE place - CAST(floor(n * 0.8 + 1e-9) AS BIGINT) END AS episode, frame, task_index, l_suppkey FROM ops JOIN eps USING (episode)", "ops")
+def split_fraction(spark, d):
+    return E.split_fraction(ops(spark, d), {"train": 0.8, "val": 0.2})
+
+
+@query("SELECT CASE WHEN episode < 100 THEN 'a' ELSE 'b' END AS split, CAST(dense_rank() OVER (PARTITION BY episode < 100 ORDER BY episode) - 1 AS BIGINT) AS episode, frame, task_index, l_suppkey FROM ops WHERE episode BETWEEN 1 AND 5 OR episode BETWEEN 100 AND 103", "ops")
+def split_ranges(spark, d):
+    return E.split_ranges(ops(spark, d), {"a": [1, 2, 3, 4, 5], "b": [100, 101, 102, 103]})
+
+
+@query("SELECT CAST(episode AS BIGINT) AS episode, frame, CAST(t AS BIGINT) AS task_index FROM (SELECT episode, frame, task_index % 3 AS t FROM ops WHERE episode <= 50 UNION ALL SELECT episode + 1 + (SELECT max(episode) FROM ops WHERE episode <= 50), frame, CASE task_index % 2 WHEN 0 THEN 1 ELSE 3 END FROM ops WHERE episode > 50 AND episode <= 90)", "ops")
+def merge_datasets(spark, d):
+    rows = ops(spark, d).drop("l_suppkey")
+    tasks = lambda names: spark.createDataFrame([(i, n) for i, n in enumerate(names)], "task_index long, task string")
+    one = rows.where("episode <= 50").withColumn("task_index", F.col("task_index") % 3)
+    two = rows.where("episode > 50 and episode <= 90").withColumn("task_index", F.col("task_index") % 2)
+    return E.merge([(one, tasks(["pick", "place", "push"])), (two, tasks(["place", "pull"]))])[0]
+
+
+@query("SELECT episode, frame, CAST(1.5 AS FLOAT) AS reward, CAST(0 AS BIGINT) AS success FROM ops", "ops")
+def add_feature(spark, d):
+    return E.add_feature(E.add_feature(ops(spark, d), "reward", "float32", fill=1.5), "success", "int64").drop("task_index", "l_suppkey")
+
+
+@query("SELECT episode, frame, task_index FROM ops", "ops")
+def remove_feature(spark, d):
+    return E.remove_features(ops(spark, d), ["l_suppkey"])
