@@ -74,10 +74,16 @@ def same_tokens(sets: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def candidate_edges(sets: DataFrame, threshold: float, recall: float, bucket_limit: int, levels: int = 3) -> DataFrame:
-    """Edges (a, b) that connect all sets (node binary, tokens array<long>, sketch binary) likely above the threshold."""
-    runs = math.ceil(math.log(1 - recall) / math.log(1 - threshold))  # a pair misses a run with probability 1 - similarity
-    if not 1 <= runs <= SIGNATURE:
+def candidate_edges(sets: DataFrame, threshold: float, recall: float, bucket_limit: int, levels: int = 2, branches: int = 2) -> DataFrame:
+    """Edges (a, b) that connect all sets (node binary, tokens array<long>, sketch binary) likely above the threshold.
+
+    A pair at the threshold meets in a run's first bucket with that probability, and below each split in one of branches
+    tokens, so the runs follow from the target recall.  A set has at most branches ** level rows a run, however large the
+    buckets it is in; sets that share a bucket at the last level are connected without a search.
+    """
+    kept = threshold * (1 - (1 - threshold) ** branches) ** levels
+    runs = math.ceil(math.log(1 - recall) / math.log(1 - kept))
+    if not 1 <= runs <= SIGNATURE // 2:
         raise ValueError(f"recall {recall} at similarity {threshold} takes {runs} runs; {SIGNATURE} tokens are sampled")
     rows = sets.select("node", "sketch", F.posexplode(F.slice("tokens", 1, runs)).alias("run", "token")).select("node", "sketch", F.xxhash64("run", "token").alias("path"))
     # A pair at the threshold shares 32 * 0.8 sketch tokens on average; below least it is about 1e-6 likely.
@@ -106,7 +112,7 @@ def candidate_edges(sets: DataFrame, threshold: float, recall: float, bucket_lim
             first = large.groupBy("path").agg(F.min("node").alias("b"))
             found.append(large.select("path", F.col("node").alias("a")).join(first, "path").select("a", "b"))
             break
-        tries = F.array(*[F.pmod(F.xxhash64("path", F.lit(j)), F.lit(SIGNATURE)).cast("int") for j in range(runs + 2)])
+        tries = F.array(*[F.pmod(F.xxhash64("path", F.lit(j)), F.lit(SIGNATURE)).cast("int") for j in range(branches)])
         token = F.substring(F.col("sketch"), F.col("at") * 2 + 1, F.lit(2))
         rows = large.select("node", "sketch", "path", F.explode(F.array_distinct(tries)).alias("at")).select("node", "sketch", F.xxhash64("path", "at", token).alias("path"))
     edges = found[0]
@@ -115,7 +121,7 @@ def candidate_edges(sets: DataFrame, threshold: float, recall: float, bucket_lim
     return edges
 
 
-def similar_texts(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: float = 0.999995, bucket_limit: int = 128, block: int = 256) -> DataFrame:
+def similar_texts(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: float = 0.99999, bucket_limit: int = 128, block: int = 512) -> DataFrame:
     """Per document of docs (doc_id long, text string): doc_id, class_id, n_links, n_copies.
 
     Texts with the same words are copies (n_copies, itself included); n_links counts the different texts whose shingle sets

@@ -18,8 +18,8 @@ QUERIES = {f.__name__: f for f in (op1_pii, op2_token_file, op3_mix_sources, op4
 ORACLES = {
     "op7_substrings": r"""
 WITH words AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
-at AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 12, 0) + 1)) AS i FROM words),
-windows AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM at),
+spots AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 12, 0) + 1)) AS i FROM words),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM spots),
 hits AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS least FROM windows) WHERE least < doc_id),
 gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM hits),
 each AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM words),
