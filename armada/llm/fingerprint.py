@@ -165,8 +165,11 @@ def changed_paragraphs(versions: DataFrame) -> DataFrame:
     unit = F.greatest(unit_of(F.col("old_text")), unit_of(F.col("new_text")))
     rows = versions.select("doc_id", F.coalesce("old_text", F.lit("")).alias("old_text"), F.coalesce("new_text", F.lit("")).alias("new_text")).withColumn("_u", unit)
     rows = rows.withColumn("_d", difference(digests(F.col("old_text"), F.col("_u")), digests(F.col("new_text"), F.col("_u"))))
-    only = {name: F.array_sort(F.transform(F.filter("_d", lambda x, s=sign: x["n"] == s), lambda x: x["k"])).alias(name) for name, sign in (("removed", 1), ("added", -1))}
-    return rows.select("doc_id", *only.values())
+
+    def only(sign: int) -> Column:
+        return F.array_sort(F.transform(F.filter("_d", lambda x: x["n"] == sign), lambda x: x["k"]))
+
+    return rows.select("doc_id", only(1).alias("removed"), only(-1).alias("added"))
 
 
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -212,5 +212,8 @@ def redact(docs: DataFrame) -> DataFrame:
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_spans(table(spark, sf_dir, "documents"))
     base = F.filter("found", lambda x: x["base"])
-    count = {k: F.size(F.filter("found", lambda x, i=i: x["base"] & (x["kind"] == i))).cast("long").alias(f"n_{k}") for i, k in enumerate(BASE)}
-    return found.select("doc_id", *count.values(), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(base, lambda x: x["kind"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))

@@ -141,9 +141,10 @@ class FingerprintIndex:
             chunk = np.searchsorted(cuts, hd, side="right")
             order = np.lexsort((hh, chunk))
             hh, hc, hd, chunk = hh[order], hc[order], hd[order], chunk[order]
-            for k, i, j in zip(*(lambda u, s: (u, s, [*s[1:], len(chunk)]))(*np.unique(chunk, return_index=True)), strict=True):
+            for k in np.unique(chunk):
+                i, j = np.searchsorted(chunk, k), np.searchsorted(chunk, k, side="right")
                 ids, number = np.unique(hd[i:j], return_inverse=True)
-                rows.append((int(key[0]), int(k), j - i, pack(hh[i:j], True), prints.pack(hc[i:j]), pack(number.astype(np.uint32)), ids.astype("<i8").tobytes()))
+                rows.append((int(key[0]), int(k), int(j - i), pack(hh[i:j], True), prints.pack(hc[i:j]), pack(number.astype(np.uint32)), ids.astype("<i8").tobytes()))
             fresh = np.flatnonzero(first)[~known]
             if keep and len(fresh):
                 rows.append((int(key[0]), -1, len(fresh), pack(h[fresh], True), prints.pack(c[fresh]), None, None))
