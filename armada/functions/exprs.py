@@ -103,7 +103,7 @@ def compact_number(x: Column) -> Column:
 
 def index_list(text: Column) -> Column:
     """Array of the whole numbers of a list such as 0-3,7; a full-width comma counts as a comma."""
-    parts = F.filter(F.transform(F.split(F.translate(text, "，", ","), ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(F.translate(text, "，", ","), ","), lambda p: F.trim(p)), lambda p: p != "")
     ends = F.transform(parts, lambda p: F.transform(F.split(p, "-"), lambda e: e.try_cast("int")))
     return F.flatten(F.transform(ends, lambda e: F.sequence(F.element_at(e, 1), F.element_at(e, -1))))
 
