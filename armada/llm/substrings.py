@@ -75,6 +75,7 @@ class FingerprintIndex:
     def __init__(self, spark: SparkSession, path: str, buckets: int, code_bytes: int = 1, fan_out: int = 4):
         self.spark, self.path, self.buckets, self.prints, self.fan_out = spark, path, buckets, Prints(code_bytes), fan_out
         self.runs: list[str] = []
+        self.batches = 0
 
     def bucket_edges(self) -> np.ndarray:
         return np.array([(i << 64) // self.buckets for i in range(1, self.buckets)], np.uint64)
@@ -153,7 +154,8 @@ class FingerprintIndex:
         blocks, runs = self.blocks(docs), self.read_runs()
         n = max(self.buckets, 1)
         found = blocks.repartition(n, "bucket").groupBy("bucket").cogroup(runs.repartition(n, "bucket").groupBy("bucket")).applyInPandas(merge, "bucket int, chunk int, n int, prints binary, codes binary, docs binary, ids binary")
-        path = f"{self.path}/run-{len(self.runs)}"
+        path = f"{self.path}/run-{self.batches}"
+        self.batches += 1
         found.write.option("compression", "none").parquet(path)
         if keep:
             self.runs.append(path)
@@ -177,7 +179,7 @@ class FingerprintIndex:
             order = np.lexsort((c, h))
             return pd.DataFrame([(int(key[0]), -1, len(h), pack(h[order], True), prints.pack(c[order]))], columns=["bucket", "chunk", "n", "prints", "codes"])
 
-        path = f"{self.path}/compacted-{len(self.runs)}"
+        path = f"{self.path}/compacted-{self.batches}"
         self.read_runs().groupBy("bucket").applyInPandas(merge, "bucket int, chunk int, n int, prints binary, codes binary").write.option("compression", "none").parquet(path)
         self.runs = [path]
 
