@@ -14,7 +14,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,72 +26,77 @@ RANK_BITS = 512
 SEGMENT_TOKENS = 1 << 18
 #: A space between two white-space characters: only there can a piece of the pre-tokenizer reach over a cut at spaces.
 UNSAFE = re.compile(r"\s \s")
-#: What the byte-level pre-tokenizer takes as one piece (fixed value).
-PIECE = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 
 
 class Encoder:
     """Ids of whole texts, as tokenizers' encode(text, add_special_tokens=False) gives them.
 
     The pre-tokenizer never joins a character before a single space to one after it, so the ids of a text are those of
-    its words, each with its leading space, one after the other.  Words are remembered (up to LIMIT of them); a new word is
-    cut into the pre-tokenizer's pieces, and pieces not met before are encoded by the library.  Texts where a cut at spaces
-    isn't safe, or with a special token, go to the library whole.
+    its words, each with its leading space, one after the other.  The library encodes the words that aren't remembered.
+    Two generations of words are: once the younger has LIMIT of them it becomes the older, and words met again move to the
+    younger, so the common ones stay and memory is bounded; words over LONG characters are forgotten at once.  Texts where
+    a cut at spaces isn't safe, or with a special token, go to the library whole.
     """
 
-    LIMIT = 500_000
+    LIMIT = 700_000
+    LONG = 64
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.known: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        #: Ids by what stands after a space; for the first word of a text, which has none before it, the key starts with one.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def learn(self, words: list[str]) -> None:
-        cut = [PIECE.findall(w) for w in words]
-        new = list({p: None for pieces in cut for p in pieces if p not in self.pieces})
+        known = self.old
+        self.young.update({w: known[w] for w in words if w in known})
+        new = [w for w in words if w not in known]
         for start in range(0, len(new), 20_000):
             part = new[start : start + 20_000]
-            for piece, enc in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.pieces[piece] = np.array(enc.ids, self.dtype).tobytes()
-        get = self.pieces.__getitem__
-        self.known.update({w: b"".join(map(get, pieces)) for w, pieces in zip(words, cut, strict=True)})
+            encoded = self.tokenizer.encode_batch_fast([w[1:] if w[:1] == " " else " " + w for w in part], add_special_tokens=False)
+            self.young.update({w: np.array(e.ids, self.dtype).tobytes() for w, e in zip(part, encoded, strict=True)})
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """One array of ids a text; null counts as empty."""
-        if len(self.known) > self.LIMIT:
-            self.known = {}
-        if len(self.pieces) > self.LIMIT:
-            self.pieces = {}
-        split, unknown = [], {}
+        if len(self.young) > self.LIMIT:
+            self.young, self.old = {}, self.young
+        split, unknown = [], set()
         for text in texts:
             if not text or SPECIAL in text or UNSAFE.search(text):
                 split.append(text or "")
                 continue
-            first, *rest = text.split(" ")
-            words = [first, *[" " + w for w in rest]] if first else [" " + w for w in rest]
+            words = text.split(" ")
+            words[0] = " " + words[0]
             split.append(words)
-            known = self.known
-            unknown.update({w: None for w in words if w not in known})
+            unknown.update(set(words).difference(self.young))
         self.learn(list(unknown))
-        get = self.known.__getitem__
-        return [np.frombuffer(self.whole(x) if isinstance(x, str) else b"".join(map(get, x)), self.dtype) for x in split]
+        get = self.young.__getitem__
+        out = [np.frombuffer(self.whole(x) if isinstance(x, str) else b"".join(map(get, x)), self.dtype) for x in split]
+        for word in unknown:
+            if len(word) > self.LONG:
+                del self.young[word]
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str | None = None) -> Encoder:
-    """One encoder a process and vocabulary.  Without a path the public byte-level vocabulary of this host is used."""
-    if path is None:
-        import public_tokenizers
+def encoder_path() -> str:
+    """The public byte-level vocabulary of this host."""
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
 
-        path = public_tokenizers.path(VOCABULARY)
+
+def encoder(path: str | None = None) -> Encoder:
+    """One encoder a process and vocabulary; without a path the host's."""
+    path = path or encoder_path()
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]

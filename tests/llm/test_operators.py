@@ -12,6 +12,7 @@ from armada.llm.common import WORD, fresh_path
 from armada.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, part int, block int, shard int, chunk int"
+SPLIT = "<|endoftext|>"
 WORDS = "alpha beta gamma delta river stone lamp idiot green violet seven under over through mountain".split()
 
 
@@ -52,8 +53,12 @@ def library():
 
 
 def test_encoder_is_the_library(library):
-    texts = ["a  b", "a \n b", "\n \n", "don't  stop", "x<|endoftext|>y", "tab\tx  y", " lead", "trail ", "1,234.5 ok!!", "a\n \nb c", "漢字 é", "　 　a"]
-    for text, ids in zip(texts, tokens.encoder().encode(texts), strict=True):
+    texts = ["a  b", "a \n b", "\n \n", "don't  stop", "x<|endoftext|>y", "tab\tx  y", " lead", "trail ", "1,234.5 ok!!", "a\n \nb c", "漢字 é", "　 　a", "a.\nb\nc", "\nb", "a\n\nb \nb", "a \n b\n", "\n", " ", "a\n b", "a\r\nb", "\x1c\n b", "b", "w" * 90]
+    rng = random.Random(11)
+    texts += ["".join(rng.choice(["a", "Bc", "1", ".", "'s", " ", " ", "\n", "\t", "\r", "\x1f", "\u2028", "é", SPLIT]) for _ in range(rng.randrange(1, 14))) for _ in range(6000)]
+    small = tokens.Encoder(tokens.encoder_path())
+    small.LIMIT = 50  # turns generations over again and again
+    for text, ids in [*zip(texts, tokens.encoder().encode(texts), strict=True), *((t, small.encode([t])[0]) for t in texts + texts[:500])]:
         assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
