@@ -8,6 +8,7 @@ next chunk of those ids that have one; a continuation bitmap a level says which,
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -42,10 +43,13 @@ class Encoder:
     LONG = 64
 
     def __init__(self, path: str):
+        # the library's own threads would only contend: Spark deals out the cores
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        (self.line_end,) = self.ids("\n")
         #: Ids by what stands after a space; for the first word of a text, which has none before it, the key starts with one.
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -54,13 +58,27 @@ class Encoder:
         known = self.old
         self.young.update({w: known[w] for w in words if w in known})
         new = [w for w in words if w not in known]
-        for start in range(0, len(new), 20_000):
-            part = new[start : start + 20_000]
-            encoded = self.tokenizer.encode_batch_fast([w[1:] if w[:1] == " " else " " + w for w in part], add_special_tokens=False)
+        # printable words hold no line end and no white space to merge with one: they go as the lines of one text
+        lines = [w for w in new if w.isprintable() and w.strip(" ")]
+        for start in range(0, len(lines), 20_000):
+            part = lines[start : start + 20_000]
+            ids = self.ids("\n".join(map(self.literal, part)))
+            ends = [*np.flatnonzero(ids == self.line_end).tolist(), len(ids)]
+            starts = [0, *[e + 1 for e in ends[:-1]]]
+            raw, width = ids.tobytes(), ids.itemsize
+            self.young.update({w: raw[a * width : b * width] for w, a, b in zip(part, starts, ends, strict=True)})
+        others = [w for w in new if not (w.isprintable() and w.strip(" "))]
+        for start in range(0, len(others), 20_000):
+            part = others[start : start + 20_000]
+            encoded = self.tokenizer.encode_batch_fast(list(map(self.literal, part)), add_special_tokens=False)
             self.young.update({w: np.array(e.ids, self.dtype).tobytes() for w, e in zip(part, encoded, strict=True)})
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+    @staticmethod
+    def literal(key: str) -> str:
+        return key[1:] if key[:1] == " " else " " + key
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """One array of ids a text; null counts as empty."""
@@ -77,7 +95,7 @@ class Encoder:
             unknown.update(set(words).difference(self.young))
         self.learn(list(unknown))
         get = self.young.__getitem__
-        out = [np.frombuffer(self.whole(x) if isinstance(x, str) else b"".join(map(get, x)), self.dtype) for x in split]
+        out = [self.ids(x) if isinstance(x, str) else np.frombuffer(b"".join(map(get, x)), self.dtype) for x in split]
         for word in unknown:
             if len(word) > self.LONG:
                 del self.young[word]
