@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,62 +27,92 @@ RANK_BITS = 512
 SEGMENT_TOKENS = 1 << 18
 #: A space between two white-space characters: only there can a piece of the pre-tokenizer reach over a cut at spaces.
 UNSAFE = re.compile(r"\s \s")
+#: Byte-level vocabularies write visible Latin-1 bytes as themselves and the others, in order, as the characters from U+0100.
+VISIBLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+BYTE_LEVEL = {b: 0x100 + i for i, b in enumerate(b for b in range(0x100) if b not in VISIBLE)}
+SPACE = chr(BYTE_LEVEL[0x20])
+
+
+class Words(dict):
+    """Ids of words, encoded when first asked for; an older generation is asked before.  Keys over LONG characters are not kept."""
+
+    LONG = 64
+
+    def __init__(self, encode: Callable[[str], bytes], old: dict[str, bytes]):
+        super().__init__()
+        self.encode, self.old = encode, old
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.old.get(key) or self.encode(key)
+        if len(key) <= self.LONG:
+            self[key] = found
+        return found
 
 
 class Encoder:
     """Ids of whole texts, as tokenizers' encode(text, add_special_tokens=False) gives them.
 
     The pre-tokenizer never joins a character before a single space to one after it, so the ids of a text are those of
-    its words, each with its leading space, one after the other.  The library encodes the words that aren't remembered.
-    Two generations of words are: once the younger has LIMIT of them it becomes the older, and words met again move to the
-    younger, so the common ones stay and memory is bounded; words over LONG characters are forgotten at once.  Texts where
-    a cut at spaces isn't safe, or with a special token, go to the library whole.
+    its words, each with its leading space, one after the other.  A word that isn't remembered is cut into pieces by the
+    vocabulary's published pattern, and the library's model encodes the pieces that aren't remembered either; words with
+    characters beyond PLAIN, on which Unicode versions may differ, go through the library's own pre-tokenizer.
+    Two generations of words are remembered: once the younger has LIMIT of them it becomes the older, and words met again
+    move to the younger, so the common ones stay and memory is bounded.  Texts where a cut at spaces isn't safe, or with a
+    special token, go to the library whole.
     """
 
     LIMIT = 700_000
-    LONG = 64
+    LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+    PLAIN = re.compile("[\t\n\r\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]*")
 
     def __init__(self, path: str):
+        import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.pieces = regex.compile(public_tokenizers.PATTERN).findall
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        #: Ids by what stands after a space; for the first word of a text, which has none before it, the key starts with one.
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def learn(self, words: list[str]) -> None:
-        known = self.old
-        self.young.update({w: known[w] for w in words if w in known})
-        new = [w for w in words if w not in known]
-        for start in range(0, len(new), 20_000):
-            part = new[start : start + 20_000]
-            encoded = self.tokenizer.encode_batch_fast([w[1:] if w[:1] == " " else " " + w for w in part], add_special_tokens=False)
-            self.young.update({w: np.array(e.ids, self.dtype).tobytes() for w, e in zip(part, encoded, strict=True)})
+        self.code = np.dtype(self.dtype).char
+        #: Ids by what stands after a space; for a piece or first word that has none before it, the key starts with one.
+        self.words = Words(self.word, {})
+
+    def piece(self, piece: str) -> bytes:
+        """Ids of one piece of the pre-tokenizer; the model reads its UTF-8 bytes as visible characters."""
+        tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(BYTE_LEVEL))
+        return array(self.code, [t.id for t in tokens]).tobytes()
+
+    def word(self, key: str) -> bytes:
+        """Ids of the word or piece with this key."""
+        if self.LETTERS.fullmatch(key):
+            if key.isascii():
+                return array(self.code, [t.id for t in self.model.tokenize(SPACE + key)]).tobytes()
+            return self.piece(" " + key)
+        text = key[1:] if key[:1] == " " else " " + key
+        if not self.PLAIN.fullmatch(key):
+            return self.whole(text)
+        pieces = self.pieces(text)
+        if len(pieces) == 1:
+            return self.piece(text)
+        return b"".join([self.words[p[1:] if p[0] == " " else " " + p] for p in pieces])
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def text(self, text: str | None) -> np.ndarray:
+        if not text or SPECIAL in text or UNSAFE.search(text):
+            return np.frombuffer(self.whole(text or ""), self.dtype)
+        if len(self.words) > self.LIMIT:
+            self.words.old = {}
+            self.words = Words(self.word, self.words)
+        words = text.split(" ")
+        words[0] = " " + words[0]
+        return np.frombuffer(b"".join(map(self.words.__getitem__, words)), self.dtype)
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """One array of ids a text; null counts as empty."""
-        if len(self.young) > self.LIMIT:
-            self.young, self.old = {}, self.young
-        split, unknown = [], set()
-        for text in texts:
-            if not text or SPECIAL in text or UNSAFE.search(text):
-                split.append(text or "")
-                continue
-            words = text.split(" ")
-            words[0] = " " + words[0]
-            split.append(words)
-            unknown.update(set(words).difference(self.young))
-        self.learn(list(unknown))
-        get = self.young.__getitem__
-        out = [np.frombuffer(self.whole(x) if isinstance(x, str) else b"".join(map(get, x)), self.dtype) for x in split]
-        for word in unknown:
-            if len(word) > self.LONG:
-                del self.young[word]
-        return out
+        return [self.text(t) for t in texts]
 
 
 _ENCODERS: dict[str, Encoder] = {}
