@@ -496,6 +496,14 @@ def check_prompt(spark, d):
     return V.prompts(spark, d).select("doc_id", C.check_prompt({}).alias("x")).select("doc_id", "x.*")
 
 
+V.CTE["whole_checked"] = f"facts AS (SELECT doc_id, prompt, {WORDS} AS n, regexp_matches(prompt, '[@#$%^&*_=<>{{}}\\[\\]|\\\\~]') AS bad, NOT regexp_matches(ltrim(prompt), '^\\p{{L}}') AS odd FROM prompts), verdicts AS (SELECT doc_id, CASE WHEN prompt IS NULL THEN 'skip' WHEN bad THEN 'fail' WHEN n < 10 OR n > 50 OR odd OR n < 3 THEN 'warn' ELSE 'ok' END AS status, CASE WHEN prompt IS NULL THEN 'no prompt' ELSE array_to_string(list_filter([CASE WHEN n < 10 THEN 'too few words' END, CASE WHEN n > 50 THEN 'too many words' END, CASE WHEN bad THEN 'illegal characters' END, CASE WHEN odd OR n < 3 THEN 'not a sentence' END], lambda x: x IS NOT NULL), '; ') END AS message FROM facts)"
+
+
+@query("SELECT * FROM verdicts", "whole_prompts", "whole_checked")
+def check_prompt_whole(spark, d):
+    return V.whole_prompts(spark, d).select("doc_id", C.check_prompt({}).alias("x")).select("doc_id", "x.*")
+
+
 @query("SELECT doc_id, CASE WHEN regexp_matches(name, '^src1?[0-9]/(en|de)-[0-9]{4}$') THEN 'ok' ELSE 'fail' END AS status FROM prompts", "prompts")
 def check_name(spark, d):
     return V.prompts(spark, d).select("doc_id", C.check_name({"name_pattern": "^src1?[0-9]/(en|de)-[0-9]{4}$"})["status"].alias("status"))
@@ -511,18 +519,28 @@ NAMES = "CASE WHEN regexp_matches(name, '^[A-Za-z0-9_.#-]+$') THEN 'ok' ELSE 'fa
 V.CTE["results"] = f"results AS (SELECT doc_id, 'name' AS id, {NAMES} AS status FROM prompts UNION ALL SELECT doc_id, 'duration', 'skip' FROM prompts UNION ALL SELECT doc_id, 'prompt', status FROM verdicts)"
 
 
-def results(spark, d) -> DataFrame:
-    return C.run_checks(V.prompts(spark, d).withColumn("avg_seconds", F.lit(None).cast("double")), "doc_id")
+def results(prompts: DataFrame) -> DataFrame:
+    return C.run_checks(prompts.withColumn("avg_seconds", F.lit(None).cast("double")), "doc_id")
 
 
 @query("SELECT * FROM results", "prompts", "checked", "results")
 def run_checks(spark, d):
-    return results(spark, d).select("doc_id", "id", "status")
+    return results(V.prompts(spark, d)).select("doc_id", "id", "status")
+
+
+@query("SELECT * FROM results", "whole_prompts", "whole_checked", "results")
+def run_checks_whole(spark, d):
+    return results(V.whole_prompts(spark, d)).select("doc_id", "id", "status")
 
 
 @query("SELECT doc_id, CAST(count(*) FILTER (WHERE status = 'fail') AS BIGINT) AS n_fail, CAST(count(*) FILTER (WHERE status = 'warn') AS BIGINT) AS n_warn, CASE WHEN bool_or(status = 'fail') THEN 'fail' WHEN bool_or(status = 'warn') THEN 'warn' ELSE 'ok' END AS worst, CAST(CASE WHEN bool_or(status = 'fail') THEN 200 + count(*) FILTER (WHERE status = 'fail') WHEN bool_or(status = 'warn') THEN 100 + count(*) FILTER (WHERE status = 'warn') ELSE 0 END AS BIGINT) AS sort_key FROM results GROUP BY 1", "prompts", "checked", "results")
 def check_aggregate(spark, d):
-    return C.aggregate_checks(results(spark, d), "doc_id")
+    return C.aggregate_checks(results(V.prompts(spark, d)), "doc_id")
+
+
+@query("SELECT doc_id, CAST(count(*) FILTER (WHERE status = 'fail') AS BIGINT) AS n_fail, CAST(count(*) FILTER (WHERE status = 'warn') AS BIGINT) AS n_warn, CASE WHEN bool_or(status = 'fail') THEN 'fail' WHEN bool_or(status = 'warn') THEN 'warn' ELSE 'ok' END AS worst, CAST(CASE WHEN bool_or(status = 'fail') THEN 200 + count(*) FILTER (WHERE status = 'fail') WHEN bool_or(status = 'warn') THEN 100 + count(*) FILTER (WHERE status = 'warn') ELSE 0 END AS BIGINT) AS sort_key FROM results GROUP BY 1", "whole_prompts", "whole_checked", "results")
+def check_aggregate_whole(spark, d):
+    return C.aggregate_checks(results(V.whole_prompts(spark, d)), "doc_id")
 
 
 @query("SELECT 'rule' AS kind, coalesce(rule, 'unknown') AS value, CAST(count(*) AS BIGINT) AS n FROM issues GROUP BY 2 UNION ALL SELECT 'field', coalesce(field, 'unknown'), CAST(count(*) AS BIGINT) FROM issues GROUP BY 2 UNION ALL SELECT 'episode', coalesce(CAST(episode AS VARCHAR), 'unknown'), CAST(count(*) AS BIGINT) FROM issues GROUP BY 2", "issues")
@@ -584,6 +602,13 @@ def scalar_strings(spark, d):
     return rows.select("doc_id", X.task_prefix(name).alias("prefix"), X.last_number(F.col("source")).alias("number"), X.url_base64(F.col("name")).alias("url64"), X.html_escape(F.col("p")).alias("escaped"), X.safe_name(F.col("p")).alias("safe"))
 
 
+@query("SELECT doc_id, concat(lang, '-', source) AS prefix, TRY_CAST(regexp_extract(source, '(\\d+)', 1) AS BIGINT) AS number, replace(replace(replace(trim(to_base64(encode(name)), '='), '+', '-'), '/', '_'), chr(10), '') AS url64, replace(replace(replace(replace(replace(prompt, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS escaped, coalesce(nullif(trim(regexp_replace(prompt, '[^A-Za-z0-9_.-]+', '_', 'g'), '_'), ''), 'unknown') AS safe FROM (SELECT p.*, d.lang, d.source FROM prompts p JOIN documents d ON p.doc_id = d.doc_id)", "whole_prompts")
+def scalar_strings_whole(spark, d):
+    rows = V.whole_prompts(spark, d).join(V.t(spark, d, "documents").select("doc_id", "lang", "source"), "doc_id")
+    name = F.concat(F.lit("owner/"), "lang", F.lit("-"), "source", F.lit("-0123"))
+    return rows.select("doc_id", X.task_prefix(name).alias("prefix"), X.last_number(F.col("source")).alias("number"), X.url_base64(F.col("name")).alias("url64"), X.html_escape(F.col("prompt")).alias("escaped"), X.safe_name(F.col("prompt")).alias("safe"))
+
+
 @query("SELECT p_partkey, floor(p_retailprice / 7 * 10.0 + 0.5) / 10.0 AS js, p_retailprice * 3600 / nullif(p_size, 0) AS avg_seconds, greatest(0.0, p_size - 2.0::DOUBLE) AS clip_start FROM part")
 def scalar_numbers(spark, d):
     start, _ = X.clip_window(F.col("p_size").cast("double"), F.col("p_size").cast("double") + 1, 2.0, 10.0)
