@@ -67,7 +67,8 @@ def merge(datasets: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataF
         f = f.withColumns({"episode": F.col("episode") + offset, "_d": F.lit(i)})
         t = t.withColumn("_d", F.lit(i))
         frames, tasks = (f, t) if frames is None else (frames.unionByName(f, allowMissingColumns=True), tasks.unionByName(t))
-        offset += (datasets[i][0].agg(F.max("episode")).first()[0] or -1) + 1
+        last = datasets[i][0].agg(F.max("episode")).first()[0]
+        offset += 0 if last is None else last + 1
     merged = tasks.groupBy("task").agg(F.min(F.struct("_d", "task_index")).alias("o")).withColumn("new", (F.row_number().over(Window.orderBy("o")) - 1).cast("long"))
     keys = tasks.join(merged, "task").select("_d", "task_index", "new")
     frames = frames.join(keys, ["_d", "task_index"], "left").withColumn("task_index", F.col("new")).drop("new", "_d")

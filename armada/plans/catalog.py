@@ -625,6 +625,8 @@ def scalar_vectors(spark, d):
 
 V.CTE["ops"] = "ops AS (SELECT l_orderkey AS episode, l_linenumber AS frame, CAST(l_quantity AS BIGINT) AS task_index, l_suppkey FROM lineitem), eps AS (SELECT episode, CAST(row_number() OVER (ORDER BY episode) - 1 AS BIGINT) AS place, count(*) OVER () AS n FROM (SELECT DISTINCT episode FROM ops))"
 
+V.CTE["mid"] = "mid AS (SELECT min(episode) + (max(episode) - min(episode) + 1) // 2 AS m FROM ops)"
+
 
 def ops(spark, d) -> DataFrame:
     return V.t(spark, d, "lineitem").select(F.col("l_orderkey").alias("episode"), F.col("l_linenumber").alias("frame"), F.col("l_quantity").cast("long").alias("task_index"), "l_suppkey")
@@ -661,6 +663,16 @@ def merge_datasets(spark, d):
     return E.merge([(one, tasks(["pick", "place", "push"])), (two, tasks(["place", "pull"]))])[0]
 
 
+@query("SELECT CAST(episode AS BIGINT) AS episode, frame, CAST(t AS BIGINT) AS task_index FROM (SELECT episode, frame, task_index % 3 AS t FROM ops, mid WHERE episode < m UNION ALL SELECT episode + coalesce(1 + (SELECT max(episode) FROM ops, mid WHERE episode < m), 0), frame, CASE task_index % 2 WHEN 0 THEN 1 ELSE 3 END FROM ops, mid WHERE episode >= m)", "ops", "mid")
+def merge_datasets_whole(spark, d):
+    rows = ops(spark, d).drop("l_suppkey")
+    tasks = lambda names: spark.createDataFrame([(i, n) for i, n in enumerate(names)], "task_index long, task string")
+    middle = rows.agg(F.expr("cast(min(episode) + (max(episode) - min(episode) + 1) div 2 as long)")).first()[0]
+    one = rows.where(F.col("episode") < middle).withColumn("task_index", F.col("task_index") % 3)
+    two = rows.where(F.col("episode") >= middle).withColumn("task_index", F.col("task_index") % 2)
+    return E.merge([(one, tasks(["pick", "place", "push"])), (two, tasks(["place", "pull"]))])[0]
+
+
 @query("SELECT episode, frame, CAST(1.5 AS FLOAT) AS reward, CAST(0 AS BIGINT) AS success FROM ops", "ops")
 def add_feature(spark, d):
     return E.add_feature(E.add_feature(ops(spark, d), "reward", "float32", fill=1.5), "success", "int64").drop("task_index", "l_suppkey")

@@ -1,5 +1,6 @@
 """The queries that cover whole tables, on small tables whose rows lie past the cuts of the others."""
 
+from armada.operators import edit as E
 from armada.plans.catalog import QUERIES
 
 
@@ -15,3 +16,18 @@ def test_prompts_are_whole_texts(spark, tmp_path):
     strings = {r["doc_id"]: (r["escaped"], r["safe"]) for r in run("scalar_strings_whole")}
     assert strings[60] == ("Say &quot;yes&quot; &amp; &#x27;no&#x27; to &lt;all&gt;", "Say_yes_no_to_all") and strings[61] == (None, "unknown")
     assert strings[0][0] == long + "and stop @ once" and strings[62][1] == "_".join(long.split())
+
+
+def test_merge_offsets_after_a_lone_episode(spark):
+    frames = lambda episodes: spark.createDataFrame([(e, f, 0) for e in episodes for f in (0, 1)], "episode long, frame long, task_index long")
+    tasks = spark.createDataFrame([(0, "pick")], "task_index long, task string")
+    merged, _ = E.merge([(frames([0]), tasks), (frames([]), tasks), (frames([0]), tasks), (frames([0, 1]), tasks)])
+    assert sorted((r["episode"], r["frame"]) for r in merged.collect()) == [(e, f) for e in range(4) for f in (0, 1)]
+
+
+def test_merge_covers_every_row(spark, tmp_path):
+    keys = [0, 1, 95, 4000, 9000]
+    spark.createDataFrame([(k, n, float(n), 7) for k in keys for n in (1, 2)], "l_orderkey long, l_linenumber int, l_quantity double, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows = [(r["episode"], r["frame"], r["task_index"]) for r in QUERIES["merge_datasets_whole"](spark, str(tmp_path)).collect()]
+    # below 4500, then from there, after 4000; the second dataset's tasks are place (1) and pull (3)
+    assert sorted(rows) == [(k, n, n) for k in keys[:4] for n in (1, 2)] + [(13001, 1, 3), (13001, 2, 1)]
