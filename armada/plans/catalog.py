@@ -475,6 +475,14 @@ def range_join_window(spark, d):
     return T.windows_on_frames(rows, V.frames(spark, d))
 
 
+@query("SELECT 'i' || CAST(l_orderkey AS VARCHAR) AS issue, f.episode, f.frame, f.v FROM (SELECT l_orderkey, l_orderkey % (SELECT max(user_id) + 1 FROM events) AS ep, CAST(l_linenumber * l_quantity AS BIGINT) AS n FROM lineitem) i JOIN frames f ON f.episode = i.ep AND f.frame BETWEEN i.n - 2 AND i.n + 2", "frames")
+def range_join_window_whole(spark, d):
+    users = V.t(spark, d, "events").agg((F.max("user_id") + 1).alias("users"))  # one row
+    middle = (F.col("l_linenumber") * F.col("l_quantity")).cast("long")
+    rows = V.t(spark, d, "lineitem").crossJoin(F.broadcast(users)).select(F.concat(F.lit("i"), F.col("l_orderkey").cast("string")).alias("issue"), (F.col("l_orderkey") % F.col("users")).alias("episode"), (middle - 2).alias("f_lo"), (middle + 2).alias("f_hi"))
+    return T.windows_on_frames(rows, V.frames(spark, d))
+
+
 @query("SELECT episode, CAST(min(lag) AS BIGINT) AS lag FROM (SELECT a.episode, b.frame - a.frame AS lag, corr(a.v, b.v) AS r FROM frames a JOIN frames b ON a.episode = b.episode AND b.frame - a.frame BETWEEN 1 AND 8 GROUP BY 1, 2) WHERE r < 0.1 GROUP BY 1", "frames")
 def chunk_length(spark, d):
     return T.autocorrelation_lag(V.frames(spark, d).drop("event_id"), 0.1, 8)

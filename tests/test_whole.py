@@ -1,5 +1,7 @@
 """The queries that cover whole tables, on small tables whose rows lie past the cuts of the others."""
 
+from datetime import datetime, timedelta
+
 from armada.operators import edit as E
 from armada.plans.catalog import QUERIES
 
@@ -31,3 +33,13 @@ def test_merge_covers_every_row(spark, tmp_path):
     rows = [(r["episode"], r["frame"], r["task_index"]) for r in QUERIES["merge_datasets_whole"](spark, str(tmp_path)).collect()]
     # below 4500, then from there, after 4000; the second dataset's tasks are place (1) and pull (3)
     assert sorted(rows) == [(k, n, n) for k in keys[:4] for n in (1, 2)] + [(13001, 1, 3), (13001, 2, 1)]
+
+
+def test_every_line_is_an_issue(spark, tmp_path):
+    lines = [(k, n, float(q)) for k in range(400) for n, q in ((1, 2), (3, 3), (7, 9))]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    start = datetime(2026, 1, 1)
+    events = [(u * 100 + f, start + timedelta(seconds=f), u, float(f)) for u in (0, 7, 199) for f in range(64)]
+    spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = [(r["issue"], r["episode"], r["frame"]) for r in QUERIES["range_join_window_whole"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted((f"i{k}", k % 200, f) for k, n, q in lines if k % 200 in (0, 7, 199) for f in range(64) if abs(f - n * q) <= 2)
