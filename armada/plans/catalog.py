@@ -13,6 +13,7 @@ from armada.operators import checks as C
 from armada.operators import edit as E
 from armada.operators import fleet as A
 from armada.operators import trajectory as T
+from armada.operators.order import numbered
 from armada.plans import analog as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -256,6 +257,12 @@ def table_order(spark, d):
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.col("last_modified").desc_nulls_last(), "dataset")).cast("long"))
 
 
+@query("SELECT dataset, last_modified, CAST(row_number() OVER (ORDER BY last_modified DESC NULLS LAST, dataset) AS BIGINT) AS place FROM datasets", "orders2", "datasets")
+def table_order_whole(spark, d):
+    rows = V.datasets(spark, d).select("dataset", "last_modified")
+    return numbered(rows, "last_modified", "dataset", descending=True).select("dataset", "last_modified", (F.col("place") + 1).alias("place"))
+
+
 @query("SELECT r_name AS name, CAST(coalesce(n, -1) AS BIGINT) AS sort_key FROM region LEFT JOIN (SELECT n_regionkey, count(*) AS n FROM nation WHERE n_nationkey % 5 > 1 GROUP BY 1) ON r_regionkey = n_regionkey")
 def numeric_sort_key(spark, d):
     n = V.t(spark, d, "nation").where("n_nationkey % 5 > 1").groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("n"))

@@ -3,6 +3,7 @@
 from datetime import datetime, timedelta
 
 from armada.operators import edit as E
+from armada.operators.order import numbered
 from armada.plans.catalog import QUERIES
 
 
@@ -43,3 +44,21 @@ def test_every_line_is_an_issue(spark, tmp_path):
     spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
     got = [(r["issue"], r["episode"], r["frame"]) for r in QUERIES["range_join_window_whole"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted((f"i{k}", k % 200, f) for k, n, q in lines if k % 200 in (0, 7, 199) for f in range(64) if abs(f - n * q) <= 2)
+
+
+def test_places_without_a_window_over_all(spark):
+    rows = [(f"2026-01-{i * 7 % 28 + 1:02}" if i % 9 else None, f"d{i * 37 % 500:03}") for i in range(500)]
+    table = spark.createDataFrame(rows, "day string, name string")
+    ascending = sorted(rows, key=lambda r: (r[0] or "", r[1]))
+    descending = sorted(sorted(rows, key=lambda r: r[1]), key=lambda r: r[0] or "", reverse=True)
+    for want, down in ((ascending, False), (descending, True)):
+        got = numbered(table, "day", "name", descending=down).collect()
+        assert sorted((r["place"], r["day"], r["name"]) for r in got) == [(i, *r) for i, r in enumerate(want)]
+    assert numbered(table.limit(0), "day").count() == 0
+    assert sorted(r["place"] for r in numbered(table.where("day is null"), "day", "name").collect()) == list(range(56))
+
+
+def test_every_dataset_has_a_place(spark):
+    small = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{small}/orders.parquet").select("o_custkey").distinct().count()
+    assert n > 50 and sorted(r["place"] for r in QUERIES["table_order_whole"](spark, small).collect()) == list(range(1, n + 1))
