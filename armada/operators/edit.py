@@ -11,6 +11,8 @@ import itertools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from armada.operators.order import numbered
+
 REQUIRED = ("episode", "frame", "timestamp", "index", "task_index")
 
 
@@ -24,11 +26,10 @@ def rewrite_prompts(tasks: DataFrame, replacements: dict[str, str], column: str
 def renumber(frames: DataFrame, keep: DataFrame) -> DataFrame:
     """frames of the episodes in keep, renumbered densely from 0 in their order.
 
-    The numbers come from one row an episode: an ordered range partitioning gives each episode its place in its part, and the
-    parts' counts give each part its start.
+    The numbers come from one row an episode: ordered ranges give each episode its place in its range, and the ranges' counts
+    give each range its start.
     """
-    ids = keep.select("episode").distinct()
-    places = ids.withColumn("new", F.row_number().over(Window.orderBy("episode")) - 1)
+    places = numbered(keep.select("episode").distinct(), "episode").withColumnRenamed("place", "new")
     return frames.join(places, "episode").withColumn("episode", F.col("new").cast("long")).drop("new")
 
 
@@ -41,8 +42,7 @@ def split_fraction(frames: DataFrame, parts: dict[str, float]) -> DataFrame:
     ids = frames.select("episode").distinct()
     n = ids.count()
     ends = [0] + [int(n * min(1.0, s) + 1e-9) for s in itertools.accumulate(parts.values())]
-    place = F.row_number().over(Window.orderBy("episode")) - 1
-    placed = ids.withColumn("place", place)
+    placed = numbered(ids, "episode")
     label: Column = F.lit(None).cast("string")
     start: Column = F.lit(None).cast("long")
     for (name, _), a, b in zip(parts.items(), ends[:-1], ends[1:], strict=True):

@@ -1,5 +1,6 @@
 """The queries that cover whole tables, on small tables whose rows lie past the cuts of the others."""
 
+import re
 from datetime import datetime, timedelta
 
 from armada.operators import edit as E
@@ -62,3 +63,15 @@ def test_every_dataset_has_a_place(spark):
     small = "/root/testdata/sf0.001"
     n = spark.read.parquet(f"{small}/orders.parquet").select("o_custkey").distinct().count()
     assert n > 50 and sorted(r["place"] for r in QUERIES["table_order_whole"](spark, small).collect()) == list(range(1, n + 1))
+
+
+def test_episodes_are_numbered_by_ranges(spark):
+    ids = [i * 13 % 700 for i in range(700)]
+    frames = spark.createDataFrame([(e, 0) for e in ids], "episode long, frame long")
+    gone = spark.createDataFrame([(e,) for e in ids if e % 3 == 0], "episode long")
+    rest, parts = E.delete_episodes(frames, gone), E.split_fraction(frames, {"a": 0.25, "b": 0.75})
+    for out in (rest, parts):
+        specs = re.findall(r"row_number\(\) windowspecdefinition\(([^,]*)", out._jdf.queryExecution().analyzed().toString())
+        assert specs and all(x.startswith("_range") for x in specs)
+    assert sorted(r["episode"] for r in rest.collect()) == list(range(466))
+    assert sorted((r["split"], r["episode"]) for r in parts.collect()) == [("a", i) for i in range(175)] + [("b", i) for i in range(525)]
