@@ -1,4 +1,4 @@
-"""Streams: snapshots folded as their files arrive, and tracker steps with the previous row as state."""
+"""Streams: snapshots folded as their files arrive, and events counted by window."""
 
 from __future__ import annotations
 

@@ -59,5 +59,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: Neither the trained model nor the tokenizer can be written in SQL; the stages are tested against brute force.
+#: Neither the trained model nor the tokenizer can be written in SQL; the mixing stage's rows are tested against brute force.
 ORACLE_SQL = None

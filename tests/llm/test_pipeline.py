@@ -1,6 +1,11 @@
 """The pipeline's stages on a small corpus."""
 
+import re
+from collections import Counter
+
 import corpus_pipeline as pipeline
+from armada.llm.common import WORD
+from armada.llm.mixing import mix_sources
 from tests.llm.test_operators import SCHEMA, cases
 
 
@@ -19,3 +24,16 @@ def test_stages(spark, tmp_path):
     assert mixed.columns == docs.columns
     out = pipeline.run(spark, str(tmp_path))
     assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(out.columns) and out.count() > 0
+
+
+def test_mixed_rows_equal_brute_force(spark):
+    docs = spark.createDataFrame(cases(), SCHEMA)
+    amounts = {r["doc_id"]: r["taken"] for r in mix_sources(docs).collect()}
+    want = []
+    for row in cases():
+        words, rest = re.findall(WORD, row[1] or ""), amounts[row[0]]
+        while rest > 0:
+            text = row[1] if rest >= len(words) else " ".join(words[:rest])
+            want.append((row[0], text, *row[2:4], len(text), *row[5:]))
+            rest -= len(words)
+    assert len(want) > 0 and Counter(map(tuple, pipeline.mix(spark, docs, "").collect())) == Counter(want)
