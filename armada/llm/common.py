@@ -25,14 +25,18 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where that is unset (tests) one of our own."""
+    """The folder all executors share: spark.checkpoint.dir.  Where it is unset, a local session gets one of its own; on a
+    cluster, where no local folder is shared, that is an error."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir")
     if found is None:
         current = sc._jsc.sc().getCheckpointDir()
-        found = current.get() if current.isDefined() else "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        if not current.isDefined():
-            sc.setCheckpointDir(found)
+        if current.isDefined():
+            return current.get()
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        sc.setCheckpointDir(found)
     return found
 
 
@@ -41,9 +45,10 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read back, so that a lost executor costs no recomputation."""
+    """Cut the lineage: write to the shared folder and read back, so that a lost executor costs no recomputation.  Row groups
+    are small, as a task holds one in memory.  The files stay with the folder, which belongs to the run."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", 32 << 20).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -68,7 +73,7 @@ def range_index(key: str, bounds: list[int]):
 class WordHashes(dict):
     """64-bit hash of a word, remembered; forgets all once it holds too many words, so memory is bounded."""
 
-    LIMIT = 400_000
+    LIMIT = 50_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from codecs import charmap_decode
 from array import array
 from collections.abc import Callable, Iterator
 
@@ -29,12 +30,17 @@ SEGMENT_TOKENS = 1 << 18
 UNSAFE = re.compile(r"\s \s")
 #: Byte-level vocabularies write visible Latin-1 bytes as themselves and the others, in order, as the characters from U+0100.
 VISIBLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-BYTE_LEVEL = {b: 0x100 + i for i, b in enumerate(b for b in range(0x100) if b not in VISIBLE)}
-SPACE = chr(BYTE_LEVEL[0x20])
+HIDDEN = [b for b in range(0x100) if b not in VISIBLE]
+BYTE_LEVEL = "".join(chr(b if b in VISIBLE else 0x100 + HIDDEN.index(b)) for b in range(0x100))
+#: Letters on which all Unicode versions agree, and the characters of texts that are cut into pieces here.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+PLAIN = re.compile(rf"[\t\n\r\x20-\x7e{LETTERS}]*")
+#: The vocabulary's published pattern, for plain texts.
+PIECE = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+")
 
 
-class Words(dict):
-    """Ids of words, encoded when first asked for; an older generation is asked before.  Keys over LONG characters are not kept."""
+class Pieces(dict):
+    """Ids of pieces, encoded when first asked for; an older generation is asked before.  Keys over LONG characters are not kept."""
 
     LONG = 64
 
@@ -52,63 +58,50 @@ class Words(dict):
 class Encoder:
     """Ids of whole texts, as tokenizers' encode(text, add_special_tokens=False) gives them.
 
-    The pre-tokenizer never joins a character before a single space to one after it, so the ids of a text are those of
-    its words, each with its leading space, one after the other.  A word that isn't remembered is cut into pieces by the
-    vocabulary's published pattern, and the library's model encodes the pieces that aren't remembered either; words with
-    characters beyond PLAIN, on which Unicode versions may differ, go through the library's own pre-tokenizer.
-    Two generations of words are remembered: once the younger has LIMIT of them it becomes the older, and words met again
-    move to the younger, so the common ones stay and memory is bounded.  Texts where a cut at spaces isn't safe, or with a
-    special token, go to the library whole.
+    A text of plain characters is cut into pieces by the vocabulary's published pattern, and the library's model encodes
+    the pieces that aren't remembered.  In other texts the words with characters beyond PLAIN, on which Unicode versions may
+    differ, go through the library's own pre-tokenizer; a word takes its leading space along, as no piece joins a character
+    before a single space to one after it.  Where a cut at spaces isn't safe, or with a special token, the text goes to the
+    library whole.  Two generations of pieces are remembered: once the younger has LIMIT of them it becomes the older, and
+    pieces met again move to the younger, so the common ones stay and memory is bounded.
     """
 
-    LIMIT = 700_000
-    LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
-    PLAIN = re.compile("[\t\n\r\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]*")
+    LIMIT = 200_000
 
     def __init__(self, path: str):
-        import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.pieces = regex.compile(public_tokenizers.PATTERN).findall
+        self.tokenize = self.tokenizer.model.tokenize
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.code = np.dtype(self.dtype).char
-        #: Ids by what stands after a space; for a piece or first word that has none before it, the key starts with one.
-        self.words = Words(self.word, {})
+        self.pieces = Pieces(self.piece, {})
 
     def piece(self, piece: str) -> bytes:
         """Ids of one piece of the pre-tokenizer; the model reads its UTF-8 bytes as visible characters."""
-        tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(BYTE_LEVEL))
-        return array(self.code, [t.id for t in tokens]).tobytes()
-
-    def word(self, key: str) -> bytes:
-        """Ids of the word or piece with this key."""
-        if self.LETTERS.fullmatch(key):
-            if key.isascii():
-                return array(self.code, [t.id for t in self.model.tokenize(SPACE + key)]).tobytes()
-            return self.piece(" " + key)
-        text = key[1:] if key[:1] == " " else " " + key
-        if not self.PLAIN.fullmatch(key):
-            return self.whole(text)
-        pieces = self.pieces(text)
-        if len(pieces) == 1:
-            return self.piece(text)
-        return b"".join([self.words[p[1:] if p[0] == " " else " " + p] for p in pieces])
+        return array(self.code, [t.id for t in self.tokenize(charmap_decode(piece.encode(), "strict", BYTE_LEVEL)[0])]).tobytes()
+
+    def plain(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, PIECE.findall(text)))
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def text(self, text: str | None) -> np.ndarray:
-        if not text or SPECIAL in text or UNSAFE.search(text):
-            return np.frombuffer(self.whole(text or ""), self.dtype)
-        if len(self.words) > self.LIMIT:
-            self.words.old = {}
-            self.words = Words(self.word, self.words)
-        words = text.split(" ")
-        words[0] = " " + words[0]
-        return np.frombuffer(b"".join(map(self.words.__getitem__, words)), self.dtype)
+        if len(self.pieces) > self.LIMIT:
+            self.pieces.old = {}
+            self.pieces = Pieces(self.piece, self.pieces)
+        if not text or SPECIAL in text:
+            found = self.whole(text or "")
+        elif PLAIN.fullmatch(text):
+            found = self.plain(text)
+        elif UNSAFE.search(text):
+            found = self.whole(text)
+        else:
+            words = [" " + w for w in text.split(" ")]
+            words[0] = words[0][1:]
+            found = b"".join([self.plain(w) if PLAIN.fullmatch(w) else self.whole(w) for w in words])
+        return np.frombuffer(found, self.dtype)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """One array of ids a text; null counts as empty."""
