@@ -55,31 +55,36 @@ def apportion(rows: DataFrame, group: list[str], key: str, weight: str, seats: s
     return rows.join(won, [*group, key], "left").withColumn(name, F.coalesce(name, F.lit(0)))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, block_words: int = 64, shard_words: int = 1 << 17, max_shards: int = 4096, seed: str = "mix") -> DataFrame:
-    """Per document of docs (doc_id, text, source): doc_id, size, source_size, target, taken.
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, block_words: int = 64, shard_words: int = 1 << 17, max_shards: int = 4096, seed: str = "mix", carry: str | None = None) -> DataFrame:
+    """Per document of docs (doc_id, text, source): doc_id, size, source_size, target, taken; also the column carry, if named.
 
     A null text has size 0; a null source is a source of its own, last in order.  Repeated rows count each; no rows give
-    none; other columns are ignored.  A hot source is spread over its shards (at most max_shards).  Same rows and seed: same
-    result, whatever the partitioning.
+    none; other columns are ignored.  A block has block_words words, but at most a 64th of the smallest target (one word at
+    least), so that small sources come near theirs too.  A hot source is spread over its shards (at most max_shards, which
+    bounds the rows of one window; a shard's documents are numbers here, not texts).  Same rows and seed: same result,
+    whatever the partitioning.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = stash(docs.select("doc_id", "source", size.alias("size")), "mix-sizes")  # texts are read once
+    own = [F.col(carry).alias("carried")] if carry else []
+    sized = stash(docs.select("doc_id", "source", size.alias("size"), F.xxhash64("text").alias("of_text"), *own), "mix-sizes")  # texts are read once
     sources = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
-    sources = sources.withColumns({"all": F.lit(0), "seats": F.round(F.col("total") / block_words).cast("long")})
+    least = F.min(F.when(F.col("target") > 0, F.col("target"))).over(Window.partitionBy())  # one row a source
+    sources = sources.withColumn("block", F.coalesce(F.least(F.lit(block_words), F.greatest(F.lit(1), F.floor(least / 64))), F.lit(1)).cast("long"))
+    sources = sources.withColumns({"all": F.lit(0), "seats": F.round(F.col("total") / F.col("block")).cast("long")})
     sources = apportion(sources, ["all"], "source_no", "target", "seats", "blocks").withColumn("shards", F.least(F.lit(max_shards), F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))))
-    sources = stash(sources.select("source", "source_no", "source_size", "target", "blocks", "shards"), "mix-sources")
+    sources = stash(sources.select("source", "source_no", "source_size", "target", "block", "blocks", "shards"), "mix-sources")
 
     rows = sized.join(sources.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).withColumn("place", seeded(seed, F.col("doc_id"))).withColumn("shard", F.pmod("place", "shards"))
-    cells = rows.groupBy("source_no", "shard").agg(F.sum("size").alias("words"), F.first("blocks").alias("seats"))
+    cells = rows.groupBy("source_no", "shard").agg(F.sum("size").alias("words"), F.first("blocks").alias("seats"), F.first("block").alias("block"))
     cells = apportion(cells, ["source_no"], "shard", "words", "seats", "quota")
-    given = F.least(F.col("quota") * block_words, F.lit(cap) * F.col("words"))
+    given = F.least(F.col("quota") * F.col("block"), F.lit(cap) * F.col("words"))
     cells = cells.select("source_no", "shard", F.try_divide(given - F.try_mod(given, F.col("words")), "words").cast("long").alias("passes"), F.try_mod(given, F.col("words")).alias("rest"))
 
-    line = Window.partitionBy("source_no", "shard").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    line = Window.partitionBy("source_no", "shard").orderBy("place", "doc_id", "size", "of_text").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("start", F.coalesce(F.sum("size").over(line), F.lit(0))).join(cells, ["source_no", "shard"], "left")
     part = F.greatest(F.lit(0), F.least(F.col("start") + F.col("size"), F.col("rest")) - F.col("start"))
     taken = F.when(F.col("size") > 0, F.col("passes") * F.col("size") + part).otherwise(0)
-    return placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), *([F.col("carried").alias(carry)] if carry else []))
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

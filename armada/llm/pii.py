@@ -123,17 +123,19 @@ def reliabilities(counts: dict[tuple[int, ...], float], rounds: int = 40) -> tup
     rates: list[dict] = []
     for _ in range(rounds):
         yes = {p: counts[p] * post[p] for p in counts}
-        n1, n = sum(yes.values()) + 1, sum(counts.values()) + 2
+        n1, n = sum(yes.values()), sum(counts.values())
         rates = []
         for j in range(len(LABELERS)):
             rate = {}
             for vote in (-1, 0, 1):
-                one = sum(v for p, v in yes.items() if p[j] == vote) + (1.2 if vote > 0 else 0.8)
-                every = sum(v for p, v in counts.items() if p[j] == vote) + 2
-                rate[vote] = ((every - one) / (n - n1 + 3), one / (n1 + 3))
+                # one made-up candidate of each class a labeler, who leans to the right vote: rates sum to 1
+                one = sum(v for p, v in yes.items() if p[j] == vote)
+                every = sum(v for p, v in counts.items() if p[j] == vote)
+                lean = {1: 0.4, 0: 0.35, -1: 0.25}
+                rate[vote] = ((every - one + lean[-vote]) / (n - n1 + 1), (one + lean[vote]) / (n1 + 1))
             rates.append(rate)
         for p in counts:
-            odds = math.log(n1 / (n - n1)) + sum(math.log(rates[j][v][1] / rates[j][v][0]) for j, v in enumerate(p))
+            odds = math.log((n1 + 1) / (n - n1 + 1)) + sum(math.log(rates[j][v][1] / rates[j][v][0]) for j, v in enumerate(p))
             post[p] = 1 / (1 + math.exp(-max(-30, min(30, odds))))
     return post, rates
 
@@ -196,18 +198,22 @@ def find_spans(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span found in text replaced by its kind in angle brackets; all columns stay, n_chars if there is one
-    follows the text.  Null texts stay null."""
-    odds = classifier(docs.select(F.explode(candidates(F.col("text"))).alias("x")).select("x.*"))
-    spans = F.array_sort(F.transform(decide(candidates(F.col("text")), odds), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    follows the text.  Null texts stay null.  Rows are written to the shared folder with their candidates, which are found
+    once, in a struct of their own, so no column name clashes."""
+    seen = stash(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), candidates(F.col("text")).alias("found")), "pii-rows")
+    odds = classifier(seen.select(F.explode("found").alias("x")).select("x.*"))
+    spans = F.array_sort(F.transform(decide(F.col("found"), odds), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
     names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
+    text = F.col("row.text")
 
     def step(acc: Column, x: Column) -> Column:
-        more = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, x["start"] - acc["at"]), F.element_at(names, x["kind"] + 1))
+        more = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.element_at(names, x["kind"] + 1))
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] >= acc["at"], more).otherwise(acc["out"]).alias("out"))
 
-    clean = F.aggregate(F.col("_spans"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    out = docs.withColumn("_spans", spans).withColumn("text", F.when(F.size("_spans") > 0, clean).otherwise(F.col("text"))).drop("_spans")
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    clean = F.aggregate(F.col("spans"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    out = seen.select("row", spans.alias("spans")).select("row", F.when(F.size("spans") > 0, clean).otherwise(text).alias("clean"))
+    own = {"text": F.col("clean"), **({"n_chars": F.length("clean").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})}
+    return out.select(*[own.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,38 +14,40 @@ from armada.llm.toxicity import keep_clean, train
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects (score 0.5 or more) go."""
+    """Documents that the toxicity model rejects (score 0.5 or more) go.  Null and empty texts stay unless labels say that
+    texts without any term are toxic; no documents give none."""
     return keep_clean(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of copies and near copies the document with the smallest doc_id stays; rows without doc_id stay."""
-    kept = similar_texts(docs).where("doc_id = class_id").select("doc_id").distinct()
+    """Of each class of copies and near copies the document with the smallest doc_id stays.  Rows that share a doc_id and a
+    text count once, whichever of them; rows without doc_id stay."""
+    kept = stash(similar_texts(docs).where("doc_id = class_id").select("doc_id").distinct(), "kept")
     named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return named.unionByName(docs.where("doc_id is null"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans of personal data give way to the name of their kind."""
+    """Spans of personal data give way to the name of their kind.  Every row stays, null and empty texts as they are."""
     return redact(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the amount the mix takes of each: left out, whole, repeated, or, at the end of a shard's quota, cut to
-    their first words.  Rows that share a doc_id are taken alike."""
-    taken = mix_sources(docs).groupBy("doc_id").agg(F.max("size").alias("_size"), F.max("taken").alias("_taken")).where("_taken > 0").withColumnRenamed("doc_id", "_id")
-    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
-    rows = rows.withColumn("_rest", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("_taken") - 1, "_size"), lambda before: F.col("_taken") - before)))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("_rest").cast("int")), " ")
-    text = F.when(F.col("_rest") < F.col("_size"), cut).otherwise(F.col("text"))
-    out = rows.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    their first words.  Every row is numbered and written first, so rows that share a doc_id or have none are taken each by
+    its own amount, and no column name clashes.  Rows without words are left out; no rows give none."""
+    number = F.monotonically_increasing_id()
+    rows = stash(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), number.alias("number")), "mix-rows")
+    taken = mix_sources(rows.select("row.doc_id", "row.text", "row.source", "number"), carry="number").where("taken > 0").select("number", "size", "taken")
+    met = rows.join(taken, "number").withColumn("rest", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("taken") - 1, "size"), lambda before: F.col("taken") - before)))
+    cut = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(WORD), F.lit(0)), 1, F.col("rest").cast("int")), " ")
+    met = met.select("row", F.when(F.col("rest") < F.col("size"), cut).otherwise(F.col("row.text")).alias("clean"))
+    own = {"text": F.col("clean"), **({"n_chars": F.length("clean").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})}
+    return met.select(*[own.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of training sequences."""
+    """Pieces of training sequences, one row a piece; a null or empty text is its end id alone, no documents give none."""
     return pack_documents(docs)
 
 
@@ -53,6 +55,8 @@ STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), (
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole documents table, each on the written rows of the one before.  Extra columns of documents pass
+    through all stages but the last; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stash(stage(spark, docs, sf_dir), f"pipeline-{name}")
