@@ -23,7 +23,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each class of copies and near copies the document with the smallest doc_id stays.  Rows that share a doc_id and a
     text count once, whichever of them; rows without doc_id stay."""
     kept = stash(similar_texts(docs).where("doc_id = class_id").select("doc_id").distinct(), "kept")
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    named = docs.where("doc_id is not null").join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return named.unionByName(docs.where("doc_id is null"))
 
 
