@@ -25,7 +25,8 @@ def verdict(status: Column, message: Column) -> Column:
 
 @register("name", "Name format", "metadata")
 def check_name(cfg: dict) -> Column:
-    name, fine = F.col("name"), F.col("name").rlike(cfg.get("name_pattern", r"^[A-Za-z0-9_.#-]+$"))
+    """owner/prefix, verb and nouns joined by hyphens, and four digits; a fleet's own owner and prefix are settings."""
+    name, fine = F.col("name"), F.col("name").rlike(cfg.get("name_pattern", r"^[A-Za-z0-9._-]+/[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*-[0-9]{4}$"))
     empty = name.isNull() | (name == "")
     return verdict(F.when(empty, "skip").when(fine, "ok").otherwise("fail"), F.when(empty, "no name").when(fine, "").otherwise("name does not match"))
 
@@ -36,15 +37,19 @@ def check_duration(cfg: dict) -> Column:
     return verdict(F.when(x.isNull(), "skip").when(x.between(lo, hi), "ok").otherwise("fail"), F.when(x.isNull(), "no episodes").when(x < lo, "too short").when(x > hi, "too long").otherwise(""))
 
 
-def prompt_findings(text: Column, least: int = 10, most: int = 50, illegal: str = "@#$%^&*_=<>{}[]|\\~") -> Column:
+#: The characters that a prompt must not hold.
+ILLEGAL = "_-，。、；：？！（）“”‘’《》—·"
+
+
+def prompt_findings(text: Column, least: int = 10, most: int = 50, illegal: str = ILLEGAL) -> Column:
     """Findings over one prompt: array of (severity, message)."""
-    words = F.size(F.filter(F.split(F.trim(text), r"(?U)\s+"), lambda w: w != ""))
+    words = F.size(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""))
     bad = F.array(*[F.lit(c) for c in illegal])
     rules = [
         (words < least, "warn", "too few words"),
         (words > most, "warn", "too many words"),
         (F.exists(bad, lambda c: F.contains(text, c)), "fail", "illegal characters"),
-        (~F.ltrim(text).rlike(r"^\p{L}") | (words < 3), "warn", "not a sentence"),
+        (~text.rlike(r"(?U)^\s*\p{L}") | (words < 3), "warn", "not a sentence"),
     ]
     return F.array_compact(F.array(*[F.when(rule, F.struct(F.lit(s).alias("severity"), F.lit(m).alias("message"))) for rule, s, m in rules]))
 
@@ -60,6 +65,42 @@ def check_prompt(cfg: dict) -> Column:
     return verdict(F.when(empty, "skip").otherwise(worst(F.transform(found, lambda x: x["severity"]))), F.when(empty, "no prompt").otherwise(F.array_join(F.transform(found, lambda x: x["message"]), "; ")))
 
 
+def check_tasks(tasks: Column) -> Column:
+    """The prompt check of a dataset over all its tasks, an array of (index, task): struct of status, message and details, one
+    line a finding with the task's index.  A null task counts as empty; no tasks at all: skipped."""
+    lines = F.flatten(F.transform(tasks, lambda t: F.transform(prompt_findings(F.coalesce(t["task"], F.lit(""))), lambda x: F.struct(x["severity"].alias("severity"), F.concat(F.lit("["), F.coalesce(t["index"].cast("string"), F.lit("?")), F.lit("] "), x["message"]).alias("line")))))
+    none = tasks.isNull() | (F.size(tasks) == 0)
+    status = F.when(none, "skip").otherwise(worst(F.transform(lines, lambda x: x["severity"])))
+    message = F.when(none, "no prompt").when(F.size(lines) == 0, "").otherwise(F.concat(F.size(lines).cast("string"), F.lit(" to improve")))
+    return F.struct(status.alias("status"), message.alias("message"), F.when(none, F.array().cast("array<string>")).otherwise(F.transform(lines, lambda x: x["line"])).alias("details"))
+
+
+@register("local_quality", "Episodes", "local_quality")
+def check_local_quality(cfg: dict) -> Column:
+    """Verdict over a dataset's issues, an array of (severity, message, episode, start_sec, end_sec, frame, field): actionable
+    ones decide; with only skipped ones the first says why; none is fine."""
+    issues = F.col("issues")
+    live = F.filter(issues, lambda x: x["severity"].isin("warn", "fail"))
+    skipped = F.filter(issues, lambda x: x["severity"] == "skip")
+    status = F.when(F.size(live) > 0, worst(F.transform(live, lambda x: x["severity"]))).when(F.size(skipped) > 0, "skip").otherwise("ok")
+    message = F.when(F.size(live) > 0, F.concat(F.size(live).cast("string"), F.lit(" episode issues"))).when(F.size(skipped) > 0, F.get(skipped, 0)["message"]).otherwise("")
+    return verdict(status, message)
+
+
+def issue_line(x: Column) -> Column:
+    """One line for an issue: episode, window (else frame) and field that are known, then its message."""
+    window = F.format_string("%.3fs-%.3fs", x["start_sec"], x["end_sec"])
+    place = F.when(x["start_sec"].isNotNull() & x["end_sec"].isNotNull(), window).otherwise(F.concat(F.lit("frame "), x["frame"].cast("string")))
+    head = F.concat_ws(" / ", F.concat(F.lit("episode "), x["episode"].cast("string")), place, x["field"])
+    return F.when(head == "", x["message"]).otherwise(F.concat(head, F.lit(": "), x["message"]))
+
+
+def integrity_issues(info: DataFrame) -> DataFrame:
+    """Rows of info (total_episodes, total_frames, fps, has_stats) with integrity: what the metadata lack, as an array."""
+    lacks = [(F.coalesce(F.col(c), F.lit(0)) == 0, f"info lacks {c}") for c in ("total_episodes", "total_frames", "fps")] + [(~F.coalesce("has_stats", F.lit(False)), "no statistics")]
+    return info.withColumn("integrity", F.array_compact(F.array(*[F.when(rule, F.lit(m)) for rule, m in lacks])))
+
+
 def run_checks(rows: DataFrame, key: str, providers: tuple[str, ...] = ("metadata",), cfg: dict | None = None) -> DataFrame:
     """Long form of all checks of the providers: key, id, status, message.  One pass; a check that a row's data can't answer
     is skipped by its own expression."""

@@ -59,9 +59,29 @@ def daily_series(snapshots: DataFrame) -> DataFrame:
 def baseline(snapshots: DataFrame, current: DataFrame) -> DataFrame:
     """For each current snapshot (org, date) the last row of the history with an earlier date of the same org, if any.
     A null org in current matches any, a null org in the history is matched by all."""
-    on = (F.col("h.date") < F.col("c.date")) & (F.col("h.org").isNull() | F.col("c.org").isNull() | (F.col("h.org") == F.col("c.org")))
-    joined = current.alias("c").join(snapshots.alias("h"), on, "left")
-    return joined.groupBy("c.org", "c.date").agg(F.max_by(F.struct("h.pulled_at", "h.date", "h.episodes"), "h.ord").alias("x")).select("org", "date", F.col("x.pulled_at").alias("base_pulled_at"), F.col("x.date").alias("base_date"), F.col("x.episodes").alias("base_episodes"))
+    kept = [c for c in ("pulled_at", "date", "episodes", "hours") if c in snapshots.columns]
+    days = snapshots.groupBy("org", "date").agg(F.max(F.struct("ord", *kept)).alias("_last"))
+    none = F.lit(None).cast(days.schema["_last"].dataType)
+    asked = current.select("org", "date").distinct()
+
+    def before(history: DataFrame, keys: list[str], name: str) -> DataFrame:
+        """The last row of the days before each day: an as-of window over one row a key and day."""
+        line = Window.partitionBy(*keys).orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
+        every = history.select(*keys, "date", "_last").unionByName(asked.select(*keys, "date", none.alias("_last"))).groupBy(*keys, "date").agg(F.max("_last").alias("_last"))
+        return every.select(*keys, "date", F.max("_last").over(line).alias(name))
+
+    own = before(days.where("org is not null"), ["org"], "_own")
+    free, every = before(days.where("org is null"), [], "_free"), before(days, [], "_every")  # one row a day
+    out = asked.join(own, ["org", "date"], "left").join(free, "date", "left").join(every, "date", "left")
+    base = F.when(F.col("org").isNull(), F.col("_every")).otherwise(F.greatest("_own", "_free"))
+    return out.withColumn("_x", base).select("org", "date", *[F.col(f"_x.{c}").alias(f"base_{c}") for c in kept])
+
+
+def aggregate_deltas(current: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Growth of each current snapshot (org, date, hours, episodes) against its baseline; without one its whole totals."""
+    base = baseline(snapshots, current).select(F.col("org").alias("_org"), F.col("date").alias("_date"), "base_hours", "base_episodes")
+    out = current.join(base, F.col("org").eqNullSafe(F.col("_org")) & F.col("date").eqNullSafe(F.col("_date")), "left")
+    return out.select("org", "date", (or_zero(F.col("hours")) - or_zero(F.col("base_hours"))).cast(HOURS).alias("d_hours"), (or_zero(F.col("episodes")) - or_zero(F.col("base_episodes"))).alias("d_episodes"))
 
 
 def dataset_deltas(current: DataFrame, previous: DataFrame, has_details: bool = True) -> DataFrame:
@@ -84,9 +104,12 @@ def deltas_with_cache(datasets: DataFrame, deltas: DataFrame, cache: DataFrame)
 
 
 def group_growth(rows: DataFrame) -> DataFrame:
-    """Positive growth by date and group with the count of datasets."""
-    grown = rows.groupBy("date", or_dash(F.col("group")).alias("group")).agg(F.sum("hours").cast(HOURS).alias("hours"), F.sum("episodes").alias("episodes"), F.count(F.lit(1)).alias("datasets"))
-    return grown.where("hours > 0 or episodes > 0")
+    """Positive growth by date and group with the count of datasets that grew, in hours, episodes or, where rows have them,
+    frames; what shrank counts as 0."""
+    rows = rows.withColumns({"hours": F.greatest(F.lit(0).cast(HOURS), F.col("hours")), "episodes": F.greatest(F.lit(0), F.col("episodes"))})
+    grew = (F.col("hours") > 0) | (F.col("episodes") > 0)
+    rows = rows.where((grew | (F.col("frames") > 0)) if "frames" in rows.columns else grew)
+    return rows.groupBy("date", or_dash(F.col("group")).alias("group")).agg(F.sum("hours").cast(HOURS).alias("hours"), F.sum("episodes").alias("episodes"), F.count(F.lit(1)).alias("datasets"))
 
 
 def daily_group_growth(details: DataFrame) -> DataFrame:

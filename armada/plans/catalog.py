@@ -137,14 +137,13 @@ def daily_series(spark, d):
 @query("SELECT c.org, c.date, arg_max(h.pulled_at, h.ord) AS base_pulled_at, arg_max(h.date, h.ord) AS base_date, arg_max(h.episodes, h.ord) AS base_episodes FROM snaps c LEFT JOIN snaps h ON h.date < c.date AND h.org = c.org GROUP BY 1, 2", *SNAPS)
 def baseline_pick(spark, d):
     s = V.snapshots(spark, d)
-    return A.baseline(s, s.select("org", "date"))
+    return A.baseline(s.drop("hours"), s.select("org", "date"))
 
 
-@query("SELECT org, max(date) AS date, CAST(max(hours) - max(hours) FILTER (WHERE date < '2001-01') AS DECIMAL(18,2)) AS d_hours, CAST(max(episodes) - max(episodes) FILTER (WHERE date < '2001-01') AS BIGINT) AS d_episodes FROM snaps GROUP BY 1", *SNAPS)
+@query("SELECT c.org, c.date, CAST(c.hours - coalesce(arg_max(h.hours, h.ord), 0) AS DECIMAL(18,2)) AS d_hours, CAST(c.episodes - coalesce(arg_max(h.episodes, h.ord), 0) AS BIGINT) AS d_episodes FROM snaps c LEFT JOIN snaps h ON h.date < c.date AND h.org = c.org GROUP BY c.org, c.date, c.hours, c.episodes", *SNAPS)
 def aggregate_deltas(spark, d):
     s = V.snapshots(spark, d)
-    now, then = A.latest_per(s, ["org"], "ord"), A.latest_per(s.where("date < '2001-01'"), ["org"], "ord").select("org", F.col("hours").alias("_h"), F.col("episodes").alias("_e"))
-    return now.join(then, "org", "left").select("org", "date", (F.col("hours") - F.col("_h")).cast(A.HOURS).alias("d_hours"), (F.col("episodes") - F.col("_e")).alias("d_episodes"))
+    return A.aggregate_deltas(s, s)
 
 
 SPLIT = "2001-01-01"
@@ -183,7 +182,7 @@ def delta_with_cache_fallback(spark, d):
     return resolved(spark, d)
 
 
-GROWN = "SELECT date, \"group\", CAST(sum(hours) AS DECIMAL(18,2)) AS hours, CAST(sum(episodes) AS BIGINT) AS episodes, CAST(count(*) AS BIGINT) AS datasets FROM resolved GROUP BY 1, 2 HAVING sum(hours) > 0 OR sum(episodes) > 0"
+GROWN = "SELECT date, \"group\", CAST(sum(greatest(0, hours)) AS DECIMAL(18,2)) AS hours, CAST(sum(greatest(0, episodes)) AS BIGINT) AS episodes, CAST(count(*) AS BIGINT) AS datasets FROM resolved WHERE hours > 0 OR episodes > 0 GROUP BY 1, 2"
 
 
 @query(GROWN, *RESOLVED)
@@ -196,7 +195,7 @@ def authority_totals(spark, d):
     return A.group_growth(resolved(spark, d)).agg(F.sum("hours").cast(A.HOURS).alias("hours"), F.sum("episodes").alias("episodes"), F.sum("datasets").alias("datasets"))
 
 
-@query("SELECT substr(s.last_modified, 1, 7) AS date, s.segment AS \"group\", CAST(sum(d.d_hours) AS DECIMAL(18,2)) AS hours, CAST(sum(d.d_episodes) AS BIGINT) AS episodes, CAST(count(*) AS BIGINT) AS datasets FROM datasets s JOIN deltas d ON s.dataset = d.dataset GROUP BY 1, 2 HAVING sum(d.d_hours) > 0 OR sum(d.d_episodes) > 0", "orders2", "datasets", "changes", "state")
+@query("SELECT substr(s.last_modified, 1, 7) AS date, s.segment AS \"group\", CAST(sum(greatest(0, d.d_hours)) AS DECIMAL(18,2)) AS hours, CAST(sum(greatest(0, d.d_episodes)) AS BIGINT) AS episodes, CAST(count(*) AS BIGINT) AS datasets FROM datasets s JOIN deltas d ON s.dataset = d.dataset WHERE d.d_hours > 0 OR d.d_episodes > 0 GROUP BY 1, 2", "orders2", "datasets", "changes", "state")
 def delta_groups(spark, d):
     rows = V.datasets(spark, d).select("dataset", F.substring("last_modified", 1, 7).alias("date"), F.col("segment").alias("group")).join(dataset_deltas(spark, d), "dataset")
     return A.group_growth(rows.select("dataset", "date", "group", F.col("d_hours").alias("hours"), F.col("d_episodes").alias("episodes")))
@@ -210,7 +209,7 @@ def details(spark, d) -> DataFrame:
     return V.changes(spark, d).groupBy("dataset", F.substring("changed_at", 1, 4).alias("date"), F.col("segment").alias("group")).agg(F.max("episodes").alias("episodes"), F.max("hours").alias("hours"))
 
 
-@query("SELECT a.date, a.\"group\", CAST(sum(greatest(0, a.hours - coalesce(b.hours, 0))) AS DECIMAL(18,2)) AS hours, CAST(sum(greatest(0, a.episodes - coalesce(b.episodes, 0))) AS BIGINT) AS episodes, CAST(count(*) AS BIGINT) AS datasets FROM details a LEFT JOIN details b ON a.dataset = b.dataset AND CAST(b.date AS INT) = CAST(a.date AS INT) - 1 GROUP BY 1, 2 HAVING sum(greatest(0, a.hours - coalesce(b.hours, 0))) > 0 OR sum(greatest(0, a.episodes - coalesce(b.episodes, 0))) > 0", *CHANGES, "details")
+@query("SELECT a.date, a.\"group\", CAST(sum(greatest(0, a.hours - coalesce(b.hours, 0))) AS DECIMAL(18,2)) AS hours, CAST(sum(greatest(0, a.episodes - coalesce(b.episodes, 0))) AS BIGINT) AS episodes, CAST(count(*) AS BIGINT) AS datasets FROM details a LEFT JOIN details b ON a.dataset = b.dataset AND CAST(b.date AS INT) = CAST(a.date AS INT) - 1 WHERE a.hours > coalesce(b.hours, 0) OR a.episodes > coalesce(b.episodes, 0) GROUP BY 1, 2", *CHANGES, "details")
 def daily_group_growth(spark, d):
     return A.daily_group_growth(details(spark, d))
 
@@ -462,11 +461,11 @@ def blur_runs(spark, d):
     return T.blur_runs(rows, 10.0, 90.0, 25.0, 0.12, 2)
 
 
-HIST = "len AS (SELECT count(*) / 30.0::DOUBLE AS s FROM events GROUP BY user_id), ranks AS (SELECT s, row_number() OVER (ORDER BY s) - 1 AS i, count(*) OVER () AS n FROM len), p AS (SELECT max(s) FILTER (WHERE i = floor(0.01 * n)) AS p1, max(s) FILTER (WHERE i = ceil(0.99 * n) - 1) AS p99, max(n) AS n FROM ranks), w AS (SELECT *, greatest(p99 - p1, 1e-9) / least(50, greatest(10, ceil(log2(n) + 1))) AS raw FROM p), u AS (SELECT *, pow(10, floor(log10(raw))) AS unit FROM w), wd AS (SELECT p1, p99, unit * CASE WHEN raw / unit <= 1 THEN 1 WHEN raw / unit <= 2 THEN 2 WHEN raw / unit <= 2.5 THEN 2.5 WHEN raw / unit <= 5 THEN 5 ELSE 10 END AS width FROM u), sc AS (SELECT width, CAST(floor(p1 / width) AS BIGINT) AS first, CAST(floor(p99 / width) AS BIGINT) AS last FROM wd), bins AS (SELECT width, unnest(range(first, last + 1)) AS bin FROM sc), pl AS (SELECT least(last, greatest(first, CAST(floor(s / width) AS BIGINT))) AS bin FROM len, sc)"
+HIST = "len AS (SELECT count(*) / 30.0::DOUBLE AS s FROM events GROUP BY user_id), ranks AS (SELECT s, row_number() OVER (ORDER BY s) - 1 AS i, count(*) OVER () AS n FROM len), p AS (SELECT max(s) FILTER (WHERE i = floor(0.01::DOUBLE * n)) AS p1, max(s) FILTER (WHERE i = ceil(0.99::DOUBLE * n) - 1) AS p99, max(n) AS n, min(s) AS lo, max(s) AS hi FROM ranks), w AS (SELECT *, coalesce(nullif(p99 - p1, 0), 1) / greatest(10, least(50, ceil(log2(n) + 1))) AS raw FROM p WHERE lo < hi), u AS (SELECT *, pow(10, floor(log10(raw))) AS unit FROM w), wd AS (SELECT p1, p99, CASE WHEN unit >= raw THEN unit WHEN 2 * unit >= raw THEN 2 * unit WHEN 2.5 * unit >= raw THEN 2.5 * unit WHEN 5 * unit >= raw THEN 5 * unit ELSE 10 * unit END AS width FROM u), sc AS (SELECT width, floor(p1 / width) * width AS first, CAST(greatest(1, floor((ceil(p99 / width) * width - floor(p1 / width) * width) / width + 0.5)) AS BIGINT) AS n FROM wd), bins AS (SELECT width, first, unnest(range(0, n)) AS bin FROM sc), pl AS (SELECT least(n - 1, greatest(0, CAST(floor((s - first) / width) AS BIGINT))) AS bin FROM len, sc)"
 V.CTE["hist"] = HIST
 
 
-@query("SELECT round(b.bin * width, 6) AS lo, round((b.bin + 1) * width, 6) AS hi, CAST(count(pl.bin) AS BIGINT) AS n FROM bins b LEFT JOIN pl ON pl.bin = b.bin GROUP BY 1, 2", "hist")
+@query("SELECT round(first + b.bin * width, 6) AS lo, round(first + b.bin * width + width, 6) AS hi, CAST(count(pl.bin) AS BIGINT) AS n FROM bins b LEFT JOIN pl ON pl.bin = b.bin GROUP BY 1, 2 UNION ALL SELECT lo, hi, CAST(n AS BIGINT) FROM p WHERE lo = hi", "hist")
 def length_histogram(spark, d):
     return T.length_histogram(scan_episode_meta(spark, d)).select(r6("lo"), r6("hi"), "n")
 
@@ -503,7 +502,7 @@ def speed_variation(spark, d):
 # --- checks, issues, annotations -----------------------------------------------------------------------------------
 
 WORDS = "len(list_filter(regexp_split_to_array(trim(prompt), '\\s+'), lambda w: w <> ''))"
-V.CTE["checked"] = f"facts AS (SELECT doc_id, prompt, {WORDS} AS n, regexp_matches(prompt, '[@#$%^&*_=<>{{}}\\[\\]|\\\\~]') AS bad, NOT regexp_matches(ltrim(prompt), '^\\p{{L}}') AS odd FROM prompts), verdicts AS (SELECT doc_id, CASE WHEN bad THEN 'fail' WHEN n < 10 OR n > 50 OR odd OR n < 3 THEN 'warn' ELSE 'ok' END AS status, array_to_string(list_filter([CASE WHEN n < 10 THEN 'too few words' END, CASE WHEN n > 50 THEN 'too many words' END, CASE WHEN bad THEN 'illegal characters' END, CASE WHEN odd OR n < 3 THEN 'not a sentence' END], lambda x: x IS NOT NULL), '; ') AS message FROM facts)"
+V.CTE["checked"] = f"facts AS (SELECT doc_id, prompt, {WORDS} AS n, regexp_matches(prompt, '[_，。、；：？！（）“”‘’《》—·-]') AS bad, NOT regexp_matches(prompt, '^\\s*\\p{{L}}') AS odd FROM prompts), verdicts AS (SELECT doc_id, CASE WHEN bad THEN 'fail' WHEN n < 10 OR n > 50 OR odd OR n < 3 THEN 'warn' ELSE 'ok' END AS status, array_to_string(list_filter([CASE WHEN n < 10 THEN 'too few words' END, CASE WHEN n > 50 THEN 'too many words' END, CASE WHEN bad THEN 'illegal characters' END, CASE WHEN odd OR n < 3 THEN 'not a sentence' END], lambda x: x IS NOT NULL), '; ') AS message FROM facts)"
 
 
 @query("SELECT * FROM verdicts", "prompts", "checked")
@@ -511,7 +510,7 @@ def check_prompt(spark, d):
     return V.prompts(spark, d).select("doc_id", C.check_prompt({}).alias("x")).select("doc_id", "x.*")
 
 
-V.CTE["whole_checked"] = f"facts AS (SELECT doc_id, prompt, {WORDS} AS n, regexp_matches(prompt, '[@#$%^&*_=<>{{}}\\[\\]|\\\\~]') AS bad, NOT regexp_matches(ltrim(prompt), '^\\p{{L}}') AS odd FROM prompts), verdicts AS (SELECT doc_id, CASE WHEN prompt IS NULL THEN 'skip' WHEN bad THEN 'fail' WHEN n < 10 OR n > 50 OR odd OR n < 3 THEN 'warn' ELSE 'ok' END AS status, CASE WHEN prompt IS NULL THEN 'no prompt' ELSE array_to_string(list_filter([CASE WHEN n < 10 THEN 'too few words' END, CASE WHEN n > 50 THEN 'too many words' END, CASE WHEN bad THEN 'illegal characters' END, CASE WHEN odd OR n < 3 THEN 'not a sentence' END], lambda x: x IS NOT NULL), '; ') END AS message FROM facts)"
+V.CTE["whole_checked"] = f"facts AS (SELECT doc_id, prompt, {WORDS} AS n, regexp_matches(prompt, '[_，。、；：？！（）“”‘’《》—·-]') AS bad, NOT regexp_matches(prompt, '^\\s*\\p{{L}}') AS odd FROM prompts), verdicts AS (SELECT doc_id, CASE WHEN prompt IS NULL THEN 'skip' WHEN bad THEN 'fail' WHEN n < 10 OR n > 50 OR odd OR n < 3 THEN 'warn' ELSE 'ok' END AS status, CASE WHEN prompt IS NULL THEN 'no prompt' ELSE array_to_string(list_filter([CASE WHEN n < 10 THEN 'too few words' END, CASE WHEN n > 50 THEN 'too many words' END, CASE WHEN bad THEN 'illegal characters' END, CASE WHEN odd OR n < 3 THEN 'not a sentence' END], lambda x: x IS NOT NULL), '; ') END AS message FROM facts)"
 
 
 @query("SELECT * FROM verdicts", "whole_prompts", "whole_checked")
@@ -519,6 +518,26 @@ def check_prompt_whole(spark, d):
     return V.whole_prompts(spark, d).select("doc_id", C.check_prompt({}).alias("x")).select("doc_id", "x.*")
 
 
+TASKS = "tasks AS (SELECT doc_id, unnest(range(0, len(l))) AS i, unnest(l) AS prompt FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)), found AS (SELECT doc_id, regexp_matches(prompt, '[_，。、；：？！（）“”‘’《》—·-]') AS bad, (n < 10 OR n > 50)::INT + regexp_matches(prompt, '[_，。、；：？！（）“”‘’《》—·-]')::INT + (n < 3 OR NOT regexp_matches(prompt, '^\\s*\\p{L}'))::INT AS k FROM (SELECT *, " + WORDS + " AS n FROM tasks))"
+V.CTE["tasks"] = TASKS
+
+
+@query("SELECT d.doc_id, CASE WHEN d.text IS NULL THEN 'skip' WHEN bool_or(bad) THEN 'fail' WHEN sum(k) > 0 THEN 'warn' ELSE 'ok' END AS status, CASE WHEN d.text IS NULL THEN 'no prompt' WHEN coalesce(sum(k), 0) = 0 THEN '' ELSE CAST(sum(k) AS VARCHAR) || ' to improve' END AS message, CAST(coalesce(sum(k), 0) AS BIGINT) AS findings FROM documents d LEFT JOIN found f ON d.doc_id = f.doc_id GROUP BY d.doc_id, d.text", "tasks")
+def check_prompt_tasks(spark, d):
+    """The lines of a document as the tasks of a dataset: one verdict over all of them."""
+    tasks = F.transform(F.split("text", "\n"), lambda line, i: F.struct(i.alias("index"), line.alias("task")))
+    return V.t(spark, d, "documents").select("doc_id", C.check_tasks(tasks).alias("x")).select("doc_id", "x.status", "x.message", F.size("x.details").cast("long").alias("findings"))
+
+
+@query("SELECT episode, CASE WHEN count(*) FILTER (WHERE severity IN ('warn', 'fail')) > 0 THEN CASE WHEN bool_or(severity = 'fail') THEN 'fail' ELSE 'warn' END WHEN bool_or(severity = 'skip') THEN 'skip' ELSE 'ok' END AS status, CASE WHEN count(*) FILTER (WHERE severity IN ('warn', 'fail')) > 0 THEN CAST(count(*) FILTER (WHERE severity IN ('warn', 'fail')) AS VARCHAR) || ' episode issues' WHEN bool_or(severity = 'skip') THEN 'value ' || CAST(min(event_id) FILTER (WHERE severity = 'skip') AS VARCHAR) ELSE '' END AS message FROM (SELECT event_id, user_id % 40 AS episode, CASE WHEN user_id % 40 < 10 THEN 'skip' WHEN value > 97 THEN 'fail' WHEN value > 94 AND user_id % 40 > 20 THEN 'warn' ELSE 'ok' END AS severity FROM events) GROUP BY 1")
+def check_local_quality(spark, d):
+    severity = F.expr("case when user_id % 40 < 10 then 'skip' when value > 97 then 'fail' when value > 94 and user_id % 40 > 20 then 'warn' else 'ok' end")
+    rows = V.t(spark, d, "events").select("event_id", (F.col("user_id") % 40).alias("episode"), severity.alias("severity"))
+    issue = F.struct("event_id", "severity", F.concat(F.lit("value "), F.col("event_id").cast("string")).alias("message"))
+    grouped = rows.groupBy("episode").agg(F.array_sort(F.collect_list(issue)).alias("issues"))
+    return grouped.select("episode", C.check_local_quality({}).alias("x")).select("episode", "x.*")
+
+
 @query("SELECT doc_id, CASE WHEN regexp_matches(name, '^src1?[0-9]/(en|de)-[0-9]{4}$') THEN 'ok' ELSE 'fail' END AS status FROM prompts", "prompts")
 def check_name(spark, d):
     return V.prompts(spark, d).select("doc_id", C.check_name({"name_pattern": "^src1?[0-9]/(en|de)-[0-9]{4}$"})["status"].alias("status"))
@@ -530,7 +549,7 @@ def check_duration(spark, d):
     return rows.select("dataset", C.check_duration({"min_seconds": 100000.0, "max_seconds": 200000.0})["status"].alias("status"))
 
 
-NAMES = "CASE WHEN regexp_matches(name, '^[A-Za-z0-9_.#-]+$') THEN 'ok' ELSE 'fail' END"
+NAMES = "CASE WHEN regexp_matches(name, '^[A-Za-z0-9._-]+/[A-Za-z0-9]+(-[A-Za-z0-9]+)*-[0-9]{4}$') THEN 'ok' ELSE 'fail' END"
 V.CTE["results"] = f"results AS (SELECT doc_id, 'name' AS id, {NAMES} AS status FROM prompts UNION ALL SELECT doc_id, 'duration', 'skip' FROM prompts UNION ALL SELECT doc_id, 'prompt', status FROM verdicts)"
 
 

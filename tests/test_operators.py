@@ -54,19 +54,54 @@ def test_jumps_do_not_cross_episodes(spark):
 
 def test_tracker(spark):
     schema = "episode long, frame long, hand string, x double, y double, z double"
-    limits = {"x": 0.2, "y": 0.3, "z": 0.3}
-    rows = [(0, 0, "right", 0.0, 0.0, 0.0), (0, 1, "right", 0.21, 0.21, 0.0)]
-    r = T.tracker_jumps(spark.createDataFrame(rows, schema), limits, 0.25).first()
-    assert r["hits"] == ["x"] and r["xyz_step"] == pytest.approx(0.2969848) and r["xyz_hit"]
-    gaps = [(0, 0, "right", 0.0, 0.0, 0.0), (0, 2, "right", 9.0, 0.0, 0.0), (1, 3, "right", 0.0, 0.0, 0.0)]
-    assert T.tracker_jumps(spark.createDataFrame(gaps, schema), limits, 0.25).count() == 0
+    limits = {"x": 1.0, "y": 2.0, "z": 2.0}
+    rows = [(4, 10, "left", 5.0, 1.0, 0.0), (4, 11, "left", 3.5, 1.0, 2.0), (4, 12, "left", 3.5, 1.5, 2.5), (4, 10, "right", 0.0, 0.0, 0.0)]
+    out = T.tracker_jumps(spark.createDataFrame(rows, schema), limits, 3.0).collect()
+    assert [(r["frame"], r["hand"], r["hits"], r["xyz_step"], r["xyz_hit"]) for r in out] == [(11, "left", ["x", "z"], 2.5, False)]
+    far = [(1, 0, "left", 0.0, 0.0, 0.0), (1, 1, "left", 0.9, 1.9, 1.9)]
+    assert [(r["hits"], r["xyz_hit"]) for r in T.tracker_jumps(spark.createDataFrame(far, schema), limits, 2.8).collect()] == [([], True)]
+    gaps = [(1, 0, "left", 0.0, 0.0, 0.0), (1, 2, "left", 50.0, 0.0, 0.0), (2, 3, "left", 0.0, 0.0, 0.0)]
+    assert T.tracker_jumps(spark.createDataFrame(gaps, schema), limits, 3.0).count() == 0
+
+
+def histogram(spark, lengths):
+    rows = T.length_histogram(spark.createDataFrame(list(enumerate(lengths)), "episode long, length_seconds double")).collect()
+    return sorted((round(r["lo"], 6), round(r["hi"], 6), r["n"]) for r in rows)
+
+
+def test_histogram(spark):
+    # 40 lengths from 10 to 49: 1st percentile 10, 99th 49, at least 10 bins, so a width of 5, and the last bin ends at 50
+    assert histogram(spark, [10.0 + i for i in range(40)]) == [(10.0 + 5 * i, 15.0 + 5 * i, 5) for i in range(8)]
+    # an end on a bin's edge opens no further bin; its value falls into the last one
+    assert histogram(spark, [0.0] * 50 + [10.0] * 50) == [(float(i), i + 1.0, 50 if i in (0, 9) else 0) for i in range(10)]
+    assert histogram(spark, [7.5] * 3) == [(7.5, 7.5, 3)] and histogram(spark, []) == [] and histogram(spark, [None, 7.5]) == [(7.5, 7.5, 1)]
+    # percentiles that are equal count as a range of 1; what lies outside is in the edge bins
+    out = histogram(spark, [3.0] * 198 + [0.0, 90.0])
+    assert len(out) == 1 and out[0][2] == 200
+
+
+def test_ragged_vectors_count_to_the_least_width(spark):
+    rows = [("d", e, 0, v) for e, v in enumerate(([0.0, 0.0, 9.0], [0.0, 0.1, -9.0], [0.0, 0.0], [5.0, 0.0, 1.0], [0.1, 0.0, 2.0]))]
+    out = T.boundary_outliers(episodes(spark, rows), window=1, k=3.0, floor=0.5).collect()
+    assert [r["episode"] for r in out] == [3] and out[0]["distance"] == pytest.approx(5.0)
+
+
+def test_growth_counts_what_grew(spark):
+    rows = spark.createDataFrame([("d", "g", Decimal(2), 1, 0), ("d", "g", Decimal(-5), 0, 0), ("d", "g", Decimal(0), 0, 7)], "date string, group string, hours decimal(18,2), episodes long, frames long")
+    r = A.group_growth(rows).first()
+    assert (float(r["hours"]), r["episodes"], r["datasets"]) == (2.0, 1, 2)
+
+
+def test_without_a_baseline_all_is_new(spark):
+    snaps = spark.createDataFrame([("o", "260101", "t1", 1, 4, Decimal(2)), (None, "260102", "t2", 2, 5, Decimal(3)), ("o", "260103", "t3", 3, 9, Decimal(7)), ("p", "260103", "t4", 4, 6, Decimal(1))], "org string, date string, pulled_at string, ord long, episodes long, hours decimal(18,2)")
+    out = {(r["org"], r["date"]): (r["d_episodes"], float(r["d_hours"])) for r in A.aggregate_deltas(snaps, snaps).collect()}
+    # a row without org is in every org's history, and its own baseline is any row before
+    assert out == {("o", "260101"): (4, 2.0), (None, "260102"): (1, 1.0), ("o", "260103"): (4, 4.0), ("p", "260103"): (1, -2.0)}
 
 
-def test_histogram_keeps_edge_bins(spark):
-    rows = [(166, 200.0), (171, 201.3), (172, 224.9), (173, 225.0), (174, 249.9), (208, 425.0)]
-    bins = {r["lo"]: r["n"] for r in T.length_histogram(spark.createDataFrame(rows, "episode long, length_seconds double")).collect()}
-    assert bins[200.0] == 3 and bins[225.0] == 2 and max(bins) == 425.0 or bins[400.0] == 1
-    assert sum(bins.values()) == 6
+def test_streams(spark):
+    assert one(spark, X.infer_stream(F.lit("observation.images.right_tactile_left broke"))) == "right_tactile_left"
+    assert one(spark, X.infer_stream(F.lit("no stream"))) is None
 
 
 def test_fold_takes_the_last_of_a_day(spark):
@@ -90,13 +125,19 @@ def test_deltas_without_details(spark):
 
 
 def test_range_groups(spark):
-    rows = [("260102", "bob", Decimal(3), 30, 1), ("260103", "alice", Decimal(2), 20, 1), ("260104", "bob", Decimal(9), 9, 1)]
+    rows = [(f"2603{day:02}", group, Decimal(day), day, 1) for day in range(1, 11) for group in ("north", "south") if (day % 3 == 0) == (group == "south")]
     days = spark.createDataFrame(rows, "date string, group string, hours decimal(18,2), episodes long, datasets long")
-    assert {r["group"]: float(r["hours"]) for r in A.range_group_totals(days, "260103", "260102").collect()} == {"bob": 3.0, "alice": 2.0}
+    # ends are swapped and closed: 4, 5, 7, 8 are of the north, 6 and 9 of the south
+    assert {r["group"]: (float(r["hours"]), r["datasets"]) for r in A.range_group_totals(days, "260309", "260304").collect()} == {"north": (24.0, 4), "south": (15.0, 2)}
+    assert {r["group"]: r["episodes"] for r in A.range_group_totals(days, None, "260303").collect()} == {"north": 3, "south": 3}
 
 
 def test_prompt_findings(spark):
-    assert [x["message"] for x in one(spark, C.prompt_findings(F.lit("a @ b")))] == ["too few words", "illegal characters"]
+    assert [x["message"] for x in one(spark, C.prompt_findings(F.lit("pull-out the tray")))] == ["too few words", "illegal characters"]
+    assert [x["message"] for x in one(spark, C.prompt_findings(F.lit("\n fold @ the towel")))] == ["too few words"]
+    tasks = F.array(*[F.struct(F.lit(i).alias("index"), F.lit(t).alias("task")) for i, t in enumerate(("lift the lid of the pot and set it down left of it", "9 a", None))])
+    found = one(spark, C.check_tasks(tasks))
+    assert found["status"] == "warn" and found["details"] == ["[1] too few words", "[1] not a sentence", "[2] too few words", "[2] not a sentence"]
     assert one(spark, C.prompt_findings(F.lit("pick the red cube and put it into the blue box"))) == []
 
 

@@ -10,16 +10,15 @@ from armada.plans.catalog import QUERIES
 
 def test_prompts_are_whole_texts(spark, tmp_path):
     long = "Pick the red cube " * 20
-    rows = [(0, long + "and stop @ once", "en", "src1"), (60, 'Say "yes" & \'no\' to <all>', "en", "src1"), (61, None, "en", "src1"), (62, long, "de", "src2")]
+    rows = [(0, long + "and stop_ at once", "en", "src1"), (60, 'Say "yes" & \'no\' to <all>', "en", "src1"), (61, None, "en", "src1"), (62, long, "de", "src2")]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
-    assert {r["doc_id"]: (r["status"], r["message"]) for r in run("check_prompt_whole")} == {0: ("fail", "too many words; illegal characters"), 60: ("fail", "too few words; illegal characters"), 61: ("skip", "no prompt"), 62: ("warn", "too many words")}
-    assert {r["doc_id"]: r["status"] for r in run("run_checks_whole") if r["id"] == "prompt"} == {0: "fail", 60: "fail", 61: "skip", 62: "warn"}
-    # the names of this data hold a slash and fail
-    assert {r["doc_id"]: (r["n_fail"], r["n_warn"]) for r in run("check_aggregate_whole")} == {0: (2, 0), 60: (2, 0), 61: (1, 0), 62: (1, 1)}
+    assert {r["doc_id"]: (r["status"], r["message"]) for r in run("check_prompt_whole")} == {0: ("fail", "too many words; illegal characters"), 60: ("warn", "too few words"), 61: ("skip", "no prompt"), 62: ("warn", "too many words")}
+    assert {r["doc_id"]: r["status"] for r in run("run_checks_whole") if r["id"] == "prompt"} == {0: "fail", 60: "warn", 61: "skip", 62: "warn"}
+    assert {r["doc_id"]: (r["n_fail"], r["n_warn"]) for r in run("check_aggregate_whole")} == {0: (1, 0), 60: (0, 1), 61: (0, 0), 62: (0, 1)}
     strings = {r["doc_id"]: (r["escaped"], r["safe"]) for r in run("scalar_strings_whole")}
     assert strings[60] == ("Say &quot;yes&quot; &amp; &#x27;no&#x27; to &lt;all&gt;", "Say_yes_no_to_all") and strings[61] == (None, "unknown")
-    assert strings[0][0] == long + "and stop @ once" and strings[62][1] == "_".join(long.split())
+    assert strings[0][0] == long + "and stop_ at once" and strings[62][1] == "_".join(long.split())
 
 
 def test_merge_offsets_after_a_lone_episode(spark):
