@@ -8,6 +8,7 @@ cells hold enough entries; the entries of those cells are ranked anew by the exa
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,15 +48,19 @@ def walk(left: np.ndarray, right: np.ndarray, counts: np.ndarray, enough: float)
     return visited
 
 
-def best(ids: np.ndarray, vectors: np.ndarray, open_: np.ndarray, query: np.ndarray, rough: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k open entries with the largest inner product, ties to smaller ids.  Sums run in the same order for every row, so
-    equal vectors score equally; rough scores only preselect, with a margin beyond rounding."""
+def best(ids: np.ndarray, vectors: np.ndarray, open_: np.ndarray, query: np.ndarray, rough: np.ndarray, k: int, repeated: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The k open ids with the largest inner product, ties to smaller ids.  Sums run in the same order for every row, so
+    equal vectors score equally; rough scores only preselect, with a margin beyond rounding.  Where ids are repeated all open
+    entries are scored, and each id is listed with its best."""
     at = np.flatnonzero(open_)
-    if len(at) > k:
+    if len(at) > k and not repeated:
         floor = np.partition(rough[at], len(at) - k)[len(at) - k]
         at = at[rough[at] >= floor - 1e-9 * (1 + abs(floor))]
     score = (vectors[at] * query).sum(axis=1)
-    order = np.lexsort((ids[at], -score))[:k]
+    order = np.lexsort((ids[at], -score))
+    if repeated:
+        order = order[np.sort(np.unique(ids[at][order], return_index=True)[1])]
+    order = order[:k]
     return ids[at][order], score[order]
 
 
@@ -66,22 +71,25 @@ def usable(vectors: DataFrame) -> DataFrame:
     return v.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(fine)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, centroids: int = 32, share: float = 0.62, least: int = 2000, sample: int = 8000, block: int = 4096) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, centroids: int = 32, share: float = 0.62, least: int = 200, sample: int = 8000, block: int = 4096, ask: int = 16_384) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows of vectors by inner product for each row of queries.
 
     Both have vec_id and embedding; a query's own vec_id is no candidate.  Vectors that are null, zero or not finite, and
-    those of another length than the first of the sample, take no part.  A walk ends once its cells hold share of all entries
+    those of another length than most of the sample have, take no part.  A walk ends once its cells hold share of all entries
     and at least least of them; share is what a recall of 0.9 takes on vectors without clusters (measured in the tests), and
     may be far lower where there are some.  The codebooks are fitted on sample rows in the order of a hash of their id;
-    every row is indexed.  Cells are grouped by their left centroid and cut into blocks, so a hot cell is many tasks.  Equal
-    vec_ids with other vectors count as rows of their own; empty tables give no rows.
+    every row is indexed.  Cells are grouped by their left centroid and cut into blocks, and the queries that visit one into
+    groups of about ask, so a hot cell is many tasks.  Repeated rows, and repeated queries, count once; equal vec_ids with
+    other vectors count as entries of their own, but a vec_id is listed once, with its best score, and of queries that share
+    a vec_id each adds to its list.  Empty tables give no rows.
     """
     good = usable(vectors)
-    picked = np.array([r[0] for r in good.select("embedding", F.size("embedding").alias("n"), F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id").limit(sample).select("embedding").collect() if r[0]], dtype=object)
+    picked = [r[0] for r in good.select("embedding", F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id").limit(sample).select("embedding").collect()]
     spark, out = vectors.sparkSession, "query_id long, rank int, vec_id long, score double"
-    if not len(picked):
+    lengths = Counter(map(len, picked))
+    if not lengths:
         return spark.createDataFrame([], out)
-    size = len(picked[0])
+    size = max(lengths, key=lambda n: (lengths[n], n))
     x = np.array([p for p in picked if len(p) == size], float)
     half = size // 2
     books = [kmeans(x[:, :half], centroids), kmeans(x[:, half:], centroids)] if half else [np.zeros((1, 0)), kmeans(x, centroids)]
@@ -91,40 +99,47 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, centroids: int =
             e = np.array(list(pdf["embedding"]), float).reshape(-1, size)
             yield pdf.assign(left=nearest(e[:, :half], books[0]), right=nearest(e[:, half:], books[1]))
 
-    entries = stash(good.where(F.size("embedding") == size).mapInPandas(quantise, "vec_id long, embedding array<double>, left int, right int"), "entries")
+    entries = stash(good.where(F.size("embedding") == size).distinct().mapInPandas(quantise, "vec_id long, embedding array<double>, left int, right int"), "entries")
     counts = np.zeros((len(books[0]), len(books[1])), np.int64)
     for r in entries.groupBy("left", "right").count().collect():  # at most centroids squared rows
         counts[r["left"], r["right"]] = r["count"]
     enough, blocks = max(least, share * counts.sum()), np.maximum(1, -(-counts.sum(axis=1) // block))
+    asking = usable(queries).where(F.size("embedding") == size).distinct()
+    parts = max(1, -(-asking.count() // ask))
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for q, e in zip(pdf["vec_id"], pdf["embedding"], strict=True):
-                e = np.asarray(e, float)
-                visited = walk(books[0] @ e[:half], books[1] @ e[half:], counts, enough)
-                for left in np.flatnonzero((visited & (counts > 0)).any(axis=1)):
-                    rows += [(int(left), b, q, e, np.packbits(visited[left]).tobytes()) for b in range(int(blocks[left]))]
-            yield pd.DataFrame(rows, columns=["left", "block", "query_id", "embedding", "cells"])
+            for at in range(0, len(pdf), 256):
+                rows = []
+                for q, e, part in pdf.iloc[at : at + 256][["vec_id", "embedding", "part"]].itertuples(index=False):
+                    e = np.asarray(e, float)
+                    visited = walk(books[0] @ e[:half], books[1] @ e[half:], counts, enough)
+                    for left in np.flatnonzero((visited & (counts > 0)).any(axis=1)):
+                        rows.append((int(left), part, q, e, np.packbits(visited[left]).tobytes()))
+                yield pd.DataFrame(rows, columns=["left", "part", "query_id", "embedding", "cells"])
 
     def rank(key: tuple, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(held):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         ids, e, right = held["vec_id"].to_numpy(), np.array(list(held["embedding"]), float), held["right"].to_numpy()
-        found = []
+        found, repeated = [], len(np.unique(ids)) < len(ids)
         for s in range(0, len(asked), 256):
-            part = asked.iloc[s : s + 256]
-            rough = np.array(list(part["embedding"]), float) @ e.T
-            for row, (q, v, cells) in enumerate(zip(part["query_id"], part["embedding"], part["cells"], strict=True)):
+            some = asked.iloc[s : s + 256]
+            rough = np.array(list(some["embedding"]), float) @ e.T
+            for row, (q, v, cells) in enumerate(zip(some["query_id"], some["embedding"], some["cells"], strict=True)):
                 open_ = np.unpackbits(np.frombuffer(cells, np.uint8)).astype(bool)[right] & (ids != q)
-                near, score = best(ids, e, open_, np.asarray(v, float), rough[row], k)
+                near, score = best(ids, e, open_, np.asarray(v, float), rough[row], k, repeated)
                 found.append(pd.DataFrame({"query_id": q, "vec_id": near, "score": score}))
         return pd.concat(found)
 
-    asked = usable(queries).where(F.size("embedding") == size).mapInPandas(route, "left int, block int, query_id long, embedding array<double>, cells binary")
     of_left = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("left") + 1)
-    held = entries.withColumn("block", F.pmod(F.xxhash64("vec_id", "embedding"), of_left).cast("int"))
-    met = asked.groupBy("left", "block").cogroup(held.groupBy("left", "block")).applyInPandas(rank, "query_id long, vec_id long, score double")
+    number = F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(parts)).cast("int")
+    asked = asking.withColumn("part", number).mapInPandas(route, "left int, part int, query_id long, embedding array<double>, cells binary")
+    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), of_left - 1)))
+    held = entries.withColumn("block", F.pmod(F.xxhash64("vec_id", "embedding"), of_left).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    keys = ["left", "block", "part"]
+    met = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(rank, "query_id long, vec_id long, score double")
+    met = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return met.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -263,6 +263,13 @@ def test_neighbours(spark):
         assert len(got) == 10 and got == sorted(got, key=lambda i: (-s[i], i))
         hit, n = hit + len(set(want) & set(got)), n + 10
     assert hit / n >= 0.9
+    # repeated rows and queries count once, a vec_id is listed once, and a vector of another length takes no part
+    some = vectors.where("vec_id < 60")
+    other = spark.createDataFrame([(40, [9.0] * 16), (41, [1.0] * 3), (41, [])], "vec_id long, embedding array<float>")
+    got = neighbours.search(some.unionByName(some).unionByName(other), some.unionByName(some).where("vec_id = 0"), k=10, centroids=4).orderBy("rank").collect()
+    s = {i: float((x[i] * x[0]).sum()) for i in range(1, 60)}
+    s[40] = max(s[40], 9.0 * float(x[0].sum()))
+    assert [(r["rank"], r["vec_id"]) for r in got] == [(i + 1, v) for i, v in enumerate(sorted(s, key=lambda i: (-s[i], i))[:10])]
     few = vectors.where("vec_id < 5")
     assert neighbours.search(few, few.where("vec_id = 0")).count() == 4
     assert neighbours.search(vectors.limit(0), vectors.limit(0)).count() == 0
