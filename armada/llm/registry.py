@@ -7,13 +7,13 @@ from armada.llm.jaccard import op4_jaccard_join
 from armada.llm.langid import op10_language
 from armada.llm.mixing import op3_mix_sources
 from armada.llm.neighbours import op8_neighbours
-from armada.llm.packing import op9_packing
+from armada.llm.packing import op9_packing, pack_conversations
 from armada.llm.pii import op1_pii
 from armada.llm.substrings import op7_substrings
 from armada.llm.tokens import op2_token_file
 from armada.llm.toxicity import op5_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_token_file, op3_mix_sources, op4_jaccard_join, op5_toxicity, op6_fingerprint, op7_substrings, op8_neighbours, op9_packing, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_token_file, op3_mix_sources, op4_jaccard_join, op5_toxicity, op6_fingerprint, op7_substrings, op8_neighbours, op9_packing, op10_language, pack_conversations)}
 
 ORACLES = {
     "op7_substrings": r"""

@@ -103,11 +103,34 @@ def test_packing(docs, none, library):
     assert packing.pack_documents(none).count() == 0
 
 
+def test_tiny_documents_fill_sequences(spark, library):
+    docs = spark.createDataFrame([(i, "tiny doc" if i % 3 else None) for i in range(10_000)], "doc_id long, text string").coalesce(1)
+    lengths = {}
+    for r in packing.pack_documents(docs).collect():
+        lengths[r["sequence_id"]] = lengths.get(r["sequence_id"], 0) + r["length"]
+    padded = sum(n if n & (n - 1) == 0 else 2048 for n in lengths.values())
+    assert sum(lengths.values()) == sum(len(library.encode(t, add_special_tokens=False).ids) + 1 if t else 1 for t in ("tiny doc" if i % 3 else None for i in range(10_000)))
+    assert padded < 1.02 * sum(lengths.values())
+
+
+def test_conversations_keep_all_limits(spark, library, tmp_path):
+    rng = random.Random(5)
+    turns = [(c, t, ("user", "assistant", None)[t % 3], sentence(rng, rng.randrange(1, 60)) if rng.random() < 0.9 else None) for c in [*range(60), None] for t in range(rng.randrange(1, 6))]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    size = lambda text: len(library.encode(text or "", add_special_tokens=False).ids) + 1
+    want = {c: (sum(size(x[3]) for x in turns if x[0] == c), sum(size(x[3]) for x in turns if x[0] == c and x[2] == "assistant")) for c in [*range(60), None]}
+    rows = packing.pack_conversations(spark, str(tmp_path)).collect()
+    assert {r["conv_id"]: (r["tokens"], r["loss_tokens"]) for r in rows} == want and len(rows) == 61
+    for s in {r["sequence_id"] for r in rows}:
+        own = [r for r in rows if r["sequence_id"] == s]
+        assert len(own) == 1 or sum(r["tokens"] for r in own) <= 2048 and sum(r["loss_tokens"] for r in own) <= 1024 and len(own) <= 16
+
+
 def test_examples_keep_all_limits(spark):
     rng = random.Random(2)
     rows = [(i, rng.randrange(1, 900), rng.randrange(1, 5), rng.randrange(0, 400)) for i in range(300)] + [(300, 5000, 1, 1), (301, None, None, None)]
     limits = packing.Limits(2048, 8, 700)
-    out = packing.pack_examples(spark.createDataFrame(rows, "example_id long, tokens int, segments int, loss_tokens int"), limits, 2).collect()
+    out = packing.pack_examples(spark.createDataFrame(rows, "example_id long, tokens long, segments long, loss_tokens long"), limits, 2).collect()
     assert sorted(r["example_id"] for r in out) == [r[0] for r in rows]
     sums = {}
     for r in out:
