@@ -48,29 +48,64 @@ class FactorizationMachine:
         return float(1 / (1 + np.exp(-(self.w0 + self.w[at].sum() + 0.5 * ((s**2).sum() - (self.v[at] ** 2).sum())))))
 
 
-def fit(samples: list[list[int]], labels: np.ndarray, weights: np.ndarray, factors: int = 6, most_terms: int = 512, least_docs: int = 4, least_z: float = 4.5, steps: int = 250, decay: float = 5e-5, seed: int = 7) -> FactorizationMachine:
-    """Train on lists of hashed terms.  Terms whose share differs between the labels by least_z standard errors take part
-    (at most most_terms); full-batch Adam on the weighted log loss.  Without samples: a machine that scores all near 0."""
+def alone(counts: np.ndarray, n0: int, n1: int) -> np.ndarray:
+    """By how many standard errors the share of each term (documents with it by label, in rows) differs between the labels."""
+    share = (counts.sum(axis=1) + 1) / (n0 + n1 + 2)
+    return np.abs(counts[:, 1] / n1 - counts[:, 0] / n0) / np.sqrt(share * (1 - share) * (1 / n0 + 1 / n1) + 1e-12)
+
+
+def together(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For all pairs of terms (columns of the 0/1 matrix x), by how many standard errors the share of label 1 with both departs
+    from what each adds alone: p11 - p10 - p01 + p00 over the four cells of documents with and without either."""
+    n11, k11 = x.T @ x, x.T @ (x * y[:, None])
+    n, k = np.diag(n11), np.diag(k11)
+    cells = [(n11, k11), (n[:, None] - n11, k[:, None] - k11), (n[None, :] - n11, k[None, :] - k11), (len(x) - n[:, None] - n[None, :] + n11, y.sum() - k[:, None] - k[None, :] + k11)]
+    total, variance = 0.0, 0.0
+    for (m, hits), sign in zip(cells, (1, -1, -1, 1), strict=True):
+        p = (hits + 0.5) / (m + 1)
+        total, variance = total + sign * p, variance + p * (1 - p) / (m + 1)
+    z = np.abs(total) / np.sqrt(variance)
+    np.fill_diagonal(z, 0)
+    return z
+
+
+def fit(samples: list[list[int]], labels: np.ndarray, weights: np.ndarray, factors: int = 6, most_terms: int = 512, least_docs: int = 4, least_z: float = 4.5, pair_terms: int = 1024, most_pairs: int = 64, least_pair_z: float = 6.5, steps: int = 250, decay: float = 5e-5, seed: int = 7) -> FactorizationMachine:
+    """Train on lists of hashed terms; full-batch Adam on the weighted log loss.
+
+    The machine has the terms that tell the labels apart alone (by least_z standard errors, at most most_terms) and, of the
+    pair_terms most frequent ones, those of the most_pairs pairs that do so only together (by least_pair_z).  Terms that do
+    neither are noise to it.  Without samples: a machine that scores all near 0."""
     counts: dict[int, list[int]] = {}
     for features, y in zip(samples, labels, strict=True):
         for f in features:
             counts.setdefault(f, [0, 0])[int(y)] += 1
     n1 = max(1, int(labels.sum()))
     n0 = max(1, len(labels) - int(labels.sum()))
+
+    def matrix(of: dict[int, int]) -> np.ndarray:
+        x = np.zeros((len(samples), len(of)), np.float32)
+        for row, features in enumerate(samples):
+            x[row, [of[f] for f in features if f in of]] = 1
+        return x
+
     keys = np.array([f for f, c in counts.items() if sum(c) >= least_docs], np.int64)
     c = np.array([counts[f] for f in keys], float).reshape(-1, 2)
-    share = (c.sum(axis=1) + 1) / (n0 + n1 + 2)
-    z = np.abs(c[:, 1] / n1 - c[:, 0] / n0) / np.sqrt(share * (1 - share) * (1 / n0 + 1 / n1) + 1e-12)
+    z = alone(c, n0, n1)
     best = np.argsort(-z, kind="stable")[:most_terms]
-    keys = keys[best[z[best] >= least_z]]
-    index = {int(f): i for i, f in enumerate(keys)}
+    chosen = dict.fromkeys(int(f) for f in keys[best[z[best] >= least_z]])
+    usual = keys[np.lexsort((keys, -c.sum(axis=1)))[:pair_terms]]
+    if len(usual) > 1:
+        pairs = np.triu(together(matrix({int(f): i for i, f in enumerate(usual)}), labels.astype(np.float32)))
+        for at in np.argsort(-pairs, axis=None, kind="stable")[:most_pairs]:
+            i, j = np.unravel_index(at, pairs.shape)
+            if pairs[i, j] >= least_pair_z:
+                chosen |= {int(usual[i]): None, int(usual[j]): None}
+    index = {f: i for i, f in enumerate(chosen)}
     rng = np.random.default_rng(seed)
-    machine = FactorizationMachine(index, -4.0, np.zeros(len(keys)), rng.normal(0, 0.01, (len(keys), factors)))
-    if not len(keys):
+    machine = FactorizationMachine(index, -4.0, np.zeros(len(index)), rng.normal(0, 0.01, (len(index), factors)))
+    if not len(index):
         return machine
-    x = np.zeros((len(samples), len(keys)))
-    for row, features in enumerate(samples):
-        x[row, [index[f] for f in features if f in index]] = 1
+    x = matrix(index).astype(float)
     y, weights = labels.astype(float), weights / weights.sum()
     params = [np.array([machine.w0]), machine.w, machine.v]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
@@ -108,7 +143,9 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 2500) -> Factoriz
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "features": [sorted({hashed(t) for t in terms(x)}) for x in pdf["text"]]})
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").mapInPandas(features, "doc_id long, toxic int, features array<int>").collect()
+    # of rows that share a doc_id the smallest text is the example, so what reaches the driver stays bounded
+    joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = joined.mapInPandas(features, "doc_id long, toxic int, features array<int>").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["toxic"], r["features"]))
     y = np.array([r["toxic"] for r in rows], np.int64)
     had = np.bincount(y, minlength=2)
@@ -127,7 +164,7 @@ class Scorer:
         for word in set((text or "").lower().split()):
             hit = known.get(word)
             if hit is None:
-                if len(known) > 500_000:
+                if len(known) > 100_000:
                     known.clear()
                 f = hashed(t) if (t := word.strip(EDGES)) else -1
                 hit = known[word] = f if f in self.machine.index else -1
@@ -140,7 +177,7 @@ def score_documents(docs: DataFrame, machine: FactorizationMachine) -> DataFrame
     """Per document: doc_id, held_out, score, predicted, from its whole text alone.
 
     Null and empty texts score as the machine's intercept.  Repeated rows score alike; no rows give none; other columns are
-    ignored.  The machine holds at most most_terms terms, which bounds what each task is sent.
+    ignored.  The machine holds at most most_terms and twice most_pairs terms, which bounds what each task is sent.
     """
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -309,10 +309,35 @@ def test_toxicity_learns_pairs(spark, none):
     out = toxicity.score_documents(d, toxicity.train(d, lab)).collect()
     held = [r for r in out if r["held_out"]]
     assert np.mean([r["predicted"] == labels[r["doc_id"]][2] for r in held]) > 0.97
+    # the label is a pure interaction: neither word alone tells anything
+    mixed = spark.createDataFrame([(i, 1, int(("insultword" in t) != ("groupname" in t))) for i, t in rows], "doc_id long, quality int, toxic int")
+    truth = {r["doc_id"]: r["toxic"] for r in mixed.collect()}
+    held = [r for r in toxicity.score_documents(d, toxicity.train(d, mixed)).collect() if r["held_out"]]
+    assert np.mean([r["predicted"] == truth[r["doc_id"]] for r in held]) > 0.97
     machine = toxicity.train(none, lab.limit(0))
     assert toxicity.score_documents(spark.createDataFrame([(1, None), (None, "")], "doc_id long, text string"), machine).count() == 2
 
 
+def test_gradients_by_differences():
+    rng = np.random.default_rng(12)
+    w, k = langid.WIDTH, 3
+    shapes = [(256, 2 * w), (w, 2 * w)] * 2 + [(2 * w, k), (k,)]
+    params = [rng.normal(0, 0.3, s).astype(np.float32) for s in shapes]
+    for i in (0, 2):
+        params[i][:, :w] = 0.3 * params[i][:, :w] + 0.5
+    x, y = rng.integers(0, 6, (9, 5)), rng.integers(0, k, 5)
+    _, grads = langid.gradients(params, x, y)
+    for p, g in zip(params, grads, strict=True):
+        flat, of = p.reshape(-1), g.reshape(-1)
+        for i in np.argsort(-np.abs(of))[:6]:
+            was, ends = flat[i], []
+            for step in (1e-2, -1e-2):
+                flat[i] = was + step
+                ends.append(langid.gradients(params, x, y)[0])
+            flat[i] = was
+            assert (ends[0] - ends[1]) / 2e-2 == pytest.approx(of[i], rel=0.05, abs=2e-4)
+
+
 def test_language(spark, none):
     rng = random.Random(9)
     alphabet = {"aa": "abcde ", "bb": "vwxyz "}
@@ -320,5 +345,10 @@ def test_language(spark, none):
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     out = {r["doc_id"]: r for r in langid.identify(d, langid.train(d, 200)).collect()}
     assert np.mean([out[i]["lang_pred"] == k for i, _, k in rows[:200]]) > 0.98
+    # a language of 12 among 1200 documents is learned though the sample by hash is small
+    rare = [(2000 + i, "".join(rng.choice("mnopq ") for _ in range(300)), "cc") for i in range(12)]
+    many = [(5000 + i, "".join(rng.choice(alphabet["aa"]) for _ in range(100)), "aa") for i in range(1200)]
+    net = langid.train(spark.createDataFrame(rows[:200] + rare + many, "doc_id long, text string, lang string"), 60)
+    assert net.languages == ["aa", "bb", "cc"]
     assert {out[i]["lang_pred"] for i in (900, 901, 902)} == {"und"} and out[900]["score"] == 0
     assert langid.identify(none, langid.train(none)).count() == 0
