@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from armada.llm.common import table
@@ -110,6 +110,22 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
+def gradients(params: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """Mean log loss of byte segments x (steps, segments) with labels y over all positions, and its gradients by
+    backpropagation through time."""
+    tf, uf, tb, ub, out, bias = params
+    forth, kept_f = read(x, tf, uf, keep=True)
+    back, kept_b = read(x[::-1], tb, ub, keep=True)
+    both = np.concatenate([forth, back[::-1]], axis=2)
+    d = softmax(both @ out + bias)
+    at = np.arange(x.shape[1])
+    loss = float(-np.log(d[:, at, y] + 1e-30).mean())
+    d[:, at, y] -= 1
+    d /= d.shape[0] * d.shape[1]
+    d_both = d @ out.T
+    return loss, [*unread(x, uf, kept_f, d_both[:, :, :WIDTH]), *unread(x[::-1], ub, kept_b, d_both[::-1, :, WIDTH:]), np.einsum("tbi,tbj->ij", both, d), d.sum(axis=(0, 1))]
+
+
 def fit(segments: np.ndarray, labels: np.ndarray, languages: list[str], steps: int = 260, batch: int = 192, rate: float = 0.02, seed: int = 3) -> Network:
     """Train on byte segments (n, SEGMENT) with a language number each; every position carries the segment's label."""
     rng, k = np.random.default_rng(seed), len(languages)
@@ -124,15 +140,7 @@ def fit(segments: np.ndarray, labels: np.ndarray, languages: list[str], steps: i
     for step in range(1, steps + 1):
         pick = rng.integers(0, len(segments), batch)
         x, y = np.ascontiguousarray(segments[pick].T), labels[pick]
-        tf, uf, tb, ub, out, bias = params
-        forth, kept_f = read(x, tf, uf, keep=True)
-        back, kept_b = read(x[::-1], tb, ub, keep=True)
-        both = np.concatenate([forth, back[::-1]], axis=2)
-        d = softmax(both @ out + bias)
-        d[:, np.arange(batch), y] -= 1
-        d /= d.shape[0] * d.shape[1]
-        d_both = d @ out.T
-        grads = [*unread(x, uf, kept_f, d_both[:, :, :WIDTH]), *unread(x[::-1], ub, kept_b, d_both[::-1, :, WIDTH:]), np.einsum("tbi,tbj->ij", both, d), d.sum(axis=(0, 1))]
+        grads = gradients(params, x, y)[1]
         now = rate * (1 - step / (steps + 1))
         for p, g, m, s in zip(params, grads, first, second, strict=True):
             m += 0.1 * (g - m)
@@ -141,14 +149,22 @@ def fit(segments: np.ndarray, labels: np.ndarray, languages: list[str], steps: i
     return net
 
 
-def train(docs: DataFrame, sample_docs: int = 2400, segments_per_doc: int = 4) -> Network:
+def train(docs: DataFrame, sample_docs: int = 2400, segments_per_doc: int = 4, per_language: int = 200) -> Network:
     """Learn from text and non-null lang of documents whose crc32(doc_id) mod 4 is not 2.
 
-    The bounded sample: sample_docs documents in the order of a hash of their id, segments_per_doc evenly spaced segments of
-    each; only those bytes reach the driver.  A language absent from the sample isn't learned.
+    The bounded sample: sample_docs documents in the order of a hash of their id, besides the first per_language of each of
+    the (at most 64) most frequent languages, so that rare ones are learned; of each segments_per_doc evenly spaced segments,
+    cut at character starts.  Of rows that share a doc_id and a language the smallest text is taken.  Only those bytes reach
+    the driver.  A language absent from the sample isn't learned.
     """
     usable = docs.where("lang is not null and length(text) > 0").where(~held_out(4, 2))
-    ids = usable.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)  # sample_docs numbers
+    order = [F.xxhash64("doc_id"), "doc_id"]
+    ids = usable.select("doc_id", "lang").orderBy(*order).limit(sample_docs)
+    usual = usable.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(64).select("lang")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(*order))  # each task keeps its first per_language
+    each = usable.select("doc_id", "lang").withColumn("place", place).where(F.col("place") <= per_language).join(F.broadcast(usual), "lang")
+    ids = ids.unionByName(each.select("doc_id", "lang"))
+    ids = ids.distinct()  # at most sample_docs + 64 * per_language rows of an id and a language
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -156,10 +172,15 @@ def train(docs: DataFrame, sample_docs: int = 2400, segments_per_doc: int = 4) -
             for doc, lang, text in zip(pdf["doc_id"], pdf["lang"], pdf["text"], strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
                 n = min(segments_per_doc, max(1, len(raw) // SEGMENT))
-                rows += [(doc, lang, raw[s : s + SEGMENT].ljust(SEGMENT, b"\0")) for s in (max(0, len(raw) - SEGMENT) * i // max(1, n - 1) for i in range(n))]
+                for i in range(n):
+                    s = max(0, len(raw) - SEGMENT) * i // max(1, n - 1)
+                    while s > 0 and raw[s] & 0xC0 == 0x80:
+                        s -= 1
+                    rows.append((doc, lang, raw[s : s + SEGMENT].ljust(SEGMENT, b"\0")))
             yield pd.DataFrame(rows, columns=["doc_id", "lang", "raw"])
 
-    rows = usable.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id", "left_semi").mapInPandas(cut, "doc_id long, lang string, raw binary").collect()
+    sampled = usable.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    rows = sampled.mapInPandas(cut, "doc_id long, lang string, raw binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["lang"], bytes(r["raw"])))
     languages = sorted({r["lang"] for r in rows})
     x = np.frombuffer(b"".join(bytes(r["raw"]) for r in rows), np.uint8).reshape(-1, SEGMENT)
