@@ -3,7 +3,9 @@
 Method: a text is a set of paragraph digests.  Each digest is added to one cell in each of three subtables; a cell keeps how
 many digests it holds and the xor of them and of their check values.  Subtracting the tables of two versions cancels what they
 share; cells that hold one digest are peeled, which frees others, until all differing digests are recovered.  If peeling
-stops early, a larger table is tried, and at last the digests are compared one by one.
+stops early, tables of twice the size are tried, until it succeeds.
+
+A table is kept as the ascending array of its cells in use, so sums and differences of tables are one sort and one pass.
 """
 
 from __future__ import annotations
@@ -13,116 +15,137 @@ from pyspark.sql import functions as F
 
 from armada.llm.common import partitions, range_bounds, range_index, table
 
-#: Cells of the table that is the fingerprint, and of the larger one tried next.
-CELLS = (24, 48)
-ROUNDS = 6
-CELL = "struct<n:int,k:bigint,c:bigint>"
-LINES, SENTENCES, WORDS = 2, 1, 0
-SEPARATORS = {LINES: r"\n", SENTENCES: r"\n|(?<=[.!?])\s+", WORDS: r"\s+"}
+#: What separates paragraphs: the end of a line.
+SEPARATOR = r"\n"
+#: Cells of a subtable for each digest, as bits: cells that aren't in use take no space, and few that are shared mean few
+#: rounds of peeling.  Doublings tried after a failure, and rounds of peeling.
+SPARE_BITS, DOUBLINGS, ROUNDS = 3, 20, 40
+CELL = "struct<p:int,n:int,k:bigint,c:bigint>"
+DIGEST = "struct<n:int,k:bigint>"
 
 
 def let(value: Column, body) -> Column:
     """body(value), with value computed once: a lambda's body is evaluated for every element it is given."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
+    return F.get(F.transform(F.array(value), body), 0)
 
-def paragraphs(text: Column, unit: int) -> Column:
-    return F.filter(F.split(text, SEPARATORS[unit]), lambda p: F.length(p) > 0)
 
+def digests(text: Column) -> Column:
+    """Distinct 64-bit digests of the paragraphs of a text."""
+    return F.array_distinct(F.transform(F.filter(F.split(text, SEPARATOR), lambda p: F.length(p) > 0), lambda p: F.xxhash64(p)))
 
-def unit_of(text: Column) -> Column:
-    """What counts as a paragraph of a text: a line, in texts of few lines a sentence, in those of few sentences a word."""
-    return F.when(F.size(F.split(text, r"\n")) >= 4, LINES).when(F.size(F.split(text, SEPARATORS[SENTENCES])) >= 4, SENTENCES).otherwise(WORDS)
 
+def signed(keys: Column, sign: int) -> Column:
+    return F.transform(keys, lambda k: F.struct(F.lit(sign).alias("n"), k.alias("k")))
 
-def digests(text: Column, unit: Column) -> Column:
-    """Distinct 64-bit digests of the paragraphs of a text."""
-    pieces = F.when(unit == LINES, paragraphs(text, LINES)).when(unit == SENTENCES, paragraphs(text, SENTENCES)).otherwise(paragraphs(text, WORDS))
-    return F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p)))
 
+def check(k: Column) -> Column:
+    return F.xxhash64(k, F.lit(7)).bitwiseAND(F.lit(0xFFFFFFFF))
 
-def places(k: Column, cells: int) -> list[Column]:
-    third = cells // 3
-    return [(F.pmod(F.xxhash64(k, F.lit(t)), F.lit(third)) + t * third).cast("int") for t in range(3)]
 
+def cells(keys: Column, bits: Column) -> Column:
+    """The three cells of each signed digest in subtables of 2 ** bits cells; a table of half the size is this one folded."""
 
-def keyed(found: Column, cells: int) -> Column:
-    """Digests with sign, check value and their three cells."""
-    return F.transform(found, lambda x: F.struct(x["n"].alias("n"), x["k"].alias("k"), F.xxhash64(x["k"], F.lit(7)).alias("c"), *[p.alias(f"p{t}") for t, p in enumerate(places(x["k"], cells))]))
+    def three(x: Column) -> Column:
+        size = F.expr("cast(1 as int)")
+        size = F.call_function("shiftleft", size, bits)
+        own = lambda t: (F.xxhash64(x["k"], F.lit(t)).bitwiseAND((size - 1).cast("long")).cast("int") * 3 + t).alias("p")
+        return let(check(x["k"]), lambda c: F.array(*[F.struct(own(t), x["n"].alias("n"), x["k"].alias("k"), c.alias("c")) for t in range(3)]))
 
+    return F.flatten(F.transform(keys, three))
 
-def signed(keys: Column, sign: int) -> Column:
-    return F.transform(keys, lambda k: F.struct(F.lit(sign).alias("n"), k.alias("k")))
 
+def negative(table_: Column) -> Column:
+    return F.transform(table_, lambda e: F.struct(e["p"].alias("p"), (-e["n"]).alias("n"), e["k"].alias("k"), e["c"].alias("c")))
 
-def toggled(table_: Column, keys: Column) -> Column:
-    """A table with keyed digests added (their sign to the count, the rest by xor)."""
 
-    def of(keys: Column) -> Column:
-        def one(cell: Column, i: Column) -> Column:
-            mine = F.filter(keys, lambda e: (e["p0"] == i) | (e["p1"] == i) | (e["p2"] == i))
-            return F.aggregate(mine, cell, lambda a, e: F.struct((a["n"] + e["n"]).alias("n"), a["k"].bitwiseXOR(e["k"]).alias("k"), a["c"].bitwiseXOR(e["c"]).alias("c")))
+def combined(entries: Column) -> Column:
+    """The table that entries and cells add up to, without its empty cells."""
 
-        return F.transform(table_, one)
+    def step(acc: Column, e: Column) -> Column:
+        last = acc["last"]
+        same = F.struct(e["p"].alias("p"), (last["n"] + e["n"]).alias("n"), last["k"].bitwiseXOR(e["k"]).alias("k"), last["c"].bitwiseXOR(e["c"]).alias("c"))
+        empty = (last["n"] == 0) & (last["k"] == 0) & (last["c"] == 0)
+        done = F.when(empty, acc["done"]).otherwise(F.concat(acc["done"], F.array(last)))
+        return F.when(last["p"] == e["p"], F.struct(acc["done"].alias("done"), same.alias("last"))).otherwise(F.struct(done.alias("done"), e.alias("last")))
 
-    return let(keys, of)
+    zero = F.struct(F.lit(-1).alias("p"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c"))
+    start = F.struct(F.array().cast(f"array<{CELL}>").alias("done"), zero.cast(CELL).alias("last"))
+    # an entry behind all cells, so that the last cell is closed like the others
+    end = F.array(F.struct(F.lit(2**31 - 1).alias("p"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c")))
+    return F.aggregate(F.concat(F.sort_array(entries), end).cast(f"array<{CELL}>"), start, step, lambda acc: acc["done"])
 
 
-def sketch(keys: Column, cells: int) -> Column:
+def sketch(keys: Column, bits: Column) -> Column:
     """The lookup table of a set of digests."""
-    empty = F.array_repeat(F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c")), cells)
-    return toggled(empty, keyed(signed(keys, 1), cells))
+    return combined(cells(signed(keys, 1), bits))
 
 
-def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["c"].bitwiseXOR(y["c"]).alias("c")))
+def capacity(n: Column) -> Column:
+    """Bits of subtables for n digests."""
+    return F.ceil(F.log2(F.greatest(n, F.lit(1)).cast("double"))).cast("int") + SPARE_BITS
 
 
-def peel(difference: Column, cells: int) -> Column:
+def peel(difference: Column, bits: Column) -> Column:
     """The recovered digests with sign (1: only in the first version), or null if cells remain."""
 
     def step(acc: Column, _: Column) -> Column:
-        pure = F.filter(acc["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["c"] == F.xxhash64(c["k"], F.lit(7))))
-        # a digest may be pure in several of its cells, but is taken out once
-        freed = F.array_distinct(F.transform(pure, lambda c: F.struct(c["n"].alias("n"), c["k"].alias("k"))))
-
-        def without(freed: Column) -> Column:
-            out = keyed(F.transform(freed, lambda x: F.struct((-x["n"]).alias("n"), x["k"].alias("k"))), cells)
-            return F.when(F.size(freed) == 0, acc).otherwise(F.struct(toggled(acc["cells"], out).alias("cells"), F.concat(acc["found"], freed).alias("found")))
+        pure = F.filter(acc["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["c"] == check(c["k"])))
 
-        return let(freed, without)
+        def sure(pure: Column) -> Column:
+            # a digest may be pure in several of its cells, but is taken out once
+            own = lambda sign: signed(F.array_distinct(F.transform(F.filter(pure, lambda c: c["n"] == sign), lambda c: c["k"])), sign)
+            return F.concat(own(1), own(-1))
 
-    start = F.struct(difference.cast(f"array<{CELL}>").alias("cells"), F.array().cast("array<struct<n:int,k:bigint>>").alias("found"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda acc: F.when(F.forall(acc["cells"], lambda c: (c["n"] == 0) & (c["k"] == 0)), acc["found"]))
+        freed = let(pure, sure)
+        without = lambda x: F.struct(combined(F.concat(acc["cells"], negative(cells(x, bits)))).alias("cells"), F.concat(acc["found"], x).alias("found"), (F.size(x) == 0).alias("over"))
+        return F.when(acc["over"], acc).otherwise(let(freed, without))
 
+    start = F.struct(difference.alias("cells"), F.array().cast(f"array<{DIGEST}>").alias("found"), (F.size(difference) == 0).alias("over"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda acc: F.when(F.size(acc["cells"]) == 0, acc["found"]))
 
-def recovered(a: Column, b: Column, cells: int) -> Column:
-    """The differing digests from tables of that many cells, or null.  The counts that are left after subtraction bound the
-    number of differing digests from below; a table that can't hold so many isn't peeled."""
 
-    def tried(left: Column) -> Column:
-        least = F.aggregate(left, F.lit(0), lambda n, c: n + F.abs(c["n"])) / 3
-        return F.when(least <= 0.8 * cells, peel(left, cells))
+def difference(a: Column, b: Column, table_a: Column, table_b: Column, bits_a: Column, bits_b: Column) -> Column:
+    """The digests in which two sets differ, with sign, from their tables: both in the size of the larger, subtracted and
+    peeled; on failure in twice that size, and so on.
 
-    return F.when(F.abs(F.size(a) - F.size(b)) <= 0.8 * cells, let(subtract(sketch(a, cells), sketch(b, cells)), tried))
+    A table of another size than a set's own is sketched from its digests, which its own table gives up by peeling too.
+    Two sets of digests fit in the larger table, which has spare cells for each digest of the larger set, so a retry is rare;
+    digests that share all cells in one size part in a larger one, so one of the doublings succeeds.
+    """
+    bits = F.greatest(bits_a, bits_b)
+    own_a = F.when(bits_a == bits, table_a).otherwise(sketch(a, bits))
+    own_b = F.when(bits_b == bits, table_b).otherwise(sketch(b, bits))
+    first = let(combined(F.concat(own_a, negative(own_b))), lambda left: peel(left, bits))
 
+    def larger(acc: Column, more: Column) -> Column:
+        again = let(combined(F.concat(cells(signed(a, 1), bits + more), cells(signed(b, -1), bits + more))), lambda left: peel(left, bits + more))
+        return F.when(acc.isNotNull(), acc).otherwise(again)
 
-def difference(a: Column, b: Column) -> Column:
-    """The digests in which two sets differ, with sign: by peeling, retried larger on failure, else one by one."""
-    return F.coalesce(*[recovered(a, b, cells) for cells in CELLS], F.concat(signed(F.array_except(a, b), 1), signed(F.array_except(b, a), -1)))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(DOUBLINGS)), first, larger)
 
 
-def likeness(a: Column, b: Column) -> Column:
+def likeness(a: Column, b: Column, table_a: Column, table_b: Column, bits_a: Column, bits_b: Column) -> Column:
     """1 less the share of both sets' digests that differ (two empty sets: 1)."""
     all_ = F.size(a) + F.size(b)
-    return F.when(all_ == 0, 1.0).otherwise(1.0 - F.size(difference(a, b)) / all_)
+    return F.when(all_ == 0, 1.0).otherwise(1.0 - F.size(difference(a, b, table_a, table_b, bits_a, bits_b)) / all_)
+
+
+def written(keys: Column, bits: Column, table_: Column) -> Column:
+    """A fingerprint as a string: size of the set and bits of its table, then for each cell in use its place, count, digests
+    and checks in hexadecimal."""
+    cell = lambda c: F.concat_ws(".", F.hex(c["p"].cast("long")), F.hex(c["n"].cast("long")), F.hex(c["k"]), F.hex(c["c"]))
+    return F.concat(F.size(keys).cast("string"), F.lit(":"), bits.cast("string"), F.lit(":"), F.array_join(F.transform(table_, cell), ","))
+
+
+def sketched(rows: DataFrame, **texts: Column) -> DataFrame:
+    """rows with d_<name>, b_<name> and t_<name>, the digests of each text, the bits of its table and the table."""
+    rows = rows.withColumns({f"d_{name}": digests(text) for name, text in texts.items()})
+    rows = rows.withColumns({f"b_{name}": capacity(F.size(f"d_{name}")) for name in texts})
+    return rows.withColumns({f"t_{name}": sketch(F.col(f"d_{name}"), F.col(f"b_{name}")) for name in texts})
 
 
-def fingerprint(text: Column) -> Column:
-    """The table of a text as a string: paragraph unit, then count, digests and checks of each cell in hexadecimal."""
-    unit = unit_of(text)
-    cells = F.transform(sketch(digests(text, unit), CELLS[0]), lambda c: F.concat_ws(".", F.hex(c["n"].cast("long")), F.hex(c["k"]), F.hex(c["c"].bitwiseAND(F.lit(0xFFFFFFFF)))))
-    return F.concat(unit.cast("string"), F.lit(":"), F.array_join(cells, ","))
+def of(a: str, b: str) -> list[Column]:
+    return [F.col(f"{kind}_{name}") for kind in "dtb" for name in (a, b)]
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -148,26 +171,24 @@ def compare_next(docs: DataFrame) -> DataFrame:
     near_edited, near_next.
 
     The edited text ends in the head of the next document's instead of its last quarter.  near_edited and near_next are
-    likenesses of the text to the edited and to the next text, both taken in the coarser of the two texts' paragraph units.
-    Null text: empty.  Null doc_id comes first, equal doc_ids in order of text; a lone document is its own next; no rows give
-    none; other columns are ignored.
+    likenesses of the text's fingerprint to those of the edited and of the next text.  Null text: empty.  Null doc_id comes
+    first, equal doc_ids in order of text; a lone document is its own next; no rows give none; other columns are ignored.
     """
     quarter = F.floor(F.length("text") / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - quarter), F.substring(F.col("next_text"), F.lit(1), quarter))
     rows = with_next(docs).withColumn("edited", F.when(quarter > 0, edited).otherwise(F.col("text")))
-    rows = rows.withColumns({"_u": unit_of(F.col("text")), "_ue": unit_of(F.col("edited")), "_un": unit_of(F.col("next_text"))})
-    rows = rows.withColumns({"_e1": digests(F.col("text"), F.greatest("_u", "_ue")), "_e2": digests(F.col("edited"), F.greatest("_u", "_ue")), "_n1": digests(F.col("text"), F.greatest("_u", "_un")), "_n2": digests(F.col("next_text"), F.greatest("_u", "_un"))})
-    return rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"), likeness(F.col("_e1"), F.col("_e2")).alias("near_edited"), likeness(F.col("_n1"), F.col("_n2")).alias("near_next"))
+    rows = sketched(rows, own=F.col("text"), edit=F.col("edited"), next=F.col("next_text"))
+    return rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), written(F.col("d_own"), F.col("b_own"), F.col("t_own")).alias("fingerprint"), written(F.col("d_edit"), F.col("b_edit"), F.col("t_edit")).alias("edited_fingerprint"), likeness(*of("own", "edit")).alias("near_edited"), likeness(*of("own", "next")).alias("near_next"))
 
 
 def changed_paragraphs(versions: DataFrame) -> DataFrame:
-    """For rows (doc_id, old_text, new_text): doc_id, removed and added, the digests of paragraphs only in one version."""
-    unit = F.greatest(unit_of(F.col("old_text")), unit_of(F.col("new_text")))
-    rows = versions.select("doc_id", F.coalesce("old_text", F.lit("")).alias("old_text"), F.coalesce("new_text", F.lit("")).alias("new_text")).withColumn("_u", unit)
-    rows = rows.withColumn("_d", difference(digests(F.col("old_text"), F.col("_u")), digests(F.col("new_text"), F.col("_u"))))
+    """For rows (doc_id, old_text, new_text): doc_id, removed and added, the digests of paragraphs only in one version.  Null
+    text: empty; repeated rows stay; no rows give none; other columns are ignored."""
+    rows = versions.select("doc_id", F.coalesce("old_text", F.lit("")).alias("old_text"), F.coalesce("new_text", F.lit("")).alias("new_text"))
+    rows = sketched(rows, old=F.col("old_text"), new=F.col("new_text")).withColumn("changed", difference(*of("old", "new")))
 
     def only(sign: int) -> Column:
-        return F.array_sort(F.transform(F.filter("_d", lambda x: x["n"] == sign), lambda x: x["k"]))
+        return F.array_sort(F.transform(F.filter("changed", lambda x: x["n"] == sign), lambda x: x["k"]))
 
     return rows.select("doc_id", only(1).alias("removed"), only(-1).alias("added"))
 

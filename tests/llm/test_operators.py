@@ -247,9 +247,19 @@ def test_keys_without_hexadecimal_runs(spark, tmp_path):
     assert {r["doc_id"]: r["spans"] for r in pii.op1_pii(spark, str(tmp_path)).collect()} == {i: ",".join(f"{k}:{a}:{b}" for k, a, b in x) for i, x in want.items()}
 
 
-def test_fingerprints(docs, none):
-    rows = {r["doc_id"]: r for r in fingerprint.compare_next(docs).collect()}
-    texts = [(c[0], c[1] or "") for c in cases()]
+def lines_alike(a, b):
+    x, y = ({line for line in t.split("\n") if line} for t in (a, b))
+    return 1 - len(x ^ y) / (len(x) + len(y)) if x or y else 1
+
+
+def test_fingerprints(spark, docs, none):
+    rng = random.Random(13)
+    many = [sentence(rng, 4) for _ in range(400)]
+    more = [(1000 + i, "\n".join(rng.sample(many, rng.randrange(1, 300)) + [many[0]] * (i % 3))) for i in range(25)]
+    more += [(2000, "\n".join(many[:300])), (2001, "\n".join(many[:299])), (2002, many[0]), (2003, "\n\n")]
+    both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    rows = {r["doc_id"]: r for r in fingerprint.compare_next(both).collect()}
+    texts = [(c[0], c[1] or "") for c in cases()] + more
     seen = {}
     for i, (doc, text) in enumerate(texts):
         after, quarter = texts[(i + 1) % len(texts)][1], len(text) // 4
@@ -257,12 +267,40 @@ def test_fingerprints(docs, none):
         r = rows[doc]
         assert r["n_chars"] == len(text) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         assert seen.setdefault(text, r["fingerprint"]) == r["fingerprint"]
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
-        if text == after:
-            assert r["near_next"] == 1
+        assert seen.setdefault(edited, r["edited_fingerprint"]) == r["edited_fingerprint"]
+        assert r["near_edited"] == pytest.approx(lines_alike(text, edited)) and r["near_next"] == pytest.approx(lines_alike(text, after))
     assert fingerprint.compare_next(none).count() == 0
 
 
+def test_fingerprints_alone_give_the_likeness(spark):
+    """What near_* says follows from the two strings: their tables subtract and peel to the digests that differ."""
+    old = [f"line {i}" for i in range(40)]
+    docs = spark.createDataFrame([(1, "\n".join(old)), (2, "\n".join(old[:35] + ["new", "newer"]))], "doc_id long, text string")
+    first, second = fingerprint.compare_next(docs).orderBy("doc_id").collect()
+
+    def table(text):
+        n, bits, cells = text.split(":")
+        signed = lambda x: int(x, 16) - (1 << 64 if int(x, 16) >> 63 else 0)
+        return int(n), int(bits), {int(p, 16): [signed(c), int(k, 16), int(v, 16)] for p, c, k, v in (cell.split(".") for cell in cells.split(","))}
+
+    (n, bits, cells), (m, other, minus) = table(first["fingerprint"]), table(second["fingerprint"])
+    assert (n, m) == (40, 37) and bits == other
+    for p, (c, k, v) in minus.items():
+        mine = cells.setdefault(p, [0, 0, 0])
+        cells[p] = [mine[0] - c, mine[1] ^ k, mine[2] ^ v]
+    home = {}  # a digest's three cells hold it alone or are freed by others; each is known by its key and check
+    differ = set()
+    while pure := [(k, v, c) for c, k, v in cells.values() if abs(c) == 1 and (k, v) not in differ and home.setdefault(k, v) == v]:
+        k, v, c = pure[0]
+        of = [p for p, (n_, k_, v_) in cells.items() if (k_, v_) == (k, v) and n_ == c]
+        if len(of) < 3:
+            break  # would take the hash function itself
+        differ.add((k, v))
+        for p in of:
+            cells[p] = [0, 0, 0]
+    assert len(differ) == 7 and first["near_next"] == pytest.approx(1 - 7 / 77)
+
+
 def test_peeling_recovers_the_difference(spark):
     old = "\n".join(f"line {i}" for i in range(60))
     new = old.replace("line 7\n", "").replace("line 9\n", "changed\n")
