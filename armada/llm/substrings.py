@@ -69,6 +69,17 @@ def member(h: np.ndarray, c: np.ndarray, of_h: np.ndarray, of_c: np.ndarray) ->
         at = at + 1
 
 
+def by_chunk(h: np.ndarray, c: np.ndarray, d: np.ndarray, cuts: np.ndarray, prints: Prints) -> Iterator[tuple]:
+    """Hits (fingerprint, code, document) as rows (chunk, chunk, n, prints, codes, docs, ids): a chunk is a range of doc_ids."""
+    chunk = np.searchsorted(cuts, d, side="right")
+    order = np.lexsort((h, chunk))
+    h, c, d, chunk = h[order], c[order], d[order], chunk[order]
+    for k in np.unique(chunk):
+        i, j = np.searchsorted(chunk, k), np.searchsorted(chunk, k, side="right")
+        ids, number = np.unique(d[i:j], return_inverse=True)
+        yield int(k), int(k), int(j - i), pack(h[i:j], True), prints.pack(c[i:j]), pack(number.astype(np.uint32)), ids.astype("<i8").tobytes()
+
+
 class FingerprintIndex:
     """The runs below one path.  Buckets are fixed for the life of an index."""
 
@@ -80,9 +91,12 @@ class FingerprintIndex:
     def bucket_edges(self) -> np.ndarray:
         return np.array([(i << 64) // self.buckets for i in range(1, self.buckets)], np.uint64)
 
-    def blocks(self, docs: DataFrame) -> DataFrame:
-        """Sorted blocks of the windows of docs (doc_id, text): a window once for each gathering, with its smallest doc_id."""
-        edges, prints = self.bucket_edges(), self.prints
+    def blocks(self, docs: DataFrame, bounds: list[int]) -> DataFrame:
+        """Sorted blocks of the windows of docs (doc_id, text): a window once for each gathering, with its smallest doc_id.
+
+        Of a window in several documents of a gathering the later ones are hits already.  They travel as such, by chunk, so
+        that a passage which very many documents share meets in its bucket once for each gathering only."""
+        edges, prints, cuts = self.bucket_edges(), self.prints, np.array(bounds, np.int64)
 
         def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held, size = [], 0
@@ -93,15 +107,15 @@ class FingerprintIndex:
                 h, c, d = h[order], c[order], d[order]
                 first = np.ones(len(h), bool)
                 first[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
-                # where a window stands in several documents of this gathering, the later ones are sent as well
                 later = ~first & np.concatenate([[False], d[1:] != d[:-1]])
-                cut, rows = np.searchsorted(h, edges), []
+                rows = [(int(k) % (len(edges) + 1), *hit) for k, *hit in by_chunk(h[later], c[later], d[later], cuts, prints)]
+                h, c, d = h[first], c[first], d[first]
+                cut = np.searchsorted(h, edges)
                 for b, (i, j) in enumerate(zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(h)]]), strict=True)):
-                    keep = np.flatnonzero(first[i:j] | later[i:j]) + i
-                    if len(keep):
-                        ids, number = np.unique(d[keep], return_inverse=True)
-                        rows.append((b, len(keep), pack(h[keep], True), prints.pack(c[keep]), pack(number.astype(np.uint16)), ids.astype("<i8").tobytes()))
-                return pd.DataFrame(rows, columns=["bucket", "n", "prints", "codes", "docs", "ids"])
+                    if j > i:
+                        ids, number = np.unique(d[i:j], return_inverse=True)
+                        rows.append((b, -1, int(j - i), pack(h[i:j], True), prints.pack(c[i:j]), pack(number.astype(np.uint32)), ids.astype("<i8").tobytes()))
+                return pd.DataFrame(rows, columns=["bucket", "chunk", "n", "prints", "codes", "docs", "ids"])
 
             for pdf in batches:
                 for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
@@ -115,7 +129,7 @@ class FingerprintIndex:
             if held:
                 yield send()
 
-        return docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(gather, f"{RUN}, docs binary, ids binary")
+        return docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(gather, "bucket int, chunk int, n int, prints binary, codes binary, docs binary, ids binary")
 
     def join(self, docs: DataFrame, bounds: list[int], keep: bool) -> DataFrame:
         """Hits of a batch: (chunk, doc_id, prints, codes) - for a document the windows that start in a smaller doc_id, in the
@@ -127,7 +141,10 @@ class FingerprintIndex:
             old_h, old_c = (np.concatenate([r[i] for r in runs]) if runs else np.empty(0, np.uint64) for i in range(2))
             order = np.lexsort((old_c, old_h))
             old_h, old_c = old_h[order], old_c[order]
-            parts = [(unpack(r.prints, np.uint64, True), prints.unpack(r.codes, r.n), np.frombuffer(r.ids, "<i8")[unpack(r.docs, np.uint16)]) for r in new.itertuples()]
+            columns = ["bucket", "chunk", "n", "prints", "codes", "docs", "ids"]
+            passed = new.loc[new["chunk"] >= 0, columns].assign(bucket=int(key[0]))  # hits already
+            new = new[new["chunk"] < 0]
+            parts = [(unpack(r.prints, np.uint64, True), prints.unpack(r.codes, r.n), np.frombuffer(r.ids, "<i8")[unpack(r.docs, np.uint32)]) for r in new.itertuples()]
             h, c, d = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.uint64) for i in range(3))
             del parts
             order = np.lexsort((d.astype(np.int64), c, h))
@@ -137,21 +154,13 @@ class FingerprintIndex:
             least = d[first][np.cumsum(first) - 1] if len(h) else d
             known = member(h[first], c[first], old_h, old_c)
             hit = (known[np.cumsum(first) - 1] if len(h) else first) | (d > least)
-            rows = []
-            hh, hc, hd = h[hit], c[hit], d[hit]
-            chunk = np.searchsorted(cuts, hd, side="right")
-            order = np.lexsort((hh, chunk))
-            hh, hc, hd, chunk = hh[order], hc[order], hd[order], chunk[order]
-            for k in np.unique(chunk):
-                i, j = np.searchsorted(chunk, k), np.searchsorted(chunk, k, side="right")
-                ids, number = np.unique(hd[i:j], return_inverse=True)
-                rows.append((int(key[0]), int(k), int(j - i), pack(hh[i:j], True), prints.pack(hc[i:j]), pack(number.astype(np.uint32)), ids.astype("<i8").tobytes()))
+            rows = [(int(key[0]), *row[1:]) for row in by_chunk(h[hit], c[hit], d[hit], cuts, prints)]
             fresh = np.flatnonzero(first)[~known]
             if keep and len(fresh):
                 rows.append((int(key[0]), -1, len(fresh), pack(h[fresh], True), prints.pack(c[fresh]), None, None))
-            return pd.DataFrame(rows, columns=["bucket", "chunk", "n", "prints", "codes", "docs", "ids"])
+            return pd.concat([pd.DataFrame(rows, columns=columns), passed], ignore_index=True)
 
-        blocks, runs = self.blocks(docs), self.read_runs()
+        blocks, runs = self.blocks(docs, bounds), self.read_runs()
         n = max(self.buckets, 1)
         found = blocks.repartition(n, "bucket").groupBy("bucket").cogroup(runs.repartition(n, "bucket").groupBy("bucket")).applyInPandas(merge, "bucket int, chunk int, n int, prints binary, codes binary, docs binary, ids binary")
         path = f"{self.path}/run-{self.batches}"
