@@ -16,6 +16,22 @@ from armada.llm.toxicity import op5_toxicity
 QUERIES = {f.__name__: f for f in (op1_pii, op2_token_file, op3_mix_sources, op4_jaccard_join, op5_toxicity, op6_fingerprint, op7_substrings, op8_neighbours, op9_packing, op10_language, pack_conversations)}
 
 ORACLES = {
+    # every pair of different texts that shares a five-word shingle is compared; classes are what links and copies reach
+    "op4_jaccard_join": r"""
+WITH RECURSIVE words AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+keyed AS (SELECT doc_id, array_to_string(w, ' ') AS key, w FROM words),
+texts AS (SELECT key, any_value(w) AS w, min(doc_id) AS doc, CAST(count(*) AS BIGINT) AS n_copies, row_number() OVER (ORDER BY key) AS node FROM keyed GROUP BY key),
+spots AS (SELECT node, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM texts WHERE len(w) > 0),
+shingles AS (SELECT DISTINCT node, array_to_string(w[i:i + 4], ' ') AS s FROM spots),
+sizes AS (SELECT node, count(*) AS n FROM shingles GROUP BY node),
+shared AS (SELECT a.node AS a, b.node AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.node < b.node GROUP BY 1, 2),
+pairs AS (SELECT a, b FROM shared JOIN sizes x ON x.node = a JOIN sizes y ON y.node = b WHERE shared.n * 18000 >= 8000 * (x.n + y.n)),
+links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach AS (SELECT node, node AS other FROM texts UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.other = l.a),
+classes AS (SELECT r.node, min(t.doc) AS class_id FROM reach r JOIN texts t ON t.node = r.other GROUP BY r.node),
+counted AS (SELECT a AS node, count(*) AS n FROM links GROUP BY a)
+SELECT k.doc_id, c.class_id, CAST(coalesce(l.n, 0) AS BIGINT) AS n_links, t.n_copies
+FROM keyed k JOIN texts t ON t.key = k.key JOIN classes c ON c.node = t.node LEFT JOIN counted l ON l.node = t.node""",
     "op7_substrings": r"""
 WITH words AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
 spots AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 12, 0) + 1)) AS i FROM words),
