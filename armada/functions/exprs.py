@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,6 +117,67 @@ def clip_window(start: Column, end: Column, lead: float, longest: float) -> tupl
     return F.greatest(begin, F.least(start, end - longest)), F.least(end, F.greatest(begin, F.least(start, end - longest)) + longest)
 
 
+def issue_window(frame: Column, fps: Column, start: Column, end: Column) -> tuple[Column, Column]:
+    """An issue's window to 3 places: its own, or where it has no start one second around its frame."""
+    centre = frame / F.nullif(fps, F.lit(0))
+    around = start.isNull() & centre.isNotNull()
+    return F.bround(F.when(around, F.greatest(F.lit(0.0), centre - 1.0)).otherwise(start), 3), F.bround(F.when(around, centre + 1.0).otherwise(end), 3)
+
+
+def flat_vector(value: Column, depth: int = 0) -> Column:
+    """A scalar (depth 0), vector (1) or nested vector (2 and more) as one array of doubles: nulls inside count as NaN, an empty
+    or null value is null."""
+    out = F.array(value) if depth == 0 else value
+    for _ in range(depth - 1):
+        out = F.flatten(F.transform(out, lambda x: F.coalesce(x, F.array(F.lit(None)))))
+    out = F.transform(out, lambda x: F.coalesce(x.cast("double"), F.lit(float("nan"))))
+    return F.when(value.isNotNull() & (F.size(out) > 0), out)
+
+
+def component_ordinals(names: list[str], hands: list[str], axes: tuple[str, ...] = ("x", "y", "z")) -> dict[str, list[int]]:
+    """Where each hand's axes stand in a feature's vector, from the names of its components; a missing one is an error."""
+    at = {name: i for i, name in enumerate(names)}
+    wanted = {hand: [f"{hand}_tcp.{axis}" for axis in axes] for hand in hands}
+    if missing := [name for parts in wanted.values() for name in parts if name not in at]:
+        raise ValueError(f"the feature lacks {missing}")
+    return {hand: [at[name] for name in parts] for hand, parts in wanted.items()}
+
+
+def leaf_name(name: str | None) -> str:
+    """A dataset's folder name without white space around it; separators, other characters and nothing at all are errors."""
+    clean = (name or "").strip()
+    if not re.fullmatch("[A-Za-z0-9._-]+", clean):
+        raise ValueError(f"{clean!r} is no folder name of letters, digits, dots, underscores and hyphens")
+    return clean
+
+
+def split_parts(text: str) -> dict[str, float] | dict[str, list[int]]:
+    """Parts of a split: all by share (train:0.8,val:0.2) or all by ranges of episodes (train:0-4,val:5-6); a full-width comma
+    counts as a comma."""
+    parts: dict = {}
+    for chunk in filter(None, map(str.strip, text.replace("，", ",").split(","))):
+        name, colon, value = (x.strip() for x in chunk.partition(":"))
+        if not colon:
+            raise ValueError(f"{chunk!r} is not name:value")
+        span = re.fullmatch(r"(\d+)\s*-\s*(\d+)", value)
+        parts[name] = list(range(int(span[1]), int(span[2]) + 1)) if span else float(value)
+    if len({type(v) for v in parts.values()}) > 1:
+        raise ValueError("shares and ranges can't be mixed")
+    return parts
+
+
+def completion(done: Column, target: Column) -> Column:
+    """Share of a target in percent to one place; null without a positive target."""
+    return F.when(target > 0, F.round(100 * done / target, 1))
+
+
+def atom_text(content: Column, calls: Column) -> Column:
+    """What an annotation atom says: its content, else the names of the functions it calls, else a mark for nothing.  calls is
+    a JSON list of objects with function.name."""
+    names = F.filter(F.transform(F.from_json(calls, "array<struct<function:struct<name:string>>>"), lambda c: c["function"]["name"]), lambda n: n.isNotNull() & (n != ""))
+    return F.when(F.coalesce(content, F.lit("")) != "", content).when(F.size(names) > 0, F.concat(F.lit("· "), F.array_join(names, ", "))).otherwise("(空)")
+
+
 def middle(ascending: Column) -> Column:
     """The median of an ascending array (the mean of the middle two where their number is even); null if it is empty."""
     n = F.size(ascending)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -56,7 +57,7 @@ def camera_features(info_rows: DataFrame) -> DataFrame:
 
 def annotations(spark: SparkSession, path: str) -> DataFrame:
     """One row an atom: episode and the atom's fields.  A document that can't be parsed has none."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     doc = text.select(F.from_json("value", ATOMS).alias("d"))
     each = doc.select(F.explode("d.episodes").alias("episode", "e")).select("episode", F.explode("e.atoms").alias("a"))
     return each.select("episode", "a.*")
@@ -66,6 +67,86 @@ def snapshots(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(SNAPSHOT).option("multiLine", True).json(f"{folder}/pull_result_*.json")
 
 
+CHANGE = "date:string,pulled_at:string,total_episodes:long,total_frames:long,duration_hours:double,d_episodes:long,d_frames:long,d_hours:double"
+LOG = f"struct<dataset_index:array<string>,daily_totals:array<struct<pulled_at:string,date:string,org:string,total_datasets:long,total_episodes:long,total_frames:long,total_hours:double,present:array<long>,source:string>>,datasets:map<string,struct<fps:double,robot_type:string,total_tasks:long,uploader:string,last_modified:string,changes:array<struct<{CHANGE}>>>>>"
+CACHE = "struct<version:long,repos:map<string,struct<last_modified:string,head_commit:string,updated_at:string,changes:array<struct<date:string,commit_id:string,created_at:string,hours:double,episodes:long,frames:long>>>>>"
+
+
+def document(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One row, doc: a JSON document of this schema.  A missing file, or one that can't be parsed, gives a null doc."""
+    folder, _, name = path.rpartition("/")
+    try:
+        text = spark.read.option("pathGlobFilter", name).text(folder, wholetext=True).select(F.from_json("value", schema).alias("doc"))
+    except AnalysisException:  # no such folder
+        return spark.createDataFrame([(None,)], f"doc {schema}")
+    return text.unionByName(spark.createDataFrame([(None,)], f"doc {schema}")).orderBy(F.col("doc").isNull()).limit(1)
+
+
+def change_log(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The change log as tables: index (pos, dataset), daily (one row a snapshot, with present), datasets (dataset and its
+    metadata) and changes (dataset and one row a change).  Missing parts, and missing or broken files, are empty tables."""
+    doc = document(spark, path, LOG)
+    each = doc.select(F.explode("doc.datasets").alias("dataset", "x"))
+    return {
+        "index": doc.select(F.posexplode("doc.dataset_index").alias("pos", "dataset")).select(F.col("pos").cast("long").alias("pos"), "dataset"),
+        "daily": doc.select(F.posexplode("doc.daily_totals").alias("ord", "x")).select(F.col("ord").cast("long").alias("ord"), "x.*"),
+        "datasets": each.select("dataset", "x.fps", "x.robot_type", "x.total_tasks", "x.uploader", "x.last_modified"),
+        "changes": each.select("dataset", F.explode("x.changes").alias("c")).select("dataset", "c.*"),
+    }
+
+
+def write_change_log(tables: dict[str, DataFrame], path: str) -> None:
+    """The tables of change_log as one JSON document, which change_log reads back; a log has one row a dataset and change."""
+    columns = [c.split(":")[0] for c in CHANGE.split(",")]
+    line = F.array_sort(F.collect_list(F.struct("date", "pulled_at", *columns[2:])))
+    changes = tables["changes"].groupBy("dataset").agg(line.alias("changes"))
+    meta = tables["datasets"].join(changes, "dataset", "left").withColumn("changes", F.coalesce("changes", F.array().cast(f"array<struct<{CHANGE}>>")))
+    spark = meta.sparkSession
+    names = tables["index"].agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "dataset"))), lambda x: x["dataset"]).alias("dataset_index"))
+    daily = tables["daily"].agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.struct(*[c for c in tables["daily"].columns if c != "ord"]).alias("x")))), lambda x: x["x"]).alias("daily_totals"))
+    of = meta.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("dataset", F.struct(*[c for c in meta.columns if c != "dataset"]).alias("x"))))).alias("datasets"))
+    whole = names.crossJoin(daily).crossJoin(of)  # one row each
+    text = whole.select(F.to_json(F.struct("dataset_index", "daily_totals", "datasets"), {"ignoreNullFields": "false"}).alias("value"))
+    write_document(spark, text, path)
+
+
+def write_document(spark: SparkSession, text: DataFrame, path: str) -> None:
+    """One row of text as one file at path, replacing what is there, through the file system that the path names."""
+    jvm, value = spark.sparkContext._jvm, text.first()[0]
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(value.encode() + b"\n"))
+    finally:
+        out.close()
+
+
+def change_cache(spark: SparkSession, path: str) -> DataFrame:
+    """The commit-diff cache, one row a change: dataset, last_modified, head_commit and the change's fields.  Missing or broken
+    files are empty."""
+    each = document(spark, path, CACHE).select(F.explode("doc.repos").alias("dataset", "x"))
+    return each.select("dataset", "x.last_modified", "x.head_commit", F.explode("x.changes").alias("c")).select("dataset", "last_modified", "head_commit", "c.*")
+
+
+def legacy_history(spark: SparkSession, path: str) -> DataFrame:
+    """Snapshots of the old history file: a list of them, or an object with the list under pull_history; else none."""
+    row = "array<struct<" + SNAPSHOT.replace(" array", ":array").replace(", ", ",").replace(" ", ":") + ">>"
+    plain, held = document(spark, path, row), document(spark, path, f"struct<pull_history:{row}>").select("doc.pull_history")
+    rows = plain.select(F.filter("doc", lambda x: x["pulled_at"].isNotNull() | x["date"].isNotNull()).alias("rows")).unionByName(held.toDF("rows"))
+    return rows.select(F.posexplode("rows").alias("ord", "x")).select(F.col("ord").cast("long").alias("ord"), "x.*").distinct()
+
+
+def doctor_stream(spark: SparkSession, path: str) -> DataFrame:
+    """One row a file of line-delimited events: file, result (JSON) and error.  The first error ends a stream; of results the
+    last counts; without either the stream ended early.  Blank lines and unknown kinds are passed over."""
+    events = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), "value").where(F.trim("value") != "")
+    kind, text = F.get_json_object("value", "$.type"), lambda name: F.get_json_object("value", f"$.{name}")
+    events = events.select("file", "at", kind.alias("kind"), text("result").alias("result"), text("error").alias("error"))
+    first = events.groupBy("file").agg(F.min(F.when(F.col("kind") == "error", F.struct("at", F.coalesce("error", F.lit("failed")).alias("error")))).alias("e"), F.max(F.when(F.col("kind") == "result", F.struct("at", "result"))).alias("r"))
+    ended = F.when(F.col("e").isNotNull(), F.col("e.error")).when(F.col("r.result").isNull(), "the stream ended without a result")
+    return first.select("file", F.when(F.col("e").isNull(), F.col("r.result")).alias("result"), ended.alias("error"))
+
+
 def log_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of all logs below a folder that mention JPEG, with their file; hidden caches are left out."""
     df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*{.log,log*.txt,log*.json}").text(folder)

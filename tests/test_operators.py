@@ -156,3 +156,43 @@ def test_empty_frames(spark):
     none = episodes(spark, [])
     for out in (T.jumps(none), T.idle_periods(none), T.length_outliers(none), T.boundary_outliers(none)):
         assert out.count() == 0
+
+
+def test_windows_and_vectors(spark):
+    window = F.struct(*X.issue_window(F.lit(15), F.lit(30.0), F.lit(None).cast("double"), F.lit(None).cast("double")))
+    assert tuple(one(spark, window)) == (0.0, 1.5)
+    assert tuple(one(spark, F.struct(*X.issue_window(F.lit(15), F.lit(30.0), F.lit(2.00049), F.lit(3.0))))) == (2.0, 3.0)
+    nested = F.array(F.array(F.lit(1.0), F.lit(None).cast("double")), F.lit(None).cast("array<double>"), F.array(F.lit(2.0)))
+    flat = one(spark, X.flat_vector(nested, 2))
+    assert flat[0] == 1.0 and flat[3] == 2.0 and flat[1] != flat[1] and flat[2] != flat[2]
+    assert one(spark, X.flat_vector(F.lit(3))) == [3.0] and one(spark, X.flat_vector(F.array().cast("array<double>"), 1)) is None
+    names = [f"{hand}_tcp.{axis}" for hand in ("right", "left") for axis in "zyx"]
+    assert X.component_ordinals(names, ["left"]) == {"left": [5, 4, 3]}
+    with pytest.raises(ValueError):
+        X.component_ordinals(names[:-1], ["left"])
+
+
+def test_names_and_splits(spark):
+    assert X.leaf_name("  fold-towel_01 ") == "fold-towel_01"
+    for bad in ("", None, "a/b", "a b"):
+        with pytest.raises(ValueError):
+            X.leaf_name(bad)
+    assert X.split_parts("a:0.75， b:0.25") == {"a": 0.75, "b": 0.25} and X.split_parts("a:2-4,b:7-7") == {"a": [2, 3, 4], "b": [7]}
+    for bad in ("a", "a:0.5,b:1-2", "a:x"):
+        with pytest.raises(ValueError):
+            X.split_parts(bad)
+    assert one(spark, X.completion(F.lit(1), F.lit(3))) == 33.3 and one(spark, X.completion(F.lit(1), F.lit(0))) is None
+    calls = F.lit('[{"function": {"name": "grasp"}}, {"x": 1}, {"function": {"name": "lift"}}]')
+    assert one(spark, X.atom_text(F.lit(""), calls)) == "· grasp, lift"
+    assert one(spark, X.atom_text(F.lit("hold"), calls)) == "hold" and one(spark, X.atom_text(F.lit(None).cast("string"), F.lit("nothing"))) == "(空)"
+
+
+def test_local_quality_and_integrity(spark):
+    issue = "array<struct<severity:string,message:string,episode:long,start_sec:double,end_sec:double,frame:long,field:string>>"
+    rows = spark.createDataFrame([(1, [("warn", "far", 3, 1.0, 2.5, None, "arm"), ("skip", "s", None, None, None, None, None)]), (2, [("skip", "no data", None, None, None, 7, None)]), (3, [])], f"id long, issues {issue}")
+    out = {r["id"]: tuple(r["x"]) for r in rows.select("id", C.check_local_quality({}).alias("x")).collect()}
+    assert out == {1: ("warn", "1 episode issues"), 2: ("skip", "no data"), 3: ("ok", "")}
+    lines = {r["id"]: r["l"] for r in rows.select("id", F.transform("issues", C.issue_line).alias("l")).collect()}
+    assert lines[1] == ["episode 3 / 1.000s-2.500s / arm: far", "s"] and lines[2] == ["frame 7: no data"]
+    info = spark.createDataFrame([(5, 100, 30.0, True), (0, None, 30.0, False)], "total_episodes long, total_frames long, fps double, has_stats boolean")
+    assert [r["integrity"] for r in C.integrity_issues(info).collect()] == [[], ["info lacks total_episodes", "info lacks total_frames", "no statistics"]]

@@ -14,7 +14,7 @@ def test_readers(spark, tmp_path):
     assert S.tasks(spark, root).count() == 1
     (tmp_path / "info.json").write_text(json.dumps({"fps": 30, "features": {"cam": {"dtype": "video", "shape": [1]}, "state": {"dtype": "float32", "shape": [6]}}}))
     assert [r["name"] for r in S.camera_features(S.info(spark, str(tmp_path / "info.json"))).collect()] == ["cam"]
-    (tmp_path / "notes.json").write_text(json.dumps({"version": "1", "episodes": {"3": {"atoms": [{"role": "user", "content": "x"}]}}}))
+    (tmp_path / "notes.json").write_text(json.dumps({"version": "1", "episodes": {"3": {"atoms": [{"role": "user", "content": "x"}]}}}, indent=1))
     assert [(r["episode"], r["role"]) for r in S.annotations(spark, str(tmp_path / "notes.json")).collect()] == [("3", "user")]
     (tmp_path / "bad.json").write_text("{")
     assert S.annotations(spark, str(tmp_path / "bad.json")).count() == 0
@@ -30,3 +30,34 @@ def test_snapshots_fold_as_they_arrive(spark, tmp_path):
         (folder / f"pull_result_{i}.json").write_text(json.dumps({"org": "o", "date": "260101", "pulled_at": at, "total_episodes": n}))
         fold_snapshots(spark, str(folder), str(tmp_path / "log"), str(tmp_path / "ck")).awaitTermination()
     assert [r["total_episodes"] for r in current_log(spark, str(tmp_path / "log")).collect()] == [15]
+
+
+def test_change_log_round_trip(spark, tmp_path):
+    change = {"date": "260301", "pulled_at": "2026-03-01T08:00:00", "total_episodes": 4, "total_frames": 900, "duration_hours": 0.5, "d_episodes": 4, "d_frames": 900, "d_hours": 0.5}
+    log = {"dataset_index": ["own/b", "own/a"], "daily_totals": [{"pulled_at": "2026-03-01T08:00:00", "date": "260301", "org": "own", "total_datasets": 2, "total_episodes": 4, "present": [1, 0]}], "datasets": {"own/a": {"fps": 30, "uploader": "u1", "changes": [change]}, "own/b": {}}}
+    (tmp_path / "log.json").write_text(json.dumps(log, indent=1))
+    read = lambda path: {k: sorted(map(repr, df.collect())) for k, df in S.change_log(spark, path).items()}
+    first = read(str(tmp_path / "log.json"))
+    assert {k: len(v) for k, v in first.items()} == {"index": 2, "daily": 1, "datasets": 2, "changes": 1}
+    S.write_change_log(S.change_log(spark, str(tmp_path / "log.json")), str(tmp_path / "again.json"))
+    assert read(str(tmp_path / "again.json")) == first
+    for path in ("bad.json", "none.json", "no/folder.json"):
+        (tmp_path / "bad.json").write_text("[1")
+        assert all(not v for v in read(str(tmp_path / path)).values())
+
+
+def test_cache_history_and_events(spark, tmp_path):
+    (tmp_path / "cache.json").write_text(json.dumps({"version": 1, "repos": {"own/a": {"last_modified": "t", "head_commit": "c1", "changes": [{"date": "260301", "hours": 1.5, "episodes": 2}]}}}))
+    assert [(r["dataset"], r["hours"], r["frames"]) for r in S.change_cache(spark, str(tmp_path / "cache.json")).collect()] == [("own/a", 1.5, None)]
+    assert S.change_cache(spark, str(tmp_path / "none.json")).count() == 0
+    rows = [{"pulled_at": f"2026-03-0{i}", "date": f"26030{i}", "total_episodes": i} for i in (1, 2)]
+    for name, content in (("list.json", rows), ("held.json", {"pull_history": rows}), ("other.json", {"x": 1})):
+        (tmp_path / name).write_text(json.dumps(content))
+    got = lambda name: sorted((r["ord"], r["total_episodes"]) for r in S.legacy_history(spark, str(tmp_path / name)).collect())
+    assert got("list.json") == got("held.json") == [(0, 1), (1, 2)] and got("other.json") == got("none.json") == []
+    events = tmp_path / "events"
+    events.mkdir()
+    for name, lines in (("a", ['{"type": "progress"}', "", '{"type": "result", "result": {"ok": 1}}']), ("b", ['{"type": "error", "error": "broken"}', '{"type": "result", "result": 2}']), ("c", ['{"type": "progress"}'])):
+        (events / f"{name}.ndjson").write_text("\n".join(lines))
+    out = {r["file"][-8]: (r["result"], r["error"]) for r in S.doctor_stream(spark, str(events)).collect()}
+    assert out == {"a": ('{"ok":1}', None), "b": (None, "broken"), "c": (None, "the stream ended without a result")}
