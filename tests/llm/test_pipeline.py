@@ -5,6 +5,7 @@ from collections import Counter
 
 import corpus_pipeline as pipeline
 from armada.llm.common import WORD
+from armada.llm.jaccard import similar_texts
 from armada.llm.mixing import mix_sources
 from tests.llm.test_operators import SCHEMA, cases
 
@@ -37,3 +38,24 @@ def test_mixed_rows_equal_brute_force(spark):
             want.append((row[0], text, *row[2:4], len(text), *row[5:]))
             rest -= len(words)
     assert len(want) > 0 and Counter(map(tuple, pipeline.mix(spark, docs, "").collect())) == Counter(want)
+
+
+def test_repeated_and_missing_ids(spark):
+    """Rows that share a doc_id or have none, repeated rows, and columns with the names used inside."""
+    text = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
+    rows = [(1, text(1, 30)), (1, text(2, 50)), (1, text(2, 50)), (None, text(3, 40)), (None, text(3, 40) + " more"), (None, None), (2, text(3, 40) + " end mail a.b@c.org")]
+    docs = spark.createDataFrame([(*r, "s", i, i, i, i, i, i) for i, r in enumerate(rows)], "doc_id long, text string, source string, row int, number int, rest int, clean int, found int, spans int")
+    amounts = Counter()
+    for r in mix_sources(docs, carry="number").collect():
+        amounts[r["number"]] += r["taken"]
+    got = Counter()
+    for r in pipeline.mix(spark, docs, "").collect():
+        assert r["number"] == r["row"] == r["rest"] == r["clean"] and r["text"].split() == rows[r["number"]][1].split()[: len(r["text"].split())]
+        got[r["number"]] += len(r["text"].split())
+    assert got == +amounts
+    clean = {r["row"]: r["text"] for r in pipeline.redact_personal_data(spark, docs, "").collect()}
+    assert len(clean) == len(rows) and clean[6].endswith("<email>") and clean[5] is None and clean[0] == rows[0][1]
+    classes = similar_texts(docs).collect()
+    assert sorted((r["doc_id"] or 0, r["class_id"], r["n_links"], r["n_copies"]) for r in classes if r["class_id"] is not None) == [(0, 2, 2, 1), (0, 2, 2, 1), (1, 1, 0, 1), (1, 1, 0, 2), (1, 1, 0, 2), (2, 2, 2, 1)]
+    kept = pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted((r["doc_id"] or 0) for r in kept) == [0, 0, 0, 1, 1, 2]
