@@ -66,7 +66,7 @@ class Encoder:
     pieces met again move to the younger, so the common ones stay and memory is bounded.
     """
 
-    LIMIT = 200_000
+    LIMIT = 300_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
