@@ -178,6 +178,56 @@ def atom_text(content: Column, calls: Column) -> Column:
     return F.when(F.coalesce(content, F.lit("")) != "", content).when(F.size(names) > 0, F.concat(F.lit("· "), F.array_join(names, ", "))).otherwise("(空)")
 
 
+#: The styles of annotation atoms in their order, with their labels; the label of a missing style comes last.
+STYLES = {"task_aug": "任务改写", "subtask": "子任务", "plan": "计划", "memory": "记忆", "interjection": "插话", "vqa": "视觉问答"}
+NO_STYLE = "语音"
+
+
+def style_label(style: Column) -> Column:
+    """Label of a style; an unknown style is its own label, a missing or empty one is speech."""
+    labels = F.create_map(*[F.lit(x) for pair in STYLES.items() for x in pair])
+    return F.coalesce(F.try_element_at(labels, style), F.nullif(style, F.lit("")), F.lit(NO_STYLE))
+
+
+def style_place(style: Column) -> Column:
+    """Place of a style among the groups: the known ones in their order, speech, then unknown ones."""
+    found = F.array_position(F.array(*[F.lit(s) for s in STYLES]), style)
+    return F.when(style.isNull(), len(STYLES) + 1).when(found > 0, found).otherwise(len(STYLES) + 2).cast("int")
+
+
+def is_event_style(style: Column) -> Column:
+    """Whether atoms of a style belong to a moment."""
+    return style.isNull() | style.isin("interjection", "vqa")
+
+
+def to_day(yymmdd_: Column) -> Column:
+    """The date of six digits (years from 69 are of the last century), or null."""
+    century = F.when(F.substring(yymmdd_, 1, 2) >= "69", "19").otherwise("20")
+    iso = F.concat(century, F.substring(yymmdd_, 1, 2), F.lit("-"), F.substring(yymmdd_, 3, 2), F.lit("-"), F.substring(yymmdd_, 5, 2))
+    return F.when(yymmdd_.rlike("^[0-9]{6}$"), iso).try_cast("date")
+
+
+def day_text(yymmdd_: Column) -> Column:
+    """yyyy-mm-dd; what is no date stays as it is, nothing becomes a dash."""
+    return F.coalesce(F.date_format(to_day(yymmdd_), "yyyy-MM-dd"), or_dash(yymmdd_))
+
+
+def day_weekday(yymmdd_: Column) -> Column:
+    """mm-dd and on a second line the weekday; what is no date stays as it is, nothing becomes a dash."""
+    day = to_day(yymmdd_)
+    return F.coalesce(F.concat(F.date_format(day, "MM-dd"), F.lit("\n周"), F.substring(F.lit("一二三四五六日"), F.weekday(day) + 1, F.lit(1))), or_dash(yymmdd_))
+
+
+def days_between(first: Column, last: Column) -> Column:
+    """Whole days from one six-digit date to another; null where either is no date."""
+    return F.datediff(to_day(last), to_day(first))
+
+
+def clip_camera(path: Column, field: Column) -> Column:
+    """Camera in the name of an issue's clip: the stream its path names, else its field made safe, else clip."""
+    return F.coalesce(infer_stream(path), safe_name(F.coalesce(F.nullif(field, F.lit("")), F.lit("clip"))))
+
+
 def middle(ascending: Column) -> Column:
     """The median of an ascending array (the mean of the middle two where their number is even); null if it is empty."""
     n = F.size(ascending)

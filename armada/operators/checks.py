@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Fixed value: the status of an issue that nobody has reviewed.
+UNCONFIRMED = "未确认"
+
 #: id -> (title, provider, expression); an expression gives a struct of status and message.
 REGISTRY: dict[str, tuple[str, str, Callable[[dict], Column]]] = {}
 
@@ -116,9 +119,19 @@ def aggregate_checks(results: DataFrame, key: str) -> DataFrame:
 
 
 def issue_summary(issues: DataFrame) -> DataFrame:
-    """Counts of issues by rule, by field and by episode in one pass: kind, value, n."""
+    """Counts of issues by rule, by field and by episode in one pass: kind, value, n.  Rules and fields come by falling count,
+    episodes by their text, unknown ones last."""
     rows = issues.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.coalesce(F.col(k).cast("string"), F.lit("unknown")).alias("value")) for k in ("rule", "field", "episode")])).alias("x"))
-    return rows.groupBy("x.kind", "x.value").agg(F.count(F.lit(1)).alias("n"))
+    counted = rows.groupBy("x.kind", "x.value").agg(F.count(F.lit(1)).alias("n"))
+    by_text = F.col("kind") == "episode"
+    return counted.orderBy("kind", F.when(by_text, 0).otherwise(-F.col("n")), by_text & (F.col("value") == "unknown"), "value")
+
+
+def issue_totals(issues: DataFrame) -> DataFrame:
+    """One row over issues with review_status: total_issues, episode_count (issues without an episode share one) and
+    unconfirmed (a missing status is unconfirmed).  No issues give zeros."""
+    episode = F.coalesce(F.col("episode").cast("string"), F.lit("unknown"))
+    return issues.agg(F.count(F.lit(1)).alias("total_issues"), F.countDistinct(episode).alias("episode_count"), F.count_if(F.coalesce("review_status", F.lit(UNCONFIRMED)) == UNCONFIRMED).alias("unconfirmed"))
 
 
 def review_overlay(issues: DataFrame, reviews: DataFrame) -> DataFrame:
@@ -126,7 +139,7 @@ def review_overlay(issues: DataFrame, reviews: DataFrame) -> DataFrame:
     by_id = reviews.select(F.col("key").alias("issue_id"), F.col("status").alias("_s1"))
     by_pos = reviews.select(F.col("key").alias("_pos"), F.col("status").alias("_s2"))
     out = issues.withColumn("_pos", F.col("position").cast("string")).join(by_id, "issue_id", "left").join(by_pos, "_pos", "left")
-    return out.withColumn("review_status", F.coalesce("_s1", "_s2", F.lit("未确认"))).drop("_pos", "_s1", "_s2")
+    return out.withColumn("review_status", F.coalesce("_s1", "_s2", F.lit(UNCONFIRMED))).drop("_pos", "_s1", "_s2")
 
 
 def text_filter(rows: DataFrame, columns: list[str], query: str) -> DataFrame:

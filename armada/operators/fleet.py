@@ -94,6 +94,14 @@ def dataset_deltas(current: DataFrame, previous: DataFrame, has_details: bool =
     return out.select("dataset", delta("episodes", "_e").cast("long").alias("d_episodes"), delta("hours", "_h").cast(HOURS).alias("d_hours"), (F.col("_known").isNull() if has_details else F.lit(False)).alias("is_new"))
 
 
+def deltas_since(changes: DataFrame, cut: str) -> DataFrame:
+    """What dataset_deltas gives for a log of running totals (dataset, changed_at, episodes, hours): its state now against the
+    one before cut, in one aggregate without a join.  A change without a date counts as new."""
+    old = F.col("changed_at") < cut
+    each = changes.groupBy("dataset").agg(*[F.max(c).alias(c) for c in ("episodes", "hours")], *[F.max(F.when(old, F.col(c))).alias(f"_{c}") for c in ("episodes", "hours")], F.coalesce(F.bool_or(old), F.lit(False)).alias("_known"))
+    return each.select("dataset", (F.col("episodes") - or_zero(F.col("_episodes"))).cast("long").alias("d_episodes"), (F.col("hours") - or_zero(F.col("_hours"))).cast(HOURS).alias("d_hours"), (~F.col("_known")).alias("is_new"))
+
+
 def deltas_with_cache(datasets: DataFrame, deltas: DataFrame, cache: DataFrame) -> DataFrame:
     """Deltas from the matching rows of the change cache (same dataset, same last_modified, same day), else the local ones
     clamped at zero."""

@@ -167,11 +167,16 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
 
 
 def autocorrelation_lag(frames: DataFrame, limit: float = 0.5, most: int = 32) -> DataFrame:
-    """Suggested chunk length of each episode of (episode, frame, v): the first lag with autocorrelation under limit."""
-    lags = frames.sparkSession.range(1, most + 1).select(F.col("id").alias("lag"))  # most rows
-    left = frames.crossJoin(F.broadcast(lags)).select("episode", "lag", "v", (F.col("frame") + F.col("lag")).alias("frame"))
-    pairs = left.join(frames.withColumnRenamed("v", "w"), ["episode", "frame"])
-    return pairs.groupBy("episode", "lag").agg(F.corr("v", "w").alias("r")).where(F.col("r") < limit).groupBy("episode").agg(F.min("lag").alias("lag"))
+    """Suggested chunk length of each episode of (episode, frame, v): the first lag with autocorrelation under limit.
+
+    A frame meets the one exactly lag frames later, so gaps give no pair; of repeated frame numbers the largest value is met.
+    All lags are ranges of one window, whose partitioning the aggregate reuses: one shuffle, no join.  Frames without a number
+    and values without a later one don't count; episodes without such a lag give no row.
+    """
+    lags = range(1, most + 1)
+    moved = frames.where("frame is not null").select("episode", "v", *[F.max("v").over(by_episode().rangeBetween(k, k)).alias(f"_{k}") for k in lags])
+    each = moved.groupBy("episode").agg(F.array(*[F.corr("v", f"_{k}") < limit for k in lags]).alias("low"))
+    return each.select("episode", F.array_position("low", True).alias("lag")).where("lag > 0")
 
 
 def speed_variation(frames: DataFrame) -> DataFrame:

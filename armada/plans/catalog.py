@@ -162,6 +162,11 @@ def dataset_deltas(spark, d):
     return A.dataset_deltas(state(spark, d), state(spark, d, SPLIT))
 
 
+@query("SELECT * FROM deltas", *CHANGES, "state")
+def deltas_since(spark, d):
+    return A.deltas_since(V.changes(spark, d), SPLIT)
+
+
 @query("SELECT dataset, CAST(0 AS BIGINT) AS d_episodes, CAST(0 AS DECIMAL(18,2)) AS d_hours, false AS is_new FROM cur", *CHANGES, "state")
 def dataset_deltas_without_details(spark, d):
     return A.dataset_deltas(state(spark, d), state(spark, d, SPLIT).limit(0), has_details=False)
@@ -174,7 +179,7 @@ RESOLVED = ("orders2", "datasets", "changes", "state", "resolved")
 
 def resolved(spark, d) -> DataFrame:
     cache = V.changes(spark, d).where("commit_id % 3 = 0").select("dataset", F.col("changed_at").alias("last_modified"), X.yymmdd(F.col("changed_at")).alias("date"), F.lit(1).cast("long").alias("episodes"), F.col("h").alias("hours"))
-    return A.deltas_with_cache(V.datasets(spark, d).withColumn("group", F.col("segment")).drop("episodes", "hours"), dataset_deltas(spark, d), cache)
+    return A.deltas_with_cache(V.datasets(spark, d).withColumn("group", F.col("segment")).drop("episodes", "hours"), A.deltas_since(V.changes(spark, d), SPLIT), cache)
 
 
 @query("SELECT * FROM resolved", *RESOLVED)
@@ -197,7 +202,7 @@ def authority_totals(spark, d):
 
 @query("SELECT substr(s.last_modified, 1, 7) AS date, s.segment AS \"group\", CAST(sum(greatest(0, d.d_hours)) AS DECIMAL(18,2)) AS hours, CAST(sum(greatest(0, d.d_episodes)) AS BIGINT) AS episodes, CAST(count(*) AS BIGINT) AS datasets FROM datasets s JOIN deltas d ON s.dataset = d.dataset WHERE d.d_hours > 0 OR d.d_episodes > 0 GROUP BY 1, 2", "orders2", "datasets", "changes", "state")
 def delta_groups(spark, d):
-    rows = V.datasets(spark, d).select("dataset", F.substring("last_modified", 1, 7).alias("date"), F.col("segment").alias("group")).join(dataset_deltas(spark, d), "dataset")
+    rows = V.datasets(spark, d).select("dataset", F.substring("last_modified", 1, 7).alias("date"), F.col("segment").alias("group")).join(A.deltas_since(V.changes(spark, d), SPLIT), "dataset")
     return A.group_growth(rows.select("dataset", "date", "group", F.col("d_hours").alias("hours"), F.col("d_episodes").alias("episodes")))
 
 
@@ -582,6 +587,11 @@ def issue_summary(spark, d):
     return C.issue_summary(issues(spark, d))
 
 
+@query("SELECT CAST(count(*) AS BIGINT) AS total_issues, CAST(count(DISTINCT episode) AS BIGINT) AS episode_count, CAST(count(*) FILTER (WHERE position % 5 > 0 AND position % 3 > 0) AS BIGINT) AS unconfirmed FROM issues", "issues")
+def issue_totals(spark, d):
+    return C.issue_totals(reviewed(spark, d))
+
+
 @query("SELECT position, episode, rule FROM issues ORDER BY episode, position LIMIT 80", "issues")
 def issue_cap(spark, d):
     return issues(spark, d).orderBy("episode", "position").limit(80).select("position", "episode", "rule")
@@ -589,9 +599,13 @@ def issue_cap(spark, d):
 
 @query("SELECT issue_id, CASE WHEN position % 5 = 0 THEN 'confirmed' WHEN position % 3 = 0 THEN 'dismissed' ELSE '未确认' END AS review_status FROM issues", "issues")
 def review_overlay(spark, d):
+    return reviewed(spark, d).select("issue_id", "review_status")
+
+
+def reviewed(spark, d) -> DataFrame:
     rows = issues(spark, d)
     reviews = rows.where("position % 5 = 0").select(F.col("issue_id").alias("key"), F.lit("confirmed").alias("status")).unionByName(rows.where("position % 3 = 0").select(F.col("position").cast("string").alias("key"), F.lit("dismissed").alias("status")))
-    return C.review_overlay(rows, reviews).select("issue_id", "review_status")
+    return C.review_overlay(rows, reviews)
 
 
 @query("SELECT position, episode FROM issues WHERE rule IN ('click', 'error')", "issues")

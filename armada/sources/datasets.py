@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from armada.functions.exprs import last_number
+from armada.functions.exprs import STREAMS, last_number
 
 FEATURES = "map<string,struct<dtype:string,shape:array<int>,names:array<string>>>"
 INFO = f"total_episodes long, total_frames long, fps double, robot_type string, total_tasks long, video_path string, features {FEATURES}"
@@ -147,6 +149,99 @@ def doctor_stream(spark: SparkSession, path: str) -> DataFrame:
     return first.select("file", F.when(F.col("e").isNull(), F.col("r.result")).alias("result"), ended.alias("error"))
 
 
+def video_files(spark: SparkSession, root: str) -> DataFrame:
+    """Videos below root that hold anything: path, relative to it.  Only names are listed, no content is read."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    base = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.mp4").load(root)
+    return files.select(F.substring("path", len(base) + 2, 1 << 30).alias("path"))
+
+
+def stream_videos(spark: SparkSession, root: str) -> DataFrame:
+    """field and path of every video below root/videos that names a stream, once a stream that it names."""
+    files = video_files(spark, root).where(F.col("path").startswith("videos/"))
+    return files.select(F.explode(F.filter(F.array(*[F.lit(s) for s in STREAMS]), lambda s: F.contains("path", s))).alias("field"), "path")
+
+
+#: Fixed value: where the videos of a dataset are unless its info says otherwise.
+VIDEO_PATH = "videos/{video_key}/chunk-{chunk_index:03d}/file-{file_index:03d}.mp4"
+
+
+def filled(template: str, values: dict[str, Column]) -> Column:
+    """The template's text with its named places, plain or zero-padded numbers such as {n:03d}, taken from columns."""
+    parts = re.split(r"\{(\w+)(?::0?(\d*)d)?\}", template)
+    out = [F.lit(parts[0])]
+    for name, width, text in zip(parts[1::3], parts[2::3], parts[3::3], strict=True):
+        out += [F.format_string(f"%0{width}d", values[name]) if width else values[name].cast("string"), F.lit(text)]
+    return F.concat(*out)
+
+
+def episode_videos(spark: SparkSession, root: str, template: str | None = None) -> DataFrame:
+    """episode, field, path and offset (seconds into the file) of each stream's video, one row an episode and stream.
+
+    The episodes' metadata name the files by template (video_path of the info); of these the ones that exist count.  Where the
+    metadata name none, the last number of a file's name is its episode, and of several files the last counts.
+    """
+    named = None
+    try:
+        meta = spark.read.option("recursiveFileLookup", True).option("mergeSchema", True).option("pathGlobFilter", "*.parquet").parquet(f"{root}/meta/episodes")
+    except AnalysisException:  # no metadata
+        meta = None
+    streams = [(s, f"observation.images.{s}") for s in STREAMS if meta is not None and {f"videos/observation.images.{s}/{c}" for c in ("chunk_index", "file_index")} <= set(meta.columns)]
+    if streams and "episode_index" in meta.columns:
+        each = []
+        for field, key in streams:
+            chunk, file = (F.col(f"`videos/{key}/{c}`").cast("long") for c in ("chunk_index", "file_index"))
+            start = F.col(f"`videos/{key}/from_timestamp`").cast("double") if f"videos/{key}/from_timestamp" in meta.columns else F.lit(0.0)
+            path = filled(template or VIDEO_PATH, {"video_key": F.lit(key), "chunk_index": chunk, "file_index": file})
+            each.append(F.struct(F.lit(field).alias("field"), F.when(chunk.isNotNull() & file.isNotNull(), path).alias("path"), F.coalesce(start, F.lit(0.0)).alias("offset")))
+        rows = meta.where("episode_index is not null").select(F.col("episode_index").cast("long").alias("episode"), F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id()).alias("at"), F.explode(F.array(*each)).alias("x"))
+        rows = rows.select("episode", "x.*", "at").join(video_files(spark, root), "path", "left_semi")
+        named = rows.groupBy("episode", "field").agg(F.max_by(F.struct("path", "offset"), "at").alias("x")).select("episode", "field", "x.*")
+        if not named.isEmpty():
+            return named
+    files = stream_videos(spark, root).withColumn("episode", last_number(F.regexp_extract("path", r"([^/]+)\.mp4$", 1))).where("episode is not null")
+    return files.groupBy("episode", "field").agg(F.max("path").alias("path"), F.lit(0.0).alias("offset"))
+
+
+def choose_videos(issues: DataFrame, videos: DataFrame) -> DataFrame:
+    """issues (episode, field) with video (field, path, offset): that of the issue's own stream, else the first stream that the
+    episode has; null for an episode without videos or an issue without an episode.  videos is what episode_videos gives."""
+    held = videos.groupBy("episode").agg(F.map_from_entries(F.collect_list(F.struct("field", F.struct("field", "path", "offset")))).alias("_held"))  # six streams at most
+    met = issues.join(held, "episode", "left")
+    return met.withColumn("video", F.coalesce(*[F.try_element_at("_held", s) for s in (F.col("field"), *map(F.lit, STREAMS))], F.array_min(F.map_values("_held")))).drop("_held")
+
+
+REVIEWS = "map<string,struct<episode:long,rule:string,field:string,start_sec:double,end_sec:double,status:string,note:string>>"
+
+
+def review_status(spark: SparkSession, path: str) -> DataFrame:
+    """Reviews by issue id or position: key, status, note.  A missing or broken file has none."""
+    return document(spark, path, REVIEWS).select(F.explode("doc").alias("key", "x")).select("key", "x.status", "x.note")
+
+
+def write_review_status(spark: SparkSession, issues: DataFrame, path: str, status: str) -> None:
+    """The reviews of one report's issues (issue_id, episode, rule, field, start_sec, end_sec, review_status, review_note) as one
+    JSON object by issue id, which review_status reads back; issues without a review get status and an empty note.  A report
+    is capped where it is made, so its reviews are one row."""
+    kept = ("episode", "rule", "field", "start_sec", "end_sec")
+    review = F.struct(*kept, F.coalesce("review_status", F.lit(status)).alias("status"), F.coalesce("review_note", F.lit("")).alias("note"))
+    latest = issues.groupBy("issue_id").agg(F.max(review).alias("review"))
+    text = latest.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("issue_id", "review")))), {"ignoreNullFields": "false"}).alias("value"))
+    write_document(spark, text, path)
+
+
+def latest_reports(spark: SparkSession, folder: str) -> DataFrame:
+    """dataset and path of its newest report below folder, by the first line of each report's index.  Other files don't count."""
+    try:
+        index = spark.read.text(f"{folder}/*/*/index.md", wholetext=True)
+    except AnalysisException:  # no report yet
+        return spark.createDataFrame([], "dataset string, path string")
+    name = F.trim(F.regexp_extract("value", r"\A# Quality report: ([^\n\r]*)", 1))
+    rows = index.select(name.alias("dataset"), F.regexp_replace(F.col("_metadata.file_path"), "/index\\.md$", "").alias("path"), F.col("_metadata.file_modification_time").alias("at"))
+    return rows.where("dataset <> ''").groupBy("dataset").agg(F.max_by("path", F.struct("at", "path")).alias("path"))
+
+
 def log_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of all logs below a folder that mention JPEG, with their file; hidden caches are left out."""
     df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*{.log,log*.txt,log*.json}").text(folder)

@@ -2,6 +2,7 @@
 
 from decimal import Decimal
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -196,3 +197,33 @@ def test_local_quality_and_integrity(spark):
     assert lines[1] == ["episode 3 / 1.000s-2.500s / arm: far", "s"] and lines[2] == ["frame 7: no data"]
     info = spark.createDataFrame([(5, 100, 30.0, True), (0, None, 30.0, False)], "total_episodes long, total_frames long, fps double, has_stats boolean")
     assert [r["integrity"] for r in C.integrity_issues(info).collect()] == [[], ["info lacks total_episodes", "info lacks total_frames", "no statistics"]]
+
+
+def test_days_styles_and_clip_names(spark):
+    text = lambda f, x: one(spark, f(F.lit(x).cast("string")))
+    assert [text(X.day_text, x) for x in ("260228", "700101", "260230", "soon", "", None)] == ["2026-02-28", "1970-01-01", "260230", "soon", "—", "—"]
+    assert [text(X.day_weekday, x) for x in ("260301", "260302", "26", None)] == ["03-01\n周日", "03-02\n周一", "26", "—"]
+    assert one(spark, X.days_between(F.lit("260228"), F.lit("260301"))) == 1 and one(spark, X.days_between(F.lit("x"), F.lit("260301"))) is None
+    assert [text(X.style_label, x) for x in ("plan", "sketch", "", None)] == ["计划", "sketch", "语音", "语音"]
+    assert [text(X.style_place, x) for x in ("task_aug", "vqa", None, "sketch")] == [1, 6, 7, 8]
+    assert [text(X.is_event_style, x) for x in ("vqa", "plan", None)] == [True, False, True]
+    clip = lambda path, field: one(spark, X.clip_camera(F.lit(path).cast("string"), F.lit(field).cast("string")))
+    assert [clip("v/right_wrist/1.mp4", "left_wrist"), clip(None, "left_wrist"), clip("v", "arm 1"), clip(None, None)] == ["right_wrist", "left_wrist", "arm_1", "clip"]
+
+
+def test_issue_counts(spark):
+    issues = spark.createDataFrame([(10, "b", "f", None), (2, "a", None, "confirmed"), (None, "b", "f", "未确认")], "episode long, rule string, field string, review_status string")
+    assert tuple(C.issue_totals(issues).first()) == (3, 3, 2) and tuple(C.issue_totals(issues.limit(0)).first()) == (0, 0, 0)
+    assert [(r["kind"], r["value"]) for r in C.issue_summary(issues).collect()] == [("episode", "10"), ("episode", "2"), ("episode", "unknown"), ("field", "f"), ("field", "unknown"), ("rule", "b"), ("rule", "a")]
+
+
+def test_chunk_length_skips_gaps(spark):
+    rows = [(1, f, float((f // 3) % 2)) for f in range(40) if f != 20] + [(2, f, float(f)) for f in range(9)] + [(3, None, 1.0)]
+    got = {r["episode"]: r["lag"] for r in T.autocorrelation_lag(spark.createDataFrame(rows, "episode long, frame long, v double"), 0.0, 8).collect()}
+    v = {f: x for e, f, x in rows if e == 1}
+
+    def r(k):
+        a, b = np.array([(v[f], v[f + k]) for f in v if f + k in v]).T
+        return np.corrcoef(a, b)[0, 1]
+
+    assert got == {1: next(k for k in range(1, 9) if r(k) < 0.0)}

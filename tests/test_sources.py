@@ -1,4 +1,5 @@
 import json
+import os
 
 from armada.sources import datasets as S
 from armada.streaming.incremental import current_log, fold_snapshots
@@ -61,3 +62,36 @@ def test_cache_history_and_events(spark, tmp_path):
         (events / f"{name}.ndjson").write_text("\n".join(lines))
     out = {r["file"][-8]: (r["result"], r["error"]) for r in S.doctor_stream(spark, str(events)).collect()}
     assert out == {"a": ('{"ok":1}', None), "b": (None, "broken"), "c": (None, "the stream ended without a result")}
+
+
+def test_videos_of_issues(spark, tmp_path):
+    root = tmp_path / "set"
+    files = ("videos/observation.images.right_wrist/chunk-001/file-002.mp4", "videos/left_wrist/take_4.mp4", "videos/left_wrist/take_5.mp4", "videos/other/take_4.mp4")
+    for name in files:
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(b"x")
+    assert {(r["field"], r["path"]) for r in S.stream_videos(spark, str(root)).collect()} == {("right_wrist", files[0]), ("left_wrist", files[1]), ("left_wrist", files[2])}
+    by_name = {(r["episode"], r["field"]): (r["path"], r["offset"]) for r in S.episode_videos(spark, str(root)).collect()}
+    assert by_name == {(2, "right_wrist"): (files[0], 0.0), (4, "left_wrist"): (files[1], 0.0), (5, "left_wrist"): (files[2], 0.0)}
+    asked = spark.createDataFrame([(4, "left_wrist"), (2, "arm"), (9, "arm"), (None, "arm")], "episode long, field string")
+    found = {(r["episode"], r["field"]): r["video"] and r["video"]["path"] for r in S.choose_videos(asked, S.episode_videos(spark, str(root))).collect()}
+    assert found == {(4, "left_wrist"): files[1], (2, "arm"): files[0], (9, "arm"): None, (None, "arm"): None}
+    columns = ", ".join(["episode_index long"] + [f"`videos/observation.images.right_wrist/{c}` {t}" for c, t in (("chunk_index", "long"), ("file_index", "long"), ("from_timestamp", "double"))])
+    spark.createDataFrame([(7, 1, 2, 3.5), (8, 1, 3, 0.0), (9, None, 2, 0.0), (None, 1, 2, 0.0)], columns).coalesce(1).write.parquet(str(root / "meta/episodes/chunk-000"))
+    assert [tuple(r) for r in S.episode_videos(spark, str(root)).collect()] == [(7, "right_wrist", files[0], 3.5)]
+
+
+def test_reviews_and_reports(spark, tmp_path):
+    schema = "issue_id string, episode long, rule string, field string, start_sec double, end_sec double, review_status string, review_note string"
+    issues = spark.createDataFrame([("a", 1, "jump", "arm", 0.5, None, "confirmed", "seen"), ("b", None, None, None, None, None, None, None)], schema)
+    S.write_review_status(spark, issues, str(tmp_path / "reviews.json"), "open")
+    assert sorted(map(tuple, S.review_status(spark, str(tmp_path / "reviews.json")).collect())) == [("a", "confirmed", "seen"), ("b", "open", "")]
+    assert json.loads((tmp_path / "reviews.json").read_text())["a"]["end_sec"] is None
+    S.write_review_status(spark, issues.limit(0), str(tmp_path / "empty.json"), "open")
+    assert S.review_status(spark, str(tmp_path / "empty.json")).count() == S.review_status(spark, str(tmp_path / "none.json")).count() == 0
+    assert S.latest_reports(spark, str(tmp_path / "reports")).count() == 0
+    for at, (name, head) in enumerate((("x/1", "# Quality report: own/x"), ("x/2", "# Quality report: own/x\nmore"), ("y/1", "# Other"))):
+        (tmp_path / "reports" / name).mkdir(parents=True)
+        (tmp_path / "reports" / name / "index.md").write_text(head)
+        os.utime(tmp_path / "reports" / name / "index.md", (1_000_000 - at, 1_000_000 - at))
+    assert [(r["dataset"], r["path"][-4:]) for r in S.latest_reports(spark, str(tmp_path / "reports")).collect()] == [("own/x", "/x/1")]
