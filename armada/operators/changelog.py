@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from armada.operators.fleet import HOURS, latest_per
@@ -22,24 +22,34 @@ def effective(arrivals: DataFrame) -> DataFrame:
     return latest_per(kept, ["org", "date"], "pulled_at", "seq")
 
 
+def with_deltas(details: DataFrame, stays: Column | None = None) -> DataFrame:
+    """details (dataset, date, episodes, frames, hours) with the difference of each total to the day before; a missing total
+    counts as 0.  Rows for which stays, a condition over the same window, fails are left out after that."""
+    line = Window.partitionBy("dataset").orderBy("date")
+    kinds = {"episodes": "bigint", "frames": "bigint", "hours": HOURS}
+    own = lambda c, kind: F.coalesce(F.col(c), F.lit(0)).cast(kind)
+    deltas = [(own(c, kind) - F.coalesce(F.lag(own(c, kind)).over(line), F.lit(0).cast(kind))).cast(kind).alias(f"d_{c}") for c, kind in kinds.items()]
+    return details.select("dataset", "date", *kinds, *deltas, (F.lit(True) if stays is None else stays).alias("_stays")).where("_stays").drop("_stays")
+
+
 def changes_of(details: DataFrame) -> DataFrame:
-    """Rebuild each dataset's changes (dataset, date, episodes, hours) over the retained days: deltas to the day before, days
-    without a change dropped."""
+    """Rebuild each dataset's changes (dataset, date, episodes, frames, hours) over the retained days: deltas to the day before;
+    a day stays if any of the three totals, null or not, differs from the day before, and so does the first."""
     line = Window.partitionBy("dataset").orderBy("date")
-    moved = details.withColumns({"d_episodes": F.col("episodes") - F.coalesce(F.lag("episodes").over(line), F.lit(0)), "d_hours": (F.col("hours") - F.coalesce(F.lag("hours").over(line), F.lit(0).cast(HOURS))).cast(HOURS)})
-    first = F.row_number().over(line) == 1
-    return moved.withColumn("_first", first).where("_first or d_episodes != 0 or d_hours != 0").drop("_first")
+    totals = F.struct("episodes", "frames", "hours")
+    # a day without a change has the totals of the day before it, so deltas to the day before are those to the last one kept
+    return with_deltas(details.withColumn("_before", F.lag(totals).over(line)), ~totals.eqNullSafe(F.col("_before")) | (F.row_number().over(line) == 1))
 
 
 def fold(arrivals: DataFrame, details: DataFrame) -> DataFrame:
     """Changes after all snapshots have been folded in: those of details whose snapshot still stands."""
     stands = effective(arrivals).where("not manual").select("org", "date", "seq")
-    return changes_of(details.join(stands, ["org", "date", "seq"], "left_semi").select("dataset", "date", "episodes", "hours"))
+    return changes_of(details.join(stands, ["org", "date", "seq"], "left_semi").select("dataset", "date", "episodes", "frames", "hours"))
 
 
 def compact(changes: DataFrame) -> DataFrame:
-    """One change a dataset and day, the last one, with deltas anew."""
-    return changes_of(latest_per(changes, ["dataset", "date"], "pulled_at", "ord").select("dataset", "date", "episodes", "hours"))
+    """One change a dataset and day, the last one, with deltas anew; a day that changes nothing stays."""
+    return with_deltas(latest_per(changes, ["dataset", "date"], "pulled_at", "ord"))
 
 
 def union_history(sources: list[DataFrame]) -> DataFrame:

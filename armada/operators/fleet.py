@@ -85,30 +85,31 @@ def aggregate_deltas(current: DataFrame, snapshots: DataFrame) -> DataFrame:
 
 
 def dataset_deltas(current: DataFrame, previous: DataFrame, has_details: bool = True) -> DataFrame:
-    """current (dataset, episodes, hours) against previous: deltas and is_new.  Where an earlier snapshot has totals but no
+    """current (dataset, episodes, frames, hours) against previous: deltas and is_new.  Where an earlier snapshot has totals but no
     details, nothing can be attributed: all deltas are 0 and nothing is new."""
-    before = previous.select("dataset", F.col("episodes").alias("_e"), F.col("hours").alias("_h"), F.lit(True).alias("_known"))
+    before = previous.select("dataset", F.col("episodes").alias("_e"), F.col("frames").alias("_f"), F.col("hours").alias("_h"), F.lit(True).alias("_known"))
     out = current.join(before, "dataset", "left")
     zero = F.lit(0)
-    delta = lambda c, p: F.col(c) - or_zero(F.col(p)) if has_details else zero
-    return out.select("dataset", delta("episodes", "_e").cast("long").alias("d_episodes"), delta("hours", "_h").cast(HOURS).alias("d_hours"), (F.col("_known").isNull() if has_details else F.lit(False)).alias("is_new"))
+    delta = lambda c, p: or_zero(F.col(c)) - or_zero(F.col(p)) if has_details else zero
+    return out.select("dataset", delta("episodes", "_e").cast("long").alias("d_episodes"), delta("frames", "_f").cast("long").alias("d_frames"), delta("hours", "_h").cast(HOURS).alias("d_hours"), (F.col("_known").isNull() if has_details else F.lit(False)).alias("is_new"))
 
 
 def deltas_since(changes: DataFrame, cut: str) -> DataFrame:
-    """What dataset_deltas gives for a log of running totals (dataset, changed_at, episodes, hours): its state now against the
+    """What dataset_deltas gives for a log of running totals (dataset, changed_at, episodes, frames, hours): its state now against the
     one before cut, in one aggregate without a join.  A change without a date counts as new."""
     old = F.col("changed_at") < cut
-    each = changes.groupBy("dataset").agg(*[F.max(c).alias(c) for c in ("episodes", "hours")], *[F.max(F.when(old, F.col(c))).alias(f"_{c}") for c in ("episodes", "hours")], F.coalesce(F.bool_or(old), F.lit(False)).alias("_known"))
-    return each.select("dataset", (F.col("episodes") - or_zero(F.col("_episodes"))).cast("long").alias("d_episodes"), (F.col("hours") - or_zero(F.col("_hours"))).cast(HOURS).alias("d_hours"), (~F.col("_known")).alias("is_new"))
+    totals = ("episodes", "frames", "hours")
+    each = changes.groupBy("dataset").agg(*[F.max(c).alias(c) for c in totals], *[F.max(F.when(old, F.col(c))).alias(f"_{c}") for c in totals], F.coalesce(F.bool_or(old), F.lit(False)).alias("_known"))
+    return each.select("dataset", (F.col("episodes") - or_zero(F.col("_episodes"))).cast("long").alias("d_episodes"), (F.col("frames") - or_zero(F.col("_frames"))).cast("long").alias("d_frames"), (F.col("hours") - or_zero(F.col("_hours"))).cast(HOURS).alias("d_hours"), (~F.col("_known")).alias("is_new"))
 
 
 def deltas_with_cache(datasets: DataFrame, deltas: DataFrame, cache: DataFrame) -> DataFrame:
     """Deltas from the matching rows of the change cache (same dataset, same last_modified, same day), else the local ones
     clamped at zero."""
-    known = cache.groupBy("dataset", "last_modified", "date").agg(F.sum("episodes").alias("c_episodes"), F.sum("hours").cast(HOURS).alias("c_hours"), F.count(F.lit(1)).alias("c_n"))
+    known = cache.groupBy("dataset", "last_modified", "date").agg(F.sum("episodes").alias("c_episodes"), F.sum("frames").alias("c_frames"), F.sum("hours").cast(HOURS).alias("c_hours"), F.count(F.lit(1)).alias("c_n"))
     rows = datasets.withColumn("date", yymmdd(F.col("last_modified"))).join(known, ["dataset", "last_modified", "date"], "left").join(deltas, "dataset", "left")
     hit = or_zero(F.col("c_n")) > 0
-    return rows.select("dataset", "date", "group", F.when(hit, F.col("c_episodes")).otherwise(F.greatest(F.lit(0), or_zero(F.col("d_episodes")))).alias("episodes"), F.when(hit, F.col("c_hours")).otherwise(F.greatest(F.lit(0).cast(HOURS), or_zero(F.col("d_hours")))).cast(HOURS).alias("hours"), hit.alias("cached"))
+    return rows.select("dataset", "date", "group", F.when(hit, F.col("c_episodes")).otherwise(F.greatest(F.lit(0), or_zero(F.col("d_episodes")))).alias("episodes"), F.when(hit, or_zero(F.col("c_frames"))).otherwise(F.greatest(F.lit(0), or_zero(F.col("d_frames")))).alias("frames"), F.when(hit, F.col("c_hours")).otherwise(F.greatest(F.lit(0).cast(HOURS), or_zero(F.col("d_hours")))).cast(HOURS).alias("hours"), hit.alias("cached"))
 
 
 def group_growth(rows: DataFrame) -> DataFrame:

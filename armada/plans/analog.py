@@ -13,8 +13,8 @@ CTE = {
     "steps": "steps AS (SELECT *, abs(v - lag(v) OVER (PARTITION BY episode ORDER BY frame)) AS step FROM frames)",
     "orders2": "orders2 AS (SELECT o_orderkey, o_custkey, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DECIMAL(18,2)) AS hours, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders)",
     "datasets": "datasets AS (SELECT c_name AS dataset, n_name AS uploader, c_mktsegment AS segment, CAST(count(*) AS BIGINT) AS episodes, CAST(sum(hours) AS DECIMAL(18,2)) AS hours, CAST(sum(o_orderkey) AS BIGINT) AS frames, max(day) AS last_modified FROM orders2 JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2, 3)",
-    "changes": "changes AS (SELECT c_name AS dataset, c_mktsegment AS segment, n_name AS uploader, o_orderkey AS commit_id, day AS changed_at, hours AS h, CAST(count(*) OVER w AS BIGINT) AS episodes, CAST(sum(hours) OVER w AS DECIMAL(18,2)) AS hours FROM orders2 JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WINDOW w AS (PARTITION BY c_custkey ORDER BY day, o_orderkey ROWS UNBOUNDED PRECEDING))",
-    "snapshots": "snapshots AS (SELECT c_mktsegment AS org, substr(day, 1, 7) AS date, max(day) AS pulled_at, CAST(count(*) AS BIGINT) AS n, CAST(sum(hours) AS DECIMAL(18,2)) AS h FROM orders2 JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2), snaps AS (SELECT org, date, pulled_at, CAST(sum(n) OVER (PARTITION BY org ORDER BY date) AS BIGINT) AS episodes, CAST(sum(h) OVER (PARTITION BY org ORDER BY date) AS DECIMAL(18,2)) AS hours, CAST(row_number() OVER (ORDER BY date, org) AS BIGINT) AS ord FROM snapshots)",
+    "changes": "changes AS (SELECT c_name AS dataset, c_mktsegment AS segment, n_name AS uploader, o_orderkey AS commit_id, day AS changed_at, hours AS h, CAST(count(*) OVER w AS BIGINT) AS episodes, CAST(sum(o_orderkey % 500) OVER w AS BIGINT) AS frames, CAST(sum(hours) OVER w AS DECIMAL(18,2)) AS hours FROM orders2 JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WINDOW w AS (PARTITION BY c_custkey ORDER BY day, o_orderkey ROWS UNBOUNDED PRECEDING))",
+    "snapshots": "snapshots AS (SELECT c_mktsegment AS org, substr(day, 1, 7) AS date, max(day) AS pulled_at, CAST(count(*) AS BIGINT) AS n, CAST(sum(o_orderkey % 500) AS BIGINT) AS f, CAST(sum(hours) AS DECIMAL(18,2)) AS h FROM orders2 JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2), snaps AS (SELECT org, date, pulled_at, CAST(sum(n) OVER (PARTITION BY org ORDER BY date) AS BIGINT) AS episodes, CAST(sum(f) OVER (PARTITION BY org ORDER BY date) AS BIGINT) AS frames, CAST(sum(h) OVER (PARTITION BY org ORDER BY date) AS DECIMAL(18,2)) AS hours, CAST(row_number() OVER (ORDER BY date, org) AS BIGINT) AS ord FROM snapshots)",
     "prompts": "prompts AS (SELECT doc_id, array_to_string(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')[1:1 + doc_id % 60], ' ') AS prompt, concat(source, '/', lang, '-', lpad(CAST(doc_id % 9000 AS VARCHAR), 4, '0')) AS name FROM documents)",
     "whole_prompts": "prompts AS (SELECT doc_id, text AS prompt, concat(source, '/', lang, '-', lpad(CAST(doc_id % 9000 AS VARCHAR), 4, '0')) AS name FROM documents)",
 }
@@ -51,15 +51,15 @@ def datasets(spark: SparkSession, d: str) -> DataFrame:
 
 def changes(spark: SparkSession, d: str) -> DataFrame:
     line = Window.partitionBy("o_custkey").orderBy("day", "o_orderkey").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = orders2(spark, d).withColumns({"h": F.col("hours"), "episodes": F.count(F.lit(1)).over(line)}).withColumn("hours", F.sum("h").over(line).cast(HOURS))
-    return rows.join(owners(spark, d), F.col("o_custkey") == F.col("c_custkey")).select("dataset", "segment", "uploader", F.col("o_orderkey").alias("commit_id"), F.col("day").alias("changed_at"), "h", "episodes", "hours")
+    rows = orders2(spark, d).withColumns({"h": F.col("hours"), "episodes": F.count(F.lit(1)).over(line), "frames": F.sum(F.col("o_orderkey") % 500).over(line).cast("long")}).withColumn("hours", F.sum("h").over(line).cast(HOURS))
+    return rows.join(owners(spark, d), F.col("o_custkey") == F.col("c_custkey")).select("dataset", "segment", "uploader", F.col("o_orderkey").alias("commit_id"), F.col("day").alias("changed_at"), "h", "episodes", "frames", "hours")
 
 
 def snapshots(spark: SparkSession, d: str) -> DataFrame:
-    months = orders2(spark, d).join(owners(spark, d), F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("segment").alias("org"), F.substring("day", 1, 7).alias("date")).agg(F.max("day").alias("pulled_at"), F.count(F.lit(1)).alias("n"), F.sum("hours").cast(HOURS).alias("h"))
+    months = orders2(spark, d).join(owners(spark, d), F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("segment").alias("org"), F.substring("day", 1, 7).alias("date")).agg(F.max("day").alias("pulled_at"), F.count(F.lit(1)).alias("n"), F.sum(F.col("o_orderkey") % 500).cast("long").alias("f"), F.sum("hours").cast(HOURS).alias("h"))
     line = Window.partitionBy("org").orderBy("date")
     # one row an org and month from here on
-    return months.select("org", "date", "pulled_at", F.sum("n").over(line).alias("episodes"), F.sum("h").over(line).cast(HOURS).alias("hours"), F.row_number().over(Window.orderBy("date", "org")).cast("long").alias("ord"))
+    return months.select("org", "date", "pulled_at", F.sum("n").over(line).alias("episodes"), F.sum("f").over(line).alias("frames"), F.sum("h").over(line).cast(HOURS).alias("hours"), F.row_number().over(Window.orderBy("date", "org")).cast("long").alias("ord"))
 
 
 def prompts(spark: SparkSession, d: str) -> DataFrame:

@@ -15,6 +15,10 @@ from armada.operators import fleet as A
 from armada.operators import trajectory as T
 from armada.operators.order import numbered
 from armada.plans import analog as V
+from armada.sources import scan as S
+from armada.sources.scratch import fresh_path, written
+from armada.streaming import snapshot_log as SL
+from armada.streaming.tracker import track
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,9 +51,29 @@ def issues(spark: SparkSession, d: str) -> DataFrame:
 # --- scans ---------------------------------------------------------------------------------------------------------
 
 
+def frame_folder(spark, d, files: int = 4) -> str:
+    """The frames view written as a dataset folder, in files by ranges of episodes, with the episodes' metadata."""
+    root = fresh_path(spark, "dataset")
+    rows = written(V.frames(spark, d).select(F.col("episode").cast("long").alias("episode_index"), F.col("frame").alias("frame_index"), F.array("v").alias("observation.state")), "frames")
+    span = rows.agg(F.min("episode_index").alias("lo"), F.max("episode_index").alias("hi")).first()
+    own = F.floor((F.col("episode_index") - span["lo"]) * files / (span["hi"] - span["lo"] + 1)) if span["hi"] is not None else F.lit(0)
+    for i in range(files):
+        rows.where(own == i).write.parquet(f"{root}/data/chunk-000/file-{i:03d}.parquet")
+    meta = rows.groupBy("episode_index", F.lit(0).cast("long").alias("data/chunk_index"), own.cast("long").alias("data/file_index")).agg(F.count(F.lit(1)).alias("length"))
+    meta.write.parquet(f"{root}/meta/episodes/chunk-000/file-000.parquet")
+    return root
+
+
 @query("SELECT episode, frame, v FROM frames", "frames")
 def scan_frames(spark, d):
-    return V.frames(spark, d).select("episode", "frame", "v")
+    """The frames through a folder of Parquet files and the scan of it."""
+    return S.scan(spark, frame_folder(spark, d))[0].select("episode", "frame", F.get("`observation.state`", 0).alias("v"))
+
+
+@query("SELECT episode, frame, v FROM frames WHERE episode IN (SELECT DISTINCT user_id FROM events ORDER BY 1 LIMIT 20)", "frames")
+def first_episodes(spark, d):
+    """The 20 first episodes of a folder; only the files that hold them are opened."""
+    return S.read_first_episodes(spark, frame_folder(spark, d), 20).select("episode", F.col("frame_index").alias("frame"), F.get("`observation.state`", 0).alias("v"))
 
 
 @query("SELECT user_id AS episode, CAST(count(*) AS BIGINT) AS length, count(*) / 30.0::DOUBLE AS length_seconds FROM events GROUP BY 1")
@@ -147,14 +171,14 @@ def aggregate_deltas(spark, d):
 
 
 SPLIT = "2001-01-01"
-STATE = f"cur AS (SELECT dataset, max(episodes) AS episodes, max(hours) AS hours FROM changes GROUP BY 1), prev AS (SELECT dataset, max(episodes) AS episodes, max(hours) AS hours FROM changes WHERE changed_at < '{SPLIT}' GROUP BY 1), deltas AS (SELECT c.dataset, c.episodes - coalesce(p.episodes, 0) AS d_episodes, CAST(c.hours - coalesce(p.hours, 0) AS DECIMAL(18,2)) AS d_hours, p.dataset IS NULL AS is_new FROM cur c LEFT JOIN prev p ON c.dataset = p.dataset)"
+STATE = f"cur AS (SELECT dataset, max(episodes) AS episodes, max(frames) AS frames, max(hours) AS hours FROM changes GROUP BY 1), prev AS (SELECT dataset, max(episodes) AS episodes, max(frames) AS frames, max(hours) AS hours FROM changes WHERE changed_at < '{SPLIT}' GROUP BY 1), deltas AS (SELECT c.dataset, c.episodes - coalesce(p.episodes, 0) AS d_episodes, c.frames - coalesce(p.frames, 0) AS d_frames, CAST(c.hours - coalesce(p.hours, 0) AS DECIMAL(18,2)) AS d_hours, p.dataset IS NULL AS is_new FROM cur c LEFT JOIN prev p ON c.dataset = p.dataset)"
 V.CTE["state"] = STATE
 CHANGES = ("orders2", "changes")
 
 
 def state(spark, d, before: str | None = None) -> DataFrame:
     rows = V.changes(spark, d)
-    return (rows.where(F.col("changed_at") < before) if before else rows).groupBy("dataset").agg(F.max("episodes").alias("episodes"), F.max("hours").alias("hours"))
+    return (rows.where(F.col("changed_at") < before) if before else rows).groupBy("dataset").agg(*[F.max(c).alias(c) for c in ("episodes", "frames", "hours")])
 
 
 @query("SELECT * FROM deltas", *CHANGES, "state")
@@ -167,19 +191,19 @@ def deltas_since(spark, d):
     return A.deltas_since(V.changes(spark, d), SPLIT)
 
 
-@query("SELECT dataset, CAST(0 AS BIGINT) AS d_episodes, CAST(0 AS DECIMAL(18,2)) AS d_hours, false AS is_new FROM cur", *CHANGES, "state")
+@query("SELECT dataset, CAST(0 AS BIGINT) AS d_episodes, CAST(0 AS BIGINT) AS d_frames, CAST(0 AS DECIMAL(18,2)) AS d_hours, false AS is_new FROM cur", *CHANGES, "state")
 def dataset_deltas_without_details(spark, d):
     return A.dataset_deltas(state(spark, d), state(spark, d, SPLIT).limit(0), has_details=False)
 
 
-WITH_CACHE = "cached AS (SELECT dataset, changed_at, h FROM changes WHERE commit_id % 3 = 0), resolved AS (SELECT s.dataset, substr(s.last_modified, 3, 2) || substr(s.last_modified, 6, 2) || substr(s.last_modified, 9, 2) AS date, s.segment AS \"group\", coalesce(k.n, greatest(0, d.d_episodes)) AS episodes, CAST(coalesce(k.h, greatest(0, d.d_hours)) AS DECIMAL(18,2)) AS hours, k.n IS NOT NULL AS cached FROM datasets s LEFT JOIN deltas d ON s.dataset = d.dataset LEFT JOIN (SELECT dataset, changed_at, CAST(count(*) AS BIGINT) AS n, sum(h) AS h FROM cached GROUP BY 1, 2) k ON k.dataset = s.dataset AND k.changed_at = s.last_modified)"
+WITH_CACHE = "cached AS (SELECT dataset, changed_at, commit_id % 500 AS f, h FROM changes WHERE commit_id % 3 = 0), resolved AS (SELECT s.dataset, substr(s.last_modified, 3, 2) || substr(s.last_modified, 6, 2) || substr(s.last_modified, 9, 2) AS date, s.segment AS \"group\", coalesce(k.n, greatest(0, d.d_episodes)) AS episodes, coalesce(k.f, greatest(0, d.d_frames)) AS frames, CAST(coalesce(k.h, greatest(0, d.d_hours)) AS DECIMAL(18,2)) AS hours, k.n IS NOT NULL AS cached FROM datasets s LEFT JOIN deltas d ON s.dataset = d.dataset LEFT JOIN (SELECT dataset, changed_at, CAST(count(*) AS BIGINT) AS n, CAST(sum(f) AS BIGINT) AS f, sum(h) AS h FROM cached GROUP BY 1, 2) k ON k.dataset = s.dataset AND k.changed_at = s.last_modified)"
 V.CTE["resolved"] = WITH_CACHE
 RESOLVED = ("orders2", "datasets", "changes", "state", "resolved")
 
 
 def resolved(spark, d) -> DataFrame:
-    cache = V.changes(spark, d).where("commit_id % 3 = 0").select("dataset", F.col("changed_at").alias("last_modified"), X.yymmdd(F.col("changed_at")).alias("date"), F.lit(1).cast("long").alias("episodes"), F.col("h").alias("hours"))
-    return A.deltas_with_cache(V.datasets(spark, d).withColumn("group", F.col("segment")).drop("episodes", "hours"), A.deltas_since(V.changes(spark, d), SPLIT), cache)
+    cache = V.changes(spark, d).where("commit_id % 3 = 0").select("dataset", F.col("changed_at").alias("last_modified"), X.yymmdd(F.col("changed_at")).alias("date"), F.lit(1).cast("long").alias("episodes"), (F.col("commit_id") % 500).alias("frames"), F.col("h").alias("hours"))
+    return A.deltas_with_cache(V.datasets(spark, d).withColumn("group", F.col("segment")).drop("episodes", "frames", "hours"), A.deltas_since(V.changes(spark, d), SPLIT), cache)
 
 
 @query("SELECT * FROM resolved", *RESOLVED)
@@ -187,7 +211,7 @@ def delta_with_cache_fallback(spark, d):
     return resolved(spark, d)
 
 
-GROWN = "SELECT date, \"group\", CAST(sum(greatest(0, hours)) AS DECIMAL(18,2)) AS hours, CAST(sum(greatest(0, episodes)) AS BIGINT) AS episodes, CAST(count(*) AS BIGINT) AS datasets FROM resolved WHERE hours > 0 OR episodes > 0 GROUP BY 1, 2"
+GROWN = "SELECT date, \"group\", CAST(sum(greatest(0, hours)) AS DECIMAL(18,2)) AS hours, CAST(sum(greatest(0, episodes)) AS BIGINT) AS episodes, CAST(count(*) AS BIGINT) AS datasets FROM resolved WHERE hours > 0 OR episodes > 0 OR frames > 0 GROUP BY 1, 2"
 
 
 @query(GROWN, *RESOLVED)
@@ -281,14 +305,15 @@ def dim_uploader(spark, d):
 
 # --- change log ----------------------------------------------------------------------------------------------------
 
-CHG = "CAST({x} - coalesce(lag({x}) OVER (PARTITION BY dataset ORDER BY date), 0) AS {t})"
-DELTAS = f"SELECT dataset, date, episodes, hours, d_episodes, d_hours FROM (SELECT dataset, date, episodes, hours, {CHG.format(x='episodes', t='BIGINT')} AS d_episodes, {CHG.format(x='hours', t='DECIMAL(18,2)')} AS d_hours, row_number() OVER (PARTITION BY dataset ORDER BY date) AS rn FROM kept) WHERE rn = 1 OR d_episodes <> 0 OR d_hours <> 0"
-V.CTE["by_month"] = "kept AS (SELECT dataset, substr(changed_at, 1, 7) AS date, max(episodes) AS episodes, max(hours) AS hours FROM changes GROUP BY 1, 2)"
+CHG = "CAST({x} - coalesce(lag({x}) OVER (PARTITION BY dataset ORDER BY date), 0) AS {t}) AS d_{x}"
+ALL_DELTAS = f"SELECT dataset, date, episodes, frames, hours, {CHG.format(x='episodes', t='BIGINT')}, {CHG.format(x='frames', t='BIGINT')}, {CHG.format(x='hours', t='DECIMAL(18,2)')} FROM kept"
+DELTAS = f"SELECT * FROM ({ALL_DELTAS} QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY date) = 1 OR d_episodes <> 0 OR d_frames <> 0 OR d_hours <> 0)"
+V.CTE["by_month"] = "kept AS (SELECT dataset, substr(changed_at, 1, 7) AS date, max(episodes) AS episodes, max(frames) AS frames, max(hours) AS hours FROM changes GROUP BY 1, 2)"
 
 
-@query(DELTAS, *CHANGES, "by_month")
+@query(ALL_DELTAS, *CHANGES, "by_month")
 def compact_log(spark, d):
-    rows = V.changes(spark, d).select("dataset", F.substring("changed_at", 1, 7).alias("date"), F.col("changed_at").alias("pulled_at"), F.col("commit_id").alias("ord"), "episodes", "hours")
+    rows = V.changes(spark, d).select("dataset", F.substring("changed_at", 1, 7).alias("date"), F.col("changed_at").alias("pulled_at"), F.col("commit_id").alias("ord"), "episodes", "frames", "hours")
     return L.compact(rows)
 
 
@@ -323,12 +348,33 @@ def manual_upsert(spark, d):
     return L.effective(arrivals(spark, d)).select("org", "date", "pulled_at", "seq", "manual", "episodes")
 
 
-V.CTE["folded"] = "kept AS (SELECT s.org AS dataset, s.date, s.episodes, n.hours FROM stands s JOIN snaps n ON n.ord = s.seq WHERE NOT s.manual)"
+V.CTE["folded"] = "kept AS (SELECT s.org AS dataset, s.date, s.episodes, n.frames, n.hours FROM stands s JOIN snaps n ON n.ord = s.seq WHERE NOT s.manual)"
+
+
+V.CTE["by_year"] = "kept AS (SELECT dataset, substr(changed_at, 1, 4) AS date, max(episodes) AS episodes, max(frames) AS frames, max(hours) AS hours FROM changes GROUP BY 1, 2)"
+
+
+@query(DELTAS, *CHANGES, "by_year")
+def snapshot_upsert(spark, d):
+    """Snapshots of every organisation and year merged from a stream: first ones that are replaced, then those that stand, then
+    older ones that come late and change nothing."""
+    each = V.changes(spark, d).groupBy(F.col("segment").alias("org"), F.substring("changed_at", 1, 4).alias("date"), "dataset", "uploader").agg(*[F.max(c).alias(c) for c in ("episodes", "frames", "hours", "changed_at")])
+    each = written(each, "details")
+    folder, log, checkpoint = (fresh_path(spark, name) for name in ("snapshots", "log", "checkpoint"))
+    for day, scale in ((10, 2), (20, 1), (15, 3)):
+        one = F.struct(F.col("dataset").alias("dataset_name"), "uploader", F.lit(None).cast("string").alias("robot_type"), (F.col("episodes") * scale).alias("total_episodes"), (F.col("frames") * scale).alias("total_frames"), F.lit(30.0).alias("fps"), F.lit(1).cast("long").alias("total_tasks"), (F.col("hours").cast("double") * scale).alias("duration_hours"), F.col("changed_at").alias("last_modified"))
+        at = F.concat("date", F.lit(f"-06-{day}"))
+        # a snapshot lists an organisation's datasets in one document
+        rows = each.groupBy("org", "date").agg(F.collect_list(one).alias("datasets"), F.count(F.lit(1)).alias("total_datasets"), *[F.sum(c).cast(t).alias(f"total_{c}") for c, t in (("episodes", "long"), ("frames", "long"), ("hours", "double"))])
+        rows = rows.select(at.alias("pulled_at"), "date", "org", "total_datasets", "total_episodes", "total_frames", "total_hours", F.lit(None).cast("string").alias("source"), "datasets", F.lit(str(day)).alias("seq"))
+        rows.write.mode("append").parquet(folder)
+        SL.merge_stream(spark.readStream.schema(rows.schema).parquet(folder), log, checkpoint).awaitTermination()
+    return SL.changes(spark, log)
 
 
 @query(DELTAS, *SNAPS, "arrivals", "folded")
 def snapshot_fold(spark, d):
-    rows = V.snapshots(spark, d).select("org", F.substring("date", 1, 4).alias("date"), F.col("ord").alias("seq"), F.col("org").alias("dataset"), "episodes", "hours")
+    rows = V.snapshots(spark, d).select("org", F.substring("date", 1, 4).alias("date"), F.col("ord").alias("seq"), F.col("org").alias("dataset"), "episodes", "frames", "hours")
     return L.fold(arrivals(spark, d), rows)
 
 
@@ -415,9 +461,23 @@ def episode_length_outliers(spark, d):
 V.CTE["tracked"] = "tracked AS (SELECT user_id AS episode, CAST(event_id // 200 AS BIGINT) AS frame, event_type AS hand, avg(value) AS x, min(value) AS y FROM events GROUP BY 1, 2, 3), diffs AS (SELECT episode, frame, hand, abs(x - lag(x) OVER w) AS dx, abs(y - lag(y) OVER w) AS dy, lag(frame) OVER w = frame - 1 AS near FROM tracked WINDOW w AS (PARTITION BY episode, hand ORDER BY frame)), events2 AS (SELECT episode, frame, hand, list_filter([CASE WHEN dx >= 30 THEN 'x' END, CASE WHEN dy >= 30 THEN 'y' END], lambda a: a IS NOT NULL) AS hits, round(sqrt(dx * dx + dy * dy), 6) AS xyz_step, sqrt(dx * dx + dy * dy) >= 40 AS xyz_hit FROM diffs WHERE near AND (dx >= 30 OR dy >= 30 OR sqrt(dx * dx + dy * dy) >= 40))"
 
 
+def hands(spark, d) -> DataFrame:
+    return V.t(spark, d, "events").groupBy(F.col("user_id").alias("episode"), F.floor(F.col("event_id") / 200).alias("frame"), F.col("event_type").alias("hand")).agg(F.avg("value").alias("x"), F.min("value").alias("y"))
+
+
 def tracked(spark, d) -> DataFrame:
-    rows = V.t(spark, d, "events").groupBy(F.col("user_id").alias("episode"), F.floor(F.col("event_id") / 200).alias("frame"), F.col("event_type").alias("hand")).agg(F.avg("value").alias("x"), F.min("value").alias("y"))
-    return T.tracker_jumps(rows, {"x": 30.0, "y": 30.0}, 40.0)
+    return T.tracker_jumps(hands(spark, d), {"x": 30.0, "y": 30.0}, 40.0)
+
+
+@query("SELECT episode, frame, hand, array_to_string(hits, ',') AS hits, xyz_step, xyz_hit FROM events2", "tracked")
+def tracker_stream(spark, d):
+    """The jumps of tracker_jumps from a stream of files that cut episodes anywhere."""
+    rows, folder, out, checkpoint = hands(spark, d), *(fresh_path(spark, name) for name in ("hands", "jumps", "checkpoint"))
+    rows.repartitionByRange(6, "frame").write.parquet(folder)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+    jumps = track(stream, {"x": 30.0, "y": 30.0}, 40.0)
+    jumps.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(jumps.schema).parquet(out).select("episode", "frame", "hand", F.array_join("hits", ",").alias("hits"), r6("xyz_step"), "xyz_hit")
 
 
 @query("SELECT episode, frame, hand, array_to_string(hits, ',') AS hits, xyz_step, xyz_hit FROM events2", "tracked")

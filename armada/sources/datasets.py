@@ -1,11 +1,11 @@
-"""Readers and writers of dataset folders: frames, episodes, tasks, info, annotations, snapshots, logs."""
+"""Readers and writers of dataset folders: episodes, tasks, info, annotations, snapshots, logs; scan.py has the frames."""
 
 from __future__ import annotations
 
 import re
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from armada.functions.exprs import STREAMS, last_number
@@ -16,19 +16,6 @@ ATOMS = "struct<version:string,episodes:map<string,struct<atoms:array<struct<rol
 SNAPSHOT = "pulled_at string, date string, org string, total_datasets long, total_episodes long, total_frames long, total_hours double, source string, datasets array<struct<dataset_name:string,uploader:string,robot_type:string,total_episodes:long,total_frames:long,fps:double,total_tasks:long,duration_hours:double,last_modified:string>>"
 
 
-def frames(spark: SparkSession, root: str) -> DataFrame:
-    """All frame tables below root/data: columns may differ between files, unreadable files are left out.  Without an
-    episode_index the last number of the file name counts, without a frame_index the place in the file."""
-    df = spark.read.option("recursiveFileLookup", True).option("mergeSchema", True).option("ignoreCorruptFiles", True).option("pathGlobFilter", "*.parquet").parquet(f"{root}/data")
-    df = df.withColumn("file", F.col("_metadata.file_path"))
-    if "episode_index" not in df.columns:
-        df = df.withColumn("episode_index", last_number(F.regexp_extract("file", r"([^/]+)\.parquet$", 1)))
-    if "frame_index" not in df.columns:
-        line = Window.partitionBy("file").orderBy(F.monotonically_increasing_id())
-        df = df.withColumn("frame_index", (F.row_number().over(line) - 1).cast("long"))
-    return df
-
-
 def episode_lengths(spark: SparkSession, root: str, fps: float) -> DataFrame:
     """episode_index and length_seconds; only two columns are read, rows with nulls are left out."""
     if not fps > 0:
@@ -38,12 +25,14 @@ def episode_lengths(spark: SparkSession, root: str, fps: float) -> DataFrame:
 
 
 def tasks(spark: SparkSession, root: str) -> DataFrame:
-    """task_index and task without null texts; a table without the task column is empty."""
+    """task_index and task without null texts; a table without the task column is empty, one without whole-numbered task_index
+    has the places of its rows."""
     df = spark.read.parquet(f"{root}/meta/tasks.parquet")
     if "task" not in df.columns:
         return spark.createDataFrame([], "task_index long, task string")
-    if "task_index" not in df.columns:
-        df = df.withColumn("task_index", F.monotonically_increasing_id())
+    if dict(df.dtypes).get("task_index") not in ("bigint", "int", "smallint", "tinyint"):
+        # one small file: the place of a row in it
+        df = df.withColumn("task_index", F.col("_metadata.row_index"))
     return df.where("task is not null").select(F.col("task_index").cast("long").alias("task_index"), "task")
 
 

@@ -43,9 +43,10 @@ def test_finite_components_move_up(spark):
 
 
 def test_boundary_outlier_is_the_far_start(spark):
-    rows = [("d", e, 0, [x]) for e, x in ((0, 0.0), (1, 0.0), (2, 4.0))]
-    out = T.boundary_outliers(episodes(spark, rows), window=1, k=3.0, floor=0.5).collect()
-    assert [r["episode"] for r in out] == [2]
+    rows = [("d", e, f, [x + f, -x]) for e, x in ((10, 1.0), (11, 1.1), (12, 0.9), (13, 1.0), (14, 9.0)) for f in range(3)]
+    out = T.boundary_outliers(episodes(spark, rows), window=2, k=4.0, floor=0.25).collect()
+    # the means of the first two frames are (x + 0.5, -x); the others lie at most 0.1 * sqrt(2) from the median
+    assert [(r["episode"], round(r["distance"], 6)) for r in out] == [(14, round(8 * 2**0.5, 6))]
 
 
 def test_jumps_do_not_cross_episodes(spark):
@@ -107,9 +108,19 @@ def test_streams(spark):
 
 def test_fold_takes_the_last_of_a_day(spark):
     arrivals = spark.createDataFrame([("o", "260101", "t1", 1, False), ("o", "260102", "t2", 2, False), ("o", "260102", "t3", 3, False), ("o", "260102", "t2", 4, False)], "org string, date string, pulled_at string, seq long, manual boolean")
-    details = spark.createDataFrame([("o", "260101", 1, "a", 5, Decimal(1)), ("o", "260102", 2, "a", 10, Decimal(2)), ("o", "260102", 3, "a", 15, Decimal(3)), ("o", "260102", 4, "a", 10, Decimal(2))], "org string, date string, seq long, dataset string, episodes long, hours decimal(18,2)")
-    out = {r["date"]: (r["episodes"], r["d_episodes"]) for r in L.fold(arrivals, details).collect()}
-    assert out == {"260101": (5, 5), "260102": (15, 10)}
+    details = spark.createDataFrame([("o", "260101", 1, "a", 5, 50, Decimal(1)), ("o", "260102", 2, "a", 10, 90, Decimal(2)), ("o", "260102", 3, "a", 15, 140, Decimal(3)), ("o", "260102", 4, "a", 10, 90, Decimal(2))], "org string, date string, seq long, dataset string, episodes long, frames long, hours decimal(18,2)")
+    out = {r["date"]: (r["episodes"], r["d_episodes"], r["d_frames"]) for r in L.fold(arrivals, details).collect()}
+    assert out == {"260101": (5, 5, 50), "260102": (15, 10, 90)}
+
+
+def test_changes_in_frames_alone_stay(spark):
+    days = [("d1", 4, 100, Decimal(1)), ("d2", 4, 130, Decimal(1)), ("d3", 4, 130, Decimal(1)), ("d4", 4, None, Decimal(1)), ("d5", None, None, Decimal(3)), ("d6", None, None, Decimal(3))]
+    rows = spark.createDataFrame([("a", *r) for r in days], "dataset string, date string, episodes long, frames long, hours decimal(18,2)")
+    got = [(r["date"], r["d_episodes"], r["d_frames"], int(r["d_hours"])) for r in L.changes_of(rows).orderBy("date").collect()]
+    assert got == [("d1", 4, 100, 1), ("d2", 0, 30, 0), ("d4", 0, -130, 0), ("d5", -4, 0, 2)]
+    # compaction keeps a day that changes nothing, and of a day's changes the last
+    log = rows.withColumns({"pulled_at": F.col("date"), "ord": F.lit(1)}).unionByName(rows.where("date = 'd2'").withColumns({"frames": F.lit(7).cast("long"), "pulled_at": F.lit("d1"), "ord": F.lit(2)}))
+    assert [(r["date"], r["frames"], r["d_frames"]) for r in L.compact(log).orderBy("date").collect()] == [("d1", 100, 100), ("d2", 130, 30), ("d3", 130, 0), ("d4", None, -130), ("d5", None, 0), ("d6", None, 0)]
 
 
 def test_manual_row_that_arrives_later_stands(spark):
@@ -118,11 +129,11 @@ def test_manual_row_that_arrives_later_stands(spark):
 
 
 def test_deltas_without_details(spark):
-    cur = spark.createDataFrame([("a", 3, Decimal(2))], "dataset string, episodes long, hours decimal(18,2)")
+    cur = spark.createDataFrame([("a", 3, 70, Decimal(2))], "dataset string, episodes long, frames long, hours decimal(18,2)")
     r = A.dataset_deltas(cur, cur.limit(0)).first()
-    assert (r["d_episodes"], r["is_new"]) == (3, True)
+    assert (r["d_episodes"], r["d_frames"], r["is_new"]) == (3, 70, True)
     r = A.dataset_deltas(cur, cur.limit(0), has_details=False).first()
-    assert (r["d_episodes"], r["is_new"]) == (0, False)
+    assert (r["d_episodes"], r["d_frames"], r["is_new"]) == (0, 0, False)
 
 
 def test_range_groups(spark):

@@ -7,8 +7,6 @@ from armada.streaming.incremental import current_log, fold_snapshots
 
 def test_readers(spark, tmp_path):
     root = str(tmp_path / "set")
-    spark.createDataFrame([(0.0, [1.0]), (0.1, [2.0])], "timestamp double, action array<double>").coalesce(1).write.parquet(f"{root}/data/chunk-000/episode_7.parquet")
-    assert S.frames(spark, root).select("frame_index").count() == 2
     spark.createDataFrame([(0, 60), (1, None)], "episode_index long, length long").coalesce(1).write.parquet(f"{root}/meta/episodes/chunk-000/file-000.parquet")
     assert [r["length_seconds"] for r in S.episode_lengths(spark, root, 30.0).collect()] == [2.0]
     spark.createDataFrame([(0, "pick"), (1, None)], "task_index long, task string").write.parquet(f"{root}/meta/tasks.parquet")
