@@ -8,7 +8,7 @@ import uuid
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: What separates words everywhere in this subpackage: the ASCII white space.
@@ -70,6 +70,19 @@ def range_index(key: str, bounds: list[int]):
     return F.coalesce(F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(key))), F.lit(0))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once: a lambda's body is evaluated for every element it is given."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def running(values: Column, join) -> Column:
+    """Array: join over the values up to each one, join(x, y) being associative, with y null where nothing is before.
+
+    Each step joins twice as many as the one before; an array that grew by one value a step would be copied every time."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)).cast("double"))).cast("int"))
+    return F.aggregate(steps, values, lambda acc, k: F.transform(acc, lambda x, i: join(x, F.get(acc, i - F.call_function("shiftleft", F.lit(1), k)))))
+
+
 class WordHashes(dict):
     """64-bit hash of a word, remembered; forgets all once it holds too many words, so memory is bounded."""
 

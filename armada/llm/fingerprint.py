@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from armada.llm.common import partitions, range_bounds, range_index, table
+from armada.llm.common import let, partitions, range_bounds, range_index, table
 
 #: What separates paragraphs: the end of a line.
 SEPARATOR = r"\n"
@@ -24,11 +24,6 @@ CELL = "struct<p:int,n:int,k:bigint,c:bigint>"
 DIGEST = "struct<n:int,k:bigint>"
 
 
-def let(value: Column, body) -> Column:
-    """body(value), with value computed once: a lambda's body is evaluated for every element it is given."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def digests(text: Column) -> Column:
     """Distinct 64-bit digests of the paragraphs of a text."""
     return F.array_distinct(F.transform(F.filter(F.split(text, SEPARATOR), lambda p: F.length(p) > 0), lambda p: F.xxhash64(p)))
@@ -59,20 +54,23 @@ def negative(table_: Column) -> Column:
 
 
 def combined(entries: Column) -> Column:
-    """The table that entries and cells add up to, without its empty cells."""
-
-    def step(acc: Column, e: Column) -> Column:
-        last = acc["last"]
-        same = F.struct(e["p"].alias("p"), (last["n"] + e["n"]).alias("n"), last["k"].bitwiseXOR(e["k"]).alias("k"), last["c"].bitwiseXOR(e["c"]).alias("c"))
-        empty = (last["n"] == 0) & (last["k"] == 0) & (last["c"] == 0)
-        done = F.when(empty, acc["done"]).otherwise(F.concat(acc["done"], F.array(last)))
-        return F.when(last["p"] == e["p"], F.struct(acc["done"].alias("done"), same.alias("last"))).otherwise(F.struct(done.alias("done"), e.alias("last")))
-
-    zero = F.struct(F.lit(-1).alias("p"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c"))
-    start = F.struct(F.array().cast(f"array<{CELL}>").alias("done"), zero.cast(CELL).alias("last"))
-    # an entry behind all cells, so that the last cell is closed like the others
-    end = F.array(F.struct(F.lit(2**31 - 1).alias("p"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c")))
-    return F.aggregate(F.concat(F.sort_array(entries), end).cast(f"array<{CELL}>"), start, step, lambda acc: acc["done"])
+    """The table that entries and cells add up to, without its empty cells: entries are sorted, and those of one cell, which
+    then stand together, are cut out and added up."""
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c"))
+
+    def added(run: Column) -> Column:
+        total = lambda acc, e: F.struct((acc["n"] + e["n"]).alias("n"), acc["k"].bitwiseXOR(e["k"]).alias("k"), acc["c"].bitwiseXOR(e["c"]).alias("c"))
+        lone = F.get(run, 0)
+        of = F.when(F.size(run) == 1, F.struct(lone["n"].alias("n"), lone["k"].alias("k"), lone["c"].alias("c"))).otherwise(F.aggregate(run, zero, total))
+        return let(of, lambda x: F.struct(lone["p"].alias("p"), x["n"].alias("n"), x["k"].alias("k"), x["c"].alias("c")))
+
+    def cut(line: Column) -> Column:
+        places = F.transform(line, lambda e, i: F.when((i == 0) | (e["p"] != F.get(line, i - 1)["p"]), i))
+        first = F.filter(places, lambda i: i.isNotNull())
+        return let(first, lambda at: F.transform(at, lambda i, j: let(F.slice(line, i + 1, F.coalesce(F.get(at, j + 1), F.size(line)) - i), added)))
+
+    cells_ = let(F.sort_array(entries.cast(f"array<{CELL}>")), cut)
+    return F.filter(cells_, lambda e: (e["n"] != 0) | (e["k"] != 0) | (e["c"] != 0)).cast(f"array<{CELL}>")
 
 
 def sketch(keys: Column, bits: Column) -> Column:
