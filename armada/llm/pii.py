@@ -14,7 +14,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from armada.llm.common import stash, table
+from armada.llm.common import let, running, stash, table
 
 #: Base kinds, in the order of their contract, with patterns equal to the plain ones but free of backtracking: a run is only
 #: entered at its start or where the match before ended (\G), and repeats are possessive.
@@ -78,32 +78,32 @@ def gazetteer(kind: str, s: Column) -> Column:
 
 
 def spans_of(text: Column, kind: str) -> Column:
-    """All candidate spans of a kind in a text, with their votes.  The text between matches gives their places."""
+    """All candidate spans of a kind in a text, with their votes.  Running sums over matches and the text between them give
+    their places; their context is cut from these pieces, as a search from the text's start for each would take quadratic time."""
     pattern = (BASE | MORE)[kind]
     matches, parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["parts"])
-        end = start + F.length(x["matches"])
-        return F.struct(end.alias("at"), F.concat(acc["all"], F.array(F.struct(start.alias("start"), end.alias("end"), x["matches"].alias("s")))).alias("all"))
-
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,s:string>>").alias("all"))
-    # the part after the last match has no partner; digits alone are dropped early where only long numbers count
-    zipped = F.filter(F.arrays_zip(parts.alias("parts"), matches.alias("matches")), lambda x: x["matches"].isNotNull())
-    placed = F.aggregate(zipped, zero, step, lambda acc: acc["all"])
-    if kind == "card":
-        placed = F.filter(placed, lambda x: F.length(digits(x["s"])).between(13, 19))
-
-    def votes(x: Column) -> Column:
-        before = F.when(x["start"] > 0, F.substring(text, F.greatest(F.lit(1), x["start"] - 31), F.least(F.lit(32), x["start"]))).otherwise("")
-        after = F.substring(text, x["end"] + 1, F.lit(1))
-        fine = passes(kind, x["s"])
+    def votes(zipped: Column, ends: Column, x: Column, i: Column) -> Column:
+        s, end = x["matches"], F.get(ends, i)
+        last, next_ = F.get(zipped, i - 1), F.get(zipped, i + 1)
+        before = F.concat(F.coalesce(F.right(last["parts"], F.lit(32)), F.lit("")), F.coalesce(F.right(last["matches"], F.lit(32)), F.lit("")), F.right(x["parts"], F.lit(32)))
+        before = F.right(before, F.lit(32))
+        # the part after the last match has no match of its own
+        after = F.left(F.concat(F.left(next_["parts"], F.lit(1)), F.coalesce(F.left(next_["matches"], F.lit(1)), F.lit(""))), F.lit(1))
+        fine = passes(kind, s)
         check = F.when(fine, 1).otherwise(-1)
         context = F.when(before.rlike(FOR_CUES), 1).when(before.rlike(AGAINST_CUES), -1).otherwise(0)
         edges = F.when(before.rlike("[A-Za-z0-9]$") | after.rlike("[A-Za-z0-9]"), -1).otherwise(1)
-        return F.struct(F.lit(KINDS.index(kind)).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), (fine & F.lit(kind in BASE)).alias("base"), check.alias("check"), gazetteer(kind, x["s"]).alias("gazetteer"), context.alias("context"), edges.alias("edges"), F.least(F.lit(7), F.floor((x["end"] - x["start"]) / 8)).cast("int").alias("length"))
+        start, size = end - F.length(s), F.length(s)
+        return F.struct(F.lit(KINDS.index(kind)).alias("kind"), start.alias("start"), end.alias("end"), (fine & F.lit(kind in BASE)).alias("base"), check.alias("check"), gazetteer(kind, s).alias("gazetteer"), context.alias("context"), edges.alias("edges"), F.least(F.lit(7), F.floor(size / 8)).cast("int").alias("length"))
+
+    def placed(zipped: Column) -> Column:
+        sizes = F.transform(zipped, lambda x: F.length(x["parts"]) + F.coalesce(F.length(x["matches"]), F.lit(0)))
+        # digits alone are dropped before they are judged where only long numbers count
+        wanted = (lambda x: x["matches"].isNotNull() & F.length(digits(x["matches"])).between(13, 19)) if kind == "card" else (lambda x: x["matches"].isNotNull())
+        return let(running(sizes, lambda x, y: x + F.coalesce(y, F.lit(0))), lambda ends: F.filter(F.transform(zipped, lambda x, i: F.when(wanted(x), votes(zipped, ends, x, i))), lambda x: x.isNotNull()))
 
-    found = F.transform(placed, votes)
+    found = let(F.arrays_zip(parts.alias("parts"), matches.alias("matches")), placed)
     sure = {"email": "@", "phone": "+"}.get(kind)
     none = F.array().cast("array<struct<kind:int,start:int,end:int,base:boolean,check:int,gazetteer:int,context:int,edges:int,length:int>>")
     # a cheap test that no match of the pattern fails: each form of a secret has its own
@@ -176,8 +176,20 @@ def decide(found: Column, odds: dict[str, dict[int, float]]) -> Column:
             score = score + F.element_at(m, x[f])
         return score > 0
 
-    more = F.filter(found, lambda x: (x["kind"] >= len(BASE)) & accepted(x) & ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return F.array_sort(F.concat(base, more))
+    more = F.filter(found, lambda x: (x["kind"] >= len(BASE)) & accepted(x))
+
+    def apart(line: Column) -> Column:
+        """Of spans in order of start the candidates that no base span overlaps: none before reaches in, none after begins in."""
+        reach = running(F.transform(line, lambda x: F.when(x["base"], x["end"])), lambda x, y: F.greatest(x, y))
+        begin = F.reverse(running(F.reverse(F.transform(line, lambda x: F.when(x["base"], x["start"]))), lambda x, y: F.least(x, y)))
+        free = lambda r, b: F.filter(F.transform(line, lambda x, i: F.when(~x["base"] & (F.coalesce(F.get(r, i), F.lit(0)) <= x["start"]) & (F.coalesce(F.get(b, i), x["end"]) >= x["end"]), x["x"])), lambda x: x.isNotNull())
+        return let(reach, lambda r: let(begin, lambda b: free(r, b)))
+
+    def clear(more: Column) -> Column:
+        line = F.array_sort(F.transform(F.concat(base, more), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["base"].alias("base"), x.alias("x"))))
+        return F.when((F.size(more) == 0) | (F.size(base) == 0), more).otherwise(let(line, apart))
+
+    return F.array_sort(F.concat(base, let(more, clear)))
 
 
 def joined(spans: Column) -> Column:
@@ -196,6 +208,28 @@ def find_spans(docs: DataFrame) -> DataFrame:
     return seen.select("doc_id", decide(F.col("found"), odds).alias("found"))
 
 
+def without_spans(text: Column, spans: Column) -> Column:
+    """text with spans (start, end, kind; in order of start) replaced by their kind; of spans that overlap the first one names
+    them all.  The text is cut into blocks, so that a span is found without reading all before it."""
+    size = 256
+    names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
+
+    def between(blocks: Column, a: Column, b: Column) -> Column:
+        """The text from a to b."""
+        i, j = F.floor(a / size).cast("int"), F.floor(b / size).cast("int")
+        at = lambda k: F.coalesce(F.get(blocks, k), F.lit(""))
+        far = F.concat(F.substring(at(i), a - i * size + 1, F.lit(size)), F.array_join(F.slice(blocks, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.substring(at(j), F.lit(1), b - j * size))
+        return F.when(i == j, F.substring(at(i), a - i * size + 1, b - a)).otherwise(far)
+
+    def cut(blocks: Column, ends: Column) -> Column:
+        before = lambda i: F.coalesce(F.get(ends, i - 1), F.lit(0))
+        out = F.transform(spans, lambda x, i: F.when(x["start"] >= before(i), F.concat(between(blocks, before(i), x["start"]), F.element_at(names, x["kind"] + 1))).otherwise(""))
+        return F.concat(F.array_join(out, ""), between(blocks, F.element_at(ends, -1), F.length(text)))
+
+    ends = running(F.transform(spans, lambda x: x["end"]), lambda x, y: F.greatest(x, y))
+    return let(F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{size}}}"), F.lit(0)), lambda blocks: let(ends, lambda e: cut(blocks, e)))
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span found in text replaced by its kind in angle brackets; all columns stay, n_chars if there is one
     follows the text.  Null texts stay null.  Rows are written to the shared folder with their candidates, which are found
@@ -203,15 +237,8 @@ def redact(docs: DataFrame) -> DataFrame:
     seen = stash(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), candidates(F.col("text")).alias("found")), "pii-rows")
     odds = classifier(seen.select(F.explode("found").alias("x")).select("x.*"))
     spans = F.array_sort(F.transform(decide(F.col("found"), odds), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
-    names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
     text = F.col("row.text")
-
-    def step(acc: Column, x: Column) -> Column:
-        more = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.element_at(names, x["kind"] + 1))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] >= acc["at"], more).otherwise(acc["out"]).alias("out"))
-
-    clean = F.aggregate(F.col("spans"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    out = seen.select("row", spans.alias("spans")).select("row", F.when(F.size("spans") > 0, clean).otherwise(text).alias("clean"))
+    out = seen.select("row", F.when(F.size("found") > 0, let(spans, lambda s: F.when(F.size(s) > 0, without_spans(text, s)).otherwise(text))).otherwise(text).alias("clean"))
     own = {"text": F.col("clean"), **({"n_chars": F.length("clean").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})}
     return out.select(*[own.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
