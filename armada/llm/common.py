@@ -70,6 +70,23 @@ def range_index(key: str, bounds: list[int]):
     return F.coalesce(F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(key))), F.lit(0))
 
 
+def under(key: str, share) -> Column:
+    """Whether a row is among about this share of all keys, those with the smallest hashes."""
+    return F.xxhash64(key) / F.lit(2.0**64) + 0.5 < share
+
+
+def first_by_hash(rows: DataFrame, key: str, k: int) -> DataFrame:
+    """The k rows with the smallest hashes of key, in this order; all if they are fewer.
+
+    An order with a limit sends k rows from every task to one.  So only rows under a hash bound, about 4 k of them, are ordered;
+    if fewer than k keys pass it, as where most rows share one, all are."""
+    n = rows.count()
+    some = rows.where(under(key, (4 * k + 64) / n)) if n > 8 * k else rows
+    if n > 8 * k and some.count() < k:
+        some = rows
+    return some.orderBy(F.xxhash64(key), key).limit(k)
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value computed once: a lambda's body is evaluated for every element it is given."""
     return F.get(F.transform(F.array(value), body), 0)

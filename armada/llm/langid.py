@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from armada.llm.common import table
+from armada.llm.common import first_by_hash, table, under
 from armada.llm.toxicity import held_out
 
 SEGMENT, WIDTH, BLOCK = 64, 8, 1024
@@ -159,10 +159,12 @@ def train(docs: DataFrame, sample_docs: int = 2400, segments_per_doc: int = 4, p
     """
     usable = docs.where("lang is not null and length(text) > 0").where(~held_out(4, 2))
     order = [F.xxhash64("doc_id"), "doc_id"]
-    ids = usable.select("doc_id", "lang").orderBy(*order).limit(sample_docs)
-    usual = usable.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(64).select("lang")
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(*order))  # each task keeps its first per_language
-    each = usable.select("doc_id", "lang").withColumn("place", place).where(F.col("place") <= per_language).join(F.broadcast(usual), "lang")
+    ids = first_by_hash(usable.select("doc_id", "lang"), "doc_id", sample_docs)
+    usual = usable.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(64)
+    # of a frequent language only ids under a hash bound, several times per_language, are ordered
+    some = usable.select("doc_id", "lang").join(F.broadcast(usual), "lang").where(under("doc_id", (4 * per_language + 64) / F.col("count")))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
+    each = some.withColumn("place", place).where(F.col("place") <= per_language)
     ids = ids.unionByName(each.select("doc_id", "lang"))
     ids = ids.distinct()  # at most sample_docs + 64 * per_language rows of an id and a language
 

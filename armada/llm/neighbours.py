@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from armada.llm.common import stash, table
+from armada.llm.common import first_by_hash, stash, table
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
@@ -84,7 +84,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, centroids: int =
     a vec_id each adds to its list.  Empty tables give no rows.
     """
     good = usable(vectors)
-    picked = [r[0] for r in good.select("embedding", F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id").limit(sample).select("embedding").collect()]
+    picked = [r[0] for r in first_by_hash(good.select("embedding", "vec_id"), "vec_id", sample).select("embedding").collect()]
     spark, out = vectors.sparkSession, "query_id long, rank int, vec_id long, score double"
     lengths = Counter(map(len, picked))
     if not lengths:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from armada.llm.common import table
+from armada.llm.common import first_by_hash, table
 
 BITS = 20
 EDGES = ".,;:!?\"'()[]{}<>-_*"
@@ -136,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 2500) -> Factoriz
     """
     usable = labels.where("toxic in (0, 1)").where(~held_out(5, 0)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    picked = [usable.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for y in (0, 1)]
+    picked = [first_by_hash(usable.where(F.col("toxic") == y), "doc_id", per_label) for y in (0, 1)]
     sample = picked[0].unionByName(picked[1])  # at most 2 * per_label rows of two numbers
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -6,9 +6,10 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from armada.llm import fingerprint, jaccard, langid, mixing, neighbours, packing, pii, substrings, tokens, toxicity
-from armada.llm.common import WORD, fresh_path
+from armada.llm.common import WORD, first_by_hash, fresh_path, running
 from armada.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, part int, block int, shard int, chunk int"
@@ -168,6 +169,22 @@ def test_mixing(docs, none):
     assert mixing.mix_sources(none).count() == 0
 
 
+def test_samples_are_the_smallest_hashes(spark):
+    rows = spark.range(5000).withColumnRenamed("id", "key").repartition(9)
+    for df in (rows, rows.limit(30), rows.withColumn("key", F.lit(7).cast("long")), rows.limit(0)):
+        want = [r["key"] for r in df.orderBy(F.xxhash64("key"), "key").limit(40).collect()]
+        assert [r["key"] for r in first_by_hash(df, "key", 40).collect()] == want
+
+
+def test_running_sums_and_maxima(spark):
+    rng = random.Random(3)
+    rows = [([rng.randrange(50) if rng.random() < 0.7 else None for _ in range(n)],) for n in (0, 1, 2, 3, 17, 64, 200)]
+    out = spark.createDataFrame(rows, "x array<int>").select("x", running(F.transform("x", lambda v: F.coalesce(v, F.lit(0))), lambda a, b: a + F.coalesce(b, F.lit(0))).alias("s"), running(F.col("x"), lambda a, b: F.greatest(a, b)).alias("m"))
+    for x, s, m in out.collect():
+        assert s == [sum(v or 0 for v in x[: i + 1]) for i in range(len(x))]
+        assert m == [max((v for v in x[: i + 1] if v is not None), default=None) for i in range(len(x))]
+
+
 def test_apportionment_is_sainte_lague(spark):
     rng = random.Random(3)
     rows = [(0, i, float(rng.randrange(1, 1000)), 47) for i in range(9)]
