@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -77,7 +78,11 @@ def infer_stream(text: Column) -> Column:
 
 
 def issue_id(number: Column, episode: Column, rule: Column, field: Column, start: Column) -> Column:
-    return F.concat_ws("_", F.lpad(number.cast("string"), 4, "0"), F.lpad(F.coalesce(episode, F.lit(0)).cast("string"), 6, "0"), safe_name(rule), safe_name(field), F.coalesce(start.cast("string"), F.lit("na")))
+    """Number, episode, rule, field and start of an issue as one name: NNNN_EEEEEE_rule_field_s.sss, with words for what is
+    missing."""
+    text = lambda pattern, x, without: F.when(x.isNull(), without).otherwise(F.format_string(pattern, x))
+    named = safe_name(F.coalesce(F.nullif(field, F.lit("")), F.lit("all")))
+    return F.concat_ws("_", F.format_string("%04d", number), text("%06d", episode, "unknown"), safe_name(F.coalesce(rule, F.lit(""))), named, text("%.3f", start, "frame"))
 
 
 def floor_round(x: Column, digits: int) -> Column:
@@ -99,6 +104,12 @@ def html_escape(text: Column) -> Column:
     return out
 
 
+def replaced_text(text: Column, replacements: dict[str, str]) -> Column:
+    """text, or what replaces it if it is one of the replacements' keys; empty replacements don't count."""
+    pairs = [(F.lit(k), F.lit(v)) for k, v in replacements.items() if v and v != k]
+    return F.coalesce(F.try_element_at(F.create_map(*itertools.chain(*pairs)), text), text) if pairs else text
+
+
 def compact_number(x: Column) -> Column:
     """Number with thousands separators, without decimals where there are none."""
     return F.when(x == F.floor(x), F.format_number(x, 0)).otherwise(F.format_number(x, 2))

@@ -76,10 +76,19 @@ def commit_growth(commits: DataFrame) -> DataFrame:
     return moved.where("d_episodes > 0 or d_hours > 0").select("dataset", "commit_id", "created_at", "d_episodes", "d_hours")
 
 
-def refresh(cached: DataFrame, current: DataFrame, fetched: DataFrame) -> DataFrame:
-    """Cache rows after a refresh: repositories whose last_modified is unchanged keep theirs, the others take the fetched."""
+def refresh(cached: DataFrame, current: DataFrame, fetched: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """Cache rows after a refresh: repositories whose last_modified is unchanged keep theirs, the others take the fetched.
+
+    failed (dataset, error): repositories that couldn't be fetched keep their old rows, each with the error; one without any
+    has a row with nothing but its name and the error.  The result then has a column error, null for all others.
+    """
     same = current.join(cached.select("dataset", "last_modified").distinct(), ["dataset", "last_modified"], "left_semi").select("dataset")
-    return cached.join(same, "dataset", "left_semi").unionByName(fetched.join(same, "dataset", "left_anti"))
+    out = cached.join(same, "dataset", "left_semi").unionByName(fetched.join(same, "dataset", "left_anti"))
+    if failed is None:
+        return out
+    wrong = failed.groupBy("dataset").agg(F.max("error").alias("error")).join(same, "dataset", "left_anti")
+    fine = out.join(wrong, "dataset", "left_anti").withColumn("error", F.lit(None).cast("string"))
+    return fine.unionByName(wrong.join(cached, "dataset", "left").select(*out.columns, "error"))
 
 
 def decode_present(snapshots: DataFrame, index: DataFrame) -> DataFrame:

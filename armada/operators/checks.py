@@ -145,3 +145,12 @@ def review_overlay(issues: DataFrame, reviews: DataFrame) -> DataFrame:
 def text_filter(rows: DataFrame, columns: list[str], query: str) -> DataFrame:
     """Rows whose columns together contain the query, whatever its case."""
     return rows.where(F.contains(F.lower(F.concat_ws(" ", *columns)), F.lit(query.lower())))
+
+
+def edit_filter(rows: DataFrame, columns: list[str], query: str, downloaded: DataFrame | None = None, key: str = "dataset") -> DataFrame:
+    """Rows that the text filter keeps and, where downloaded (a column leaf) is given, whose name ends in a downloaded leaf."""
+    out = text_filter(rows, columns, query)
+    if downloaded is None:
+        return out
+    leaf = F.element_at(F.split(F.col(key), "/"), -1)
+    return out.withColumn("_leaf", leaf).join(downloaded.select(F.col("leaf").alias("_leaf")), "_leaf", "left_semi").drop("_leaf")

@@ -11,6 +11,7 @@ import itertools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from armada.functions.exprs import replaced_text
 from armada.operators.order import numbered
 
 REQUIRED = ("episode", "frame", "timestamp", "index", "task_index")
@@ -18,8 +19,7 @@ REQUIRED = ("episode", "frame", "timestamp", "index", "task_index")
 
 def rewrite_prompts(tasks: DataFrame, replacements: dict[str, str], column: str = "task") -> DataFrame:
     """Tasks with exact matches replaced, and changed."""
-    pairs = {k: v for k, v in replacements.items() if v and v != k}
-    new = F.coalesce(F.try_element_at(F.create_map(*itertools.chain(*[(F.lit(k), F.lit(v)) for k, v in pairs.items()])), F.col(column)), F.col(column)) if pairs else F.col(column)
+    new = replaced_text(F.col(column), replacements)
     return tasks.withColumn("_new", new).withColumn("changed", ~F.col("_new").eqNullSafe(F.col(column))).withColumn(column, F.col("_new")).drop("_new")
 
 

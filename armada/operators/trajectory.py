@@ -166,6 +166,22 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     return out.select("lo", (F.col("lo") + width).alias("hi"), label.alias("label"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def length_stats(lengths: DataFrame) -> DataFrame:
+    """One row: lo, hi, mean, median and std of length_seconds, mean and std to 6 places; nulls don't count, without any length all
+    are null.  The median is of the values at the middle places, so no task sees all lengths."""
+    known = lengths.where("length_seconds is not null")
+    n = known.count()
+    middle = picked(known.select("length_seconds"), "length_seconds", [(n - 1) // 2, n // 2]) if n else [None]
+    median = F.lit(sum(middle) / len(middle) if n else None).cast("double")
+    return known.agg(F.min("length_seconds").alias("lo"), F.max("length_seconds").alias("hi"), F.round(F.avg("length_seconds"), 6).alias("mean"), median.alias("median"), F.round(F.stddev_pop("length_seconds"), 6).alias("std"))
+
+
+def correlation(a: Column, b: Column) -> Column:
+    """Aggregate: the correlation of two columns; null where either doesn't vary (corr fails there by the session's settings)."""
+    both = a.isNotNull() & b.isNotNull()
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b)))
+
+
 def autocorrelation_lag(frames: DataFrame, limit: float = 0.5, most: int = 32) -> DataFrame:
     """Suggested chunk length of each episode of (episode, frame, v): the first lag with autocorrelation under limit.
 
@@ -175,10 +191,25 @@ def autocorrelation_lag(frames: DataFrame, limit: float = 0.5, most: int = 32) -
     """
     lags = range(1, most + 1)
     moved = frames.where("frame is not null").select("episode", "v", *[F.max("v").over(by_episode().rangeBetween(k, k)).alias(f"_{k}") for k in lags])
-    each = moved.groupBy("episode").agg(F.array(*[F.corr("v", f"_{k}") < limit for k in lags]).alias("low"))
+    each = moved.groupBy("episode").agg(F.array(*[correlation(F.col("v"), F.col(f"_{k}")) < limit for k in lags]).alias("low"))
     return each.select("episode", F.array_position("low", True).alias("lag")).where("lag > 0")
 
 
+def control_delay(frames: DataFrame, most: int = 8, least: int = 8) -> DataFrame:
+    """By how many frames the series b of each episode of (episode, frame, a, b) follows its series a: episode, delay, r, causal.
+
+    The delay is the lag, from -most to most, at which a and b that much later correlate most (r); of equal ones, to 6 places,
+    the shortest, then the negative one.  causal: b doesn't come first.  Lags with fewer than least pairs don't count; gaps and
+    repeated frames as in autocorrelation_lag.  One window and its partitioning serve all lags.
+    """
+    lags = sorted(range(-most, most + 1), key=lambda k: (abs(k), k))
+    moved = frames.where("frame is not null").select("episode", "a", *[F.max("b").over(by_episode().rangeBetween(k, k)).alias(f"_{i}") for i, k in enumerate(lags)])
+    enough = lambda i: F.count_if(F.col("a").isNotNull() & F.col(f"_{i}").isNotNull()) >= least
+    each = moved.groupBy("episode").agg(F.array(*[F.struct(F.when(enough(i), F.round(correlation(F.col("a"), F.col(f"_{i}")), 6)).alias("r"), F.lit(-i).alias("rank"), F.lit(k).alias("delay")) for i, k in enumerate(lags)]).alias("all"))
+    best = each.select("episode", F.array_max(F.filter("all", lambda x: x["r"].isNotNull() & ~F.isnan(x["r"]))).alias("x")).where("x is not null")
+    return best.select("episode", F.col("x.delay").cast("long").alias("delay"), "x.r", (F.col("x.delay") >= 0).alias("causal"))
+
+
 def speed_variation(frames: DataFrame) -> DataFrame:
     """Coefficient of variation of the steps of each episode."""
     return steps(frames).where("step is not null").groupBy("episode").agg(F.try_divide(F.stddev_pop("step"), F.avg("step")).alias("cv"))

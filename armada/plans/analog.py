@@ -15,8 +15,7 @@ CTE = {
     "datasets": "datasets AS (SELECT c_name AS dataset, n_name AS uploader, c_mktsegment AS segment, CAST(count(*) AS BIGINT) AS episodes, CAST(sum(hours) AS DECIMAL(18,2)) AS hours, CAST(sum(o_orderkey) AS BIGINT) AS frames, max(day) AS last_modified FROM orders2 JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2, 3)",
     "changes": "changes AS (SELECT c_name AS dataset, c_mktsegment AS segment, n_name AS uploader, o_orderkey AS commit_id, day AS changed_at, hours AS h, CAST(count(*) OVER w AS BIGINT) AS episodes, CAST(sum(o_orderkey % 500) OVER w AS BIGINT) AS frames, CAST(sum(hours) OVER w AS DECIMAL(18,2)) AS hours FROM orders2 JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WINDOW w AS (PARTITION BY c_custkey ORDER BY day, o_orderkey ROWS UNBOUNDED PRECEDING))",
     "snapshots": "snapshots AS (SELECT c_mktsegment AS org, substr(day, 1, 7) AS date, max(day) AS pulled_at, CAST(count(*) AS BIGINT) AS n, CAST(sum(o_orderkey % 500) AS BIGINT) AS f, CAST(sum(hours) AS DECIMAL(18,2)) AS h FROM orders2 JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2), snaps AS (SELECT org, date, pulled_at, CAST(sum(n) OVER (PARTITION BY org ORDER BY date) AS BIGINT) AS episodes, CAST(sum(f) OVER (PARTITION BY org ORDER BY date) AS BIGINT) AS frames, CAST(sum(h) OVER (PARTITION BY org ORDER BY date) AS DECIMAL(18,2)) AS hours, CAST(row_number() OVER (ORDER BY date, org) AS BIGINT) AS ord FROM snapshots)",
-    "prompts": "prompts AS (SELECT doc_id, array_to_string(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')[1:1 + doc_id % 60], ' ') AS prompt, concat(source, '/', lang, '-', lpad(CAST(doc_id % 9000 AS VARCHAR), 4, '0')) AS name FROM documents)",
-    "whole_prompts": "prompts AS (SELECT doc_id, text AS prompt, concat(source, '/', lang, '-', lpad(CAST(doc_id % 9000 AS VARCHAR), 4, '0')) AS name FROM documents)",
+    "prompts": "prompts AS (SELECT doc_id, text AS prompt, concat(source, '/', lang, '-', lpad(CAST(doc_id % 9000 AS VARCHAR), 4, '0')) AS name FROM documents)",
 }
 
 
@@ -63,12 +62,6 @@ def snapshots(spark: SparkSession, d: str) -> DataFrame:
 
 
 def prompts(spark: SparkSession, d: str) -> DataFrame:
-    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    name = F.concat("source", F.lit("/"), "lang", F.lit("-"), F.lpad((F.col("doc_id") % 9000).cast("string"), 4, "0"))
-    return t(spark, d, "documents").select("doc_id", F.array_join(F.slice(words, 1, (1 + F.col("doc_id") % 60).cast("int")), " ").alias("prompt"), name.alias("name"))
-
-
-def whole_prompts(spark: SparkSession, d: str) -> DataFrame:
-    """The prompts view with every text whole; null texts stay null."""
+    """Texts as prompts, with made-up names of datasets; null texts stay null."""
     name = F.concat("source", F.lit("/"), "lang", F.lit("-"), F.lpad((F.col("doc_id") % 9000).cast("string"), 4, "0"))
     return t(spark, d, "documents").select("doc_id", F.col("text").alias("prompt"), name.alias("name"))

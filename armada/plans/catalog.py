@@ -10,12 +10,16 @@ from pyspark.sql import functions as F
 from armada.functions import exprs as X
 from armada.operators import changelog as L
 from armada.operators import checks as C
+from armada.operators import doctor as D
 from armada.operators import edit as E
 from armada.operators import fleet as A
 from armada.operators import trajectory as T
 from armada.operators.order import numbered
 from armada.plans import analog as V
+from armada.sources import files as W
+from armada.sources import reports as R
 from armada.sources import scan as S
+from armada.sources.datasets import latest_reports
 from armada.sources.scratch import fresh_path, written
 from armada.streaming import snapshot_log as SL
 from armada.streaming.tracker import track
@@ -279,14 +283,8 @@ def trend_offsets(spark, d):
     return rows.crossJoin(F.broadcast(first)).groupBy(F.datediff("day", "first").cast("long").alias("offset_days")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT dataset, last_modified, CAST(row_number() OVER (ORDER BY last_modified DESC NULLS LAST, dataset) AS BIGINT) AS place FROM datasets ORDER BY 2 DESC, 1 LIMIT 50", "orders2", "datasets")
-def table_order(spark, d):
-    top = V.datasets(spark, d).orderBy(F.col("last_modified").desc_nulls_last(), "dataset").limit(50).select("dataset", "last_modified")
-    return top.withColumn("place", F.row_number().over(Window.orderBy(F.col("last_modified").desc_nulls_last(), "dataset")).cast("long"))
-
-
 @query("SELECT dataset, last_modified, CAST(row_number() OVER (ORDER BY last_modified DESC NULLS LAST, dataset) AS BIGINT) AS place FROM datasets", "orders2", "datasets")
-def table_order_whole(spark, d):
+def table_order(spark, d):
     rows = V.datasets(spark, d).select("dataset", "last_modified")
     return numbered(rows, "last_modified", "dataset", descending=True).select("dataset", "last_modified", (F.col("place") + 1).alias("place"))
 
@@ -392,6 +390,14 @@ def incremental_refresh(spark, d):
     return L.refresh(cached, now.select("dataset", "last_modified"), now.select("dataset", "last_modified", F.lit("fetched").alias("origin")))
 
 
+@query("SELECT dataset, CASE WHEN episodes % 2 > 0 AND episodes % 3 = 0 THEN '1990-01-01' ELSE last_modified END AS last_modified, CASE WHEN episodes % 2 = 0 OR episodes % 3 = 0 THEN 'kept' ELSE 'fetched' END AS origin, CASE WHEN episodes % 2 > 0 AND episodes % 3 = 0 THEN 'no answer' END AS error FROM datasets", "orders2", "datasets")
+def refresh_with_failures(spark, d):
+    now = V.datasets(spark, d).select("dataset", "last_modified", "episodes")
+    cached = now.select("dataset", F.when(F.col("episodes") % 2 == 0, F.col("last_modified")).otherwise("1990-01-01").alias("last_modified"), F.lit("kept").alias("origin"))
+    failed = now.where("episodes % 3 = 0").select("dataset", F.lit("no answer").alias("error"))
+    return L.refresh(cached, now.select("dataset", "last_modified"), now.select("dataset", "last_modified", F.lit("fetched").alias("origin")), failed)
+
+
 @query("SELECT org AS pulled_at, CAST(pos AS BIGINT) AS pos, n_name AS dataset FROM (SELECT r_name AS org, unnest([r_regionkey, r_regionkey + 7, r_regionkey + 22, r_regionkey + 40]) AS pos FROM region) JOIN nation ON n_nationkey = pos")
 def decode_present(spark, d):
     snaps = V.t(spark, d, "region").select(F.col("r_name").alias("pulled_at"), F.array(*[(F.col("r_regionkey") + x).cast("long") for x in (0, 7, 22, 40)]).alias("present"))
@@ -537,17 +543,11 @@ def length_histogram(spark, d):
 
 @query("SELECT min(s) AS lo, max(s) AS hi, round(avg(s), 6) AS mean, quantile_cont(s, 0.5) AS median, round(stddev_pop(s), 6) AS std FROM (SELECT count(*) / 30.0::DOUBLE AS s FROM events GROUP BY user_id)")
 def length_stats(spark, d):
-    return scan_episode_meta(spark, d).agg(F.min("length_seconds").alias("lo"), F.max("length_seconds").alias("hi"), F.round(F.avg("length_seconds"), 6).alias("mean"), F.percentile("length_seconds", F.lit(0.5)).alias("median"), F.round(F.stddev_pop("length_seconds"), 6).alias("std"))
-
-
-@query("SELECT 'i' || CAST(l_orderkey AS VARCHAR) AS issue, f.episode, f.frame, f.v FROM (SELECT l_orderkey, l_orderkey % 150 AS ep, l_linenumber AS n FROM lineitem WHERE l_linenumber = 3) i JOIN frames f ON f.episode = i.ep AND f.frame BETWEEN i.n - 2 AND i.n + 2", "frames")
-def range_join_window(spark, d):
-    rows = V.t(spark, d, "lineitem").where("l_linenumber = 3").select(F.concat(F.lit("i"), F.col("l_orderkey").cast("string")).alias("issue"), (F.col("l_orderkey") % 150).alias("episode"), (F.col("l_linenumber") - 2).alias("f_lo"), (F.col("l_linenumber") + 2).alias("f_hi"))
-    return T.windows_on_frames(rows, V.frames(spark, d))
+    return T.length_stats(scan_episode_meta(spark, d))
 
 
 @query("SELECT 'i' || CAST(l_orderkey AS VARCHAR) AS issue, f.episode, f.frame, f.v FROM (SELECT l_orderkey, l_orderkey % (SELECT max(user_id) + 1 FROM events) AS ep, CAST(l_linenumber * l_quantity AS BIGINT) AS n FROM lineitem) i JOIN frames f ON f.episode = i.ep AND f.frame BETWEEN i.n - 2 AND i.n + 2", "frames")
-def range_join_window_whole(spark, d):
+def range_join_window(spark, d):
     users = V.t(spark, d, "events").agg((F.max("user_id") + 1).alias("users"))  # one row
     middle = (F.col("l_linenumber") * F.col("l_quantity")).cast("long")
     rows = V.t(spark, d, "lineitem").crossJoin(F.broadcast(users)).select(F.concat(F.lit("i"), F.col("l_orderkey").cast("string")).alias("issue"), (F.col("l_orderkey") % F.col("users")).alias("episode"), (middle - 2).alias("f_lo"), (middle + 2).alias("f_hi"))
@@ -559,6 +559,32 @@ def chunk_length(spark, d):
     return T.autocorrelation_lag(V.frames(spark, d).drop("event_id"), 0.1, 8)
 
 
+V.CTE["followed"] = "series AS (SELECT episode, frame, v AS a, CASE episode % 4 WHEN 0 THEN v WHEN 1 THEN lag(v, 1) OVER w WHEN 2 THEN lag(v, 2) OVER w ELSE lead(v, 3) OVER w END AS b FROM frames WINDOW w AS (PARTITION BY episode ORDER BY frame)), lags AS (SELECT x.episode, y.frame - x.frame AS delay, round(corr(x.a, y.b), 6) AS r FROM series x JOIN series y ON x.episode = y.episode AND y.frame - x.frame BETWEEN -8 AND 8 GROUP BY 1, 2 HAVING count(*) FILTER (WHERE x.a IS NOT NULL AND y.b IS NOT NULL) >= 8)"
+
+
+@query("SELECT episode, CAST(delay AS BIGINT) AS delay, r, delay >= 0 AS causal FROM lags WHERE NOT isnan(r) QUALIFY row_number() OVER (PARTITION BY episode ORDER BY r DESC, abs(delay), delay) = 1", "frames", "followed")
+def control_delay(spark, d):
+    """A series against itself moved by a delay that depends on the episode, which is found again."""
+    line = Window.partitionBy("episode").orderBy("frame")
+    moved = F.expr("episode % 4")
+    b = F.when(moved == 0, F.col("v")).when(moved == 1, F.lag("v", 1).over(line)).when(moved == 2, F.lag("v", 2).over(line)).otherwise(F.lead("v", 3).over(line))
+    return T.control_delay(V.frames(spark, d).select("episode", "frame", F.col("v").alias("a"), b.alias("b")))
+
+
+V.CTE["ailing"] = "sick AS (SELECT episode, CASE WHEN event_id % 89 = 0 THEN frame - 1 ELSE frame END AS frame, CASE WHEN event_id % 83 = 0 THEN 0 ELSE frame END AS tm, event_id % 10 AS task FROM frames WHERE event_id % 97 <> 0 AND episode % 10 <> 7), line AS (SELECT *, tm <= lag(tm) OVER w AS late, frame = lag(frame) OVER w AS again FROM sick WINDOW w AS (PARTITION BY episode ORDER BY frame, tm)), seen AS (SELECT episode, count(*) AS n, min(frame) AS lo, max(frame) AS hi, count(*) FILTER (WHERE again) AS again, count(*) FILTER (WHERE late) AS late, count(*) FILTER (WHERE task = 9) AS unknown FROM line GROUP BY 1), said AS (SELECT user_id AS episode, count(*) + CASE WHEN user_id % 13 = 0 THEN 1 ELSE 0 END AS length FROM events WHERE user_id % 11 > 0 GROUP BY 1), both_ AS (SELECT coalesce(s.episode, m.episode) AS episode, s.*EXCLUDE (episode), m.length, m.episode IS NOT NULL AS listed FROM seen s FULL JOIN said m ON s.episode = m.episode)"
+
+
+@query("SELECT episode, \"check\", severity, CAST(n AS BIGINT) AS n FROM (SELECT episode, 'metadata' AS \"check\", 'fail' AS severity, coalesce(n, length) AS n FROM both_ WHERE n IS NULL OR NOT listed UNION ALL SELECT episode, 'length', 'fail', abs(length - n) FROM both_ WHERE length <> n UNION ALL SELECT episode, 'start', 'warn', lo FROM both_ WHERE lo <> 0 UNION ALL SELECT episode, 'gaps', 'fail', hi - lo + 1 - (n - again) FROM both_ WHERE hi - lo + 1 > n - again UNION ALL SELECT episode, 'repeats', 'fail', again FROM both_ WHERE again > 0 UNION ALL SELECT episode, 'time', 'warn', late FROM both_ WHERE late > 0 UNION ALL SELECT episode, 'tasks', 'fail', unknown FROM both_ WHERE unknown > 0)", "frames", "ailing")
+def doctor(spark, d):
+    """Frames with planted defects: some are missing, some have the number of the one before, a time of 0 or an unknown task;
+    some episodes have no metadata, some no frames, some another length."""
+    frame = F.col("frame")
+    rows = V.frames(spark, d).where("event_id % 97 != 0 and episode % 10 != 7").select("episode", F.when(F.col("event_id") % 89 == 0, frame - 1).otherwise(frame).alias("frame"), F.when(F.col("event_id") % 83 == 0, 0).otherwise(frame).cast("double").alias("timestamp"), (F.col("event_id") % 10).alias("task_index"))
+    said = V.t(spark, d, "events").where("user_id % 11 > 0").groupBy(F.col("user_id").alias("episode")).agg((F.count(F.lit(1)) + F.when(F.col("user_id") % 13 == 0, 1).otherwise(0)).alias("length"))
+    tasks = V.t(spark, d, "events").select((F.col("event_id") % 9).alias("task_index")).distinct()
+    return D.diagnose(rows, said, tasks).select("episode", "check", "severity", "n")
+
+
 @query("SELECT episode, round(stddev_pop(step) / avg(step), 6) AS cv FROM steps WHERE step IS NOT NULL GROUP BY 1", "frames", "steps")
 def speed_variation(spark, d):
     return T.speed_variation(V.vectors(spark, d)).select("episode", r6("cv"))
@@ -567,7 +593,7 @@ def speed_variation(spark, d):
 # --- checks, issues, annotations -----------------------------------------------------------------------------------
 
 WORDS = "len(list_filter(regexp_split_to_array(trim(prompt), '\\s+'), lambda w: w <> ''))"
-V.CTE["checked"] = f"facts AS (SELECT doc_id, prompt, {WORDS} AS n, regexp_matches(prompt, '[_，。、；：？！（）“”‘’《》—·-]') AS bad, NOT regexp_matches(prompt, '^\\s*\\p{{L}}') AS odd FROM prompts), verdicts AS (SELECT doc_id, CASE WHEN bad THEN 'fail' WHEN n < 10 OR n > 50 OR odd OR n < 3 THEN 'warn' ELSE 'ok' END AS status, array_to_string(list_filter([CASE WHEN n < 10 THEN 'too few words' END, CASE WHEN n > 50 THEN 'too many words' END, CASE WHEN bad THEN 'illegal characters' END, CASE WHEN odd OR n < 3 THEN 'not a sentence' END], lambda x: x IS NOT NULL), '; ') AS message FROM facts)"
+V.CTE["checked"] = f"facts AS (SELECT doc_id, prompt, {WORDS} AS n, regexp_matches(prompt, '[_，。、；：？！（）“”‘’《》—·-]') AS bad, NOT regexp_matches(prompt, '^\\s*\\p{{L}}') AS odd FROM prompts), verdicts AS (SELECT doc_id, CASE WHEN prompt IS NULL THEN 'skip' WHEN bad THEN 'fail' WHEN n < 10 OR n > 50 OR odd OR n < 3 THEN 'warn' ELSE 'ok' END AS status, CASE WHEN prompt IS NULL THEN 'no prompt' ELSE array_to_string(list_filter([CASE WHEN n < 10 THEN 'too few words' END, CASE WHEN n > 50 THEN 'too many words' END, CASE WHEN bad THEN 'illegal characters' END, CASE WHEN odd OR n < 3 THEN 'not a sentence' END], lambda x: x IS NOT NULL), '; ') END AS message FROM facts)"
 
 
 @query("SELECT * FROM verdicts", "prompts", "checked")
@@ -575,14 +601,6 @@ def check_prompt(spark, d):
     return V.prompts(spark, d).select("doc_id", C.check_prompt({}).alias("x")).select("doc_id", "x.*")
 
 
-V.CTE["whole_checked"] = f"facts AS (SELECT doc_id, prompt, {WORDS} AS n, regexp_matches(prompt, '[_，。、；：？！（）“”‘’《》—·-]') AS bad, NOT regexp_matches(prompt, '^\\s*\\p{{L}}') AS odd FROM prompts), verdicts AS (SELECT doc_id, CASE WHEN prompt IS NULL THEN 'skip' WHEN bad THEN 'fail' WHEN n < 10 OR n > 50 OR odd OR n < 3 THEN 'warn' ELSE 'ok' END AS status, CASE WHEN prompt IS NULL THEN 'no prompt' ELSE array_to_string(list_filter([CASE WHEN n < 10 THEN 'too few words' END, CASE WHEN n > 50 THEN 'too many words' END, CASE WHEN bad THEN 'illegal characters' END, CASE WHEN odd OR n < 3 THEN 'not a sentence' END], lambda x: x IS NOT NULL), '; ') END AS message FROM facts)"
-
-
-@query("SELECT * FROM verdicts", "whole_prompts", "whole_checked")
-def check_prompt_whole(spark, d):
-    return V.whole_prompts(spark, d).select("doc_id", C.check_prompt({}).alias("x")).select("doc_id", "x.*")
-
-
 TASKS = "tasks AS (SELECT doc_id, unnest(range(0, len(l))) AS i, unnest(l) AS prompt FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)), found AS (SELECT doc_id, regexp_matches(prompt, '[_，。、；：？！（）“”‘’《》—·-]') AS bad, (n < 10 OR n > 50)::INT + regexp_matches(prompt, '[_，。、；：？！（）“”‘’《》—·-]')::INT + (n < 3 OR NOT regexp_matches(prompt, '^\\s*\\p{L}'))::INT AS k FROM (SELECT *, " + WORDS + " AS n FROM tasks))"
 V.CTE["tasks"] = TASKS
 
@@ -627,21 +645,11 @@ def run_checks(spark, d):
     return results(V.prompts(spark, d)).select("doc_id", "id", "status")
 
 
-@query("SELECT * FROM results", "whole_prompts", "whole_checked", "results")
-def run_checks_whole(spark, d):
-    return results(V.whole_prompts(spark, d)).select("doc_id", "id", "status")
-
-
 @query("SELECT doc_id, CAST(count(*) FILTER (WHERE status = 'fail') AS BIGINT) AS n_fail, CAST(count(*) FILTER (WHERE status = 'warn') AS BIGINT) AS n_warn, CASE WHEN bool_or(status = 'fail') THEN 'fail' WHEN bool_or(status = 'warn') THEN 'warn' ELSE 'ok' END AS worst, CAST(CASE WHEN bool_or(status = 'fail') THEN 200 + count(*) FILTER (WHERE status = 'fail') WHEN bool_or(status = 'warn') THEN 100 + count(*) FILTER (WHERE status = 'warn') ELSE 0 END AS BIGINT) AS sort_key FROM results GROUP BY 1", "prompts", "checked", "results")
 def check_aggregate(spark, d):
     return C.aggregate_checks(results(V.prompts(spark, d)), "doc_id")
 
 
-@query("SELECT doc_id, CAST(count(*) FILTER (WHERE status = 'fail') AS BIGINT) AS n_fail, CAST(count(*) FILTER (WHERE status = 'warn') AS BIGINT) AS n_warn, CASE WHEN bool_or(status = 'fail') THEN 'fail' WHEN bool_or(status = 'warn') THEN 'warn' ELSE 'ok' END AS worst, CAST(CASE WHEN bool_or(status = 'fail') THEN 200 + count(*) FILTER (WHERE status = 'fail') WHEN bool_or(status = 'warn') THEN 100 + count(*) FILTER (WHERE status = 'warn') ELSE 0 END AS BIGINT) AS sort_key FROM results GROUP BY 1", "whole_prompts", "whole_checked", "results")
-def check_aggregate_whole(spark, d):
-    return C.aggregate_checks(results(V.whole_prompts(spark, d)), "doc_id")
-
-
 @query("SELECT 'rule' AS kind, coalesce(rule, 'unknown') AS value, CAST(count(*) AS BIGINT) AS n FROM issues GROUP BY 2 UNION ALL SELECT 'field', coalesce(field, 'unknown'), CAST(count(*) AS BIGINT) FROM issues GROUP BY 2 UNION ALL SELECT 'episode', coalesce(CAST(episode AS VARCHAR), 'unknown'), CAST(count(*) AS BIGINT) FROM issues GROUP BY 2", "issues")
 def issue_summary(spark, d):
     return C.issue_summary(issues(spark, d))
@@ -668,6 +676,37 @@ def reviewed(spark, d) -> DataFrame:
     return C.review_overlay(rows, reviews)
 
 
+V.CTE["reported"] = "found AS (SELECT 'own/set-' || CAST(user_id % 7 AS VARCHAR) AS dataset, event_id AS position, CASE WHEN user_id % 12 < 11 THEN user_id % 12 END AS episode, event_type AS rule, CASE WHEN value > 66 THEN 'fail' WHEN value > 33 THEN 'warn' ELSE 'skip' END AS severity, CASE WHEN event_id % 4 > 0 THEN 'arm' END AS field, CASE WHEN event_id % 3 > 0 THEN event_id % 100 / 8.0::DOUBLE END AS start_sec FROM events), capped AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY episode NULLS LAST, position) AS number FROM (SELECT * FROM found WHERE severity <> 'skip' QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY position) <= 80))"
+
+
+@query("SELECT dataset, printf('%04d', number) || '_' || coalesce(printf('%06d', episode), 'unknown') || '_' || rule || '_' || coalesce(field, 'all') || '_' || coalesce(printf('%.3f', start_sec), 'frame') AS issue_id, episode, rule, severity, field, start_sec, '未确认' AS review_status FROM capped", "reported")
+def report_set(spark, d):
+    """Reports of seven datasets, written and read back by their indexes; a report holds 80 issues at most."""
+    severity = F.expr("case when value > 66 then 'fail' when value > 33 then 'warn' else 'skip' end")
+    rows = V.t(spark, d, "events").select(F.concat(F.lit("own/set-"), (F.col("user_id") % 7).cast("string")).alias("dataset"), F.col("event_id").alias("position"), F.when(F.col("user_id") % 12 < 11, F.col("user_id") % 12).alias("episode"), F.col("event_type").alias("rule"), severity.alias("severity"), F.when(F.col("event_id") % 4 > 0, "arm").alias("field"), F.when(F.col("event_id") % 3 > 0, F.col("event_id") % 100 / 8.0).alias("start_sec"))
+    capped = rows.where("severity != 'skip'").withColumn("n", F.row_number().over(Window.partitionBy("dataset").orderBy("position"))).where("n <= 80").drop("n")
+    more = {"end_sec": "double", "frame": "long", "message": "string", "source": "string", "clips": "map<string,string>", "plot": "string"}
+    root = fresh_path(spark, "reports")
+    R.write_reports(capped.withColumns({c: F.lit(None).cast(t) for c, t in more.items()}), root, "20260101_000000")
+    path = F.regexp_replace("path", "^file:/+", "file:/").alias("report")
+    return R.report_records(spark, root).withColumn("report", F.regexp_replace("report", "^file:/+", "file:/")).join(latest_reports(spark, root).select("dataset", path), "report").select("dataset", "issue_id", "episode", "rule", "severity", "field", "start_sec", "review_status")
+
+
+@query("SELECT CASE WHEN r.name IS NULL OR r.name = c.c_name THEN c.c_name ELSE r.name END AS dataset, '已检查' AS status, '/r/' || CAST(c_custkey AS VARCHAR) AS report_dir, CASE WHEN r.name = c.c_name THEN 't' || CAST(c_custkey % 9 AS VARCHAR) END AS checked_at FROM customer c JOIN (SELECT c_custkey AS k, CASE WHEN c_custkey % 4 = 0 THEN c_name ELSE 'moved-' || CAST(c_custkey AS VARCHAR) END AS name FROM customer WHERE c_custkey % 2 = 0) r ON r.k = c.c_custkey UNION ALL SELECT c_name, '已检查', '/r/' || CAST(c_custkey AS VARCHAR), 't' || CAST(c_custkey % 9 AS VARCHAR) FROM customer WHERE c_custkey % 4 = 2 AND c_custkey % 3 > 0")
+def status_repair(spark, d):
+    """Stored states of all customers against reports of half of them, a quarter under other names."""
+    rows = V.t(spark, d, "customer").select("c_name", F.col("c_custkey").alias("k"), F.concat(F.lit("/r/"), F.col("c_custkey").cast("string")).alias("path"))
+    stored = rows.select(F.col("c_name").alias("dataset"), F.when(F.col("k") % 3 > 0, R.CHECKED).otherwise("open").alias("status"), F.col("path").alias("report_dir"), F.concat(F.lit("t"), (F.col("k") % 9).cast("string")).alias("checked_at"))
+    there = rows.where("k % 2 = 0").select(F.when(F.col("k") % 4 == 0, F.col("c_name")).otherwise(F.concat(F.lit("moved-"), F.col("k").cast("string"))).alias("dataset"), "path")
+    return R.reconciled_status(stored, there)
+
+
+@query("SELECT dataset, uploader FROM datasets WHERE contains(lower(concat_ws(' ', dataset, uploader, segment)), 'n_1') AND dataset IN (SELECT c_name FROM customer WHERE c_custkey % 3 = 0)", "orders2", "datasets")
+def edit_filter(spark, d):
+    leaves = V.t(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_name").alias("leaf"))
+    return C.edit_filter(V.datasets(spark, d), ["dataset", "uploader", "segment"], "N_1", leaves).select("dataset", "uploader")
+
+
 @query("SELECT position, episode FROM issues WHERE rule IN ('click', 'error')", "issues")
 def actionable(spark, d):
     return issues(spark, d).where(F.col("rule").isin("click", "error")).select("position", "episode")
@@ -702,17 +741,9 @@ def log_extract(spark, d):
 # --- scalars -------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT doc_id, concat(lang, '-', source) AS prefix, TRY_CAST(regexp_extract(source, '(\\d+)', 1) AS BIGINT) AS number, replace(replace(replace(trim(to_base64(encode(name)), '='), '+', '-'), '/', '_'), chr(10), '') AS url64, replace(replace(replace(left(prompt, 40), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped, coalesce(nullif(trim(regexp_replace(left(prompt, 40), '[^A-Za-z0-9_.-]+', '_', 'g'), '_'), ''), 'unknown') AS safe FROM (SELECT p.*, d.lang, d.source FROM prompts p JOIN documents d ON p.doc_id = d.doc_id) WHERE NOT contains(left(prompt, 40), '\"') AND NOT contains(left(prompt, 40), '''')", "prompts")
+@query("SELECT doc_id, concat(lang, '-', source) AS prefix, TRY_CAST(regexp_extract(source, '(\\d+)', 1) AS BIGINT) AS number, replace(replace(replace(trim(to_base64(encode(name)), '='), '+', '-'), '/', '_'), chr(10), '') AS url64, replace(replace(replace(replace(replace(prompt, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS escaped, coalesce(nullif(trim(regexp_replace(prompt, '[^A-Za-z0-9_.-]+', '_', 'g'), '_'), ''), 'unknown') AS safe FROM (SELECT p.*, d.lang, d.source FROM prompts p JOIN documents d ON p.doc_id = d.doc_id)", "prompts")
 def scalar_strings(spark, d):
-    rows = V.prompts(spark, d).join(V.t(spark, d, "documents").select("doc_id", "lang", "source"), "doc_id").withColumn("p", F.left("prompt", F.lit(40)))
-    rows = rows.where(~F.col("p").contains('"') & ~F.col("p").contains("'"))
-    name = F.concat(F.lit("owner/"), "lang", F.lit("-"), "source", F.lit("-0123"))
-    return rows.select("doc_id", X.task_prefix(name).alias("prefix"), X.last_number(F.col("source")).alias("number"), X.url_base64(F.col("name")).alias("url64"), X.html_escape(F.col("p")).alias("escaped"), X.safe_name(F.col("p")).alias("safe"))
-
-
-@query("SELECT doc_id, concat(lang, '-', source) AS prefix, TRY_CAST(regexp_extract(source, '(\\d+)', 1) AS BIGINT) AS number, replace(replace(replace(trim(to_base64(encode(name)), '='), '+', '-'), '/', '_'), chr(10), '') AS url64, replace(replace(replace(replace(replace(prompt, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS escaped, coalesce(nullif(trim(regexp_replace(prompt, '[^A-Za-z0-9_.-]+', '_', 'g'), '_'), ''), 'unknown') AS safe FROM (SELECT p.*, d.lang, d.source FROM prompts p JOIN documents d ON p.doc_id = d.doc_id)", "whole_prompts")
-def scalar_strings_whole(spark, d):
-    rows = V.whole_prompts(spark, d).join(V.t(spark, d, "documents").select("doc_id", "lang", "source"), "doc_id")
+    rows = V.prompts(spark, d).join(V.t(spark, d, "documents").select("doc_id", "lang", "source"), "doc_id")
     name = F.concat(F.lit("owner/"), "lang", F.lit("-"), "source", F.lit("-0123"))
     return rows.select("doc_id", X.task_prefix(name).alias("prefix"), X.last_number(F.col("source")).alias("number"), X.url_base64(F.col("name")).alias("url64"), X.html_escape(F.col("prompt")).alias("escaped"), X.safe_name(F.col("prompt")).alias("safe"))
 
@@ -746,6 +777,18 @@ def edit_prompt(spark, d):
     return E.rewrite_prompts(tasks, {"NATION_3": "three", "FRANCE": "la France", "x": ""})
 
 
+@query("SELECT CAST(c_custkey AS BIGINT) AS episode_index, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE concat_ws('|', CASE n_name WHEN 'NATION_3' THEN 'three' ELSE n_name END, CASE c_mktsegment WHEN 'BUILDING' THEN 'build it' ELSE c_mktsegment END) END AS tasks FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def edit_prompt_files(spark, d):
+    """Task texts replaced in the files of a dataset, episodes with their lists of tasks, and read back."""
+    source, target = fresh_path(spark, "dataset"), fresh_path(spark, "edited")
+    V.t(spark, d, "nation").select(F.col("n_nationkey").alias("task_index"), F.col("n_name").alias("task")).coalesce(1).write.parquet(f"{source}/meta/tasks.parquet")
+    named = V.t(spark, d, "customer").join(F.broadcast(V.t(spark, d, "nation").select("n_nationkey", "n_name")), F.col("c_nationkey") == F.col("n_nationkey"))
+    episodes = named.select(F.col("c_custkey").cast("long").alias("episode_index"), F.when(F.col("c_custkey") % 5 > 0, F.array("n_name", "c_mktsegment")).alias("tasks"))
+    episodes.repartition(3, "episode_index").write.parquet(f"{source}/meta/episodes/chunk-000")
+    W.set_prompts(spark, source, target, {"NATION_3": "three", "BUILDING": "build it"})
+    return spark.read.parquet(f"{target}/meta/episodes/chunk-000").select("episode_index", F.array_join("tasks", "|").alias("tasks"))
+
+
 @query("SELECT CAST(dense_rank() OVER (ORDER BY episode) - 1 AS BIGINT) AS episode, frame, task_index, l_suppkey FROM ops WHERE episode % 7 <> 0", "ops")
 def delete_episodes(spark, d):
     gone = ops(spark, d).where("episode % 7 = 0").select("episode").distinct()
@@ -762,17 +805,8 @@ def split_ranges(spark, d):
     return E.split_ranges(ops(spark, d), {"a": [1, 2, 3, 4, 5], "b": [100, 101, 102, 103]})
 
 
-@query("SELECT CAST(episode AS BIGINT) AS episode, frame, CAST(t AS BIGINT) AS task_index FROM (SELECT episode, frame, task_index % 3 AS t FROM ops WHERE episode <= 50 UNION ALL SELECT episode + 1 + (SELECT max(episode) FROM ops WHERE episode <= 50), frame, CASE task_index % 2 WHEN 0 THEN 1 ELSE 3 END FROM ops WHERE episode > 50 AND episode <= 90)", "ops")
-def merge_datasets(spark, d):
-    rows = ops(spark, d).drop("l_suppkey")
-    tasks = lambda names: spark.createDataFrame([(i, n) for i, n in enumerate(names)], "task_index long, task string")
-    one = rows.where("episode <= 50").withColumn("task_index", F.col("task_index") % 3)
-    two = rows.where("episode > 50 and episode <= 90").withColumn("task_index", F.col("task_index") % 2)
-    return E.merge([(one, tasks(["pick", "place", "push"])), (two, tasks(["place", "pull"]))])[0]
-
-
 @query("SELECT CAST(episode AS BIGINT) AS episode, frame, CAST(t AS BIGINT) AS task_index FROM (SELECT episode, frame, task_index % 3 AS t FROM ops, mid WHERE episode < m UNION ALL SELECT episode + coalesce(1 + (SELECT max(episode) FROM ops, mid WHERE episode < m), 0), frame, CASE task_index % 2 WHEN 0 THEN 1 ELSE 3 END FROM ops, mid WHERE episode >= m)", "ops", "mid")
-def merge_datasets_whole(spark, d):
+def merge_datasets(spark, d):
     rows = ops(spark, d).drop("l_suppkey")
     tasks = lambda names: spark.createDataFrame([(i, n) for i, n in enumerate(names)], "task_index long, task string")
     middle = rows.agg(F.expr("cast(min(episode) + (max(episode) - min(episode) + 1) div 2 as long)")).first()[0]

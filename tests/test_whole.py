@@ -13,10 +13,10 @@ def test_prompts_are_whole_texts(spark, tmp_path):
     rows = [(0, long + "and stop_ at once", "en", "src1"), (60, 'Say "yes" & \'no\' to <all>', "en", "src1"), (61, None, "en", "src1"), (62, long, "de", "src2")]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
-    assert {r["doc_id"]: (r["status"], r["message"]) for r in run("check_prompt_whole")} == {0: ("fail", "too many words; illegal characters"), 60: ("warn", "too few words"), 61: ("skip", "no prompt"), 62: ("warn", "too many words")}
-    assert {r["doc_id"]: r["status"] for r in run("run_checks_whole") if r["id"] == "prompt"} == {0: "fail", 60: "warn", 61: "skip", 62: "warn"}
-    assert {r["doc_id"]: (r["n_fail"], r["n_warn"]) for r in run("check_aggregate_whole")} == {0: (1, 0), 60: (0, 1), 61: (0, 0), 62: (0, 1)}
-    strings = {r["doc_id"]: (r["escaped"], r["safe"]) for r in run("scalar_strings_whole")}
+    assert {r["doc_id"]: (r["status"], r["message"]) for r in run("check_prompt")} == {0: ("fail", "too many words; illegal characters"), 60: ("warn", "too few words"), 61: ("skip", "no prompt"), 62: ("warn", "too many words")}
+    assert {r["doc_id"]: r["status"] for r in run("run_checks") if r["id"] == "prompt"} == {0: "fail", 60: "warn", 61: "skip", 62: "warn"}
+    assert {r["doc_id"]: (r["n_fail"], r["n_warn"]) for r in run("check_aggregate")} == {0: (1, 0), 60: (0, 1), 61: (0, 0), 62: (0, 1)}
+    strings = {r["doc_id"]: (r["escaped"], r["safe"]) for r in run("scalar_strings")}
     assert strings[60] == ("Say &quot;yes&quot; &amp; &#x27;no&#x27; to &lt;all&gt;", "Say_yes_no_to_all") and strings[61] == (None, "unknown")
     assert strings[0][0] == long + "and stop_ at once" and strings[62][1] == "_".join(long.split())
 
@@ -31,7 +31,7 @@ def test_merge_offsets_after_a_lone_episode(spark):
 def test_merge_covers_every_row(spark, tmp_path):
     keys = [0, 1, 95, 4000, 9000]
     spark.createDataFrame([(k, n, float(n), 7) for k in keys for n in (1, 2)], "l_orderkey long, l_linenumber int, l_quantity double, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
-    rows = [(r["episode"], r["frame"], r["task_index"]) for r in QUERIES["merge_datasets_whole"](spark, str(tmp_path)).collect()]
+    rows = [(r["episode"], r["frame"], r["task_index"]) for r in QUERIES["merge_datasets"](spark, str(tmp_path)).collect()]
     # below 4500, then from there, after 4000; the second dataset's tasks are place (1) and pull (3)
     assert sorted(rows) == [(k, n, n) for k in keys[:4] for n in (1, 2)] + [(13001, 1, 3), (13001, 2, 1)]
 
@@ -42,7 +42,7 @@ def test_every_line_is_an_issue(spark, tmp_path):
     start = datetime(2026, 1, 1)
     events = [(u * 100 + f, start + timedelta(seconds=f), u, float(f)) for u in (0, 7, 199) for f in range(64)]
     spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
-    got = [(r["issue"], r["episode"], r["frame"]) for r in QUERIES["range_join_window_whole"](spark, str(tmp_path)).collect()]
+    got = [(r["issue"], r["episode"], r["frame"]) for r in QUERIES["range_join_window"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted((f"i{k}", k % 200, f) for k, n, q in lines if k % 200 in (0, 7, 199) for f in range(64) if abs(f - n * q) <= 2)
 
 
@@ -61,7 +61,7 @@ def test_places_without_a_window_over_all(spark):
 def test_every_dataset_has_a_place(spark):
     small = "/root/testdata/sf0.001"
     n = spark.read.parquet(f"{small}/orders.parquet").select("o_custkey").distinct().count()
-    assert n > 50 and sorted(r["place"] for r in QUERIES["table_order_whole"](spark, small).collect()) == list(range(1, n + 1))
+    assert n > 50 and sorted(r["place"] for r in QUERIES["table_order"](spark, small).collect()) == list(range(1, n + 1))
 
 
 def test_episodes_are_numbered_by_ranges(spark):
