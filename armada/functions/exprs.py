@@ -64,6 +64,12 @@ def l2(a: Column, b: Column) -> Column:
     return F.when(n > 0, F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x)))
 
 
+def file_path(uri: Column) -> Column:
+    """The path of a file that Spark gives as a URI (as _metadata.file_path does), as it is written: not encoded, and with one
+    slash after a local scheme."""
+    return F.regexp_replace(F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B"))), "^file:/+", "file:/")
+
+
 def first_number(text: Column, patterns: list[str]) -> Column:
     """The first group of the first pattern that matches, as a number."""
     return F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")).try_cast("double") for p in patterns])

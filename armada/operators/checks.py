@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from armada.functions.exprs import first_number, infer_stream
+
 #: Fixed value: the status of an issue that nobody has reviewed.
 UNCONFIRMED = "未确认"
 
@@ -142,6 +144,30 @@ def review_overlay(issues: DataFrame, reviews: DataFrame) -> DataFrame:
     return out.withColumn("review_status", F.coalesce("_s1", "_s2", F.lit(UNCONFIRMED))).drop("_pos", "_s1", "_s2")
 
 
+#: How a log names an episode, a frame and a time; the first pattern that matches counts.
+LOG_PATTERNS = {
+    "episode": (r"\bepisode[_\s:=#-]*(\d+)", r"\bep[_\s:=#-]*(\d+)"),
+    "frame": (r"\bframe[_\s:=#-]*(\d+)", r"\bframe_index[_\s:=#-]*(\d+)"),
+    "time": (r"\btime(?:stamp)?[_\s:=#-]*([0-9]+(?:\.[0-9]+)?)", r"\bt[_\s:=#-]*([0-9]+(?:\.[0-9]+)?)"),
+}
+
+
+def log_issues(lines: DataFrame, fps: float, margin: float = 1.0) -> DataFrame:
+    """Issues of log lines (file, line_no, line) that mention JPEG: episode, frame, field, start_sec, end_sec, message and file,
+    the first line of each episode, field and file name.
+
+    Path and line together name episode, frame, time and stream, whatever their case.  Without a time, the frame's counts; the
+    window reaches margin seconds to both sides, but not before 0.  Files of the same name in several folders are one, in the
+    order of their paths."""
+    text = F.concat_ws(" ", "file", "line")
+    number = {k: first_number(text, [f"(?i){p}" for p in patterns]) for k, patterns in LOG_PATTERNS.items()}
+    rows = lines.select("file", "line_no", "line", number["episode"].cast("long").alias("episode"), number["frame"].cast("long").alias("frame"), number["time"].alias("_time"), infer_stream(text).alias("field"), F.element_at(F.split("file", "/"), -1).alias("_name"))
+    first = rows.groupBy("episode", "field", "_name").agg(F.min_by(F.struct("file", "line_no", "line", "frame", "_time"), F.struct("file", "line_no")).alias("x")).select("episode", "field", "_name", "x.*")
+    at = F.coalesce("_time", F.col("frame") / fps)
+    said = F.concat(F.lit("JPEG error in the log: "), "_name", F.lit(":"), F.col("line_no").cast("string"), F.lit(" "), F.left(F.trim("line"), F.lit(180)))
+    return first.select("episode", "frame", "field", F.when(at.isNotNull(), F.greatest(F.lit(0.0), at - margin)).alias("start_sec"), (at + margin).alias("end_sec"), said.alias("message"), "file")
+
+
 def text_filter(rows: DataFrame, columns: list[str], query: str) -> DataFrame:
     """Rows whose columns together contain the query, whatever its case."""
     return rows.where(F.contains(F.lower(F.concat_ws(" ", *columns)), F.lit(query.lower())))

@@ -59,7 +59,7 @@ def daily_series(snapshots: DataFrame) -> DataFrame:
 def baseline(snapshots: DataFrame, current: DataFrame) -> DataFrame:
     """For each current snapshot (org, date) the last row of the history with an earlier date of the same org, if any.
     A null org in current matches any, a null org in the history is matched by all."""
-    kept = [c for c in ("pulled_at", "date", "episodes", "hours") if c in snapshots.columns]
+    kept = [c for c in ("pulled_at", "date", "episodes", "hours", "datasets") if c in snapshots.columns]
     days = snapshots.groupBy("org", "date").agg(F.max(F.struct("ord", *kept)).alias("_last"))
     none = F.lit(None).cast(days.schema["_last"].dataType)
     asked = current.select("org", "date").distinct()

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from armada.functions.exprs import finite, l2, mad_limit
+from armada.functions.exprs import component_ordinals, finite, l2, mad_limit
 from armada.operators.order import picked
 
 
@@ -112,6 +112,32 @@ def boundary_outliers(frames: DataFrame, window: int = 10, k: float = 6.0, floor
     return far.join(limits, group).where("distance > threshold").orderBy(F.col("distance").desc())
 
 
+def boundary_issues(frames: DataFrame, fps: float = 30.0, longest: float = 10.0, window: int = 10, k: float = 6.0, floor: float = 0.2, group: str = "dataset") -> DataFrame:
+    """The outliers of both ends of the episodes as issues: group, episode, rule, distance, frame, start_sec, end_sec to 3 places.
+
+    At the start the window is from 0 to the end of the compared frames, at most longest seconds; at the end it is the last longest
+    seconds; frame is the episode's first or last.  Both ends share the frames' partitioning by group and episode.
+    """
+    ends = frames.groupBy(group, "episode").agg(F.min("frame").alias("_first"), F.max("frame").alias("_last"))
+    out = None
+    for rule, end in (("boundary_start", False), ("boundary_end", True)):
+        far = boundary_outliers(frames, window, k, floor, group=group, end=end).join(ends, [group, "episode"])
+        last = F.col("_last") / fps
+        start_sec = F.greatest(F.lit(0.0), last - longest) if end else F.lit(0.0)
+        end_sec = last if end else F.lit(min(longest, window / fps))
+        rows = far.select(group, "episode", F.lit(rule).alias("rule"), "distance", F.col("_last" if end else "_first").alias("frame"), F.bround(start_sec, 3).alias("start_sec"), F.bround(end_sec, 3).alias("end_sec"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def hand_frames(frames: DataFrame, source: str, names: list[str], hands: list[str]) -> DataFrame:
+    """Frames (episode, frame, a vector column source) as tracker frames: episode, frame, hand, x, y, z, a row a hand, by the
+    names of the vector's components; a hand whose components are missing is an error."""
+    at = component_ordinals(names, hands)
+    each = F.array(*[F.struct(F.lit(hand).alias("hand"), *[F.get(F.col(f"`{source}`"), i).cast("double").alias(axis) for axis, i in zip("xyz", places, strict=True)]) for hand, places in at.items()])
+    return frames.select("episode", "frame", F.explode(each).alias("h")).select("episode", "frame", "h.*")
+
+
 def flicker(luma: DataFrame, limit: float = 45.0) -> DataFrame:
     """First sample of each series (episode, frame, v) between a step over limit and one over 0.45 times it."""
     line = by_episode()

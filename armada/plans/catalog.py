@@ -17,9 +17,10 @@ from armada.operators import trajectory as T
 from armada.operators.order import numbered
 from armada.plans import analog as V
 from armada.sources import files as W
+from armada.sources import local_reports as LR
 from armada.sources import reports as R
 from armada.sources import scan as S
-from armada.sources.datasets import latest_reports
+from armada.sources.datasets import latest_reports, log_lines
 from armada.sources.scratch import fresh_path, written
 from armada.streaming import snapshot_log as SL
 from armada.streaming.tracker import track
@@ -91,6 +92,20 @@ def scan_log_lines(spark, d):
     return lines.where(F.col("line").rlike("(?i)th.*tion")).select("doc_id", (F.col("pos") + 1).cast("long").alias("line_no"), "line")
 
 
+@query("SELECT 'own/' || r_name AS dataset_name, CAST(e AS BIGINT) AS total_episodes, CAST(f AS BIGINT) AS total_frames, round(f / fps / 3600, 3) AS duration_hours, array_to_string(t, '|') AS tasks FROM (SELECT n_regionkey AS k, count(*) AS e, sum(c_custkey) AS f, CASE WHEN n_regionkey % 2 = 0 THEN 25.0::DOUBLE ELSE 30.0::DOUBLE END AS fps FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1) JOIN (SELECT n_regionkey AS j, list(n_name ORDER BY n_nationkey) AS t FROM nation GROUP BY 1) ON j = k JOIN region ON r_regionkey = k")
+def local_summaries(spark, d):
+    """A folder of a dataset for each region, its info and its tasks, summed up from these files; half of the infos have no
+    frame rate."""
+    root = fresh_path(spark, "datasets")
+    nations = V.t(spark, d, "nation").join(F.broadcast(V.t(spark, d, "region").select("r_regionkey", "r_name")), F.col("n_regionkey") == F.col("r_regionkey"))
+    for r in V.t(spark, d, "region").select("r_name").collect():  # five rows
+        nations.where(F.col("r_name") == r["r_name"]).select(F.col("n_nationkey").cast("long").alias("task_index"), F.col("n_name").alias("task")).coalesce(1).write.parquet(f"{root}/{r['r_name']}/meta/tasks.parquet")
+    sums = V.t(spark, d, "customer").join(F.broadcast(nations.select("n_nationkey", "r_name", "r_regionkey")), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("r_name", "r_regionkey").agg(F.count(F.lit(1)).alias("total_episodes"), F.sum("c_custkey").alias("total_frames"))
+    info = F.to_json(F.struct("total_episodes", "total_frames", F.when(F.col("r_regionkey") % 2 == 0, 25.0).alias("fps")))
+    W.write_files(sums.select(F.concat("r_name", F.lit("/meta/info.json")).alias("path"), F.concat(info, F.lit("\n")).alias("text")), root)
+    return LR.summaries(spark, root, "own").select("dataset_name", "total_episodes", "total_frames", "duration_hours", F.array_join("tasks.task", "|").alias("tasks"))
+
+
 # --- fleet ---------------------------------------------------------------------------------------------------------
 
 
@@ -505,6 +520,23 @@ def boundary_outliers(spark, d):
     return T.boundary_outliers(rows, 1, 2.0, 0.2).select("dataset", "episode", r6("distance"))
 
 
+@query("SELECT far.label AS dataset, vec_id AS episode, 'boundary_start' AS rule, round(distance, 6) AS distance, CAST(vec_id % 7 AS BIGINT) AS frame, 0.0::DOUBLE AS start_sec, 0.033::DOUBLE AS end_sec FROM far JOIN fl ON far.label = fl.label WHERE distance > threshold UNION ALL SELECT far.label, vec_id, 'boundary_end', round(distance, 6), vec_id % 7, 0.0, round(vec_id % 7 / 30.0::DOUBLE, 3) FROM far JOIN fl ON far.label = fl.label WHERE distance > threshold", "embedded")
+def boundary_issues(spark, d):
+    """Both ends of episodes of one frame each, as issues with their windows."""
+    rows = V.t(spark, d, "embeddings").select(F.col("label").alias("dataset"), F.col("vec_id").alias("episode"), (F.col("vec_id") % 7).alias("frame"), F.col("embedding").alias("vec"))
+    return T.boundary_issues(rows, window=1, k=2.0).select("dataset", "episode", "rule", r6("distance"), "frame", "start_sec", "end_sec")
+
+
+@query("SELECT label AS episode, frame, hand, hits, round(step, 6) AS xyz_step FROM (SELECT *, array_to_string(list_filter([CASE WHEN dx >= 0.3 THEN 'x' END, CASE WHEN dy >= 0.3 THEN 'y' END, CASE WHEN dz >= 0.3 THEN 'z' END], lambda a: a IS NOT NULL), ',') AS hits, sqrt(dx * dx + dy * dy + dz * dz) AS step FROM (SELECT label, hand, frame, abs(x - lag(x) OVER w) AS dx, abs(y - lag(y) OVER w) AS dy, abs(z - lag(z) OVER w) AS dz FROM (SELECT label, hand, row_number() OVER (PARTITION BY label, hand ORDER BY vec_id) AS frame, CAST(embedding[i] AS DOUBLE) AS x, CAST(embedding[i + 1] AS DOUBLE) AS y, CAST(embedding[i + 2] AS DOUBLE) AS z FROM embeddings, (SELECT unnest(['left', 'right']) AS hand, unnest([1, 4]) AS i)) WINDOW w AS (PARTITION BY label, hand ORDER BY frame)) WHERE dx IS NOT NULL) WHERE hits <> '' OR step >= 0.45")
+def hand_jumps(spark, d):
+    """Tracker jumps of both hands from vectors, whose components are found by their names."""
+    place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")).cast("long")
+    rows = V.t(spark, d, "embeddings").select(F.col("label").alias("episode"), place.alias("frame"), F.col("embedding").alias("state"))
+    names = [f"{hand}_tcp.{axis}" for hand in ("left", "right") for axis in "xyz"]
+    jumps = T.tracker_jumps(T.hand_frames(rows, "state", names, ["left", "right"]), dict.fromkeys("xyz", 0.3), 0.45)
+    return jumps.select("episode", "frame", "hand", F.array_join("hits", ",").alias("hits"), r6("xyz_step"))
+
+
 @query("SELECT episode, min(prior) AS frame FROM (SELECT episode, frame - 1 AS prior, step, lag(step) OVER (PARTITION BY episode ORDER BY frame) AS before FROM steps) WHERE before > 45 AND step > 45 * 0.45 GROUP BY 1", "frames", "steps")
 def flicker(spark, d):
     return T.flicker(V.frames(spark, d))
@@ -688,8 +720,7 @@ def report_set(spark, d):
     more = {"end_sec": "double", "frame": "long", "message": "string", "source": "string", "clips": "map<string,string>", "plot": "string"}
     root = fresh_path(spark, "reports")
     R.write_reports(capped.withColumns({c: F.lit(None).cast(t) for c, t in more.items()}), root, "20260101_000000")
-    path = F.regexp_replace("path", "^file:/+", "file:/").alias("report")
-    return R.report_records(spark, root).withColumn("report", F.regexp_replace("report", "^file:/+", "file:/")).join(latest_reports(spark, root).select("dataset", path), "report").select("dataset", "issue_id", "episode", "rule", "severity", "field", "start_sec", "review_status")
+    return R.report_records(spark, root).join(latest_reports(spark, root).select("dataset", F.col("path").alias("report")), "report").select("dataset", "issue_id", "episode", "rule", "severity", "field", "start_sec", "review_status")
 
 
 @query("SELECT CASE WHEN r.name IS NULL OR r.name = c.c_name THEN c.c_name ELSE r.name END AS dataset, '已检查' AS status, '/r/' || CAST(c_custkey AS VARCHAR) AS report_dir, CASE WHEN r.name = c.c_name THEN 't' || CAST(c_custkey % 9 AS VARCHAR) END AS checked_at FROM customer c JOIN (SELECT c_custkey AS k, CASE WHEN c_custkey % 4 = 0 THEN c_name ELSE 'moved-' || CAST(c_custkey AS VARCHAR) END AS name FROM customer WHERE c_custkey % 2 = 0) r ON r.k = c.c_custkey UNION ALL SELECT c_name, '已检查', '/r/' || CAST(c_custkey AS VARCHAR), 't' || CAST(c_custkey % 9 AS VARCHAR) FROM customer WHERE c_custkey % 4 = 2 AND c_custkey % 3 > 0")
@@ -730,6 +761,19 @@ def annotation_coverage(spark, d):
     return each.agg(F.count_if(F.col("n") > 0).alias("with_atoms"), F.count(F.lit(1)).alias("episodes"))
 
 
+V.CTE["logged"] = "logged AS (SELECT user_id AS episode, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS line_no, event_id % 90 AS frame, CASE event_id % 3 WHEN 0 THEN 'left_wrist' WHEN 1 THEN 'right_wrist' END AS field, value > 40 AS bad, event_id % 4 = 0 AS timed FROM events)"
+
+
+@query("SELECT episode, frame, field, greatest(0, tm - 1) AS start_sec, tm + 1 AS end_sec FROM (SELECT *, CASE WHEN timed THEN frame / 8.0::DOUBLE ELSE frame / 30.0::DOUBLE END AS tm FROM logged WHERE bad QUALIFY row_number() OVER (PARTITION BY episode, field ORDER BY line_no) = 1)", "logged")
+def jpeg_log_issues(spark, d):
+    """A log for each user's events, in a folder that names the episode, written and read: of each stream the first bad line."""
+    line = F.concat(F.when(F.col("value") > 40, "bad JPEG").otherwise("fine").alias("x"), F.lit(" at frame "), (F.col("event_id") % 90).cast("string"), F.when(F.col("event_id") % 3 == 0, " of left_wrist").when(F.col("event_id") % 3 == 1, " of right_wrist").otherwise(""), F.when(F.col("event_id") % 4 == 0, F.concat(F.lit(" time="), (F.col("event_id") % 90 / 8.0).cast("string"))).otherwise(""))
+    each = V.t(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", line.alias("line")))).alias("all"))  # one user's events are one log
+    root = fresh_path(spark, "logs")
+    W.write_files(each.select(F.concat(F.lit("episode_"), F.col("user_id").cast("string"), F.lit("/run.log")).alias("path"), F.concat(F.array_join("all.line", "\n"), F.lit("\n")).alias("text")), root)
+    return C.log_issues(log_lines(spark, root), 30.0).select("episode", "frame", "field", "start_sec", "end_sec")
+
+
 @query("SELECT stream, CAST(page_id AS BIGINT) AS page_id, episode FROM (SELECT page_id, TRY_CAST(nullif(regexp_extract(url, '(\\d+)', 1), '') AS DOUBLE) AS episode, CASE WHEN contains(html, 'table') THEN 'table' WHEN contains(html, 'nav') THEN 'nav' END AS stream, row_number() OVER (PARTITION BY regexp_extract(url, '//([^/]+)/', 1), CASE WHEN contains(html, 'table') THEN 'table' WHEN contains(html, 'nav') THEN 'nav' END ORDER BY page_id) AS rn FROM pages) WHERE rn = 1")
 def log_extract(spark, d):
     stream = F.when(F.contains("html", F.lit("table")), "table").when(F.contains("html", F.lit("nav")), "nav")

@@ -5,10 +5,10 @@ from __future__ import annotations
 import re
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from armada.functions.exprs import STREAMS, last_number
+from armada.functions.exprs import STREAMS, file_path, last_number
 
 FEATURES = "map<string,struct<dtype:string,shape:array<int>,names:array<string>>>"
 INFO = f"total_episodes long, total_frames long, fps double, robot_type string, total_tasks long, video_path string, features {FEATURES}"
@@ -227,18 +227,15 @@ def latest_reports(spark: SparkSession, folder: str) -> DataFrame:
     except AnalysisException:  # no report yet
         return spark.createDataFrame([], "dataset string, path string")
     name = F.trim(F.regexp_extract("value", r"\A# Quality report: ([^\n\r]*)", 1))
-    rows = index.select(name.alias("dataset"), F.regexp_replace(F.col("_metadata.file_path"), "/index\\.md$", "").alias("path"), F.col("_metadata.file_modification_time").alias("at"))
+    rows = index.select(name.alias("dataset"), F.regexp_replace(file_path(F.col("_metadata.file_path")), "/index\\.md$", "").alias("path"), F.col("_metadata.file_modification_time").alias("at"))
     return rows.where("dataset <> ''").groupBy("dataset").agg(F.max_by("path", F.struct("at", "path")).alias("path"))
 
 
 def log_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines of all logs below a folder that mention JPEG, with their file; hidden caches are left out."""
+    """file, line_no (from 1) and line of all logs below a folder that mention JPEG; hidden caches are left out."""
     df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*{.log,log*.txt,log*.json}").text(folder)
-    df = df.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
-    return df.where(~F.col("file").contains("/.cache/") & F.col("line").rlike("(?i)jpe?g"))
-
-
-def write_issues(issues: DataFrame, path: str) -> None:
-    """Issues as JSON in a folder an episode, and as CSV with a header."""
-    issues.write.mode("overwrite").partitionBy("episode").json(f"{path}/issues")
-    issues.write.mode("overwrite").option("header", True).csv(f"{path}/issues_csv")
+    # a file's lines come in splits, which know where they begin
+    df = df.select(file_path(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_block_start").alias("_from"), F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line"))
+    line = Window.partitionBy("file").orderBy("_from", "_id")
+    df = df.where(~F.col("file").contains("/.cache/")).withColumn("line_no", F.row_number().over(line).cast("long"))
+    return df.where(F.col("line").rlike("(?i)jpe?g")).select("file", "line_no", "line")

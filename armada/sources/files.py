@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from armada.functions.exprs import replaced_text
+from armada.functions.exprs import file_path, replaced_text
 from armada.operators.edit import rewrite_prompts
 
 
@@ -64,7 +64,7 @@ def rewrite_tables(spark: SparkSession, source: str, target: str, columns: dict[
     if fs.getFileStatus(path(source)).isFile():
         base, target = base.rsplit("/", 1)[0], target.rstrip("/").rsplit("/", 1)[0]
     # what comes after the folder's own path, whatever stands before it
-    inside = F.substring_index(F.col("_metadata.file_path"), f"{base}/", -1)
+    inside = F.substring_index(file_path(F.col("_metadata.file_path")), f"{base}/", -1)
     kinds = {f.name: f.dataType for f in df.schema}
     # a condition that always holds and isn't known to: else Spark would write a column as required where it sees no nulls
     loose = lambda x: F.when(F.col("_metadata.row_index") >= 0, x)

@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from armada.functions.exprs import html_escape, issue_id, safe_name
+from armada.functions.exprs import file_path, html_escape, issue_id, safe_name
 from armada.operators.checks import UNCONFIRMED
 from armada.sources.files import write_files
 
@@ -107,7 +107,7 @@ def report_records(spark: SparkSession, folder: str) -> DataFrame:
         text = spark.read.text(f"{folder}/*/*/issues.json", wholetext=True)
     except AnalysisException:  # no report yet
         return spark.createDataFrame([], "report string, position int").select("*", F.from_json(F.lit("{}"), RECORD).alias("x")).select("report", "position", "x.*")
-    report = lambda: F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")
+    report = lambda: F.regexp_replace(file_path(F.col("_metadata.file_path")), "/[^/]*$", "")
     rows = text.select(report().alias("report"), F.posexplode(F.from_json("value", f"array<{RECORD}>")).alias("place", "x")).select("report", (F.col("place") + 1).alias("position"), "x.*")
     try:
         found = spark.read.text(f"{folder}/*/*/review_status.json", wholetext=True).select(report().alias("report"), F.explode(F.from_json("value", REVIEW)).alias("key", "s"))

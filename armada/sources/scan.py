@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType
 
-from armada.functions.exprs import flat_vector, last_number
+from armada.functions.exprs import file_path, flat_vector, last_number
 from armada.sources.scratch import written
 
 #: The columns of a frame table that hold vectors.
@@ -33,11 +33,12 @@ def data_files(spark: SparkSession, root: str) -> DataFrame:
     names = files._jdf.inputFiles()
     if len(names) == files.count():
         return files
-    return files.unionByName(spark.createDataFrame([(n,) for n in names], "path string")).select(plain("path").alias("path")).distinct()
+    every = spark.createDataFrame([(n,) for n in names], "path string").select(file_path(F.col("path")).alias("path"))
+    return files.select(plain("path").alias("path")).unionByName(every).distinct()
 
 
 def plain(path: str) -> Column:
-    """Paths are written with one slash or three after the scheme."""
+    """Local paths are written with one slash or three after the scheme."""
     return F.regexp_replace(path, "^file:/+", "file:/")
 
 
@@ -98,11 +99,11 @@ def scan(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
             raise
         df = spark.createDataFrame([], "episode_index long").withColumn("_metadata", F.struct(F.lit("").alias("file_path"), F.lit(0).cast("long").alias("row_index")))
     kinds = {c: df.schema[c].dataType for c in VECTORS if c in df.columns}
-    file = F.col("_metadata.file_path")
+    file = file_path(F.col("_metadata.file_path"))
     held = lambda c: F.count(F.col(f"`{c}`")) if c in df.columns else F.lit(0).cast("long")
     promised = df.groupBy(file.alias("path")).agg(F.count(F.lit(1)).alias("promised"))
     read = df.groupBy(file.alias("path")).agg(F.count(F.lit(1)).alias("read"), held("episode_index").alias("episodes"), held("frame_index").alias("frames"), sum((held(c) for c in kinds), F.lit(0).cast("long")).alias("vectors"))
-    files = listed.select(plain("path").alias("path"), F.col("path").alias("listed")).join(promised.withColumn("path", plain("path")), "path", "left").join(read.withColumn("path", plain("path")), "path", "left")
+    files = listed.select(plain("path").alias("path"), F.col("path").alias("listed")).join(promised, "path", "left").join(read, "path", "left")
     files = written(files, "files")
     silent = [r["listed"] for r in files.where("promised is null").select("listed").collect()]
     broken = why_unreadable(spark, silent).unionByName(files.where("promised is not null and (read is null or read < promised)").select(F.col("listed").alias("path"), F.format_string("only %d of %d rows can be read", F.coalesce("read", F.lit(0)), F.col("promised")).alias("message")))
@@ -113,7 +114,7 @@ def scan(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     place = F.coalesce(F.col("frame_index").cast("long"), F.col("_metadata.row_index")) if "frame_index" in df.columns else F.col("_metadata.row_index")
     vectors = [flat_vector(F.col(f"`{c}`"), depth(kind)).alias(c) for c, kind in kinds.items()]
     rows = df.select(file.alias("file"), number.alias("_number"), place.alias("frame"), *vectors)
-    rows = rows.join(good, plain("file") == F.col("_path"))
+    rows = rows.join(good, F.col("file") == F.col("_path"))
     episode = F.when(F.col("_numbered"), F.col("_number")).otherwise(last_number(stem(F.col("file"))))
     return rows.select("file", episode.alias("episode"), "frame", *[f"`{c}`" for c in kinds]).where("episode is not null"), issues
 
@@ -146,6 +147,6 @@ def read_first_episodes(spark: SparkSession, root: str, n: int, template: str =
     if not files:
         raise ValueError(f"no file below {root} belongs to an episode")
     df = spark.read.option("recursiveFileLookup", True).option("mergeSchema", True).parquet(*files)
-    own = F.col("episode_index").cast("long") if "episode_index" in df.columns else last_number(stem(F.col("_metadata.file_path")))
+    own = F.col("episode_index").cast("long") if "episode_index" in df.columns else last_number(stem(file_path(F.col("_metadata.file_path"))))
     # a file holds several episodes, of which the first n are wanted
     return df.withColumn("episode", own).where(F.col("episode").between(min(episodes), max(episodes)))

@@ -7,12 +7,16 @@ rewrites the folders of the days it changes and no others, and gives the same fo
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from armada.operators.changelog import changes_of, effective
+from armada.operators.fleet import HOURS, aggregate_deltas, baseline
+from armada.sources.datasets import SNAPSHOT
 from armada.sources.scratch import written
 
 TOTALS = "pulled_at string, source string, total_datasets long, total_episodes long, total_frames long, total_hours double, org string, date string"
@@ -56,6 +60,42 @@ def merge(snapshots: DataFrame, log: str) -> None:
         rows.select(*columns).repartition("org", "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("org", "date").parquet(f"{log}/{name}")
 
 
+def manual_snapshot(spark: SparkSession, date: str, org: str, datasets: int, episodes: int, frames: int, hours: float, today: dt.date | None = None) -> DataFrame:
+    """A snapshot of totals alone that was entered by hand, for merge: it stands from the end of its day, until a real one of the
+    same day comes.  A day that isn't YYMMDD or lies in the future, an empty organisation, and totals that aren't whole (hours:
+    any) numbers from 0 are errors."""
+    try:
+        day = dt.datetime.strptime(date, "%y%m%d").date()
+    except (TypeError, ValueError) as e:
+        raise ValueError(f"{date!r} is no day in the form YYMMDD") from e
+    if day > (today or dt.date.today()):
+        raise ValueError(f"{date} is in the future")
+    if not isinstance(org, str) or not org.strip():
+        raise ValueError("the organisation is empty")
+    for name, value in (("datasets", datasets), ("episodes", episodes), ("frames", frames)):
+        if isinstance(value, bool) or not isinstance(value, int) or value < 0:
+            raise ValueError(f"{name} is no whole number from 0: {value!r}")
+    if isinstance(hours, bool) or not isinstance(hours, (int, float)) or not hours >= 0:
+        raise ValueError(f"hours is no number from 0: {hours!r}")
+    at = f"{day:%Y-%m-%d}T23:59:59"
+    return spark.createDataFrame([(at, date, org.strip(), datasets, episodes, frames, round(float(hours), 3), "manual", [], "manual")], f"{SNAPSHOT}, seq string")
+
+
+def totals_of_day(current: DataFrame, snapshots: DataFrame, grown: DataFrame) -> DataFrame:
+    """hours, episodes and datasets that came on each current snapshot's day (org, date, source and totals hours, episodes,
+    datasets): of a manual one the difference to its baseline among snapshots, datasets not below 0; of a real one the sums of
+    grown (org, date, hours, episodes, datasets), what its datasets grew by, 0 without any."""
+    manual = F.coalesce(F.col("source") == "manual", F.lit(False))
+    base = aggregate_deltas(current.where(manual), snapshots).select("org", "date", F.col("d_hours").alias("hours"), F.col("d_episodes").alias("episodes"))
+    sets = baseline(snapshots.select("org", "date", "pulled_at", "ord", "datasets"), current.where(manual).select("org", "date")).select(F.col("org").alias("_org"), F.col("date").alias("_date"), "base_datasets")
+    now = current.where(manual).select(F.col("org").alias("_o"), F.col("date").alias("_d"), F.col("datasets").alias("_n"))
+    by_hand = base.join(sets, F.col("org").eqNullSafe(F.col("_org")) & (F.col("date") == F.col("_date"))).join(now, F.col("org").eqNullSafe(F.col("_o")) & (F.col("date") == F.col("_d")))
+    by_hand = by_hand.select("org", "date", "hours", "episodes", F.greatest(F.lit(0), F.coalesce("_n", F.lit(0)) - F.coalesce("base_datasets", F.lit(0))).cast("long").alias("datasets"))
+    summed = grown.groupBy("org", "date").agg(F.sum("hours").cast(HOURS).alias("hours"), F.sum("episodes").alias("episodes"), F.sum("datasets").alias("datasets"))
+    real = current.where(~manual).select("org", "date").join(summed, ["org", "date"], "left").select("org", "date", F.coalesce("hours", F.lit(0).cast(HOURS)).cast(HOURS).alias("hours"), F.coalesce("episodes", F.lit(0)).alias("episodes"), F.coalesce("datasets", F.lit(0)).alias("datasets"))
+    return by_hand.unionByName(real)
+
+
 def merge_stream(stream: DataFrame, log: str, checkpoint: str) -> StreamingQuery:
     """merge for every batch of a stream of snapshots, until all that is there has been read."""
     return stream.writeStream.foreachBatch(lambda batch, _: merge(batch, log)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -78,7 +78,7 @@ def test_prompts_are_rewritten_file_by_file(spark, tmp_path):
     put(source / "meta/tasks.parquet", task_index=pa.array([0, 1, 2], pa.int32()), task=["pick", "place", None], weight=pa.array([0.5, 1.5, 2.5], pa.float32()))
     for chunk in range(2):
         for i in range(3):
-            put(source / f"meta/episodes/chunk-{chunk:03d}/file-{i:03d}.parquet", episode_index=pa.array([9 - i, 3, 5], pa.int64()), tasks=pa.array([["pick", "place"], None, ["other", None]], pa.list_(pa.string())), length=pa.array([1, None, 3], pa.int16()), stats=pa.array([{"mean": [1.0]}] * 3, pa.struct([("mean", pa.list_(pa.float64()))])))
+            put(source / f"meta/episodes/chunk {chunk:03d}+/file-{i:03d}.parquet", episode_index=pa.array([9 - i, 3, 5], pa.int64()), tasks=pa.array([["pick", "place"], None, ["other", None]], pa.list_(pa.string())), length=pa.array([1, None, 3], pa.int16()), stats=pa.array([{"mean": [1.0]}] * 3, pa.struct([("mean", pa.list_(pa.float64()))])))
     assert W.set_prompts(spark, str(source), str(target), {"pick": "take", "place": "", "same": "same"}) == 1
     names = lambda root: sorted(str(p.relative_to(root)) for p in root.rglob("*.parquet"))
     assert names(source) == names(target) and len(names(target)) == 7

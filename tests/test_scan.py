@@ -17,7 +17,7 @@ def folder(tmp_path):
     data = tmp_path / "set/data/chunk-000"
     vectors = lambda n: pa.array([[float(i), None] for i in range(n)], pa.list_(pa.float32()))
     put(data / "file-000.parquet", episode_index=[0, 0, None], frame_index=[5, 6, 7], **{"observation.state": vectors(3)})
-    put(data / "episode_07.parquet", timestamp=[0.0, 0.1], action=pa.array([[[1.0], [2.0]], None], pa.list_(pa.list_(pa.float64()))))
+    put(data / "a +b%20 ü" / "episode_07.parquet", timestamp=[0.0, 0.1], action=pa.array([[[1.0], [2.0]], None], pa.list_(pa.list_(pa.float64()))))
     put(data / "file-001.parquet", episode_index=[3, 3], timestamp=[0.0, 0.1])  # no vectors
     put(data / "no_number.parquet", action=pa.array([[[1.0]]], pa.list_(pa.list_(pa.float64()))))
     put(data / "file-002.parquet", episode_index=pa.array([], pa.int64()), frame_index=pa.array([], pa.int64()))  # empty, but sound
