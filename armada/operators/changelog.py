@@ -68,6 +68,37 @@ def migrate(legacy: DataFrame, log: DataFrame) -> DataFrame:
     return latest_per(every, ["org", "date"], "detailed", "pulled_at", "seq")
 
 
+#: The names under which commits carry their time and id; the first that is there counts.
+COMMIT_TIME = ("created_at", "createdAt", "date")
+COMMIT_ID = ("commit_id", "commitId", "oid", "id")
+
+
+def commit_rows(commits: DataFrame) -> DataFrame:
+    """commits with created_at and commit_id as text, from the first of their names that a row has a value under; nothing is an
+    empty text.  The columns they come from are gone."""
+    first = lambda names: F.coalesce(*[F.nullif(F.col(n).cast("string"), F.lit("")) for n in names if n in commits.columns], F.lit(""))
+    own = {"created_at": first(COMMIT_TIME), "commit_id": first(COMMIT_ID)}
+    rest = [c for c in commits.columns if c not in (*COMMIT_TIME, *COMMIT_ID)]
+    return commits.select(*rest, *[v.alias(k) for k, v in own.items()])
+
+
+def change_metadata(datasets: DataFrame) -> DataFrame:
+    """What a change keeps of its dataset's snapshot: dataset, uploader, robot_type, total_tasks and last_modified."""
+    return datasets.select(F.col("dataset_name").alias("dataset"), "uploader", "robot_type", "total_tasks", "last_modified")
+
+
+def uncovered(legacy: DataFrame, log: DataFrame) -> DataFrame:
+    """The days (org, date) of an old history that the log doesn't cover: it lacks them, has an older snapshot, or a manual one
+    where the history has details.  Both have org, date, pulled_at, seq and detailed; without such days there is nothing to
+    migrate."""
+    newest = latest_per(log, ["org", "date"], "pulled_at", "seq").select(F.col("org").alias("_org"), F.col("date").alias("_date"), F.col("pulled_at").alias("_at"), F.col("detailed").alias("_detailed"))
+    best = latest_per(legacy, ["org", "date"], "detailed", "pulled_at", "seq")
+    same = F.col("org").eqNullSafe(F.col("_org")) & F.col("date").eqNullSafe(F.col("_date"))
+    older = F.coalesce("_at", F.lit("")) < F.coalesce("pulled_at", F.lit(""))
+    met = best.join(newest, same, "left")
+    return met.where(F.col("_detailed").isNull() | (F.col("detailed") & ~F.col("_detailed")) | older).select("org", "date")
+
+
 def commit_growth(commits: DataFrame) -> DataFrame:
     """Growth of each repository between consecutive commits (dataset, created_at, commit_id, episodes, hours): rows with a
     positive delta, negative parts clamped at zero."""

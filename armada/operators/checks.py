@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from armada.functions.exprs import first_number, infer_stream
+from armada.functions.exprs import first_number, infer_stream, is_event_style, style_label, style_place
 
 #: Fixed value: the status of an issue that nobody has reviewed.
 UNCONFIRMED = "未确认"
@@ -108,8 +108,18 @@ def integrity_issues(info: DataFrame) -> DataFrame:
 
 def run_checks(rows: DataFrame, key: str, providers: tuple[str, ...] = ("metadata",), cfg: dict | None = None) -> DataFrame:
     """Long form of all checks of the providers: key, id, status, message.  One pass; a check that a row's data can't answer
-    is skipped by its own expression."""
-    chosen = [(i, make(cfg or {})) for i, (_, provider, make) in REGISTRY.items() if provider in providers]
+    is skipped by its own expression, and one that fails as such, by its settings or for want of a column, is skipped for all
+    rows with what is wrong."""
+    chosen = []
+    for i, (_, provider, make) in REGISTRY.items():
+        if provider not in providers:
+            continue
+        try:
+            found = make(cfg or {})
+            rows.select(found["status"], found["message"])  # only analysed
+        except Exception as e:  # whatever a check does wrong, the others go on
+            found = verdict(F.lit("skip"), F.lit(str(e).split("\n")[0]))
+        chosen.append((i, found))
     every = F.array(*[F.struct(F.lit(i).alias("id"), x["status"].alias("status"), x["message"].alias("message")) for i, x in chosen])
     return rows.select(key, F.explode(every).alias("x")).select(key, "x.*")
 
@@ -168,9 +178,16 @@ def log_issues(lines: DataFrame, fps: float, margin: float = 1.0) -> DataFrame:
     return first.select("episode", "frame", "field", F.when(at.isNotNull(), F.greatest(F.lit(0.0), at - margin)).alias("start_sec"), (at + margin).alias("end_sec"), said.alias("message"), "file")
 
 
-def text_filter(rows: DataFrame, columns: list[str], query: str) -> DataFrame:
-    """Rows whose columns together contain the query, whatever its case."""
-    return rows.where(F.contains(F.lower(F.concat_ws(" ", *columns)), F.lit(query.lower())))
+def actionable(issues: DataFrame) -> DataFrame:
+    """Issues that someone has to look at: warnings and failures."""
+    return issues.where(F.col("severity").isin("warn", "fail"))
+
+
+def text_filter(rows: DataFrame, columns: list[str], query: str, issues: str | None = None) -> DataFrame:
+    """Rows whose columns together contain the query, whatever its case; with issues, a column that counts them, only rows that
+    have any."""
+    out = rows.where(F.contains(F.lower(F.concat_ws(" ", *columns)), F.lit(query.lower())))
+    return out if issues is None else out.where(F.col(issues) > 0)
 
 
 def edit_filter(rows: DataFrame, columns: list[str], query: str, downloaded: DataFrame | None = None, key: str = "dataset") -> DataFrame:
@@ -180,3 +197,10 @@ def edit_filter(rows: DataFrame, columns: list[str], query: str, downloaded: Dat
         return out
     leaf = F.element_at(F.split(F.col(key), "/"), -1)
     return out.withColumn("_leaf", leaf).join(downloaded.select(F.col("leaf").alias("_leaf")), "_leaf", "left_semi").drop("_leaf")
+
+
+def style_groups(atoms: DataFrame) -> DataFrame:
+    """style, label, place, event, atoms and episodes: annotation atoms (episode, style) by style, in the order of the styles,
+    speech (atoms without one) after the known and before unknown ones, these by name."""
+    counted = atoms.groupBy("style").agg(F.count(F.lit(1)).alias("atoms"), F.countDistinct("episode").alias("episodes"))
+    return counted.select("style", style_label(F.col("style")).alias("label"), style_place(F.col("style")).alias("place"), is_event_style(F.col("style")).alias("event"), "atoms", "episodes").orderBy("place", "style")

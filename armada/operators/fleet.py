@@ -118,16 +118,23 @@ def group_growth(rows: DataFrame) -> DataFrame:
     rows = rows.withColumns({"hours": F.greatest(F.lit(0).cast(HOURS), F.col("hours")), "episodes": F.greatest(F.lit(0), F.col("episodes"))})
     grew = (F.col("hours") > 0) | (F.col("episodes") > 0)
     rows = rows.where((grew | (F.col("frames") > 0)) if "frames" in rows.columns else grew)
-    return rows.groupBy("date", or_dash(F.col("group")).alias("group")).agg(F.sum("hours").cast(HOURS).alias("hours"), F.sum("episodes").alias("episodes"), F.count(F.lit(1)).alias("datasets"))
+    grown = rows.groupBy("date", or_dash(F.col("group")).alias("group")).agg(F.sum("hours").cast(HOURS).alias("hours"), F.sum("episodes").alias("episodes"), F.count(F.lit(1)).alias("datasets"))
+    return grown.orderBy("date", F.col("hours").desc(), "group")
 
 
-def daily_group_growth(details: DataFrame) -> DataFrame:
+def daily_group_growth(details: DataFrame, reports: DataFrame | None = None) -> DataFrame:
     """Growth by day and group from per-day details (date, dataset, group, episodes, hours), each day against the recorded
-    day before it; on the first day everything is growth."""
-    days = details.select("date").distinct()
-    order = days.withColumn("day", F.dense_rank().over(Window.orderBy("date")))  # one row a day
-    now = details.join(F.broadcast(order), "date")
-    before = now.select("dataset", (F.col("day") + 1).alias("day"), F.col("episodes").alias("_e"), F.col("hours").alias("_h"))
+    day before it; on the first day everything is growth.
+
+    reports (date) names further days that were recorded, without details: the day after one of them is left out, as its growth
+    can't be attributed."""
+    detailed = details.select("date", F.lit(True).alias("_detailed"))
+    days = detailed if reports is None else detailed.unionByName(reports.select("date", F.lit(False).alias("_detailed")))
+    line = Window.orderBy("date")
+    order = days.where("date is not null").groupBy("date").agg(F.bool_or("_detailed").alias("_detailed"))  # one row a day
+    order = order.withColumns({"day": F.row_number().over(line), "_after": F.coalesce(F.lag("_detailed").over(line), F.lit(True))})
+    now = details.join(F.broadcast(order.where("_after").select("date", "day")), "date")
+    before = details.join(F.broadcast(order.select("date", "day")), "date").select("dataset", (F.col("day") + 1).alias("day"), F.col("episodes").alias("_e"), F.col("hours").alias("_h"))
     grown = now.join(before, ["dataset", "day"], "left")
     grown = grown.withColumns({"episodes": F.greatest(F.lit(0), F.col("episodes") - or_zero(F.col("_e"))), "hours": F.greatest(F.lit(0).cast(HOURS), F.col("hours") - or_zero(F.col("_h")))})
     return group_growth(grown)
@@ -149,6 +156,30 @@ def as_of(changes: DataFrame, targets: DataFrame) -> DataFrame:
     return seen.where("side = 1").select("dataset", F.col("t").alias("at"), F.col("last_episodes").alias("episodes"), F.col("last_at").alias("changed_at"))
 
 
+def with_metadata(states: DataFrame, metadata: DataFrame) -> DataFrame:
+    """States as as_of gives them with the datasets' metadata (dataset and what is known of it now, not then)."""
+    return states.join(metadata, "dataset", "left")
+
+
+def date_bounds(*sources: DataFrame) -> DataFrame:
+    """One row, lo and hi: the first and last date of all sources (date); empty dates don't count, without any both are null."""
+    every = None
+    for s in sources:
+        dates = s.select("date").where("date <> ''")
+        every = dates if every is None else every.unionByName(dates)
+    return every.agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
+
+
+def trend_axis(series: DataFrame, lo: str = "", hi: str = "") -> DataFrame:
+    """One row for a chart of series (date, new_hours, total_hours): lo and hi, the bounds asked for or else those of the dates,
+    and dual, whether totals need an axis of their own, being at least four times the new hours where both are above 0."""
+    known = lambda asked, found: F.coalesce(F.nullif(F.lit(asked), F.lit("")), found)
+    most = lambda c: F.coalesce(F.max(c).cast("double"), F.lit(0.0))
+    dated = F.nullif("date", F.lit(""))
+    dual = (most("new_hours") > 0) & (most("total_hours") > 0) & (most("total_hours") >= 4 * most("new_hours"))
+    return series.agg(known(lo, F.min(dated)).alias("lo"), known(hi, F.max(dated)).alias("hi"), dual.alias("dual"))
+
+
 def trend_spine(days: DataFrame, lo: str, hi: str) -> DataFrame:
     """Every calendar day from lo to hi (yyyy-MM-dd) with its hours (0 where there are none) and their running sum."""
     spine = days.sparkSession.range(1).select(F.explode(F.sequence(F.to_date(F.lit(lo)), F.to_date(F.lit(hi)))).alias("day"))

@@ -82,6 +82,11 @@ def tracker_jumps(frames: DataFrame, axis_limits: dict[str, float], norm_limit:
     return out.withColumn("xyz_hit", F.col("xyz_step") >= norm_limit).where((F.size("hits") > 0) | F.col("xyz_hit"))
 
 
+def first_events(events: DataFrame, most: int = 1000) -> DataFrame:
+    """The first events in the order of episode, frame and hand, as many as a report details; counts cover all of them."""
+    return events.orderBy("episode", "frame", "hand").limit(most)
+
+
 def mean_vector(vectors: Column) -> Column:
     """Component-wise mean of an array of vectors over their common prefix; null where there is none."""
     kept = F.filter(F.transform(vectors, finite), lambda v: v.isNotNull())
@@ -241,6 +246,17 @@ def speed_variation(frames: DataFrame) -> DataFrame:
     return steps(frames).where("step is not null").groupBy("episode").agg(F.try_divide(F.stddev_pop("step"), F.avg("step")).alias("cv"))
 
 
+def smoothness(frames: DataFrame, jerky: float = 1.0, moderate: float = 0.5, least_move: float = 0.05) -> DataFrame:
+    """episode, jerk, move, verdict and low of each episode: jerk is the mean change between consecutive steps against the mean
+    step, move the mean step; at jerky and moderate the verdict turns from smooth to moderate to jerky; low: hardly any movement.
+    The limits are settings, as no fixed ones are known.  Episodes with fewer than two steps give no row."""
+    moved = steps(frames).withColumn("_turn", F.abs(F.col("step") - F.lag("step").over(by_episode())))
+    each = moved.groupBy("episode").agg(F.avg("_turn").alias("_turn"), F.avg("step").alias("move")).where("_turn is not null")
+    jerk = F.coalesce(F.try_divide("_turn", "move"), F.lit(0.0))
+    verdict = F.when(F.col("jerk") >= jerky, "jerky").when(F.col("jerk") >= moderate, "moderate").otherwise("smooth")
+    return each.select("episode", jerk.alias("jerk"), "move").select("episode", "jerk", "move", verdict.alias("verdict"), (F.col("move") < least_move).alias("low"))
+
+
 def windows_on_frames(issues: DataFrame, frames: DataFrame) -> DataFrame:
     """Frames inside each issue's window: a range join within the episode."""
     on = (F.col("i.episode") == F.col("f.episode")) & F.col("f.frame").between(F.col("i.f_lo"), F.col("i.f_hi"))

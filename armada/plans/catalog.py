@@ -262,6 +262,14 @@ def daily_group_growth(spark, d):
     return A.daily_group_growth(details(spark, d))
 
 
+@query("SELECT a.date, a.\"group\", CAST(sum(greatest(0, a.hours - coalesce(b.hours, 0))) AS DECIMAL(18,2)) AS hours, CAST(sum(greatest(0, a.episodes - coalesce(b.episodes, 0))) AS BIGINT) AS episodes, CAST(count(*) AS BIGINT) AS datasets FROM (SELECT * FROM details WHERE date NOT IN ('1997', '1998')) a LEFT JOIN (SELECT * FROM details WHERE date <> '1997') b ON a.dataset = b.dataset AND CAST(b.date AS INT) = CAST(a.date AS INT) - 1 WHERE a.hours > coalesce(b.hours, 0) OR a.episodes > coalesce(b.episodes, 0) GROUP BY 1, 2", *CHANGES, "details")
+def growth_past_bare_reports(spark, d):
+    """Growth by year where 1997 was recorded without details, so that 1998 can't be attributed."""
+    rows = details(spark, d)
+    bare = rows.where("date = '1997'").select("date").distinct()
+    return A.daily_group_growth(rows.where("date <> '1997'"), bare)
+
+
 @query("SELECT dataset, commit_id, changed_at, h AS hours FROM changes", *CHANGES)
 def change_rows(spark, d):
     return V.changes(spark, d).select("dataset", "commit_id", "changed_at", F.col("h").alias("hours"))
@@ -286,6 +294,28 @@ def asof_state(spark, d):
     return A.as_of(V.changes(spark, d).groupBy("dataset", "changed_at").agg(F.max("episodes").alias("episodes")), targets)
 
 
+@query("SELECT t.dataset, t.at, c.episodes, s.uploader, s.last_modified FROM (SELECT c_name AS dataset, y AS at FROM customer, (SELECT unnest(['1997-06-30', '2001-03-01']) AS y)) t ASOF LEFT JOIN (SELECT dataset, changed_at, max(episodes) AS episodes FROM changes GROUP BY 1, 2) c ON t.dataset = c.dataset AND t.at >= c.changed_at LEFT JOIN datasets s ON s.dataset = t.dataset", "orders2", "datasets", "changes")
+def asof_with_metadata(spark, d):
+    targets = V.t(spark, d, "customer").select(F.col("c_name").alias("dataset"), F.explode(F.array(F.lit("1997-06-30"), F.lit("2001-03-01"))).alias("at"))
+    states = A.as_of(V.changes(spark, d).groupBy("dataset", "changed_at").agg(F.max("episodes").alias("episodes")), targets)
+    return A.with_metadata(states.drop("changed_at"), V.datasets(spark, d).select("dataset", "uploader", "last_modified"))
+
+
+@query("SELECT min(x) AS lo, max(x) AS hi FROM (SELECT substr(changed_at, 1, 7) AS x FROM changes UNION ALL SELECT date FROM snaps UNION ALL SELECT strftime(ts, '%Y-%m') FROM events)", "orders2", "changes", "snapshots")
+def rollup_bounds(spark, d):
+    """The first and last month of three sources."""
+    return A.date_bounds(V.changes(spark, d).select(F.substring("changed_at", 1, 7).alias("date")), V.snapshots(spark, d), V.t(spark, d, "events").select(F.date_format("ts", "yyyy-MM").alias("date")))
+
+
+@query("SELECT org, min(date) AS lo, max(date) AS hi, max(greatest(new, 0)) > 0 AND max(hours) > 0 AND max(hours) >= 4 * max(new) AS dual FROM (SELECT org, date, hours, hours - coalesce(lag(hours) OVER (PARTITION BY org ORDER BY date), 0) AS new FROM snaps) WHERE org = (SELECT min(org) FROM snaps) GROUP BY 1", *SNAPS)
+def trend_axis(spark, d):
+    """Bounds and axes of the trend of the first organisation."""
+    series = A.daily_series(V.snapshots(spark, d))
+    org = series.agg(F.min("org")).first()[0]
+    rows = series.where(F.col("org") == org).select("date", F.col("new_hours"), F.col("hours").alias("total_hours"))
+    return A.trend_axis(rows).select(F.lit(org).alias("org"), "lo", "hi", "dual")
+
+
 @query("SELECT CAST(day AS DATE) AS day, hours, CAST(sum(hours) OVER (ORDER BY day) AS DECIMAL(28,2)) AS total FROM (SELECT CAST(s.g AS DATE) AS day, CAST(coalesce(o.h, 0) AS DECIMAL(18,2)) AS hours FROM (SELECT unnest(generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '1996-12-31', INTERVAL 1 DAY)) AS g) s LEFT JOIN (SELECT day, sum(hours) AS h FROM orders2 GROUP BY 1) o ON strftime(s.g, '%Y-%m-%d') = o.day)", "orders2")
 def trend_spine(spark, d):
     return A.trend_spine(V.orders2(spark, d).select(F.to_date("day").alias("day"), "hours"), "1995-01-01", "1996-12-31")
@@ -343,6 +373,22 @@ def history_union_dedupe(spark, d):
     return L.union_history([log, s.select("pulled_at", "org", (F.col("episodes") + 1).alias("episodes"), F.lit("b").alias("src"))])
 
 
+@query("SELECT o_custkey AS customer, CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN o_orderkey % 3 = 1 THEN strftime(o_orderdate, '%Y/%m/%d') ELSE '' END AS created_at, CASE WHEN o_orderkey % 2 = 0 THEN 'a' ELSE 'b' END || CAST(o_orderkey AS VARCHAR) AS commit_id FROM orders")
+def commit_fields(spark, d):
+    """Commits that carry their time and id under different names."""
+    key = F.col("o_orderkey")
+    named = V.t(spark, d, "orders").select(F.col("o_custkey").alias("customer"), F.when(key % 3 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("created_at"), F.when(key % 3 == 1, F.date_format("o_orderdate", "yyyy/MM/dd")).alias("date"), F.when(key % 2 == 0, F.concat(F.lit("a"), key.cast("string"))).alias("commitId"), F.concat(F.lit("b"), key.cast("string")).alias("oid"))
+    return L.commit_rows(named)
+
+
+@query("SELECT org, date FROM (SELECT org, substr(date, 1, 4) AS date, max(pulled_at) AS at FROM snaps GROUP BY 1, 2) WHERE CAST(date AS INT) % 2 = 1 OR CAST(date AS INT) % 3 = 0", *SNAPS)
+def uncovered_days(spark, d):
+    """Years of an old history against a log that lacks the odd ones and has only a manual snapshot for every third."""
+    rows = V.snapshots(spark, d).select("org", F.substring("date", 1, 4).alias("date"), "pulled_at", F.col("ord").alias("seq"))
+    year = F.col("date").cast("int")
+    return L.uncovered(rows.withColumn("detailed", F.lit(True)), rows.where(year % 2 == 0).withColumn("detailed", year % 3 > 0))
+
+
 @query("SELECT dataset, commit_id, changed_at AS created_at, CAST(1 AS BIGINT) AS d_episodes, h AS d_hours FROM changes", *CHANGES)
 def commit_growth(spark, d):
     return L.commit_growth(V.changes(spark, d).withColumnRenamed("changed_at", "created_at"))
@@ -591,6 +637,11 @@ def chunk_length(spark, d):
     return T.autocorrelation_lag(V.frames(spark, d).drop("event_id"), 0.1, 8)
 
 
+@query("SELECT episode, round(jerk, 6) AS jerk, round(move, 6) AS move, CASE WHEN jerk >= 1.05 THEN 'jerky' WHEN jerk >= 0.95 THEN 'moderate' ELSE 'smooth' END AS verdict, move < 30 AS low FROM (SELECT episode, avg(turn) / avg(step) AS jerk, avg(step) AS move FROM (SELECT *, abs(step - lag(step) OVER (PARTITION BY episode ORDER BY frame)) AS turn FROM steps) GROUP BY 1 HAVING count(turn) > 0)", "frames", "steps")
+def smoothness(spark, d):
+    return T.smoothness(V.vectors(spark, d), 1.05, 0.95, 30.0).select("episode", r6("jerk"), r6("move"), "verdict", "low")
+
+
 V.CTE["followed"] = "series AS (SELECT episode, frame, v AS a, CASE episode % 4 WHEN 0 THEN v WHEN 1 THEN lag(v, 1) OVER w WHEN 2 THEN lag(v, 2) OVER w ELSE lead(v, 3) OVER w END AS b FROM frames WINDOW w AS (PARTITION BY episode ORDER BY frame)), lags AS (SELECT x.episode, y.frame - x.frame AS delay, round(corr(x.a, y.b), 6) AS r FROM series x JOIN series y ON x.episode = y.episode AND y.frame - x.frame BETWEEN -8 AND 8 GROUP BY 1, 2 HAVING count(*) FILTER (WHERE x.a IS NOT NULL AND y.b IS NOT NULL) >= 8)"
 
 
@@ -732,6 +783,28 @@ def status_repair(spark, d):
     return R.reconciled_status(stored, there)
 
 
+@query("SELECT event_id AS position, user_id AS episode, CASE WHEN value > 97 THEN 'fail' ELSE 'warn' END AS severity FROM events WHERE value > 94")
+def actionable_issues(spark, d):
+    severity = F.when(F.col("value") > 97, "fail").when(F.col("value") > 94, "warn").when(F.col("value") > 50, "skip").otherwise("ok")
+    return C.actionable(V.t(spark, d, "events").select(F.col("event_id").alias("position"), F.col("user_id").alias("episode"), severity.alias("severity")))
+
+
+@query("SELECT dataset, uploader FROM datasets WHERE contains(lower(concat_ws(' ', dataset, uploader, segment)), 'n_1') AND episodes % 3 > 0", "orders2", "datasets")
+def text_filter_with_issues(spark, d):
+    rows = V.datasets(spark, d).withColumn("n_issues", F.col("episodes") % 3)
+    return C.text_filter(rows, ["dataset", "uploader", "segment"], "N_1", "n_issues").select("dataset", "uploader")
+
+
+V.CTE["atoms"] = "atoms AS (SELECT conv_id AS episode, CASE turn % 8 WHEN 0 THEN 'plan' WHEN 1 THEN 'vqa' WHEN 2 THEN 'subtask' WHEN 3 THEN 'humming' WHEN 4 THEN 'memory' WHEN 5 THEN 'interjection' WHEN 6 THEN 'task_aug' END AS style FROM conversations)"
+
+
+@query("SELECT style, CASE style WHEN 'task_aug' THEN '任务改写' WHEN 'subtask' THEN '子任务' WHEN 'plan' THEN '计划' WHEN 'memory' THEN '记忆' WHEN 'interjection' THEN '插话' WHEN 'vqa' THEN '视觉问答' ELSE coalesce(style, '语音') END AS label, CASE WHEN style IS NULL THEN 7 ELSE coalesce(list_position(['task_aug', 'subtask', 'plan', 'memory', 'interjection', 'vqa'], style), 8) END::INT AS place, style IS NULL OR style IN ('interjection', 'vqa') AS event, CAST(count(*) AS BIGINT) AS atoms, CAST(count(DISTINCT episode) AS BIGINT) AS episodes FROM atoms GROUP BY style", "atoms")
+def style_groups(spark, d):
+    styles = ("plan", "vqa", "subtask", "humming", "memory", "interjection", "task_aug")
+    style = F.get(F.array(*[F.lit(x) for x in styles], F.lit(None)), (F.col("turn") % 8).cast("int"))
+    return C.style_groups(V.t(spark, d, "conversations").select(F.col("conv_id").alias("episode"), style.alias("style")))
+
+
 @query("SELECT dataset, uploader FROM datasets WHERE contains(lower(concat_ws(' ', dataset, uploader, segment)), 'n_1') AND dataset IN (SELECT c_name FROM customer WHERE c_custkey % 3 = 0)", "orders2", "datasets")
 def edit_filter(spark, d):
     leaves = V.t(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_name").alias("leaf"))

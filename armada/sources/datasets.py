@@ -17,11 +17,11 @@ SNAPSHOT = "pulled_at string, date string, org string, total_datasets long, tota
 
 
 def episode_lengths(spark: SparkSession, root: str, fps: float) -> DataFrame:
-    """episode_index and length_seconds; only two columns are read, rows with nulls are left out."""
+    """episode_index and length_seconds; in the order of episodes; only two columns are read, rows with nulls are left out."""
     if not fps > 0:
         raise ValueError(f"frame rate {fps} is not positive")
     df = spark.read.parquet(f"{root}/meta/episodes/chunk-*/file-*.parquet").select("episode_index", "length").dropna()
-    return df.select("episode_index", (F.col("length") / fps).alias("length_seconds"))
+    return df.select("episode_index", (F.col("length") / fps).alias("length_seconds")).orderBy("episode_index")
 
 
 def tasks(spark: SparkSession, root: str) -> DataFrame:
@@ -33,7 +33,7 @@ def tasks(spark: SparkSession, root: str) -> DataFrame:
     if dict(df.dtypes).get("task_index") not in ("bigint", "int", "smallint", "tinyint"):
         # one small file: the place of a row in it
         df = df.withColumn("task_index", F.col("_metadata.row_index"))
-    return df.where("task is not null").select(F.col("task_index").cast("long").alias("task_index"), "task")
+    return df.where("task is not null").select(F.col("task_index").cast("long").alias("task_index"), "task").orderBy("task_index")
 
 
 def info(spark: SparkSession, path: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from armada.functions.exprs import file_path, html_escape, issue_id, safe_name
-from armada.operators.checks import UNCONFIRMED
+from armada.operators.checks import UNCONFIRMED, actionable
 from armada.sources.files import write_files
 
 #: The columns of a report's CSV, in order.
@@ -35,7 +35,7 @@ def records(issues: DataFrame) -> DataFrame:
     frame, message, source, clips, plot) with number, their place in the dataset's report by episode (unknown ones last) and
     position, place, that in the episode's, folder, the episode's name, issue_id and review_status."""
     by = [F.col("episode").asc_nulls_last(), "position"]
-    rows = issues.where(F.col("severity").isin("warn", "fail"))
+    rows = actionable(issues)
     rows = rows.withColumn("number", F.row_number().over(Window.partitionBy("dataset").orderBy(*by)))
     rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("dataset", "episode").orderBy("position")))
     folder = F.when(F.col("episode").isNull(), "ep_unknown").otherwise(F.format_string("ep_%06d", F.col("episode")))
