@@ -414,6 +414,22 @@ def test_toxicity_learns_pairs(spark, none):
     assert toxicity.score_documents(spark.createDataFrame([(1, None), (None, "")], "doc_id long, text string"), machine).count() == 2
 
 
+def test_scores_of_the_shared_cases(spark, docs):
+    """Long, empty and null texts, repeated rows and columns with the names used inside, through both learned scorers."""
+    rows = docs.unionByName(docs.where("doc_id < 9")).unionByName(docs.where("doc_id = 9").withColumn("doc_id", F.lit(None).cast("long")))
+    lab = spark.createDataFrame([(c[0], 1, i % 2) for i, c in enumerate(cases())], "doc_id long, quality int, toxic int")
+    n = len(cases()) + 4
+    scored = toxicity.score_documents(rows, toxicity.train(rows, lab)).collect()
+    assert len(scored) == n and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in scored)
+    labelled = langid.identify(rows, langid.train(rows, 50)).collect()
+    by = {}
+    for r in labelled:
+        by.setdefault(r["doc_id"], set()).add((r["lang_pred"], r["score"]))
+    letters = {c[0] for c in cases() if re.search("[^\\W\\d_]", c[1] or "")}
+    assert len(labelled) == n and all(len(x) == 1 for x in by.values())
+    assert {d for d, x in by.items() if next(iter(x))[0] == "und"} == {c[0] for c in cases()} - letters
+
+
 def test_gradients_by_differences():
     rng = np.random.default_rng(12)
     w, k = langid.WIDTH, 3

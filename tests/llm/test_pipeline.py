@@ -59,3 +59,10 @@ def test_repeated_and_missing_ids(spark):
     assert sorted((r["doc_id"] or 0, r["class_id"], r["n_links"], r["n_copies"]) for r in classes if r["class_id"] is not None) == [(0, 2, 2, 1), (0, 2, 2, 1), (1, 1, 0, 1), (1, 1, 0, 2), (1, 1, 0, 2), (2, 2, 2, 1)]
     kept = pipeline.drop_near_duplicates(spark, docs, "").collect()
     assert sorted((r["doc_id"] or 0) for r in kept) == [0, 0, 0, 1, 1, 2]
+
+
+def test_no_documents(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and {"doc_id", "start", "length", "sequence_id", "offset"} <= set(out.columns)
