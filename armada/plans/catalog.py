@@ -189,6 +189,18 @@ def aggregate_deltas(spark, d):
     return A.aggregate_deltas(s, s)
 
 
+MANUAL_DAYS = "marked AS (SELECT *, ord % 7 = 0 AS manual FROM snaps), based AS (SELECT c.org, c.date, c.hours - coalesce(arg_max(h.hours, h.ord), 0) AS hours, c.episodes - coalesce(arg_max(h.episodes, h.ord), 0) AS episodes, greatest(0, c.frames - coalesce(arg_max(h.frames, h.ord), 0)) AS datasets FROM marked c LEFT JOIN snaps h ON h.date < c.date AND h.org = c.org WHERE c.manual GROUP BY c.org, c.date, c.hours, c.episodes, c.frames), grown AS (SELECT segment AS org, substr(changed_at, 1, 7) AS date, sum(h) AS hours, count(*) AS episodes, count(DISTINCT dataset) AS datasets FROM changes WHERE commit_id % 5 > 0 GROUP BY 1, 2)"
+V.CTE["manual_days"] = MANUAL_DAYS
+
+
+@query("SELECT org, date, CAST(hours AS DECIMAL(18,2)) AS hours, CAST(episodes AS BIGINT) AS episodes, CAST(datasets AS BIGINT) AS datasets FROM based UNION ALL SELECT m.org, m.date, CAST(coalesce(g.hours, 0) AS DECIMAL(18,2)), CAST(coalesce(g.episodes, 0) AS BIGINT), CAST(coalesce(g.datasets, 0) AS BIGINT) FROM marked m LEFT JOIN grown g ON g.org = m.org AND g.date = m.date WHERE NOT m.manual", "orders2", "snapshots", "changes", "manual_days")
+def totals_of_day(spark, d):
+    """What came on every month of every organisation, a seventh of which were entered by hand; frames stand for datasets."""
+    now = V.snapshots(spark, d).withColumns({"source": F.when(F.col("ord") % 7 == 0, "manual"), "datasets": F.col("frames")})
+    grown = V.changes(spark, d).where("commit_id % 5 > 0").groupBy(F.col("segment").alias("org"), F.substring("changed_at", 1, 7).alias("date")).agg(F.sum("h").alias("hours"), F.count(F.lit(1)).alias("episodes"), F.countDistinct("dataset").alias("datasets"))
+    return SL.totals_of_day(now, now, grown)
+
+
 SPLIT = "2001-01-01"
 STATE = f"cur AS (SELECT dataset, max(episodes) AS episodes, max(frames) AS frames, max(hours) AS hours FROM changes GROUP BY 1), prev AS (SELECT dataset, max(episodes) AS episodes, max(frames) AS frames, max(hours) AS hours FROM changes WHERE changed_at < '{SPLIT}' GROUP BY 1), deltas AS (SELECT c.dataset, c.episodes - coalesce(p.episodes, 0) AS d_episodes, c.frames - coalesce(p.frames, 0) AS d_frames, CAST(c.hours - coalesce(p.hours, 0) AS DECIMAL(18,2)) AS d_hours, p.dataset IS NULL AS is_new FROM cur c LEFT JOIN prev p ON c.dataset = p.dataset)"
 V.CTE["state"] = STATE
