@@ -231,11 +231,24 @@ def test_repeats(docs, none):
         gone = {p for i in range(len(w) - 12) if first[tuple(w[i : i + 13])] < c[0] for p in range(i, i + 13)}
         want[c[0]] = (len(w), len(gone), hashlib.sha256(" ".join(x for p, x in enumerate(w) if p not in gone).encode()).hexdigest())
     for batches in (1, 3, 6):  # six batches compact the runs
-        rows = substrings.remove_repeats(docs, batches=batches, chunk_rows=6).collect()
-        assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rows} == want
+        # where there are more than fan chunks, ranges are cut into parts and blocks are dealt again
+        for fan in (substrings.FAN, 2):
+            rows = substrings.remove_repeats(docs, batches=batches, chunk_rows=6, fan=fan).collect()
+            assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rows} == want
     assert substrings.remove_repeats(none).count() == 0
 
 
+def test_chunks_agree_on_both_sides(spark):
+    ids = [-(1 << 62), -7, 0, 1, 2, 3, 50, 51, 52, 53, 99, 100, 1000, 1 << 53, (1 << 53) + 1, (1 << 63) - 1]
+    rows = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    for bounds, parts in (([], 1), ([], 5), ([2, 51], 1), ([2, 51, 100], 7), (list(range(0, 60, 2)), 3)):
+        chunks = substrings.Chunks(bounds, ids[0], ids[-1], parts)
+        got = dict(rows.select("doc_id", chunks.column("doc_id").alias("c")).collect())
+        want = chunks.of(np.array(ids, np.int64))
+        assert [got[i] for i in ids] == want.tolist() == sorted(want) and 0 <= want.min() and want.max() < chunks.count
+    assert [substrings.code_width(n) for n in (10**9, 10**10, 10**12, 10**14)] == [1, 2, 4, 8]
+
+
 def test_personal_data(spark, docs, none, tmp_path):
     card = "4512 4635 0490 0732"
     text = f"é mail a.b@c.example.com or {card} ip 1.2.3.004 999.1.1.1 +1 (815) 555-2757 key 0123456789abcdef0123456789abcdef x@y.z_w@q.org +12"
