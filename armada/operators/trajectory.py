@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from armada.functions.exprs import component_ordinals, finite, l2, mad_limit
-from armada.operators.order import picked
+from armada.operators.order import medians, picked
+from armada.sources.scratch import written
 
 
 def by_episode() -> Window:
@@ -99,21 +100,20 @@ def boundary_outliers(frames: DataFrame, window: int = 10, k: float = 6.0, floor
     """Episodes whose mean vector over their first (last) frames lies far from the component-wise median of their group:
     group, episode, distance, farthest first.
 
-    The centre has the components that all episodes of the group have: on ragged vectors the least width counts.  Medians are
-    one aggregate over (group, component); groups of under least episodes are left out.
+    The centre has the components that all episodes of the group have: on ragged vectors the least width counts; groups of under
+    least episodes are left out.  Means and distances, a row an episode, are written aside, and medians need no task that holds a
+    group's values.
     """
     line = Window.partitionBy(group, "episode").orderBy(F.col("frame").desc() if end else F.col("frame"))
     head = frames.withColumn("_n", F.row_number().over(line)).where(F.col("_n") <= window)
-    means = head.groupBy(group, "episode").agg(mean_vector(F.collect_list(F.col("vec").cast("array<double>"))).alias("mean")).where("mean is not null")
-    parts = means.select(group, F.size("mean").alias("width"), F.posexplode("mean").alias("pos", "x"))
+    means = written(head.groupBy(group, "episode").agg(mean_vector(F.collect_list(F.col("vec").cast("array<double>"))).alias("mean")).where("mean is not null"), "means")
     # a component counts if every episode of the group has it: component 0, which all have, gives their number
-    medians = parts.groupBy(group, "pos").agg(F.percentile("x", F.lit(0.5)).alias("c"), F.count(F.lit(1)).alias("n"))
-    centre = medians.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("pos", "c", "n"))).alias("all"), F.max("n").alias("episodes"))
+    middle = medians(means.select(group, F.posexplode("mean").alias("pos", "x")), [group, "pos"], "x", "c")
+    centre = middle.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("pos", "c", "n"))).alias("all"), F.max("n").alias("episodes"))
     centre = centre.where(F.col("episodes") >= least).select(group, F.transform(F.filter("all", lambda p: p["n"] == F.col("episodes")), lambda p: p["c"]).alias("centre"))
-    far = means.join(centre, group).select(group, "episode", l2(F.col("mean"), F.col("centre")).alias("distance")).where("distance is not null")
-    med = far.groupBy(group).agg(F.percentile("distance", F.lit(0.5)).alias("med"))
-    off = far.join(med, group).groupBy(group).agg(F.max("med").alias("med"), F.percentile(F.abs(F.col("distance") - F.col("med")), F.lit(0.5)).alias("mad"))
-    limits = off.select(group, F.greatest(F.lit(float(floor)), F.when(F.col("mad") == 0, 3 * F.col("med")).otherwise(F.col("med") + k * F.col("mad"))).alias("threshold"))
+    far = written(means.join(centre, group).select(group, "episode", l2(F.col("mean"), F.col("centre")).alias("distance")).where("distance is not null"), "distances")
+    off = far.join(medians(far, [group], "distance", "med"), group).withColumn("off", F.abs(F.col("distance") - F.col("med")))
+    limits = medians(off, [group, "med"], "off", "mad").select(group, F.greatest(F.lit(float(floor)), F.when(F.col("mad") == 0, 3 * F.col("med")).otherwise(F.col("med") + k * F.col("mad"))).alias("threshold"))
     return far.join(limits, group).where("distance > threshold").orderBy(F.col("distance").desc())
 
 

@@ -1,5 +1,7 @@
 """Small cases with known results."""
 
+import random
+import statistics
 from decimal import Decimal
 
 import numpy as np
@@ -12,6 +14,7 @@ from armada.operators import checks as C
 from armada.operators import edit as E
 from armada.operators import fleet as A
 from armada.operators import trajectory as T
+from armada.operators.order import medians
 
 
 def one(spark, column):
@@ -88,6 +91,16 @@ def test_ragged_vectors_count_to_the_least_width(spark):
     assert [r["episode"] for r in out] == [3] and out[0]["distance"] == pytest.approx(5.0)
 
 
+def test_medians_of_hot_groups_and_ties(spark):
+    draw = random.Random(5)
+    groups = {"hot": [draw.gauss(0, 1) for _ in range(20_001)], "even": [draw.random() for _ in range(6000)], "ties": [1.0] * 3000 + [2.0] * 3000, "one": [7.0], "two": [3.0, 4.0], "four": [1.0, 5.0, 6.0, 9.0], "same": [0.25] * 5000}
+    rows = [(g, 1, x) for g, values in groups.items() for x in values] + [("hot", 1, None), ("none", 1, None), ("hot", 2, 8.0)]
+    draw.shuffle(rows)
+    out = medians(spark.createDataFrame(rows, "g string, part int, x double").repartition(8), ["g", "part"], "x", "m").collect()
+    want = {(g, 1): (len(values), statistics.median(values)) for g, values in groups.items()} | {("hot", 2): (1, 8.0)}
+    assert {(r["g"], r["part"]): (r["n"], r["m"]) for r in out} == want
+
+
 def test_growth_counts_what_grew(spark):
     rows = spark.createDataFrame([("d", "g", Decimal(2), 1, 0), ("d", "g", Decimal(-5), 0, 0), ("d", "g", Decimal(0), 0, 7)], "date string, group string, hours decimal(18,2), episodes long, frames long")
     r = A.group_growth(rows).first()
