@@ -245,26 +245,6 @@ def clip_camera(path: Column, field: Column) -> Column:
     return F.coalesce(infer_stream(path), safe_name(F.coalesce(F.nullif(field, F.lit("")), F.lit("clip"))))
 
 
-def middle(ascending: Column) -> Column:
-    """The median of an ascending array (the mean of the middle two where their number is even); null if it is empty."""
-    n = F.size(ascending)
-    return F.when(n > 0, (F.get(ascending, F.floor((n - 1) / 2).cast("int")) + F.get(ascending, F.floor(n / 2).cast("int"))) / 2)
-
-
-def mad_limit(values: Column, k: float, floor: float) -> Column:
-    """What mad_thresholds gives, for an array of values: median plus k times the median absolute deviation, or three medians
-    where there is no spread; at least floor."""
-
-    def of(ascending: Column) -> Column:
-        def with_centre(med: Column) -> Column:
-            mad = middle(F.array_sort(F.transform(ascending, lambda x: F.abs(x - med))))
-            return F.transform(F.array(mad), lambda m: F.greatest(F.lit(float(floor)), F.when(m == 0, 3 * med).otherwise(med + k * m)))
-
-        return F.get(F.flatten(F.transform(F.array(middle(ascending)), with_centre)), 0)
-
-    return F.get(F.transform(F.array(F.array_sort(values)), of), 0)
-
-
 def mad_thresholds(rows: DataFrame, value: str, by: list[str], k: float, floor: float, least: int = 1) -> DataFrame:
     """by, n, med, mad, threshold: median plus k times the median absolute deviation of value, at least floor.
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from armada.functions.exprs import component_ordinals, finite, l2, mad_limit
+from armada.functions.exprs import component_ordinals, finite, l2
 from armada.operators.order import medians, picked
 from armada.sources.scratch import written
 
@@ -29,13 +29,15 @@ def steps(frames: DataFrame) -> DataFrame:
 def jumps(frames: DataFrame, k: float = 14.0, floor: float = 0.35, least: int = 5) -> DataFrame:
     """First frame of each episode whose step exceeds the episode's threshold: episode, frame, step, threshold.
 
-    An episode's steps become one array in the partition of the window before it, so there is one shuffle and no join.
+    The threshold is that of mad_thresholds.  Its medians are exact aggregates over the episode in the partitioning of the window
+    before them, so there is one shuffle and no join.
     """
-    moved = steps(frames).where("step is not null")
-    each = moved.groupBy("episode").agg(F.array_sort(F.collect_list(F.struct("frame", "step"))).alias("all")).where(F.size("all") >= least)
-    each = each.withColumn("threshold", mad_limit(F.col("all.step"), k, floor))
-    first = F.get(F.filter("all", lambda x: x["step"] > F.col("threshold")), 0)
-    return each.select("episode", first.alias("x"), "threshold").where("x is not null").select("episode", "x.frame", "x.step", "threshold")
+    episode = Window.partitionBy("episode")
+    moved = steps(frames).where("step is not null").withColumns({"_n": F.count(F.lit(1)).over(episode), "_med": F.percentile("step", F.lit(0.5)).over(episode)})
+    moved = moved.withColumn("_mad", F.percentile(F.abs(F.col("step") - F.col("_med")), F.lit(0.5)).over(episode))
+    spread = F.when(F.col("_mad") == 0, 3 * F.col("_med")).otherwise(F.col("_med") + k * F.col("_mad"))
+    over = moved.withColumn("threshold", F.greatest(F.lit(float(floor)), spread)).where((F.col("_n") >= least) & (F.col("step") > F.col("threshold")))
+    return over.groupBy("episode").agg(F.min(F.struct("frame", "step", "threshold")).alias("x")).select("episode", "x.frame", "x.step", "x.threshold")
 
 
 def islands(rows: DataFrame, calm: Column, order: str = "frame") -> DataFrame:
