@@ -2,11 +2,13 @@
 
 The state of a tracker (an episode's hand) is what is left to compare with: of each unbroken run of frame numbers seen so far its
 two ends.  A frame is compared with its neighbours when the later of the two arrives, so the events are the same however the
-frames are cut into batches and in whatever order they come.
+frames are cut into batches and in whatever order they come.  Trackers share the keys of the state by a hash: a fleet has far
+more trackers than a batch should have calls, and a call goes over all trackers of a key at once.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,8 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-STATE = "lo array<long>, hi array<long>, first array<double>, last array<double>"
-EVENTS = "episode long, hand string, frame long, hits array<string>, xyz_step double, xyz_hit boolean"
+STATE = "trackers binary"
+EVENTS = "tracker string, frame long, hits array<string>, xyz_step double, xyz_hit boolean"
+#: Fixed value: rows of one key that are held before they are compared, unless its state is longer.
+HELD = 65_536
 
 
 def advance(runs: tuple, frames: np.ndarray, values: np.ndarray) -> tuple[tuple, np.ndarray, np.ndarray]:
@@ -45,14 +49,66 @@ def advance(runs: tuple, frames: np.ndarray, values: np.ndarray) -> tuple[tuple,
     return (number[begins], number[ends], value[begins], value[ends]), number[later], steps
 
 
-def track(frames: DataFrame, axis_limits: dict[str, float], norm_limit: float, time: str | None = None, expiry: str = "6 hours") -> DataFrame:
+def places(owner: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A place for each pair of an owner and a number, in their order: places follow each other directly where the numbers of
+    one owner do, and nowhere else.  Also the places in order and where each is among the pairs."""
+    order = np.lexsort((number, owner))
+    o, n = owner[order], number[order]
+    same = o[1:] == o[:-1]
+    steps = np.where(same & (n[1:] == n[:-1]), 0, np.where(same & (n[1:] - 1 == n[:-1]), 1, 2))
+    ranked = np.concatenate([np.zeros(min(len(o), 1), np.int64), np.cumsum(steps)])
+    place = np.empty(len(order), np.int64)
+    place[order] = ranked
+    return place, ranked, order
+
+
+class Trackers:
+    """Many trackers: their names, the newest time of each, and the runs of all, by tracker and frame number."""
+
+    def __init__(self, axes: int):
+        self.names, self.newest, self.owner = np.empty(0, object), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.runs = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, axes)), np.empty((0, axes)))
+
+    def pack(self) -> bytes:
+        return pickle.dumps((self.names.tolist(), self.newest, self.owner.astype(np.int32), self.runs), protocol=5)
+
+    def unpack(self, data: bytes) -> Trackers:
+        names, self.newest, owner, self.runs = pickle.loads(data)
+        self.names, self.owner = np.array(names, object), owner.astype(np.int64)
+        return self
+
+    def forget(self, before: int) -> None:
+        """Drop the trackers whose newest frame is older."""
+        live = self.newest >= before
+        if not live.all():
+            keep = live[self.owner]
+            self.owner = (np.cumsum(live) - 1)[self.owner[keep]]
+            self.names, self.newest, self.runs = self.names[live], self.newest[live], tuple(x[keep] for x in self.runs)
+
+    def advance(self, names: np.ndarray, ms: np.ndarray, frames: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Take frames in; the steps that this completes: tracker's name, the later frame's number, the absolute differences."""
+        known, n = len(self.names), len(self.owner)
+        code, self.names = pd.factorize(np.concatenate([self.names, names]))
+        own = code[known:].astype(np.int64)
+        self.newest = np.concatenate([self.newest, np.full(len(self.names) - known, np.iinfo(np.int64).min)])
+        np.maximum.at(self.newest, own, ms)
+        owner, number = np.concatenate([self.owner, self.owner, own]), np.concatenate([*self.runs[:2], frames])
+        place, ranked, order = places(owner, number)
+        (lo, hi, first, last), at, steps = advance((place[:n], place[n : 2 * n], *self.runs[2:]), place[2 * n :], values)
+        pair = lambda p: order[np.searchsorted(ranked, p)]
+        begin, later = pair(lo), pair(at)
+        self.owner, self.runs = owner[begin], (number[begin], number[pair(hi)], first, last)
+        return self.names[owner[later]], number[later], steps
+
+
+def track(frames: DataFrame, axis_limits: dict[str, float], norm_limit: float, time: str | None = None, expiry: str = "6 hours", keys: int = 1024) -> DataFrame:
     """A stream of frames (episode long, frame long, hand string and one double column an axis) as a stream of jumps: episode,
     hand, frame, hits, xyz_step, xyz_hit, the rows that trajectory.tracker_jumps gives for the whole table.
 
     Steps are between consecutive frame numbers.  Frames without a number or an axis's value don't count.  Without gaps a
     tracker's state is two frames, with gaps two a run.  Where frames have a time, a column of timestamps, those that lie the
     time of expiry behind the newest frame of all trackers are too late, and a tracker without newer ones is forgotten; without
-    it, none is.
+    it, none is.  The state has this many keys, as long as a checkpoint lives; one task holds the trackers of one key at a time.
     """
     axes = list(axis_limits)
     limits = np.array([axis_limits[a] for a in axes], float)
@@ -61,26 +117,39 @@ def track(frames: DataFrame, axis_limits: dict[str, float], norm_limit: float, t
         if state.hasTimedOut:
             state.remove()
             return
+        trackers, waiting = Trackers(len(axes)), []
         if state.exists:
-            lo, hi, first, last = state.get
-            runs = (np.array(lo, np.int64), np.array(hi, np.int64), np.array(first, float).reshape(-1, len(axes)), np.array(last, float).reshape(-1, len(axes)))
-        else:
-            runs = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, len(axes))), np.empty((0, len(axes))))
-        newest = 0
-        for pdf in batches:
-            newest = max(newest, int(pdf["ms"].max()))
-            runs, at, steps = advance(runs, pdf["frame"].to_numpy(np.int64), pdf[axes].to_numpy(float))
+            trackers.unpack(state.get[0])
+        if time is not None:
+            trackers.forget(state.getCurrentWatermarkMs() - 1)
+
+        def compare() -> Iterator[pd.DataFrame]:
+            pdf = pd.concat(waiting, ignore_index=True)
+            waiting.clear()
+            names, at, steps = trackers.advance(pdf["tracker"].to_numpy(object), pdf["ms"].to_numpy(np.int64), pdf["frame"].to_numpy(np.int64), pdf[axes].to_numpy(float))
             norm = np.sqrt((steps**2).sum(axis=1))
             hit = (steps >= limits).any(axis=1) | (norm >= norm_limit)
             hits = [[a for a, over in zip(axes, row, strict=True) if over] for row in steps[hit] >= limits]
             if hit.any():
-                yield pd.DataFrame({"episode": key[0], "hand": key[1], "frame": at[hit], "hits": hits, "xyz_step": norm[hit], "xyz_hit": norm[hit] >= norm_limit})
-        state.update((runs[0].tolist(), runs[1].tolist(), runs[2].reshape(-1).tolist(), runs[3].reshape(-1).tolist()))
+                yield pd.DataFrame({"tracker": names[hit], "frame": at[hit], "hits": hits, "xyz_step": norm[hit], "xyz_hit": norm[hit] >= norm_limit})
+
+        for pdf in batches:
+            waiting.append(pdf)
+            # as many new rows as old runs, so that going over these adds no more than the rows' own work
+            if sum(map(len, waiting)) >= max(HELD, len(trackers.owner)):
+                yield from compare()
+        if waiting:
+            yield from compare()
+        state.update((trackers.pack(),))
         if time is not None:
-            state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + 1)
+            state.setTimeoutTimestamp(max(int(trackers.newest.max(initial=0)), state.getCurrentWatermarkMs()) + 1)
 
     if time is not None:
         frames = frames.where(F.col(time).isNotNull()).withWatermark(time, expiry)
     ms = F.unix_millis(time) if time is not None else F.lit(0).cast("long")
-    rows = frames.select(*([time] if time is not None else []), ms.alias("ms"), F.col("episode").cast("long").alias("episode"), "hand", F.col("frame").cast("long").alias("frame"), *[F.col(a).cast("double").alias(a) for a in axes]).dropna(subset=["frame", *axes])
-    return rows.groupBy("episode", "hand").applyInPandasWithState(follow, EVENTS, STATE, "append", GroupStateTimeout.NoTimeout if time is None else GroupStateTimeout.EventTimeTimeout)
+    # one text for both parts of a tracker's name, whichever of them is null
+    tracker = F.to_json(F.struct(F.col("episode").cast("long").alias("episode"), F.col("hand").cast("string").alias("hand")))
+    rows = frames.select(*([time] if time is not None else []), ms.alias("ms"), tracker.alias("tracker"), F.col("frame").cast("long").alias("frame"), *[F.col(a).cast("double").alias(a) for a in axes]).dropna(subset=["frame", *axes])
+    keyed = rows.withColumn("key", F.pmod(F.xxhash64("tracker"), F.lit(keys))).groupBy("key")
+    jumps = keyed.applyInPandasWithState(follow, EVENTS, STATE, "append", GroupStateTimeout.NoTimeout if time is None else GroupStateTimeout.EventTimeTimeout)
+    return jumps.select(F.from_json("tracker", "episode long, hand string").alias("t"), "*").select("t.*", *[c.split()[0] for c in EVENTS.split(", ")[1:]])

@@ -34,6 +34,23 @@ def test_jumps_of_a_stream_cut_anywhere(spark, tmp_path):
     assert got == want and len(want) > 50
 
 
+def test_trackers_share_the_keys_of_the_state(spark, tmp_path):
+    """Calls and state rows follow the keys, not the trackers, of which a fleet has many; names may be null or quoted."""
+    rng = random.Random(6)
+    names = [(e, h) for e in (*range(1500), None) for h in ("left", 'a "b"\\', None)]
+    rows = [(e, f * 2**61 if e == 7 else f, h, rng.gauss(0, 1), rng.gauss(0, 1)) for e, h in names for f in range(-3, 4) if rng.random() < 0.8]
+    want = sorted(map(repr, T.tracker_jumps(spark.createDataFrame(rows, FRAMES), LIMITS, 2.0).selectExpr("episode", "hand", "frame", "hits", "round(xyz_step, 9)", "xyz_hit").collect()))
+    rng.shuffle(rows)
+    out, folder = str(tmp_path / "out"), str(tmp_path / "in")
+    spark.createDataFrame(rows, FRAMES).repartition(3).write.parquet(folder)
+    jumps = track(spark.readStream.schema(FRAMES).option("maxFilesPerTrigger", 1).parquet(folder), LIMITS, 2.0)
+    stream = jumps.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    stream.awaitTermination(120)
+    assert 0 < stream.lastProgress["stateOperators"][0]["numRowsTotal"] <= 1024 < len(names)
+    got = spark.read.schema(jumps.schema).parquet(out).selectExpr("episode", "hand", "frame", "hits", "round(xyz_step, 9)", "xyz_hit")
+    assert sorted(map(repr, got.collect())) == want and len(want) > 5000
+
+
 def test_trackers_are_forgotten(spark, tmp_path):
     """Events need both frames within the time of expiry; a tracker that is silent for longer starts anew."""
     t = datetime(2026, 1, 1)
