@@ -36,17 +36,18 @@ def put_in_place(spark: SparkSession, staged: str, root: str) -> None:
     fs.delete(path(staged), True)
 
 
-def write_files(files: DataFrame, root: str) -> None:
+def write_files(files: DataFrame, root: str, order: list[Column | str] | None = None) -> None:
     """Write files (path below root, text) under exactly these names; what is there already is replaced.
 
     Every text is written by an executor into a staging folder beside its place, one file each and none besides; then the
-    driver renames them, so that a file is there whole or not at all.  Of rows with the same path all texts are written, in no
-    order.  Texts end with a newline.
+    driver renames them, one by one, so that a file is there whole or not at all: many small texts go better into few files.
+    Of rows with the same path all texts are written, in the order given (columns of files), else in none.  Texts end with a
+    newline.
     """
     root = root.rstrip("/")
     staged = f"{root}/_staged-{uuid.uuid4().hex}"
-    rows = files.select(F.hex("path").alias("name"), F.regexp_replace("text", "\n\\z", "").alias("text"))
-    rows.repartition("name").sortWithinPartitions("name").write.option("maxRecordsPerFile", 0).partitionBy("name").text(staged)
+    rows = files.withColumns({"name": F.hex("path"), "text": F.regexp_replace("text", "\n\\z", "")})
+    rows.repartition("name").sortWithinPartitions("name", *(order or [])).select("name", "text").write.option("maxRecordsPerFile", 0).partitionBy("name").text(staged)
     put_in_place(files.sparkSession, staged, root)
 
 

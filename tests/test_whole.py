@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 
 from armada.operators import edit as E
 from armada.operators.order import numbered
+from armada.plans import catalog
 from armada.plans.catalog import QUERIES
 
 
@@ -74,3 +75,20 @@ def test_episodes_are_numbered_by_ranges(spark):
         assert specs and all(x.startswith("_range") for x in specs)
     assert sorted(r["episode"] for r in rest.collect()) == list(range(466))
     assert sorted((r["split"], r["episode"]) for r in parts.collect()) == [("a", i) for i in range(175)] + [("b", i) for i in range(525)]
+
+
+def test_logs_are_fewer_than_users(spark, tmp_path, monkeypatch):
+    """Logs grow in number with the lines, not with the users; every user's streams are found, also without a user or a time."""
+    start = datetime(2026, 1, 1)
+    events = [(i, start + timedelta(seconds=i * 37 % 101) if i % 11 else None, i % 40 if i % 41 else None, float(i * 29 % 97)) for i in range(900)]
+    spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(catalog, "fresh_path", lambda spark, name: f"{tmp_path}/{name}")
+    got = {(r["episode"], r["field"]): (r["frame"], r["start_sec"], r["end_sec"]) for r in QUERIES["jpeg_log_issues"](spark, str(tmp_path)).collect()}
+    want = {}
+    for i, _, user, value in sorted(events, key=lambda e: (e[1] is None, e[1] or start, e[0])):
+        if value > 40:
+            at = i % 90 / (8.0 if i % 4 == 0 else 30.0)
+            want.setdefault((user, ("left_wrist", "right_wrist", None)[i % 3]), (i % 90, max(0.0, at - 1), at + 1))
+    assert got == want and len(want) > 100
+    logs = list((tmp_path / "logs").rglob("*.log"))
+    assert len(logs) <= 4 and sum(len(p.read_text().splitlines()) for p in logs) == 900
