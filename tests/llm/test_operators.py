@@ -114,6 +114,44 @@ def test_tiny_documents_fill_sequences(spark, library):
     assert padded < 1.02 * sum(lengths.values())
 
 
+def test_dense_texts_share_sequences_with_others(spark, library):
+    """The bytes of a sequence's text are a limit of their own: dense texts are cut or mixed with others, and still nothing is padded."""
+    entries = library.get_vocab()
+    words = sorted(t.replace("\u0120", " ") for t in entries if re.fullmatch("\u0120[a-z]{6}", t))[:200]
+    rng = random.Random(4)
+    dense = ["".join(rng.choices(words, k=rng.choice((30, 300, 900, 2500)))) for _ in range(40)]
+    texts = [*dense, *["7 " * rng.choice((40, 400, 1200, 3000)) for _ in range(80)], None, ""]
+    rng.shuffle(texts)
+    ids = {i: [*library.encode(t or "", add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+    sizes = {i: [len(library.id_to_token(x)) for x in own] for i, own in ids.items()}
+    assert max(sum(s) / len(s) for s in sizes.values()) > 6
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for pool_items in (2048, 16):
+        rows = packing.pack_documents(docs, pool_items=pool_items).collect()
+        held, heavy, seen = {}, {}, {}
+        for r in rows:
+            held[r["sequence_id"]] = held.get(r["sequence_id"], 0) + r["length"]
+            heavy[r["sequence_id"]] = heavy.get(r["sequence_id"], 0) + sum(sizes[r["doc_id"]][r["start"] : r["start"] + r["length"]])
+            seen.setdefault(r["doc_id"], []).append((r["start"], r["length"]))
+        assert max(heavy.values()) <= 6144 and all(n <= 2048 and n & (n - 1) == 0 for n in held.values())
+        for i, own in seen.items():
+            assert [s for s, _ in sorted(own)] == [0, *np.cumsum([n for _, n in sorted(own)])[:-1]] and sum(n for _, n in own) == len(ids[i])
+        assert len(seen) == len(texts)
+
+
+def test_packing_weighs_tokens_and_bytes():
+    """Of pieces of one length the dense one goes first and the thin one to where the bytes have run short."""
+    widths = np.ones(20, np.int32)
+    widths[9] = 5
+    pool = packing.Pool(packing.Limits(100, 100, 100, 300), widths)
+    for key, token in (("dense", 9), ("dense too", 9), ("thin", 1)):
+        pool.add(key, 0, np.full(50, token, np.uint16))
+    first, *rest = pool.bins(100, 0)
+    assert [key for key, *_ in first] == ["dense", "thin"]
+    assert [[len(x) for *_, x in s] for s in rest] == [[32], [16], [2]]  # nothing is left to share a sequence with
+    assert sum(len(x) for s in (first, *rest) for _, _, x in s) == 150
+
+
 def test_conversations_keep_all_limits(spark, library, tmp_path):
     rng = random.Random(5)
     turns = [(c, t, ("user", "assistant", None)[t % 3], sentence(rng, rng.randrange(1, 60)) if rng.random() < 0.9 else None) for c in [*range(60), None] for t in range(rng.randrange(1, 6))]
